@@ -9,13 +9,16 @@ from cyclewise import config
 from cyclewise.functions import scalars as S
 
 
-def alerts(predictions: DataFrame, min_risk: str = "HIGH") -> DataFrame:
-    """Predictions at or above a level, worst first; an unknown minimum means HIGH, an unknown level LOW."""
+def at_or_above(predictions: DataFrame, min_risk: str = "HIGH") -> DataFrame:
+    """Predictions at or above a level; an unknown minimum means HIGH, an unknown level LOW."""
     wanted = min_risk.upper()
     threshold = config.RISK_LEVELS.index(wanted) if wanted in config.RISK_LEVELS else 2
-    return predictions.where(S.risk_rank(F.col("risk_level"), 0) >= threshold).orderBy(
-        F.desc("failure_risk"), "engine_id"
-    )
+    return predictions.where(S.risk_rank(F.col("risk_level"), 0) >= threshold)
+
+
+def alerts(predictions: DataFrame, min_risk: str = "HIGH") -> DataFrame:
+    """The risky predictions, worst first."""
+    return at_or_above(predictions, min_risk).orderBy(F.desc("failure_risk"), "engine_id")
 
 
 def search(predictions: DataFrame, text: str = "", level: str | None = None) -> DataFrame:

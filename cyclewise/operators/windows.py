@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from cyclewise import config
 from cyclewise.operators import chunked
@@ -16,7 +17,58 @@ def sensor_row(sensors: Sequence[str]) -> Column:
     return F.array(*[F.col(s).cast("float") for s in sensors])
 
 
-def sliding_windows(
+def _in_chunks(
+    df: DataFrame,
+    columns: Sequence[str],
+    size: int,
+    unit: str,
+    cycle: str,
+    ordinal: str | None,
+    chunk_rows: int | None,
+) -> tuple[DataFrame, WindowSpec]:
+    """Rows spread over tasks so that each task can build windows of ``size`` rows, and the frame to use.
+
+    ``ordinal`` names a column that numbers the rows of a unit 1, 2, ...; without it the rows are numbered
+    first. A unit with more than ``chunk_rows`` rows is worked on in several tasks: each chunk also gets
+    the last ``size - 1`` rows of the chunk before it. Only rows with ``_own`` are a chunk's own.
+    """
+    chunk_rows = max(config.CHUNK_ROWS if chunk_rows is None else chunk_rows, size)
+    rows = df.select(*dict.fromkeys([unit, cycle, *columns, *([ordinal] if ordinal else [])]))
+    if ordinal is None:
+        ordinal = "_ordinal"
+        slices = F.floor(F.col(cycle) / chunk_rows)
+        rows = chunked.with_ordinal(rows, [unit], [F.col(cycle)], slices, ordinal, hot_rows=chunk_rows)
+    place = F.col(ordinal) - 1
+    home = F.floor(place / chunk_rows)
+    is_halo_of_next = place % chunk_rows >= chunk_rows - (size - 1)
+    spread = (
+        rows.withColumn("_home", home)
+        .withColumn("_task", F.explode(F.when(is_halo_of_next, F.array(home, home + 1)).otherwise(F.array(home))))
+        .withColumn("_own", F.col("_home") == F.col("_task"))
+    )
+    return spread, W.partitionBy(unit, "_task").orderBy(ordinal).rowsBetween(-(size - 1), 0)
+
+
+def rolling_arrays(
+    df: DataFrame,
+    reading: str,
+    size: int = config.WINDOW_SIZE,
+    unit: str = "unit",
+    cycle: str = "cycle",
+    carry: Sequence[str] = (),
+    ordinal: str | None = None,
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """Every full window of ``size`` consecutive rows of a unit: ``(unit, cycle, *carry, features)``."""
+    rows, frame = _in_chunks(df, [reading, *carry], size, unit, cycle, ordinal, chunk_rows)
+    return (
+        rows.withColumn("features", F.collect_list(reading).over(frame))
+        .where(F.col("_own") & (F.size("features") == size))
+        .select(unit, cycle, *carry, "features")
+    )
+
+
+def window_features(
     df: DataFrame,
     sensors: Sequence[str] = config.SENSORS,
     size: int = config.WINDOW_SIZE,
@@ -26,32 +78,42 @@ def sliding_windows(
     ordinal: str | None = None,
     chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Every full window of ``size`` consecutive rows: ``(unit, cycle, features, label)``.
+    """Last value, mean, deviation and slope of each sensor over each full window.
 
-    ``ordinal`` names a column that numbers the rows of a unit 1, 2, ...; without it the rows are numbered
-    first. A unit with more than ``chunk_rows`` rows is worked on in several tasks: each chunk also gets
-    the last ``size - 1`` rows of the chunk before it, and only its own rows emit windows.
+    Four numbers per sensor and window instead of ``size``; the windows themselves are never written out.
     """
-    chunk_rows = max(config.CHUNK_ROWS if chunk_rows is None else chunk_rows, size)
-    rows = df.select(unit, cycle, sensor_row(sensors).alias("_x"), label, *([ordinal] if ordinal else []))
-    if ordinal is None:
-        ordinal = "_ordinal"
-        rows = chunked.with_ordinal(
-            rows, [unit], [F.col(cycle)], F.floor(F.col(cycle) / chunk_rows), ordinal, hot_rows=chunk_rows
-        )
-    own = F.floor((F.col(ordinal) - 1) / chunk_rows)
-    is_halo_of_next = (F.col(ordinal) - 1) % chunk_rows >= chunk_rows - (size - 1)
-    spread = rows.withColumn("_own", own).withColumn(
-        "_task", F.explode(F.when(is_halo_of_next, F.array(own, own + 1)).otherwise(F.array(own)))
-    )
-    frame = W.partitionBy(unit, "_task").orderBy(ordinal).rowsBetween(-(size - 1), 0)
-    return (
-        spread.withColumn("features", F.collect_list("_x").over(frame))
-        .where((F.col("_own") == F.col("_task")) & (F.size("features") == size))
-        .select(unit, cycle, "features", F.col(label).alias("label"))
+    numbered = df.withColumn("_t", F.col(cycle).cast("double"))
+    rows, frame = _in_chunks(numbered, [*sensors, label, "_t"], size, unit, cycle, ordinal, chunk_rows)
+    stats = {}
+    for s in sensors:
+        x = F.col(s).cast("double")
+        stats[f"{s}_last"] = x
+        stats[f"{s}_mean"] = F.avg(x).over(frame)
+        stats[f"{s}_std"] = F.stddev_pop(x).over(frame)
+        # The cycles of a window differ, so the denominator is not 0.
+        stats[f"{s}_slope"] = F.covar_pop(x, F.col("_t")).over(frame) / F.var_pop("_t").over(frame)
+    counted = rows.withColumns({**stats, "_n": F.count(F.lit(1)).over(frame)})
+    return counted.where(F.col("_own") & (F.col("_n") == size)).select(
+        unit, cycle, *stats, F.col(label).alias("label")
     )
 
 
+def sliding_windows(
+    df: DataFrame,
+    sensors: Sequence[str] = config.SENSORS,
+    size: int = config.WINDOW_SIZE,
+    unit: str = "unit",
+    cycle: str = "cycle",
+    label: str = "RUL",
+    ordinal: str | None = None,
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """Windows of the sensor columns with the last row's label: ``(unit, cycle, features, label)``."""
+    rows = df.withColumn("_x", sensor_row(sensors))
+    found = rolling_arrays(rows, "_x", size, unit, cycle, [label], ordinal, chunk_rows)
+    return found.select(unit, cycle, "features", F.col(label).alias("label"))
+
+
 def last_windows(
     df: DataFrame,
     sensors: Sequence[str] = config.SENSORS,

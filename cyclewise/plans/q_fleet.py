@@ -202,9 +202,7 @@ def telemetry_snapshot(v: Fleet) -> DataFrame:
     """SELECT engine_id, CASE WHEN s.engine_id IS NOT NULL THEN 'redis_stream' ELSE 'push_buffer' END AS source,
               s.engine_id IS NOT NULL OR coalesce(b.buffer_size, 0) >= 30 AS ready,
               g.remaining_cycles AS last_remaining_cycles, g.risk_level AS last_risk_level
-       FROM second_half b FULL JOIN store s USING (engine_id) LEFT JOIN risky_now g USING (engine_id)""".replace(
-        "risky_now g", "(SELECT * FROM graded WHERE risk_level <> 'LOW') g"
-    ),
+       FROM second_half b FULL JOIN store s USING (engine_id) LEFT JOIN (SELECT * FROM graded WHERE risk_level <> 'LOW') g USING (engine_id)""",
 )
 def engine_status(v: Fleet) -> DataFrame:
     predictions = v.graded.where(F.col("risk_level") != "LOW")
@@ -262,7 +260,7 @@ def online_read(v: Fleet) -> DataFrame:
        QUALIFY row_number() OVER (PARTITION BY engine_id ORDER BY arrival) = 1""",
 )
 def alert_dedup(v: Fleet) -> DataFrame:
-    batch = fleet.alerts(scoring.grade(v.current_rows(), v.score())).select(
+    batch = fleet.at_or_above(scoring.grade(v.current_rows(), v.score())).select(
         "engine_id", "risk_level", "failure_risk", "remaining_cycles", "event_time_ms", "arrival"
     )
     return fleet.new_alerts(batch, v.raised).drop("arrival")

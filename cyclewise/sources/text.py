@@ -70,9 +70,13 @@ def numbered_cycles(spark: SparkSession, path: str, columns: Sequence[str], glob
 
 
 def route(tokens: DataFrame) -> DataFrame:
-    """Mark each line as belonging to a truth file or a main file, by file name."""
-    is_truth = F.upper("file").contains(TRUTH_MARK)
-    return tokens.withColumn("kind", F.when(is_truth, "truth").otherwise("main"))
+    """Mark each line as belonging to a truth file or a main file, by name.
+
+    A dataset that Spark wrote is a folder of part files; its name is the folder's.
+    """
+    parts = F.split("file_path", "/")
+    name = F.when(F.col("file").startswith("part-"), F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
+    return tokens.withColumn("kind", F.when(F.upper(name).contains(TRUTH_MARK), "truth").otherwise("main"))
 
 
 def write_cycles(df: DataFrame, path: str, columns: Sequence[str], gap: str = " ") -> None:
