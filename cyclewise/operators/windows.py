@@ -82,16 +82,17 @@ def window_features(
 
     Four numbers per sensor and window instead of ``size``; the windows themselves are never written out.
     """
-    numbered = df.withColumn("_t", F.col(cycle).cast("double"))
-    rows, frame = _in_chunks(numbered, [*sensors, label, "_t"], size, unit, cycle, ordinal, chunk_rows)
+    rows, frame = _in_chunks(df, [*sensors, label], size, unit, cycle, ordinal, chunk_rows)
+    position = F.col(ordinal or "_ordinal").cast("double")
+    spread = F.lit((size * size - 1) / 12.0) if size > 1 else F.lit(1.0)
     stats = {}
     for s in sensors:
         x = F.col(s).cast("double")
         stats[f"{s}_last"] = x
         stats[f"{s}_mean"] = F.avg(x).over(frame)
         stats[f"{s}_std"] = F.stddev_pop(x).over(frame)
-        # The cycles of a window differ, so the denominator is not 0.
-        stats[f"{s}_slope"] = F.covar_pop(x, F.col("_t")).over(frame) / F.var_pop("_t").over(frame)
+        # The positions in a full window are consecutive, so their variance is known.
+        stats[f"{s}_slope"] = F.covar_pop(x, position).over(frame) / spread
     counted = rows.withColumns({**stats, "_n": F.count(F.lit(1)).over(frame)})
     return counted.where(F.col("_own") & (F.col("_n") == size)).select(
         unit, cycle, *stats, F.col(label).alias("label")
@@ -114,6 +115,31 @@ def sliding_windows(
     return found.select(unit, cycle, "features", F.col(label).alias("label"))
 
 
+def array_features(df: DataFrame, sensors: Sequence[str], size: int, window: str = "features") -> DataFrame:
+    """The same numbers as ``window_features``, from windows that are there as arrays."""
+    spread = (size * size - 1) / 12.0 if size > 1 else 1.0
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def numbers(name: str, index: int) -> dict[str, Column]:
+        xs = F.transform(window, lambda row: row[index].cast("double"))
+        mean = total(xs) / size
+        squares = F.transform(xs, lambda x: (x - mean) * (x - mean))
+        moved = F.transform(xs, lambda x, j: x * (j - (size - 1) / 2.0))
+        return {
+            f"{name}_last": F.element_at(xs, -1),
+            f"{name}_mean": mean,
+            f"{name}_std": F.sqrt(total(squares) / size),
+            f"{name}_slope": total(moved) / size / spread,
+        }
+
+    stats = {}
+    for i, s in enumerate(sensors):
+        stats.update(numbers(s, i))
+    return df.withColumns(stats).drop(window)
+
+
 def last_windows(
     df: DataFrame,
     sensors: Sequence[str] = config.SENSORS,

@@ -85,7 +85,8 @@ def rolling_vectors(
 ) -> DataFrame:
     """Feature vectors of a stream ``(engine_id, cycle, event_time_ms, arrival, x array<float>)``.
 
-    With ``ttl_seconds`` the state of an engine is dropped after that long without data.
+    With ``ttl_seconds`` the state of an engine is dropped after that long without data. Such a stream checks its
+    clock in every batch and so never runs out of work: use it with ``jobs.run_forever``, not ``run_bounded``.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_seconds else GroupStateTimeout.NoTimeout
     ttl_ms = ttl_seconds * 1000 if ttl_seconds else None
