@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
 # --- Fixed values: the input format and the published thresholds -----------------------------
@@ -59,16 +57,3 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return configured.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, never used before."""
-    return f"{shared_dir(spark)}/cyclewise/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

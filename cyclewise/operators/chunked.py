@@ -18,10 +18,24 @@ from pyspark.sql import Window as W
 from cyclewise import config
 
 CHUNK = "_chunk"
+SLICES = 1024
+
+
+def cut_points(column: str, slices: int = SLICES) -> Column:
+    """Aggregate: ``slices - 1`` ascending values that cut a column into about equal parts (a mergeable sketch)."""
+    return F.percentile_approx(column, [i / slices for i in range(1, slices)], 10 * slices)
+
+
+def slice_of(x: Column, cuts: Column, slices: int = SLICES) -> Column:
+    """Number of cut points below ``x``, found by halving; ``slices`` is a power of two."""
+    steps = F.array(*[F.lit(slices >> i) for i in range(1, slices.bit_length())])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.element_at(cuts, at + step) < x, at + step).otherwise(at)
+    )
 
 
 def assign_chunk(df: DataFrame, key: Sequence[str], chunk: Column, hot_rows: int | None = None) -> DataFrame:
-    """Add the chunk number: ``chunk`` for keys with more than ``hot_rows`` rows, else 0.
+    """Add the chunk number to the rows of keys with more than ``hot_rows`` rows; null for the other keys.
 
     At most ``total rows / hot_rows`` keys can be hot, so the broadcast list stays small at any size.
     """
@@ -35,16 +49,19 @@ def assign_chunk(df: DataFrame, key: Sequence[str], chunk: Column, hot_rows: int
     same_key = [F.col(c) == F.col(f"_hot_{c}") for c in key]
     return (
         df.join(F.broadcast(hot), same_key, "left")
-        .withColumn(CHUNK, F.when(F.col("_hot"), chunk.cast("long")).otherwise(F.lit(0).cast("long")))
+        .withColumn(CHUNK, F.when(F.col("_hot"), chunk.cast("long")))
         .drop("_hot", *[f"_hot_{c}" for c in key])
     )
 
 
+def _chunk_summary(rows: DataFrame, key: Sequence[str], summary: Column) -> DataFrame:
+    """One row per chunk of a hot key; a key that is not hot is one task's work and needs no summary."""
+    return rows.where(F.col(CHUNK).isNotNull()).groupBy(*key, CHUNK).agg(summary.alias("_part"))
+
+
 def _join_summary(df: DataFrame, summary: DataFrame, key: Sequence[str]) -> DataFrame:
-    renamed = summary.select(
-        *[F.col(c).alias(f"_k_{c}") for c in (*key, CHUNK)],
-        *[c for c in summary.columns if c not in (*key, CHUNK)],
-    )
+    """Bring ``_before`` to the rows; the shuffle on key and chunk, if any, also serves the window that follows."""
+    renamed = summary.select(*[F.col(c).alias(f"_k_{c}") for c in (*key, CHUNK)], "_before")
     same = [F.col(c) == F.col(f"_k_{c}") for c in (*key, CHUNK)]
     return df.join(renamed, same, "left").drop(*[f"_k_{c}" for c in (*key, CHUNK)])
 
@@ -59,18 +76,12 @@ def with_ordinal(
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... along ``order``."""
     rows = assign_chunk(df, key, chunk, hot_rows)
-    before = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*key, CHUNK)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*key, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
+    earlier = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    counts = _chunk_summary(rows, key, F.count(F.lit(1)))
+    offsets = counts.withColumn("_before", F.sum("_part").over(earlier))
     inside = W.partitionBy(*key, CHUNK).orderBy(*order)
-    return (
-        _join_summary(rows, offsets, key)
-        .withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("long"))
-        .drop("_before", CHUNK)
-    )
+    number = F.coalesce("_before", F.lit(0)) + F.row_number().over(inside)
+    return _join_summary(rows, offsets, key).withColumn(name, number.cast("long")).drop("_before", CHUNK)
 
 
 def with_running_max(
@@ -84,18 +95,11 @@ def with_running_max(
 ) -> DataFrame:
     """Add the largest ``value`` among all strictly earlier rows of the key (null for the first)."""
     rows = assign_chunk(df, key, chunk, hot_rows)
-    chunks_before = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    rows_before = W.partitionBy(*key, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    peaks = (
-        rows.groupBy(*key, CHUNK)
-        .agg(F.max(value).alias("_peak"))
-        .select(*key, CHUNK, F.max("_peak").over(chunks_before).alias("_before"))
-    )
-    return (
-        _join_summary(rows, peaks, key)
-        .withColumn(name, F.greatest(F.col("_before"), F.max(value).over(rows_before)))
-        .drop("_before", CHUNK)
-    )
+    earlier = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    peaks = _chunk_summary(rows, key, F.max(value)).withColumn("_before", F.max("_part").over(earlier))
+    inside = W.partitionBy(*key, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    highest = F.greatest(F.col("_before"), F.max(value).over(inside))
+    return _join_summary(rows, peaks, key).withColumn(name, highest).drop("_before", CHUNK)
 
 
 def with_previous(
@@ -109,14 +113,12 @@ def with_previous(
 ) -> DataFrame:
     """Add ``value`` of the row just before along ``order`` (null for the first row of the key)."""
     rows = assign_chunk(df, key, chunk, hot_rows)
-    lasts = (
-        rows.groupBy(*key, CHUNK)
-        .agg(F.max_by(value, F.struct(*order)).alias("_last"))
-        .select(*key, CHUNK, F.lag("_last").over(W.partitionBy(*key).orderBy(CHUNK)).alias("_before"))
-    )
+    by_chunk = W.partitionBy(*key).orderBy(CHUNK)
+    last = _chunk_summary(rows, key, F.max_by(value, F.struct(*order)))
+    last = last.withColumn("_before", F.lag("_part").over(by_chunk))
     inside = W.partitionBy(*key, CHUNK).orderBy(*order)
     return (
-        _join_summary(rows, lasts, key)
+        _join_summary(rows, last, key)
         .withColumn("_row", F.row_number().over(inside))
         .withColumn(name, F.when(F.col("_row") == 1, F.col("_before")).otherwise(F.lag(value).over(inside)))
         .drop("_before", "_row", CHUNK)
@@ -126,17 +128,10 @@ def with_previous(
 def with_global_ordinal(df: DataFrame, order: Sequence[Column], bucket: Column, name: str) -> DataFrame:
     """Number all rows 1, 2, ... along ``order``; ``bucket`` grows with the order and has few values."""
     rows = df.withColumn(CHUNK, bucket)
-    before = W.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(CHUNK)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        _join_summary(rows, offsets, [])
-        .withColumn(name, (F.col("_before") + F.row_number().over(W.partitionBy(CHUNK).orderBy(*order))).cast("long"))
-        .drop("_before", CHUNK)
-    )
+    earlier = W.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    offsets = _chunk_summary(rows, [], F.count(F.lit(1))).withColumn("_before", F.sum("_part").over(earlier))
+    number = F.coalesce("_before", F.lit(0)) + F.row_number().over(W.partitionBy(CHUNK).orderBy(*order))
+    return _join_summary(rows, offsets, []).withColumn(name, number.cast("long")).drop("_before", CHUNK)
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

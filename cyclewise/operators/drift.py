@@ -1,4 +1,4 @@
-"""Per-sensor distribution drift: two-sample Kolmogorov-Smirnov test as joins-free Spark aggregates."""
+"""Per-sensor distribution drift: two-sample Kolmogorov-Smirnov test from value counts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cyclewise import config
+from cyclewise import config, shared
+from cyclewise.operators import chunked
 
 SERIES_TERMS = 100
 
@@ -21,28 +22,29 @@ def sensor_values(df: DataFrame, sensors: Sequence[str], side: str) -> DataFrame
 
 
 def ks_statistics(
-    reference: DataFrame, current: DataFrame, sensors: Sequence[str] = config.SENSORS, slices: int = 64
+    reference: DataFrame, current: DataFrame, sensors: Sequence[str] = config.SENSORS, slices: int = chunked.SLICES
 ) -> DataFrame:
     """``(sensor, n_ref, n_cur, d)`` for each sensor with values on both sides.
 
     1. Equal values are merged first, with map-side combine.
-    2. Each sensor's distinct values are cut into ``slices`` parts at approximate quantiles, so a task
-       holds one part of one sensor; any cut points give the exact result.
+    2. Each sensor's distinct values are cut into ``slices`` (a power of two) parts at approximate quantiles,
+       so a task holds one part of one sensor; any cut points give the exact result.
     3. Counts are accumulated inside a part and shifted by the totals of the parts before it.
     """
     values = sensor_values(reference, sensors, "ref").unionAll(sensor_values(current, sensors, "cur"))
     merged = values.groupBy("sensor", "x").agg(
         F.count_if(F.col("side") == "ref").alias("a"), F.count_if(F.col("side") == "cur").alias("b")
     )
+    # Read three times from here on; the raw rows are read once.
+    merged = shared.settle(merged, "values")
     # One row per sensor: bounded by the sensor list.
     cuts = merged.groupBy("sensor").agg(
-        F.percentile_approx("x", [i / slices for i in range(1, slices)], 10 * slices).alias("cuts"),
+        chunked.cut_points("x", slices).alias("cuts"),
         F.sum("a").alias("n_ref"),
         F.sum("b").alias("n_cur"),
     )
-    sliced = merged.join(F.broadcast(cuts), "sensor").withColumn(
-        "part", F.size(F.filter("cuts", lambda c: c < F.col("x")))
-    )
+    part = chunked.slice_of(F.col("x"), F.col("cuts"), slices)
+    sliced = merged.join(F.broadcast(cuts), "sensor").withColumn("part", part).drop("cuts")
     earlier = W.partitionBy("sensor").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy("sensor", "part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 
 
@@ -176,6 +176,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     A column with a single value gets bins of total width 1 around it.
     """
     limits = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    limits = shared.settle(limits, "limits")
     flat = F.col("lo") == F.col("hi")
     limits = limits.where(F.col("lo").isNotNull()).select(
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),

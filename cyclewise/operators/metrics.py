@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cyclewise import shared
+
 
 def step_of(ts: Column, step: int) -> Column:
     """End of the step that ``ts`` falls in, in epoch seconds; a step covers (end - step, end]."""
@@ -22,6 +24,7 @@ def counts_on_grid(df: DataFrame, ts: Column, step: int, label: Column | None =
     """``(label, step, n)`` for every step between the first and the last of the whole input, 0 where empty."""
     name = F.lit("all") if label is None else label
     counts = df.groupBy(name.alias("label"), step_of(ts, step).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    counts = shared.settle(counts, "grid")
     span = counts.agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     labels = counts.select("label").distinct()
@@ -70,30 +73,33 @@ def bucket_counts(df: DataFrame, value: Column, bounds: Sequence[float], *by: Co
     return filled.select(*names, F.explode(rows).alias("r")).select(*names, "r.le", "r.cum_count")
 
 
-def quantile(histogram: DataFrame, q: float, *by: str) -> DataFrame:
-    """Quantile from a cumulative histogram with linear interpolation inside the bucket.
+def quantiles(histogram: DataFrame, qs: Sequence[float], *by: str) -> DataFrame:
+    """Quantiles ``(by..., q, quantile)`` from a cumulative histogram, interpolated linearly inside the bucket.
 
-    A rank in the +Inf bucket gives the largest finite bound; an empty histogram gives null.
+    A rank in the +Inf bucket gives the largest finite bound; an empty histogram gives no row. The histogram has
+    one row per bucket, so the windows here are over a dozen rows.
     """
-    order = W.partitionBy(*by).orderBy("le") if by else W.orderBy("le")
-    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    rank = F.lit(float(q)) * F.col("_total")
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+    rows = histogram.select(*by, "le", "cum_count", wanted)
+    keys = [*by, "q"]
+    order, whole = W.partitionBy(*keys).orderBy("le"), W.partitionBy(*keys)
     finite = F.col("le") != F.lit(float("inf"))
-    ranked = (
-        histogram.withColumn("_total", F.max("cum_count").over(whole))
-        .withColumn("_top", F.max(F.when(finite, F.col("le"))).over(whole))
-        .withColumn("_low_count", F.coalesce(F.lag("cum_count").over(order), F.lit(0)))
-        .withColumn(
-            "_low",
-            F.coalesce(F.lag("le").over(order), F.when(F.col("le") > 0, F.lit(0.0)).otherwise(F.col("le"))),
-        )
+    first_low = F.when(F.col("le") > 0, F.lit(0.0)).otherwise(F.col("le"))
+    ranked = rows.withColumns(
+        {
+            "_total": F.max("cum_count").over(whole),
+            "_top": F.max(F.when(finite, F.col("le"))).over(whole),
+            "_low_count": F.coalesce(F.lag("cum_count").over(order), F.lit(0)),
+            "_low": F.coalesce(F.lag("le").over(order), first_low),
+        }
     )
+    rank = F.col("q") * F.col("_total")
     inside = F.col("_low") + (F.col("le") - F.col("_low")) * F.try_divide(
         rank - F.col("_low_count"), F.col("cum_count") - F.col("_low_count")
     )
     value = F.when(finite, F.coalesce(inside, F.col("le"))).otherwise(F.col("_top"))
     hit = ranked.where((F.col("cum_count") >= rank) & (F.col("_total") > 0))
-    return hit.groupBy(*by).agg(F.min_by(value, F.col("le")).alias("quantile"))
+    return hit.groupBy(*keys).agg(F.min_by(value, F.col("le")).alias("quantile"))
 
 
 def ratio_rule(df: DataFrame, part: Column, whole: Column, limit: float) -> DataFrame:

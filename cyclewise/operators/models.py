@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 from cyclewise.operators import scoring, transform
 
@@ -24,7 +24,7 @@ NOT_FEATURES = ("unit", "cycle", "label", "split", "y", "weight", "engine_id")
 def training_rows(features: DataFrame, split: DataFrame, clip: float = config.RUL_CLIP) -> DataFrame:
     """Window features with their unit's split, the scaled target and the sample weight."""
     y = transform.target_scaled(F.col("label"), clip).cast("double")
-    return features.join(split, "unit").withColumn("y", y).withColumn("weight", transform.sample_weight(F.col("y")))
+    return features.join(shared.settle(split, "split"), "unit").withColumn("y", y).withColumn("weight", transform.sample_weight(F.col("y")))
 
 
 def train(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = config.SPLIT_SEED) -> PipelineModel:

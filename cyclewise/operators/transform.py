@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 from cyclewise.operators import chunked
 
@@ -32,18 +32,25 @@ def unit_life(df: DataFrame, unit: str = "unit", cycle: str = "cycle") -> DataFr
     return df.groupBy(unit).agg(F.max(cycle).alias("life"))
 
 
-def add_rul(df: DataFrame, clip: int = config.RUL_CLIP, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
+def add_rul(
+    df: DataFrame,
+    clip: int = config.RUL_CLIP,
+    unit: str = "unit",
+    cycle: str = "cycle",
+    life: DataFrame | None = None,
+) -> DataFrame:
     """Remaining cycles to the last cycle of the unit, clipped.
 
-    The unit's life is aggregated with map-side combine and joined back: adaptive execution broadcasts it
-    when it turns out small and otherwise splits a unit that owns a large share of the rows.
+    ``life`` (unit, life) may be given where it is known; else it is aggregated, with map-side combine.
     """
-    life = unit_life(df, unit, cycle).withColumnRenamed(unit, "_unit")
-    return (
-        df.join(life, F.col(unit) == F.col("_unit"))
-        .withColumn("RUL", F.least(F.col("life") - F.col(cycle), F.lit(clip)))
-        .drop("life", "_unit")
-    )
+    rows = with_life(df, unit, cycle, life)
+    return rows.withColumn("RUL", F.least(F.col("life") - F.col(cycle), F.lit(clip))).drop("life")
+
+
+def with_life(df: DataFrame, unit: str, cycle: str, life: DataFrame | None = None) -> DataFrame:
+    lives = unit_life(df, unit, cycle) if life is None else life
+    lives = shared.settle(lives.select(F.col(unit).alias("_unit"), "life"), "life")
+    return df.join(lives, F.col(unit) == F.col("_unit")).drop("_unit")
 
 
 def truth_by_position(units: DataFrame, truth: DataFrame) -> DataFrame:
@@ -51,12 +58,11 @@ def truth_by_position(units: DataFrame, truth: DataFrame) -> DataFrame:
 
     ``units`` has one integer column ``unit`` (repeats allowed), ``truth`` has ``pos`` (1, 2, ...) and ``rul``.
     """
-    distinct = units.select("unit").distinct()
-    # Even slices of the id range; a gap in the ids only makes a slice smaller.
-    span = distinct.agg(F.min("unit").alias("lo"), F.max("unit").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    bucket = F.floor((F.col("unit") - lo) * F.lit(4096.0) / (hi - lo + 1))
-    ranked = chunked.with_global_ordinal(distinct, [F.col("unit")], bucket, "_pos")
+    distinct = shared.settle(units.select("unit").distinct(), "units")
+    cuts = distinct.agg(chunked.cut_points("unit").alias("c")).scalar()
+    sliced = distinct.withColumn("_cuts", cuts)
+    place = chunked.slice_of(F.col("unit"), F.col("_cuts"))
+    ranked = chunked.with_global_ordinal(sliced, [F.col("unit")], place, "_pos").drop("_cuts")
     paired = ranked.join(truth, F.col("_pos") == F.col("pos"), "full")
     # The check is part of the row filter, so it cannot be pruned away with an unused column.
     matched = F.col("unit").isNotNull() & F.col("pos").isNotNull()
@@ -66,7 +72,7 @@ def truth_by_position(units: DataFrame, truth: DataFrame) -> DataFrame:
 
 def attach_truth(test: DataFrame, unit_truth: DataFrame) -> DataFrame:
     """Every test row gets the final RUL of its unit."""
-    return test.join(unit_truth, "unit", "left")
+    return test.join(shared.settle(unit_truth, "truth"), "unit", "left")
 
 
 def fit_scaler(train: DataFrame, sensors: Sequence[str] = config.SENSORS) -> DataFrame:
@@ -97,6 +103,7 @@ def scale(df: DataFrame, bounds: DataFrame, sensors: Sequence[str] = config.SENS
 
     The bounds enter as scalar subqueries: one value per sensor, nothing to join or shuffle.
     """
+    bounds = shared.settle(bounds, "bounds")
     picked = [F.max(F.when(F.col("sensor") == s, F.col(c))).alias(f"{c}_{s}") for s in sensors for c in ("min", "max")]
     limits = bounds.agg(F.struct(*picked).alias("b")).scalar()
     scaled = {s: S.min_max(F.col(s).cast("double"), limits[f"min_{s}"], limits[f"max_{s}"]) for s in sensors}
@@ -117,13 +124,13 @@ def check_bounds(bounds: DataFrame, sensors: Sequence[str] = config.SENSORS) ->
 
 
 def scale_per_group(df: DataFrame, group: str, sensors: Sequence[str]) -> DataFrame:
-    """Min-max scale within each operating condition; the per-group bounds are one row per group."""
+    """Min-max scale within each operating condition; the bounds are one row per condition."""
     bounds = df.groupBy(group).agg(
         *[F.min(s).cast("double").alias(f"_lo_{s}") for s in sensors],
         *[F.max(s).cast("double").alias(f"_hi_{s}") for s in sensors],
     )
     scaled = {s: S.min_max(F.col(s).cast("double"), F.col(f"_lo_{s}"), F.col(f"_hi_{s}")) for s in sensors}
-    return df.join(bounds, group).withColumns(scaled).drop(*bounds.columns[1:])
+    return df.join(shared.settle(bounds, "bounds"), group).withColumns(scaled).drop(*bounds.columns[1:])
 
 
 def target_scaled(label: Column, clip: float = config.RUL_CLIP) -> Column:
@@ -145,7 +152,7 @@ def group_split(
     Units are ranked by a seeded hash. The first four hex digits cut the ranking into 65,536 even slices, so
     no task sees more than a sliver of the units.
     """
-    units = df.select(unit).distinct()
+    units = shared.settle(df.select(unit).distinct(), "units")
     total = units.agg(F.count(F.lit(1)).alias("n")).scalar()
     keyed = units.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string")).cast("binary")))
     bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
 from cyclewise import config
-from cyclewise.operators import chunked
+from cyclewise.operators import chunked, transform
 
 
 def sensor_row(sensors: Sequence[str]) -> Column:
@@ -196,17 +196,14 @@ def full_buffers(buffers: DataFrame, size: int = config.WINDOW_SIZE) -> DataFram
     return buffers.where(F.col("buffer_size") == size)
 
 
-def lifecycle_stage(df: DataFrame, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
+def lifecycle_stage(
+    df: DataFrame, unit: str = "unit", cycle: str = "cycle", life: DataFrame | None = None
+) -> DataFrame:
     """Fraction of the unit's life at each row and its stage; the last stage is closed on the right."""
-    life = df.groupBy(unit).agg(F.max(cycle).alias("_life")).withColumnRenamed(unit, "_unit")
-    fraction = F.col(cycle) / F.col("_life")
+    fraction = F.col(cycle) / F.col("life")
     stage = None
     for name, upper in config.LIFECYCLE_STAGES[:-1]:
         stage = F.when(fraction < upper, name) if stage is None else stage.when(fraction < upper, name)
     stage = stage.otherwise(config.LIFECYCLE_STAGES[-1][0])
-    return (
-        df.join(life, F.col(unit) == F.col("_unit"))
-        .withColumn("life_fraction", fraction)
-        .withColumn("stage", stage)
-        .drop("_life", "_unit")
-    )
+    rows = transform.with_life(df, unit, cycle, life)
+    return rows.withColumns({"life_fraction": fraction, "stage": stage}).drop("life")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 from cyclewise.operators import evaluate, quality, transform
 from cyclewise.plans.registry import query
@@ -36,6 +36,7 @@ def drop_keep_columns(v: Fleet) -> DataFrame:
 def column_coverage(v: Fleet) -> DataFrame:
     wanted = v.spark.createDataFrame([(s,) for s in WIDE_SENSORS], "sensor string")
     seen = v.readings(v.base().withColumn("cycle", F.lit(0))).select(F.explode(F.map_keys("sensors")).alias("sensor"))
+    seen = seen.distinct()
     available = wanted.intersect(seen).withColumn("status", F.lit("available"))
     missing = wanted.subtract(seen).withColumn("status", F.lit("missing"))
     return available.unionAll(missing)
@@ -88,8 +89,8 @@ def shape_check(v: Fleet) -> DataFrame:
 )
 def scaler_params(v: Fleet) -> DataFrame:
     """Fit, export as the two-line parameter file, load it again."""
-    fitted = transform.check_bounds(transform.fit_scaler(v.wide, WIDE_SENSORS), WIDE_SENSORS)
-    path = config.scratch(v.spark, "scaler")
+    fitted = transform.check_bounds(transform.fit_scaler(v.lines, WIDE_SENSORS), WIDE_SENSORS)
+    path = shared.scratch(v.spark, "scaler")
     tables.write_bounds(fitted, path)
     loaded = tables.read_bounds(v.spark, path, WIDE_SENSORS)
     return loaded.withColumn("range", F.round("range", 8))
@@ -101,7 +102,7 @@ def scaler_params(v: Fleet) -> DataFrame:
        FROM wide_life""",
 )
 def engine_life(v: Fleet) -> DataFrame:
-    return transform.unit_life(v.wide).agg(
+    return v.wide_life.agg(
         F.count(F.lit(1)).alias("units"),
         F.min("life").alias("min_life"),
         F.max("life").alias("max_life"),
@@ -121,7 +122,7 @@ def engine_counts(v: Fleet) -> DataFrame:
 
 @query("rul_label", "SELECT unit, cycle, RUL FROM wide_rul")
 def rul_label(v: Fleet) -> DataFrame:
-    return transform.add_rul(v.wide).select("unit", "cycle", "RUL")
+    return transform.add_rul(v.wide, life=v.wide_life).select("unit", "cycle", "RUL")
 
 
 @query(
@@ -144,10 +145,10 @@ def group_split(v: Fleet) -> DataFrame:
 )
 def scale_batch(v: Fleet) -> DataFrame:
     """Bounds come from the train units only, so other units may leave [0, 1]."""
-    wide = v.wide
-    train = transform.group_split(wide).where(F.col("split") == "train")
-    bounds = transform.fit_scaler(wide.join(train, "unit", "left_semi"), WIDE_SENSORS)
-    return transform.scale(wide, bounds, WIDE_SENSORS).select(
+    lines = v.lines
+    train = shared.settle(transform.group_split(lines).where(F.col("split") == "train"), "split")
+    bounds = transform.fit_scaler(lines.join(train, "unit", "left_semi"), WIDE_SENSORS)
+    return transform.scale(v.wide, bounds, WIDE_SENSORS).select(
         "unit", "cycle", *WIDE_SENSORS
     )
 
@@ -171,7 +172,7 @@ def attach_test_rul(v: Fleet) -> DataFrame:
        FROM wide_rul""",
 )
 def target_scaling(v: Fleet) -> DataFrame:
-    labelled = transform.add_rul(v.wide)
+    labelled = transform.add_rul(v.wide, life=v.wide_life)
     clipped = S.clamp(F.col("RUL"), 0, config.RUL_CLIP).cast("float")
     return labelled.select(
         "unit",
@@ -186,7 +187,7 @@ def target_scaling(v: Fleet) -> DataFrame:
     "SELECT unit, cycle, round(1 + 1.5e0 * CAST(CAST(RUL / 125e0 AS FLOAT) AS DOUBLE), 6) AS weight FROM wide_rul",
 )
 def sample_weight(v: Fleet) -> DataFrame:
-    labelled = transform.add_rul(v.wide)
+    labelled = transform.add_rul(v.wide, life=v.wide_life)
     y = transform.target_scaled(F.col("RUL")).cast("double")
     return labelled.select("unit", "cycle", F.round(transform.sample_weight(y), 6).alias("weight"))
 
@@ -198,7 +199,7 @@ def sample_weight(v: Fleet) -> DataFrame:
              UNION ALL SELECT 's4', stddev_samp(s4) FROM wide UNION ALL SELECT 's7', stddev_samp(s7) FROM wide)""",
 )
 def sensor_variance(v: Fleet) -> DataFrame:
-    return evaluate.deviations(v.wide, list(WIDE_SENSORS)).withColumn("std", F.round("std", 6))
+    return evaluate.deviations(v.lines, list(WIDE_SENSORS)).withColumn("std", F.round("std", 6))
 
 
 @query(

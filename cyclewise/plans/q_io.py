@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import shared
 from cyclewise.functions import scalars as S
 from cyclewise.operators import evaluate, transform, windows
 from cyclewise.plans.q_evaluate import errors
@@ -34,12 +34,12 @@ def _truth_text(v: Fleet, path: str) -> str:
     "SELECT CAST(unit AS INTEGER) AS unit, CAST(cycle AS INTEGER) AS cycle, s2, s3, s4, s7 FROM wide",
 )
 def scan_ws_text(v: Fleet) -> DataFrame:
-    return text.scan_cycles(v.spark, _cycle_text(v, config.scratch(v.spark, "train")), COLUMNS)
+    return text.scan_cycles(v.spark, _cycle_text(v, shared.scratch(v.spark, "train")), COLUMNS)
 
 
 @query("scan_rul_file", "SELECT pos, rul FROM units_truth")
 def scan_rul_file(v: Fleet) -> DataFrame:
-    return text.scan_truth(v.spark, _truth_text(v, config.scratch(v.spark, "RUL")))
+    return text.scan_truth(v.spark, _truth_text(v, shared.scratch(v.spark, "RUL")))
 
 
 @query(
@@ -49,10 +49,10 @@ def scan_rul_file(v: Fleet) -> DataFrame:
 def ingest_bronze(v: Fleet) -> DataFrame:
     """Ingest twice; the second run finds everything in place and copies nothing."""
     sources = {
-        "train": _cycle_text(v, config.scratch(v.spark, "train")),
-        "truth": _truth_text(v, config.scratch(v.spark, "RUL")),
+        "train": _cycle_text(v, shared.scratch(v.spark, "train")),
+        "truth": _truth_text(v, shared.scratch(v.spark, "RUL")),
     }
-    bronze = config.scratch(v.spark, "bronze")
+    bronze = shared.scratch(v.spark, "bronze")
     tables.ingest_bronze(v.spark, sources, bronze)
     copied = tables.ingest_bronze(v.spark, sources, bronze)
     counts = [
@@ -68,7 +68,7 @@ def ingest_bronze(v: Fleet) -> DataFrame:
        UNION ALL SELECT 'truth', count(*), CAST(1 AS INTEGER) FROM units_truth""",
 )
 def route_files(v: Fleet) -> DataFrame:
-    root = config.scratch(v.spark, "inputs")
+    root = shared.scratch(v.spark, "inputs")
     _cycle_text(v, f"{root}/train_lines")
     _truth_text(v, f"{root}/RUL_lines")
     routed = text.route(text.token_lines(v.spark, f"{root}/*"))
@@ -83,8 +83,8 @@ def route_files(v: Fleet) -> DataFrame:
 def sink_silver(v: Fleet) -> DataFrame:
     """Labelled and scaled rows, written and read back."""
     wide = v.wide
-    scaled = transform.scale(transform.add_rul(wide), transform.fit_scaler(wide, WIDE_SENSORS), WIDE_SENSORS)
-    path = config.scratch(v.spark, "silver")
+    scaled = transform.scale(transform.add_rul(wide, life=v.wide_life), transform.fit_scaler(v.lines, WIDE_SENSORS), WIDE_SENSORS)
+    path = shared.scratch(v.spark, "silver")
     tables.write_silver(scaled.drop("condition"), path)
     return tables.read_parquet(v.spark, path).select("unit", "cycle", "s2", "RUL")
 
@@ -103,11 +103,11 @@ def sink_silver(v: Fleet) -> DataFrame:
 )
 def sink_gold(v: Fleet) -> DataFrame:
     """Windows of train and validation units, written by split and read back."""
-    labelled = transform.add_rul(v.telemetry)
+    labelled = transform.add_rul(v.telemetry, life=v.telemetry_life)
     found = windows.sliding_windows(labelled, TELEMETRY_SENSORS, ordinal="cycle")
     split = transform.group_split(v.base())
-    path = config.scratch(v.spark, "gold")
-    tables.write_gold(found.join(split, "unit").withColumn("y", transform.target_scaled(F.col("label"))), path)
+    path = shared.scratch(v.spark, "gold")
+    tables.write_gold(found.join(shared.settle(split, "split"), "unit").withColumn("y", transform.target_scaled(F.col("label"))), path)
     back = tables.read_parquet(v.spark, path)
     flat = hundredths(F.flatten("features"))
     return back.select("unit", "cycle", "split", F.round(F.col("y").cast("double"), 6).alias("y"), flat.alias("features"))
@@ -117,7 +117,7 @@ def sink_gold(v: Fleet) -> DataFrame:
 def sink_metadata(v: Fleet) -> DataFrame:
     """The evaluation report as JSON, written and read back."""
     report = evaluate.summary(evaluate.metrics_row(errors(v)))
-    path = config.scratch(v.spark, "metrics")
+    path = shared.scratch(v.spark, "metrics")
     tables.write_metadata(report, path)
     return tables.read_metadata(v.spark, path, report.schema)
 
@@ -129,7 +129,7 @@ def sink_metadata(v: Fleet) -> DataFrame:
 def audit_log(v: Fleet) -> DataFrame:
     """One JSON line per prediction; a prediction without a latency has no such field."""
     latency = F.when(F.col("risk_level") != "CRITICAL", F.col("k") / 10)
-    path = config.scratch(v.spark, "audit")
+    path = shared.scratch(v.spark, "audit")
     lines = v.graded.select("engine_id", "risk_level", "failure_risk", latency.alias("latency_ms"))
     tables.write_audit(lines, path)
     raw = v.spark.read.text(path)

@@ -6,14 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import shared
 from cyclewise.operators import chunked, evaluate, models, transform, windows
 from cyclewise.plans.registry import query
 from cyclewise.plans.views import TELEMETRY_SENSORS, VERSION, Fleet
 
 
 def _features(v: Fleet) -> DataFrame:
-    labelled = transform.add_rul(v.telemetry)
+    labelled = transform.add_rul(v.telemetry, life=v.telemetry_life)
     return windows.window_features(labelled, TELEMETRY_SENSORS, ordinal="cycle")
 
 
@@ -34,7 +34,7 @@ def window_features(v: Fleet) -> DataFrame:
 
 def _model(v: Fleet) -> tuple[PipelineModel, DataFrame]:
     """Feature rows are written once; the boosting rounds read them from the shared folder."""
-    path = config.scratch(v.spark, "training")
+    path = shared.scratch(v.spark, "training")
     models.training_rows(_features(v), transform.group_split(v.base())).write.parquet(path)
     rows = v.spark.read.parquet(path)
     return models.train(rows, trees=5, depth=4), rows

@@ -87,12 +87,8 @@ def _quantile_sql(q: float) -> str:
         FROM ({" UNION ALL ".join(_quantile_sql(q) for q in (0.5, 0.9, 0.95, 0.99))})""",
 )
 def histogram_quantile(v: Fleet) -> DataFrame:
-    histogram = _histogram(v)
-    parts = [metrics.quantile(histogram, q, "event_type").withColumn("q", F.lit(q)) for q in (0.5, 0.9, 0.95, 0.99)]
-    merged = parts[0]
-    for more in parts[1:]:
-        merged = merged.unionByName(more)
-    return merged.withColumn("quantile", F.round("quantile", 6))
+    found = metrics.quantiles(_histogram(v), (0.5, 0.9, 0.95, 0.99), "event_type")
+    return found.withColumn("quantile", F.round("quantile", 6))
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.operators import fleet, scoring
 from cyclewise.plans.registry import query
 from cyclewise.plans.views import READING_SENSORS, TELEMETRY_SENSORS, Fleet
@@ -66,7 +66,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
 @query("stream_source", "SELECT event_id, event_type, value FROM events")
 def stream_source(v: Fleet) -> DataFrame:
     """Two bounded runs on one checkpoint: the second finds nothing new."""
-    out, checkpoint = config.scratch(v.spark, "stream-source"), config.scratch(v.spark, "checkpoint")
+    out, checkpoint = shared.scratch(v.spark, "stream-source"), shared.scratch(v.spark, "checkpoint")
     for _ in range(2):
         rows = event_stream(v).select("event_id", "event_type", "value")
         jobs.run_bounded(rows.writeStream.format("parquet").option("path", out), checkpoint)
@@ -85,21 +85,21 @@ def stream_normalize(v: Fleet) -> DataFrame:
     rows = v.readings(v.base(event_stream(v)).withColumn("cycle", F.col("arrival")))
     messages = rows.select("arrival", E.encode(rows).alias("value"))
     scaled = jobs.normalized(messages, BOUNDS, READING_SENSORS)
-    out = config.scratch(v.spark, "stream-normalize")
-    jobs.run_bounded(scaled.writeStream.format("parquet").option("path", out), config.scratch(v.spark, "checkpoint"))
+    out = shared.scratch(v.spark, "stream-normalize")
+    jobs.run_bounded(scaled.writeStream.format("parquet").option("path", out), shared.scratch(v.spark, "checkpoint"))
     parts = [F.col("x")[i].alias(f"n{s[1:]}") for i, s in enumerate(READING_SENSORS)]
     return v.spark.read.parquet(out).select("arrival", "cycle", *parts)
 
 
 def _rolling(v: Fleet, size: int, **options) -> jobs.RollingFeatures:
-    path = config.scratch(v.spark, "rolling")
+    path = shared.scratch(v.spark, "rolling")
     return jobs.RollingFeatures(v.spark, path, len(TELEMETRY_SENSORS), size, **options)
 
 
 @query("stream_rolling", _LATE_VECTORS)
 def stream_rolling(v: Fleet) -> DataFrame:
     job = _rolling(v, LATE_SIZE)
-    jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), config.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
     return _vectors(job.vectors())
 
 
@@ -107,15 +107,15 @@ def stream_rolling(v: Fleet) -> DataFrame:
 def stream_rolling_state(v: Fleet) -> DataFrame:
     """The same job with a keyed state function."""
     vectors = state.rolling_vectors(late(v, event_stream(v)), len(TELEMETRY_SENSORS), LATE_SIZE)
-    out = config.scratch(v.spark, "rolling-state")
-    jobs.run_bounded(vectors.writeStream.format("parquet").option("path", out), config.scratch(v.spark, "checkpoint"))
+    out = shared.scratch(v.spark, "rolling-state")
+    jobs.run_bounded(vectors.writeStream.format("parquet").option("path", out), shared.scratch(v.spark, "checkpoint"))
     return _vectors(v.spark.read.parquet(out))
 
 
 @query("stream_restart", _LATE_VECTORS)
 def stream_restart(v: Fleet) -> DataFrame:
     """Run over the first half of the events, stop, add the second half, go on with a new query object."""
-    source, checkpoint = config.scratch(v.spark, "events"), config.scratch(v.spark, "checkpoint")
+    source, checkpoint = shared.scratch(v.spark, "events"), shared.scratch(v.spark, "checkpoint")
     events = v.table("events")
     before = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
     job = _rolling(v, LATE_SIZE)
@@ -134,7 +134,7 @@ def stream_restart(v: Fleet) -> DataFrame:
 )
 def stream_counters(v: Fleet) -> DataFrame:
     job = _rolling(v, LATE_SIZE)
-    jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), config.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
     return job.counters()
 
 
@@ -147,9 +147,9 @@ _LAST_VECTORS = f"""
 
 @query("online_upsert", f"SELECT engine_id, cycle, event_time, features FROM ({_LAST_VECTORS} AND r = 1)")
 def online_upsert(v: Fleet) -> DataFrame:
-    store = jobs.OnlineStore(v.spark, config.scratch(v.spark, "online"))
+    store = jobs.OnlineStore(v.spark, shared.scratch(v.spark, "online"))
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=store)
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), config.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
     return _vectors(store.read())
 
 
@@ -159,9 +159,9 @@ def online_upsert(v: Fleet) -> DataFrame:
                strftime(make_timestamp(event_time * 1000), '%H') AS hour, features FROM ({_LAST_VECTORS})""",
 )
 def offline_sink(v: Fleet) -> DataFrame:
-    out = config.scratch(v.spark, "offline")
+    out = shared.scratch(v.spark, "offline")
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=lambda rows, batch: sinks.write_offline(rows, out, batch))
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), config.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
     schema = job.VECTORS + ", date string, hour string, batch long"
     rows = v.spark.read.schema(schema).parquet(out)
     return rows.select("engine_id", "cycle", "date", "hour", hundredths(F.col("features")).alias("features"))
@@ -173,11 +173,11 @@ def offline_sink(v: Fleet) -> DataFrame:
 )
 def stream_fanout(v: Fleet) -> DataFrame:
     """Each batch of vectors goes to the online and to the offline table."""
-    out = config.scratch(v.spark, "offline")
-    store = jobs.OnlineStore(v.spark, config.scratch(v.spark, "online"))
+    out = shared.scratch(v.spark, "offline")
+    store = jobs.OnlineStore(v.spark, shared.scratch(v.spark, "online"))
     both = jobs.fan_out(store, lambda rows, batch: sinks.write_batch(rows.drop("features"), out, batch))
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=both)
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), config.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
     per_engine = v.spark.read.parquet(f"{out}/batch=*").groupBy("engine_id").agg(F.count(F.lit(1)).alias("offline_vectors"))
     online = store.read().select("engine_id", F.col("cycle").alias("online_cycle"))
     return per_engine.join(online, "engine_id")
@@ -190,9 +190,9 @@ def _graded_stream(v: Fleet, path: str | None = None) -> DataFrame:
 @query("stream_alerts", "SELECT arrival, engine_id, risk_level, failure_risk FROM risky")
 def stream_alerts(v: Fleet) -> DataFrame:
     """Each batch's risky predictions as one alert snapshot."""
-    out = config.scratch(v.spark, "alerts")
+    out = shared.scratch(v.spark, "alerts")
     job = jobs.each_batch(_graded_stream(v), lambda rows, batch: sinks.write_batch(fleet.alerts(rows), out, batch))
-    jobs.run_bounded(job, config.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(job, shared.scratch(v.spark, "checkpoint"))
     return v.spark.read.parquet(f"{out}/batch=*").select("arrival", "engine_id", "risk_level", "failure_risk")
 
 
@@ -203,10 +203,10 @@ def stream_alerts(v: Fleet) -> DataFrame:
 )
 def stream_alert_dedup(v: Fleet) -> DataFrame:
     """Two runs over the two halves of the events; the second raises nothing for engines that are open."""
-    source, checkpoint = config.scratch(v.spark, "events"), config.scratch(v.spark, "checkpoint")
+    source, checkpoint = shared.scratch(v.spark, "events"), shared.scratch(v.spark, "checkpoint")
     events = v.table("events")
     before = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    book = jobs.AlertBook(v.spark, config.scratch(v.spark, "alert-book"))
+    book = jobs.AlertBook(v.spark, shared.scratch(v.spark, "alert-book"))
     for half in (events.where(before), events.where(~before)):
         half.write.mode("append").parquet(source)
         jobs.run_bounded(jobs.each_batch(_graded_stream(v, source), book), checkpoint)

@@ -31,7 +31,7 @@ _HUNDREDTHS = """array_to_string(list_transform(flatten({0}),
         WHERE len(features) = 30""",
 )
 def sliding_windows(v: Fleet) -> DataFrame:
-    labelled = transform.add_rul(v.telemetry)
+    labelled = transform.add_rul(v.telemetry, life=v.telemetry_life)
     found = windows.sliding_windows(labelled, TELEMETRY_SENSORS, ordinal="cycle")
     return found.select("unit", "cycle", "label", hundredths(F.col("features")).alias("features"))
 
@@ -46,7 +46,7 @@ def sliding_windows(v: Fleet) -> DataFrame:
 )
 def last_window(v: Fleet) -> DataFrame:
     """Windows of 64 rows: longer than some engines' history, so the zero padding is used."""
-    labelled = transform.add_rul(v.telemetry)
+    labelled = transform.add_rul(v.telemetry, life=v.telemetry_life)
     found = windows.last_windows(labelled, TELEMETRY_SENSORS, size=64)
     return found.select("unit", "cycle", "label", hundredths(F.col("features")).alias("features"))
 
@@ -104,7 +104,7 @@ def latest_per_engine(v: Fleet) -> DataFrame:
        FROM (SELECT unit, cycle, CAST(cycle AS DOUBLE) / life AS f FROM wide JOIN wide_life USING (unit))""",
 )
 def lifecycle_stage(v: Fleet) -> DataFrame:
-    return windows.lifecycle_stage(v.wide.select("unit", "cycle"))
+    return windows.lifecycle_stage(v.wide.select("unit", "cycle"), life=v.wide_life)
 
 
 @query(

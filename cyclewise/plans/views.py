@@ -134,8 +134,13 @@ class Fleet:
 
     @property
     def telemetry(self) -> DataFrame:
-        hour = F.floor(F.col("event_time_ms") / 3_600_000)
-        return chunked.with_ordinal(self.base(), ["unit"], [F.col("ts"), F.col("arrival")], hour, "cycle")
+        minute = F.floor(F.col("event_time_ms") / 60_000)
+        return chunked.with_ordinal(self.base(), ["unit"], [F.col("ts"), F.col("arrival")], minute, "cycle")
+
+    @property
+    def telemetry_life(self) -> DataFrame:
+        """Cycles are numbered from 1 without gaps, so a unit's life is its row count."""
+        return self.base().groupBy("unit").agg(F.count(F.lit(1)).alias("life"))
 
     def late(self, events: DataFrame | None = None) -> DataFrame:
         return self.base(events).withColumn("cycle", F.floor("value").cast("long"))
@@ -150,9 +155,28 @@ class Fleet:
             "engine_id", "cycle", "arrival", "event_time_ms", F.map_filter(full, lambda _, v: v.isNotNull()).alias("sensors")
         )
 
+    @property
+    def lines(self) -> DataFrame:
+        """The wide table without cycle numbers."""
+        return self._line_items().select("unit", *WIDE_SENSORS, "condition")
+
     @property
     def wide(self) -> DataFrame:
-        lines = self.table("lineitem").select(
+        order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+        day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+        # Within a day the order keys are cut further; both parts grow with the order of the rows.
+        part = F.least(F.shiftright("l_orderkey", 28), F.lit(65_535).cast("long"))
+        numbered = chunked.with_ordinal(
+            self._line_items(), ["unit"], [F.col(c) for c in order], day * 65_536 + part, "cycle"
+        )
+        return numbered.drop(*order)
+
+    @property
+    def wide_life(self) -> DataFrame:
+        return self._line_items().groupBy("unit").agg(F.count(F.lit(1)).alias("life"))
+
+    def _line_items(self) -> DataFrame:
+        return self.table("lineitem").select(
             F.col("l_suppkey").alias("unit"),
             F.col("l_quantity").alias("s2"),
             F.col("l_extendedprice").alias("s3"),
@@ -164,9 +188,6 @@ class Fleet:
             "l_linenumber",
             "l_partkey",
         )
-        order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-        day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
-        return chunked.with_ordinal(lines, ["unit"], [F.col(c) for c in order], day, "cycle").drop(*order)
 
     @property
     def units_truth(self) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 
 EVENT_SCHEMA = T.StructType(
@@ -87,9 +88,21 @@ def subscribe(df: DataFrame, topic: str = "topic") -> DataFrame:
     return df.where(F.col(topic).rlike(S.TOPIC_PATTERN))
 
 
-def retain_newest(df: DataFrame, offset: str, n: int = config.STREAM_RETENTION) -> DataFrame:
-    """The ``n`` newest events; a top-n per partition and a merge, no full sort."""
-    return df.orderBy(F.desc(offset)).limit(n)
+def retain_newest(df: DataFrame, offset: str, n: int = config.STREAM_RETENTION, slices: int = 65_536) -> DataFrame:
+    """The ``n`` rows with the highest offset (a whole number).
+
+    Offsets are counted in even slices first. Only the topmost slices that together hold ``n`` rows are sorted,
+    so the final top-n merge is small however many input partitions there are.
+    """
+    span = shared.settle(df.agg(F.min(offset).alias("lo"), F.max(offset).alias("hi")), "span")
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    place = F.floor((F.col(offset) - lo) * F.lit(float(slices)) / (hi - lo + 1))
+    counts = shared.settle(df.groupBy(place.alias("_slice")).agg(F.count(F.lit(1)).alias("_n")), "slices")
+    # At most ``slices`` rows are accumulated in one task.
+    from_top = W.orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, 0)
+    enough = counts.withColumn("_total", F.sum("_n").over(from_top)).where(F.col("_total") >= n)
+    lowest = enough.agg(F.coalesce(F.max("_slice"), F.lit(0).cast("long")).alias("s")).scalar()
+    return df.where(place >= lowest).orderBy(F.desc(offset)).limit(n)
 
 
 def stream(

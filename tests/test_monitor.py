@@ -17,7 +17,7 @@ def brute_d(a, b):
     return max(abs(sum(x <= p for x in a) / len(a) - sum(x <= p for x in b) / len(b)) for p in points)
 
 
-@pytest.mark.parametrize("slices", [2, 8, 64])
+@pytest.mark.parametrize("slices", [2, 8, 1024])
 def test_ks_equals_brute_force(spark, slices):
     """A third of all values are one and the same."""
     rng = random.Random(1)
@@ -96,13 +96,13 @@ def test_buckets_and_quantile(spark):
     assert [(r.le, r.cum_count) for r in cumulative.orderBy("le").collect()] == [
         (0.0, 1), (10.0, 3), (20.0, 4), (float("inf"), 5),
     ]
-    value = lambda q: metrics.quantile(cumulative, q).first()[0]
-    assert value(0.4) == 5.0 and math.isclose(value(0.7), 15.0) and value(0.95) == 20.0 and value(0.1) == 0.0
+    value = {r.q: r.quantile for r in metrics.quantiles(cumulative, [0.1, 0.4, 0.7, 0.95]).collect()}
+    assert (value[0.1], value[0.4], value[0.95]) == (0.0, 5.0, 20.0) and math.isclose(value[0.7], 15.0)
 
 
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(1.0,)], "v double").where("v > 5")
-    assert metrics.quantile(metrics.bucket_counts(df, F.col("v"), [1, 2]), 0.5).first()[0] is None
+    assert metrics.quantiles(metrics.bucket_counts(df, F.col("v"), [1, 2]), [0.5]).count() == 0
 
 
 def test_ratio_with_zero_denominator(spark):

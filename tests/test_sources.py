@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 from cyclewise.operators import models, transform
 from cyclewise.plans.pipeline import BatchPipeline, ValidationError
@@ -10,7 +10,7 @@ from cyclewise.sources import tables, text
 
 
 def write_lines(spark, lines, pieces=1):
-    path = config.scratch(spark, "text")
+    path = shared.scratch(spark, "text")
     df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, value string")
     df.repartitionByRange(pieces, "i").sortWithinPartitions("i").select("value").write.text(path)
     return path
@@ -45,7 +45,7 @@ def test_truth_order_over_blocks_of_one_file(spark):
 
 def test_parameter_file(spark):
     bounds = spark.createDataFrame([("a", 0, 641.21, 644.53, 3.32), ("b", 1, 388.0, 400.0, 12.0)], "sensor string, pos int, min double, max double, range double")
-    path = config.scratch(spark, "bounds")
+    path = shared.scratch(spark, "bounds")
     tables.write_bounds(bounds, path)
     assert [r.value for r in spark.read.text(path).collect()] == ["641.21000000,388.00000000", "644.53000000,400.00000000"]
     back = [(r.sensor, r.pos, r.min, r.max) for r in tables.read_bounds(spark, path, ("a", "b")).orderBy("pos").collect()]
@@ -85,7 +85,7 @@ def test_topics(spark):
 
 
 def test_audit_leaves_out_missing_fields(spark):
-    path = config.scratch(spark, "audit")
+    path = shared.scratch(spark, "audit")
     df = spark.createDataFrame([("a", 0.5), ("b", None)], "engine_id string, latency_ms double")
     tables.write_audit(df, path)
     assert sorted(r.value for r in spark.read.text(path).collect()) == ['{"engine_id":"a","latency_ms":0.5}', '{"engine_id":"b"}']
@@ -128,7 +128,7 @@ def cycle_lines(units, start=0):
 def test_pipeline(spark):
     train = write_lines(spark, cycle_lines(12))
     test, truth = write_lines(spark, cycle_lines(8, start=15)), write_lines(spark, ["15 "] * 8)
-    pipeline = BatchPipeline(spark, config.scratch(spark, "pipeline"), trees=3)
+    pipeline = BatchPipeline(spark, shared.scratch(spark, "pipeline"), trees=3)
     assert pipeline.run(train, test, truth) is True
     results = spark.read.parquet(f"{pipeline.work}/results")
     assert results.count() == 8 and results.where("true_rul <> 15").count() == 0
@@ -152,7 +152,7 @@ def test_pipeline_stops_on_bad_input(spark, damage, failed):
         lines[3], lines[4] = lines[4], lines[3]
     if damage == "truth":
         truth[1] = "-1"
-    pipeline = BatchPipeline(spark, config.scratch(spark, "pipeline"))
+    pipeline = BatchPipeline(spark, shared.scratch(spark, "pipeline"))
     bronze = pipeline.ingest(write_lines(spark, lines), write_lines(spark, cycle_lines(2)), write_lines(spark, truth))
     with pytest.raises(ValidationError, match=failed):
         pipeline.validate(bronze)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.operators import windows
 from cyclewise.sources import events as E
 from cyclewise.streaming import jobs, sinks, state
@@ -60,10 +60,10 @@ def result(df):
 def test_rolling(spark, pieces, hot_rows, monkeypatch):
     monkeypatch.setattr(config, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(config, "CHUNK_ROWS", min(hot_rows, 1000))
-    rows, path = make_rows(), config.scratch(spark, "in")
+    rows, path = make_rows(), shared.scratch(spark, "in")
     write_in_order(spark, rows, pieces, path)
-    job = jobs.RollingFeatures(spark, config.scratch(spark, "out"), 2, SIZE)
-    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), config.scratch(spark, "ckpt"))
+    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE)
+    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"))
     want = expected(rows)
     assert result(job.vectors()) == want
     counted = job.counters().first()
@@ -72,10 +72,10 @@ def test_rolling(spark, pieces, hot_rows, monkeypatch):
 
 @pytest.mark.parametrize("pieces", [1, 3])
 def test_rolling_state(spark, pieces):
-    rows, path, out = make_rows(), config.scratch(spark, "in"), config.scratch(spark, "out")
+    rows, path, out = make_rows(), shared.scratch(spark, "in"), shared.scratch(spark, "out")
     write_in_order(spark, rows, pieces, path)
     vectors = state.rolling_vectors(stream(spark, path), 2, SIZE)
-    jobs.run_bounded(vectors.writeStream.format("parquet").option("path", out), config.scratch(spark, "ckpt"))
+    jobs.run_bounded(vectors.writeStream.format("parquet").option("path", out), shared.scratch(spark, "ckpt"))
     assert result(spark.read.parquet(out)) == expected(rows)
 
 
@@ -116,18 +116,18 @@ def test_state_expires_without_data():
 def test_thirty_events_give_one_vector(spark):
     """30 events of 11 sensors: one vector of 330 numbers."""
     rows = [("DRY-RUN-1", i + 1, 1_700_000_000_000, i, [float(i)] * 11) for i in range(30)]
-    path = config.scratch(spark, "in")
+    path = shared.scratch(spark, "in")
     write_in_order(spark, rows, 1, path)
-    job = jobs.RollingFeatures(spark, config.scratch(spark, "out"), 11)
-    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), config.scratch(spark, "ckpt"))
+    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 11)
+    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"))
     only = job.vectors().collect()
     assert len(only) == 1 and len(only[0].features) == 330
     assert (only[0].window_size, only[0].n_sensors, only[0].cycle) == (30, 11, 30)
 
 
 def test_restart_and_new_files(spark):
-    rows, path, checkpoint = make_rows(), config.scratch(spark, "in"), config.scratch(spark, "ckpt")
-    out = config.scratch(spark, "out")
+    rows, path, checkpoint = make_rows(), shared.scratch(spark, "in"), shared.scratch(spark, "ckpt")
+    out = shared.scratch(spark, "out")
     for part in (rows[:130], rows[130:]):
         write_in_order(spark, part, 2, path)
         job = jobs.RollingFeatures(spark, out, 2, SIZE)
@@ -138,7 +138,7 @@ def test_restart_and_new_files(spark):
 def test_a_repeated_batch_changes_nothing(spark):
     """After a failure a batch is run again; it must find its input and replace its own output."""
     rows = make_rows()
-    job = jobs.RollingFeatures(spark, config.scratch(spark, "out"), 2, SIZE)
+    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE)
     parts = [spark.createDataFrame(rows[i : i + 100], SCHEMA) for i in (0, 100, 200)]
     for batch, part in enumerate(parts):
         job(part, batch)
@@ -147,9 +147,9 @@ def test_a_repeated_batch_changes_nothing(spark):
 
 
 def test_a_failing_sink_leaves_the_batch_to_be_repeated(spark):
-    rows, path, checkpoint = make_rows(), config.scratch(spark, "in"), config.scratch(spark, "ckpt")
+    rows, path, checkpoint = make_rows(), shared.scratch(spark, "in"), shared.scratch(spark, "ckpt")
     write_in_order(spark, rows, 3, path)
-    out, calls = config.scratch(spark, "out"), []
+    out, calls = shared.scratch(spark, "out"), []
 
     def breaks_once(vectors, batch):
         sinks.write_batch(vectors, f"{out}/vectors", batch)
@@ -175,13 +175,13 @@ def test_stream_equals_batch(spark):
 
 
 def test_offline_and_online(spark):
-    rows, path = make_rows(), config.scratch(spark, "in")
+    rows, path = make_rows(), shared.scratch(spark, "in")
     write_in_order(spark, rows, 3, path)
-    offline = config.scratch(spark, "offline")
-    store = jobs.OnlineStore(spark, config.scratch(spark, "online"))
+    offline = shared.scratch(spark, "offline")
+    store = jobs.OnlineStore(spark, shared.scratch(spark, "online"))
     both = jobs.fan_out(store, lambda vectors, batch: sinks.write_offline(vectors, offline, batch))
-    job = jobs.RollingFeatures(spark, config.scratch(spark, "out"), 2, SIZE, on_vectors=both)
-    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), config.scratch(spark, "ckpt"))
+    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE, on_vectors=both)
+    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"))
     want = expected(rows)
     filed = spark.read.parquet(offline)
     assert result(filed) == want
@@ -194,7 +194,7 @@ def test_offline_and_online(spark):
 
 
 def test_alert_book(spark):
-    book = jobs.AlertBook(spark, config.scratch(spark, "book"))
+    book = jobs.AlertBook(spark, shared.scratch(spark, "book"))
     schema = "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, arrival long"
     batches = [
         [("a", "HIGH", 0.7, 30, 1, 1), ("a", "CRITICAL", 0.9, 9, 2, 2), ("b", "LOW", 0.1, 99, 3, 3)],
@@ -207,7 +207,7 @@ def test_alert_book(spark):
 
 
 def test_a_batch_without_rows(spark):
-    job = jobs.RollingFeatures(spark, config.scratch(spark, "out"), 2, SIZE)
+    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE)
     rows = make_rows()
     empty = spark.createDataFrame([], SCHEMA)
     for batch, part in enumerate([empty, spark.createDataFrame(rows, SCHEMA), empty]):
