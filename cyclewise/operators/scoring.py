@@ -38,6 +38,14 @@ def confidence(samples: DataFrame, engine: str, sample: str) -> DataFrame:
     )
 
 
+def confidence_of(samples: Column) -> tuple[Column, Column]:
+    """Mean and confidence of the sampled predictions that one row holds as an array."""
+    n = F.size(samples)
+    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.sqrt(F.aggregate(F.transform(samples, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / n)
+    return mean, S.half_even(S.clamp(F.lit(1.0) - F.lit(10.0) * spread, 0.0, 1.0), 3)
+
+
 def prediction_records(df: DataFrame, score: Column, confidence: Column, at: Column, version: str) -> DataFrame:
     return grade(df, score).select(
         "engine_id",

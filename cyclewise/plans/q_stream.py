@@ -183,6 +183,29 @@ def stream_fanout(v: Fleet) -> DataFrame:
     return per_engine.join(online, "engine_id")
 
 
+@query(
+    "stream_predictions",
+    """SELECT 'prediction' AS kind, engine_id, remaining_cycles, failure_risk, risk_level FROM graded
+       WHERE unit IN (SELECT unit FROM telemetry GROUP BY unit HAVING count(*) >= 30)
+       UNION ALL SELECT 'alert', engine_id, remaining_cycles, failure_risk, risk_level FROM graded
+       WHERE unit IN (SELECT unit FROM telemetry GROUP BY unit HAVING count(*) >= 30) AND risk_level IN ('HIGH', 'CRITICAL')""",
+)
+def stream_predictions(v: Fleet) -> DataFrame:
+    """Vectors to the online store, then predictions and alerts of the fleet; the last reading is the score."""
+    store = jobs.OnlineStore(v.spark, shared.scratch(v.spark, "online"))
+    path = shared.scratch(v.spark, "fleet")
+    snapshots = jobs.FleetSnapshots(store, path, lambda x: F.element_at(x, -1).cast("int") % 101 / F.lit(100.0))
+    job = _rolling(v, config.WINDOW_SIZE, on_vectors=snapshots)
+    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    columns = ("engine_id", "remaining_cycles", "failure_risk", "risk_level")
+    newest = {}
+    for kind in ("prediction", "alert"):
+        rows = v.spark.read.parquet(f"{path}/{kind}s").withColumn("kind", F.lit(kind))
+        last = rows.agg(F.max("batch").alias("b")).scalar()
+        newest[kind] = rows.where(F.col("batch") == last).select("kind", *columns)
+    return newest["prediction"].unionAll(newest["alert"])
+
+
 def _graded_stream(v: Fleet, path: str | None = None) -> DataFrame:
     return scoring.grade(v.base(event_stream(v, path)), v.score())
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from cyclewise import config
 from cyclewise.functions import scalars as S
-from cyclewise.operators import chunked, fleet, windows
+from cyclewise.operators import chunked, fleet, scoring, windows
 from cyclewise.sources import events as E
 from cyclewise.streaming import sinks
 
@@ -160,6 +160,31 @@ def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     return write
 
 
+class FleetSnapshots:
+    """After each batch of vectors: telemetry, predictions and alerts of the whole fleet, one folder per batch.
+
+    ``score`` turns the feature vector column into a normalised score; how often snapshots are made is the
+    trigger of the stream.
+    """
+
+    def __init__(self, store: OnlineStore, path: str, score: Callable[[Column], Column], min_risk: str = "HIGH"):
+        self.store, self.path, self.score, self.min_risk = store, path, score, min_risk
+
+    def __call__(self, vectors: DataFrame, batch: int) -> None:
+        self.store(vectors, batch)
+        rows = self.store.read()
+        telemetry = rows.select("engine_id", "cycle", F.col("event_time").alias("event_time_ms"), "window_size")
+        sinks.write_batch(telemetry, f"{self.path}/telemetry", batch)
+        graded = scoring.grade(rows, self.score(F.col("features")), round_first=True)
+        live = graded.select(
+            "engine_id", "cycle", "remaining_cycles", "failure_risk", "risk_level", F.lit(1.0).alias("confidence")
+        )
+        sinks.write_batch(live, f"{self.path}/predictions", batch)
+        # The alerts come from the predictions just written: the model runs once per batch.
+        written = vectors.sparkSession.read.schema(live.schema).parquet(f"{self.path}/predictions/batch={batch}")
+        sinks.write_batch(fleet.alerts(written, self.min_risk), f"{self.path}/alerts", batch)
+
+
 class AlertBook:
     """Open alerts: an engine raises one alert until it is acknowledged; an open alert keeps its first values."""
 

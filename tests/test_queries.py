@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from cyclewise import config
 
 SQL = entry.oracle_sql()
 
@@ -23,6 +24,33 @@ def test_query(spark, small, con, name):
         assert rows.count() > 0
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["rul_label", "sliding_windows", "window_features", "late_drop", "dq_monotonic", "last_row_per_unit", "stream_rolling"],
+)
+def test_query_when_every_key_is_hot(spark, small, con, name, monkeypatch):
+    """The same rows when each key is cut into many chunks."""
+    monkeypatch.setattr(config, "HOT_ROWS", 5)
+    monkeypatch.setattr(config, "CHUNK_ROWS", 33)
+    assert oracle.compare(entry.queries()[name](spark, small), con, SQL[name]) is None
+
+
+@pytest.mark.parametrize(
+    "name", sorted(n for n in entry.queries() if not n.startswith(("stream", "offline", "online_up", "batch_s", "train")))
+)
+def test_plan(spark, small, name):
+    """No cross joins, and no Python in the plan except for the binary codec."""
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert ("EvalPython" in plan) == (name == "tensor_codec")
+
+
+def test_filters_and_columns_reach_the_scan(spark, small):
+    plan = entry.queries()["scan_parquet"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan
+    assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_tax:double,l_shipdate:timestamp_ntz>" in plan
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(entry.queries())
 
