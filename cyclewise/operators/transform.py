@@ -48,6 +48,7 @@ def add_rul(
 
 
 def with_life(df: DataFrame, unit: str, cycle: str, life: DataFrame | None = None) -> DataFrame:
+    """Join each unit's life. The lives are computed when this is called, see ``shared.settle``."""
     lives = unit_life(df, unit, cycle) if life is None else life
     lives = shared.settle(lives.select(F.col(unit).alias("_unit"), "life"), "life")
     return df.join(lives, F.col(unit) == F.col("_unit")).drop("_unit")

@@ -36,8 +36,7 @@ def _in_chunks(
     rows = df.select(*dict.fromkeys([unit, cycle, *columns, *([ordinal] if ordinal else [])]))
     if ordinal is None:
         ordinal = "_ordinal"
-        slices = F.floor(F.col(cycle) / chunk_rows)
-        rows = chunked.with_ordinal(rows, [unit], [F.col(cycle)], slices, ordinal, hot_rows=chunk_rows)
+        rows = chunked.with_ordinal(rows, [unit], [F.col(cycle)], F.floor(F.col(cycle) / chunk_rows), ordinal)
     place = F.col(ordinal) - 1
     home = F.floor(place / chunk_rows)
     is_halo_of_next = place % chunk_rows >= chunk_rows - (size - 1)

@@ -97,7 +97,7 @@ def sink_silver(v: Fleet) -> DataFrame:
                     list([value, k]) OVER (PARTITION BY unit ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS f
              FROM telemetry)
        JOIN (SELECT unit, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(unit AS VARCHAR)))
-                                    <= ceil(0.2 * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split
+                                    <= ceil(0.2e0 * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split
              FROM (SELECT DISTINCT unit FROM telemetry)) USING (unit)
        WHERE len(f) = 30""",
 )

@@ -20,7 +20,8 @@ LATE_SIZE = 3
 BOUNDS = {"s2": (0.0, 100.0), "s3": (10.0, 90.0), "s4": (0.0, 23.0)}
 
 
-def event_stream(v: Fleet, path: str | None = None, per_trigger: int | None = None) -> DataFrame:
+def event_stream(v: Fleet, path: str | None = None, per_trigger: int = 256) -> DataFrame:
+    """The event table as a stream; a micro-batch takes at most ``per_trigger`` files."""
     schema = v.table("events").schema
     # A pattern, because the table may be one file or a folder of files; a stream takes a plain path only for a folder.
     path = path or f"{v.dir}/event[s].parquet"
@@ -105,8 +106,8 @@ def stream_rolling(v: Fleet) -> DataFrame:
 
 @query("stream_rolling_state", _LATE_VECTORS)
 def stream_rolling_state(v: Fleet) -> DataFrame:
-    """The same job with a keyed state function."""
-    vectors = state.rolling_vectors(late(v, event_stream(v)), len(TELEMETRY_SENSORS), LATE_SIZE)
+    """The same job with a keyed state function; small batches, as one engine's share of a batch is one task's."""
+    vectors = state.rolling_vectors(late(v, event_stream(v, per_trigger=16)), len(TELEMETRY_SENSORS), LATE_SIZE)
     out = shared.scratch(v.spark, "rolling-state")
     jobs.run_bounded(vectors.writeStream.format("parquet").option("path", out), shared.scratch(v.spark, "checkpoint"))
     return _vectors(v.spark.read.parquet(out))

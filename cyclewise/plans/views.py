@@ -49,7 +49,7 @@ unit_rul AS (
   JOIN units_truth t USING (pos)),
 unit_split AS (
   SELECT unit, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(unit AS VARCHAR)))
-                         <= ceil(0.2 * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split
+                         <= ceil(0.2e0 * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split
   FROM (SELECT DISTINCT unit FROM wide)),
 scored AS (
   SELECT *, (k % 101) / 100e0 AS pred_norm, greatest(0e0, (k % 101) / 100e0 * 125e0) AS pred_rul_raw
