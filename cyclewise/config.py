@@ -24,6 +24,18 @@ DRIFT_MIN_ROWS = 100
 ONLINE_TTL_SECONDS = 3600
 STREAM_RETENTION = 50_000
 ALERT_LIMIT = 50
+# Positions of the kept sensors in a raw line, counted from 0, and the length of such a line.
+SENSOR_POSITIONS = (6, 7, 8, 11, 13, 15, 16, 18, 21, 24, 25)
+RAW_TOKENS = 26
+ENGINE_PREFIX = "ENG-"
+STORE_KEY = "engine:{id}:{kind}"
+TOPIC = "aircraft/engine/{id}/telemetry/cycle"
+TOPIC_PATTERN = "^aircraft/engine/[^/]+/telemetry/cycle$"
+SOURCE_STORE = "redis_stream"
+SOURCE_BUFFER = "push_buffer"
+SHAPE_ERROR = "Expected shape ({rows}, {width}), got "
+LENGTH_ERROR = "Expected {rows} readings, got "
+KEYS_ERROR = "Missing required sensor keys: "
 RUL_BINS = (
     ("critical(0-30)", 0, 30),
     ("degrading(30-60)", 30, 60),

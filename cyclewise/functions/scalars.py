@@ -64,16 +64,21 @@ def risk_rank(level: Column, unknown: int) -> Column:
 
 
 def engine_id(unit: Column) -> Column:
-    return F.concat(F.lit("ENG-"), unit.cast("string"))
+    return F.concat(F.lit(config.ENGINE_PREFIX), unit.cast("string"))
 
 
 def unit_of(engine: Column) -> Column:
-    return F.replace(engine, F.lit("ENG-"), F.lit(""))
+    return F.replace(engine, F.lit(config.ENGINE_PREFIX), F.lit(""))
+
+
+def _filled(pattern: str, engine: Column, kind: str = "") -> Column:
+    before, after = pattern.replace("{kind}", kind).split("{id}")
+    return F.concat(F.lit(before), engine, F.lit(after))
 
 
 def store_key(engine: Column, kind: str) -> Column:
-    """``engine:{id}:features`` / ``:meta`` / ``:buffer``."""
-    return F.concat(F.lit("engine:"), engine, F.lit(f":{kind}"))
+    """Key of an engine's ``features``, ``meta`` or ``buffer``."""
+    return _filled(config.STORE_KEY, engine, kind)
 
 
 def engine_of_key(key: Column) -> Column:
@@ -81,10 +86,7 @@ def engine_of_key(key: Column) -> Column:
 
 
 def topic(engine: Column) -> Column:
-    return F.concat(F.lit("aircraft/engine/"), engine, F.lit("/telemetry/cycle"))
-
-
-TOPIC_PATTERN = "^aircraft/engine/[^/]+/telemetry/cycle$"
+    return _filled(config.TOPIC, engine)
 
 
 def partition_parts(epoch_ms: Column) -> tuple[Column, Column]:

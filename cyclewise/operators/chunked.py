@@ -49,7 +49,7 @@ def assign_chunk(df: DataFrame, key: Sequence[str], chunk: Column, hot_rows: int
     same_key = [F.col(c) == F.col(f"_hot_{c}") for c in key]
     return (
         df.join(F.broadcast(hot), same_key, "left")
-        .withColumn(CHUNK, F.when(F.col("_hot"), chunk.cast("long")))
+        .withColumn(CHUNK, F.when(F.col("_hot"), chunk))
         .drop("_hot", *[f"_hot_{c}" for c in key])
     )
 

@@ -73,7 +73,7 @@ def engine_status(
     stored = F.coalesce("_stored", F.lit(False))
     return joined.select(
         "engine_id",
-        F.when(stored, "redis_stream").otherwise("push_buffer").alias("source"),
+        F.when(stored, config.SOURCE_STORE).otherwise(config.SOURCE_BUFFER).alias("source"),
         (stored | (F.coalesce("buffer_size", F.lit(0)) >= window_size)).alias("ready"),
         F.col("remaining_cycles").alias("last_remaining_cycles"),
         F.col("risk_level").alias("last_risk_level"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclewise import config
@@ -52,11 +52,18 @@ def _long(counts: DataFrame) -> DataFrame:
 
 
 def cycle_order_violations(
-    df: DataFrame, unit: str = "unit", cycle: str = "cycle", position: str = "pos", hot_rows: int | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    chunk: Column,
+    unit: str = "unit",
+    cycle: str = "cycle",
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Rows per unit whose cycle is below that of the line before; equal cycles are accepted."""
-    chunk = F.floor(F.col(position) / 1_000_000)
-    seen = chunked.with_previous(df, [unit], [position], chunk, cycle, "_previous", hot_rows)
+    """Rows per unit whose cycle is below that of the line before; equal cycles are accepted.
+
+    ``order`` gives the line order, ``chunk`` grows with it (for text: the block the line is in).
+    """
+    seen = chunked.with_previous(df, [unit], order, chunk, cycle, "_previous", hot_rows)
     return seen.groupBy(unit).agg(
         F.count_if(F.col(cycle) < F.col("_previous")).alias("violations"),
         F.count(F.lit(1)).alias("rows"),

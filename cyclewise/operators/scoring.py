@@ -66,7 +66,7 @@ def with_shape_errors(
     graded = grade(df.withColumn("_ok", ok), F.when(ok, score))
     fields = ("remaining_cycles", "failure_risk", "risk_level")
     blanked = {c: F.when(F.col("_ok"), F.col(c)) for c in fields}
-    error = F.when(~F.col("_ok"), F.concat(F.lit(f"Expected shape ({rows}, {width}), got "), _shape_text(window)))
+    error = F.when(~F.col("_ok"), F.concat(F.lit(config.SHAPE_ERROR.format(rows=rows, width=width)), _shape_text(window)))
     return graded.withColumns({**blanked, "error": error}).drop("_ok")
 
 
@@ -97,8 +97,8 @@ def raw_window_problem(readings: Column, rows: int, names: Sequence[str] = confi
     lacking = F.filter(F.transform(readings, lambda r: S.missing_keys(r, names)), lambda m: F.size(m) > 0)
     return F.when(
         F.size(readings) != rows,
-        F.concat(F.lit(f"Expected {rows} readings, got "), F.size(readings).cast("string")),
+        F.concat(F.lit(config.LENGTH_ERROR.format(rows=rows)), F.size(readings).cast("string")),
     ).when(
         F.size(lacking) > 0,
-        F.concat(F.lit("Missing required sensor keys: "), F.array_join(F.get(lacking, F.lit(0)), ",")),
+        F.concat(F.lit(config.KEYS_ERROR), F.array_join(F.get(lacking, F.lit(0)), ",")),
     )

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.operators import evaluate, models, quality, transform, windows
 from cyclewise.sources import tables, text
 
@@ -32,6 +32,9 @@ class BatchPipeline:
     def _path(self, name: str) -> str:
         return f"{self.work}/{name}"
 
+    def _lines(self, path: str) -> DataFrame:
+        return tables.read_parquet(self.spark, path)
+
     def ingest(self, train: str, test: str, truth: str) -> dict[str, str]:
         return tables.ingest_bronze(self.spark, {"train": train, "test": test, "RUL": truth}, self._path("bronze"))
 
@@ -39,15 +42,16 @@ class BatchPipeline:
         """Run every check, write the status, and stop the pipeline when one failed."""
         checks = None
         for name in ("train", "test"):
-            lines = text.token_lines(self.spark, bronze[name])
-            order = quality.cycle_order_violations(text.numbered_cycles(self.spark, bronze[name], config.RAW_COLUMNS))
+            lines = self._lines(bronze[name])
+            placed = text.placed_cycles(lines).select("place", "line_order", "unit", "cycle")
+            order = quality.cycle_order_violations(placed, ["place", "line_order"], F.col("place"))
             falling = order.agg(
                 F.lit("cycle_order").alias("check"), F.coalesce(F.sum("violations"), F.lit(0)).alias("violations")
             )
-            found = quality.main_checks(lines).unionAll(falling)
+            found = quality.main_checks(text.tokenize(lines)).unionAll(falling)
             found = found.withColumn("check", F.concat(F.lit(f"{name}_"), F.col("check")))
             checks = found if checks is None else checks.unionAll(found)
-        checks = checks.unionAll(quality.truth_checks(text.token_lines(self.spark, bronze["RUL"])))
+        checks = checks.unionAll(quality.truth_checks(text.tokenize(self._lines(bronze["RUL"]))))
         status = quality.verdict(checks)
         tables.write_metadata(status, self._path("status"))
         row = tables.read_metadata(self.spark, self._path("status"), status.schema).first()
@@ -56,12 +60,20 @@ class BatchPipeline:
         return checks
 
     def transform(self, bronze: dict[str, str]) -> None:
-        """Silver rows of train and test, and the scaler parameters (fitted on train only)."""
-        train = transform.add_rul(transform.drop_columns(text.scan_cycles(self.spark, bronze["train"])), self.clip)
-        test = transform.drop_columns(text.scan_cycles(self.spark, bronze["test"]))
-        unit_truth = transform.truth_by_position(test.select("unit"), text.scan_truth(self.spark, bronze["RUL"]))
-        bounds = transform.check_bounds(transform.fit_scaler(train, self.sensors), self.sensors)
+        """Silver rows of train and test, and the scaler parameters (fitted on train only).
+
+        The text is parsed once, into typed columns; the passes that follow read only the columns they need.
+        """
+        for name in ("train", "test"):
+            typed = transform.drop_columns(text.cycles(self._lines(bronze[name])))
+            tables.write_silver(typed, self._path(f"typed/{name}"))
+        train = transform.add_rul(tables.read_parquet(self.spark, self._path("typed/train")), self.clip)
+        test = tables.read_parquet(self.spark, self._path("typed/test"))
+        unit_truth = transform.truth_by_position(test.select("unit"), text.truth(self._lines(bronze["RUL"])))
+        bounds = shared.settle(transform.fit_scaler(train, self.sensors), "bounds")
+        transform.check_bounds(bounds, self.sensors)
         tables.write_bounds(bounds, self._path("scaler"))
+        tables.write_metadata(tables.feature_config(bounds, self.size, self.clip), self._path("feature_config"))
         tables.write_silver(transform.scale(train, bounds, self.sensors), self._path("silver/train"))
         tables.write_silver(
             transform.scale(transform.attach_truth(test, unit_truth), bounds, self.sensors), self._path("silver/test")

@@ -265,7 +265,7 @@ def dq_report(v: Fleet) -> DataFrame:
        GROUP BY unit""",
 )
 def dq_monotonic(v: Fleet) -> DataFrame:
-    return quality.cycle_order_violations(v.late(), position="arrival")
+    return quality.cycle_order_violations(v.late(), ["arrival"], F.floor(F.col("arrival") / 1_000_000))
 
 
 @query(

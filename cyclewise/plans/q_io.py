@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise import shared
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 from cyclewise.operators import evaluate, transform, windows
 from cyclewise.plans.q_evaluate import errors
@@ -56,7 +56,7 @@ def ingest_bronze(v: Fleet) -> DataFrame:
     tables.ingest_bronze(v.spark, sources, bronze)
     copied = tables.ingest_bronze(v.spark, sources, bronze)
     counts = [
-        v.spark.read.text(path).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("lines"))
+        tables.read_parquet(v.spark, path).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("lines"))
         for name, path in copied.items()
     ]
     return counts[0].unionAll(counts[1])
@@ -187,9 +187,9 @@ def quarantine(v: Fleet) -> DataFrame:
 def row_to_event(v: Fleet) -> DataFrame:
     """Lines of 26 tokens; those of condition R are one token short and are left out."""
     at = {0: "unit", 1: "cycle", 6: "s2", 7: "s3", 8: "s4", 25: "s7"}
-    tokens = [F.col(at[i]).cast("string") if i in at else F.lit("0") for i in range(E.RAW_TOKENS)]
+    tokens = [F.col(at[i]).cast("string") if i in at else F.lit("0") for i in range(config.RAW_TOKENS)]
     full = F.array(*tokens)
-    cut = F.slice(full, 1, E.RAW_TOKENS - 1)
+    cut = F.slice(full, 1, config.RAW_TOKENS - 1)
     lines = v.wide.select(F.when(F.col("condition") == "R", cut).otherwise(full).alias("tokens"))
     found = E.event_from_tokens(lines, F.unix_millis(F.current_timestamp()))
     return found.select("engine_id", "cycle", *[F.element_at("sensors", s).alias(s) for s in ("s2", "s3", "s21")])

@@ -70,6 +70,16 @@ def metric_histogram(v: Fleet) -> DataFrame:
     return _histogram(v).withColumn("le", le)
 
 
+@query(
+    "risk_histogram",
+    f"""SELECT b AS le, count(*) FILTER (failure_risk <= CAST(b AS DOUBLE)) AS cum_count
+        FROM graded_rows CROSS JOIN (VALUES {", ".join(f"('{b}')" for b in (*config.SHARE_BUCKETS, "inf"))}) AS t(b) GROUP BY b""",
+)
+def risk_histogram(v: Fleet) -> DataFrame:
+    found = metrics.bucket_counts(v.graded_rows, F.col("failure_risk"), config.SHARE_BUCKETS)
+    return found.withColumn("le", F.when(F.col("le") == float("inf"), "inf").otherwise(F.col("le").cast("string")))
+
+
 def _quantile_sql(q: float) -> str:
     return f"""
   SELECT event_type, {q} AS q, arg_min(CASE WHEN le = 'inf'::DOUBLE THEN top

@@ -20,9 +20,6 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("sensors", T.MapType(T.StringType(), T.DoubleType())),
     ]
 )
-# Positions of the kept sensors in a raw line, counted from 0.
-SENSOR_POSITIONS = (6, 7, 8, 11, 13, 15, 16, 18, 21, 24, 25)
-RAW_TOKENS = 26
 
 
 def encode(df: DataFrame) -> Column:
@@ -69,8 +66,8 @@ def event_from_tokens(
     lines: DataFrame,
     now_ms: Column,
     names: Sequence[str] = config.SENSORS,
-    positions: Sequence[int] = SENSOR_POSITIONS,
-    width: int = RAW_TOKENS,
+    positions: Sequence[int] = config.SENSOR_POSITIONS,
+    width: int = config.RAW_TOKENS,
 ) -> DataFrame:
     """Raw tokens to an event; lines with fewer than ``width`` tokens are left out."""
     readings = F.map_from_arrays(
@@ -85,7 +82,7 @@ def event_from_tokens(
 
 
 def subscribe(df: DataFrame, topic: str = "topic") -> DataFrame:
-    return df.where(F.col(topic).rlike(S.TOPIC_PATTERN))
+    return df.where(F.col(topic).rlike(config.TOPIC_PATTERN))
 
 
 def retain_newest(df: DataFrame, offset: str, n: int = config.STREAM_RETENTION, slices: int = 65_536) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cyclewise import config
+from cyclewise.sources import text
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -14,11 +15,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_bronze(spark: SparkSession, sources: dict[str, str], bronze: str) -> dict[str, str]:
-    """Copy raw text inputs into the bronze area; an input that is already there is left alone."""
+    """Copy raw text inputs into the bronze area; an input that is already there is left alone.
+
+    Bronze lines keep their place in the input as columns, because line order carries meaning and the order of
+    copied files would not keep it.
+    """
     targets = {}
     for name, uri in sources.items():
         targets[name] = f"{bronze}/{name}"
-        spark.read.text(uri).write.mode("ignore").text(targets[name])
+        text.read_lines(spark, uri).write.mode("ignore").parquet(targets[name])
     return targets
 
 
@@ -72,6 +77,21 @@ def read_bounds(spark: SparkSession, path: str, sensors: tuple[str, ...] = confi
     return spark.createDataFrame(rows, "sensor string, pos int, min double, max double, range double")
 
 
+def feature_config(bounds: DataFrame, size: int = config.WINDOW_SIZE, clip: int = config.RUL_CLIP) -> DataFrame:
+    """What a scoring job must know about the features, as one row; one row per sensor comes in."""
+    by_position = F.array_sort(F.collect_list(F.struct("pos", "sensor", "min", "max", "range")))
+    column = lambda name: F.transform("b", lambda e: e[name])
+    return bounds.agg(by_position.alias("b")).select(
+        column("sensor").alias("sensors"),
+        F.size("b").alias("n_sensors"),
+        F.lit(size).alias("window_size"),
+        F.lit(clip).alias("rul_clip"),
+        column("min").alias("data_min"),
+        column("max").alias("data_max"),
+        column("range").alias("data_range"),
+    )
+
+
 def write_audit(predictions: DataFrame, path: str) -> None:
     """One JSON object per prediction and line; fields without a value are left out."""
     predictions.select(F.to_json(F.struct(*predictions.columns)).alias("value")).write.mode("append").text(path)

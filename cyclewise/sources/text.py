@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise import config
@@ -13,60 +13,73 @@ from cyclewise.operators import chunked
 TRUTH_MARK = "RUL"
 
 
-def token_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Non-blank lines as tokens, with the file they came from: ``(file, block, line_order, tokens)``."""
+def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Text lines with their place in the input: ``(file, file_path, block, line_order, value)``.
+
+    Lines are in order of (file_path, block, line_order): file name, offset of the block that one task reads, and
+    a number that grows inside the block.
+    """
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    lines = reader.text(path).select(
+    return reader.text(path).select(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_order"),
-        F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"),
+        "value",
     )
-    return lines.where(F.col("text") != "").withColumn("tokens", F.split("text", " ")).drop("text")
 
 
-def scan_cycles(
-    spark: SparkSession,
-    path: str,
-    columns: Sequence[str] = config.RAW_COLUMNS,
-    integers: Sequence[str] = ("unit", "cycle"),
-    glob: str | None = None,
+def tokenize(lines: DataFrame) -> DataFrame:
+    """Non-blank lines as ``tokens``; any run of blanks separates."""
+    bare = F.trim(F.regexp_replace("value", r"\s+", " "))
+    return lines.withColumn("value", bare).where(F.col("value") != "").withColumn("tokens", F.split("value", " ")).drop("value")
+
+
+def token_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    return tokenize(read_lines(spark, path, glob))
+
+
+def cycles(
+    lines: DataFrame, columns: Sequence[str] = config.RAW_COLUMNS, integers: Sequence[str] = ("unit", "cycle")
 ) -> DataFrame:
     """Raw cycle table with names given by position; a token that is not a number becomes null."""
-    tokens = token_lines(spark, path, glob)
-    return tokens.select(
-        *[
-            F.get("tokens", F.lit(i)).try_cast("int" if c in integers else "double").alias(c)
-            for i, c in enumerate(columns)
-        ]
-    )
+    return tokenize(lines).select(*_numbers(columns, integers))
 
 
-def scan_truth(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Truth lines in file order: ``(pos, rul)`` with ``pos`` = 1, 2, ...
+def placed_cycles(
+    lines: DataFrame, columns: Sequence[str] = config.RAW_COLUMNS, integers: Sequence[str] = ("unit", "cycle")
+) -> DataFrame:
+    """The cycle table with ``place`` (file and block) and ``line_order``, which together give the line order."""
+    place = F.struct("file_path", "block").alias("place")
+    return tokenize(lines).select(place, "line_order", *_numbers(columns, integers))
 
-    Lines are numbered block by block (file name, then offset in the file): a count per block, its running sum
-    over the blocks, and a row number inside the block. No sort of the whole file.
+
+def _numbers(columns: Sequence[str], integers: Sequence[str]) -> list[Column]:
+    return [
+        F.get("tokens", F.lit(i)).try_cast("int" if c in integers else "double").alias(c) for i, c in enumerate(columns)
+    ]
+
+
+def truth(lines: DataFrame) -> DataFrame:
+    """Truth lines in input order: ``(pos, rul)`` with ``pos`` = 1, 2, ...
+
+    Lines are numbered block by block: a count per block, its running sum over the blocks, and a row number
+    inside the block. No sort of the whole input.
     """
-    lines = token_lines(spark, path, glob).select(
-        F.struct("file_path", "block").alias("where"),
-        "line_order",
-        F.get("tokens", F.lit(0)).try_cast("int").alias("rul"),
-    )
-    numbered = chunked.with_global_ordinal(lines, [F.col("line_order")], F.col("where"), "pos")
+    place = F.struct("file_path", "block").alias("place")
+    values = tokenize(lines).select(place, "line_order", F.get("tokens", F.lit(0)).try_cast("int").alias("rul"))
+    numbered = chunked.with_global_ordinal(values, [F.col("line_order")], F.col("place"), "pos")
     return numbered.select("pos", "rul")
 
 
-def numbered_cycles(spark: SparkSession, path: str, columns: Sequence[str], glob: str | None = None) -> DataFrame:
-    """Raw cycle table plus ``pos``, the line number in the input."""
-    tokens = token_lines(spark, path, glob)
-    lines = tokens.select(
-        F.struct("file_path", "block").alias("where"),
-        "line_order",
-        *[F.get("tokens", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(columns)],
-    )
-    return chunked.with_global_ordinal(lines, [F.col("line_order")], F.col("where"), "pos").drop("where", "line_order")
+def scan_cycles(
+    spark: SparkSession, path: str, columns: Sequence[str] = config.RAW_COLUMNS, glob: str | None = None
+) -> DataFrame:
+    return cycles(read_lines(spark, path, glob), columns)
+
+
+def scan_truth(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    return truth(read_lines(spark, path, glob))
 
 
 def route(tokens: DataFrame) -> DataFrame:

@@ -43,6 +43,17 @@ def test_truth_order_over_blocks_of_one_file(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_bronze_keeps_the_line_order(spark):
+    """Pieces of different length: their copies are not in the order of their names."""
+    values = list(range(500, 0, -1))
+    path = write_lines(spark, [str(v) for v in values], 5)
+    spark.createDataFrame([(str(v),) for v in range(3)], "value string").coalesce(1).write.mode("append").text(path)
+    before = [(r.pos, r.rul) for r in text.scan_truth(spark, path).orderBy("pos").collect()]
+    copy = tables.ingest_bronze(spark, {"RUL": path}, shared.scratch(spark, "bronze"))["RUL"]
+    after = [(r.pos, r.rul) for r in text.truth(spark.read.parquet(copy)).orderBy("pos").collect()]
+    assert before == after and len(after) == 503
+
+
 def test_parameter_file(spark):
     bounds = spark.createDataFrame([("a", 0, 641.21, 644.53, 3.32), ("b", 1, 388.0, 400.0, 12.0)], "sensor string, pos int, min double, max double, range double")
     path = shared.scratch(spark, "bounds")
@@ -74,7 +85,7 @@ def test_short_lines_are_no_events(spark):
     df = spark.createDataFrame([(full,), (full[:25],), ([*full, "9"],)], "tokens array<string>")
     rows = E.event_from_tokens(df, F.lit(5)).collect()
     assert len(rows) == 2 and rows[0].engine_id == "ENG-0" and rows[0].cycle == 1
-    assert rows[0].sensors == dict(zip(config.SENSORS, [float(p) for p in E.SENSOR_POSITIONS]))
+    assert rows[0].sensors == dict(zip(config.SENSORS, [float(p) for p in config.SENSOR_POSITIONS]))
 
 
 def test_topics(spark):
@@ -136,9 +147,12 @@ def test_pipeline(spark):
     assert silver.columns == ["unit", "cycle", "os1", "os2", *config.SENSORS, "RUL"]
     low, high = silver.agg(F.min("s2"), F.max("s2")).first()
     assert (low, high) == (0.0, 1.0)
+    known = spark.read.json(f"{pipeline.work}/feature_config").first()
+    assert (known.sensors, known.window_size, known.rul_clip) == (list(config.SENSORS), 30, 125)
+    assert known.n_sensors == len(known.data_min) == len(known.data_range) == 11
     gold = spark.read.parquet(f"{pipeline.work}/gold/train")
     assert {r.split: r.n for r in gold.groupBy("split").agg(F.count_distinct("unit").alias("n")).collect()} == {"val": 3, "train": 9}
-    assert pipeline.ingest(test, test, test) and spark.read.text(f"{pipeline.work}/bronze/train").count() == len(cycle_lines(12))
+    assert pipeline.ingest(test, test, test) and spark.read.parquet(f"{pipeline.work}/bronze/train").count() == len(cycle_lines(12))
 
 
 @pytest.mark.parametrize("damage, failed", [("cut", "train_column_count"), ("text", "train_numeric"), ("order", "train_cycle_order"), ("truth", "truth_negative")])

@@ -135,6 +135,20 @@ def test_restart_and_new_files(spark):
     assert result(job.vectors()) == expected(rows)
 
 
+def test_running_on_and_on(spark):
+    rows, path, out = make_rows(), shared.scratch(spark, "in"), shared.scratch(spark, "out")
+    write_in_order(spark, rows[:150], 1, path)
+    job = jobs.RollingFeatures(spark, out, 2, SIZE)
+    query = jobs.run_forever(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"), "0 seconds")
+    try:
+        query.processAllAvailable()
+        write_in_order(spark, rows[150:], 1, path)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert result(job.vectors()) == expected(rows)
+
+
 def test_a_repeated_batch_changes_nothing(spark):
     """After a failure a batch is run again; it must find its input and replace its own output."""
     rows = make_rows()
