@@ -8,18 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a session that runs on this machine alone may fall back to a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="cyclewise-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="cyclewise-")
+    return _own_dirs[application]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
