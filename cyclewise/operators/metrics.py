@@ -122,3 +122,36 @@ def sustained(grid: DataFrame, condition: Column, hold: int, step: int) -> DataF
 def absent(grid: DataFrame, span: int) -> DataFrame:
     """Steps with no event in the ``span`` seconds before them."""
     return range_rate(grid, span).where(F.col("rate") == 0)
+
+
+def rate_alert(grid: DataFrame, span: int, limit: float, hold: int, step: int) -> DataFrame:
+    """Steps at which the rate has been above the limit for the whole hold."""
+    return sustained(range_rate(grid, span), F.col("rate") > limit, hold, step)
+
+
+def silence_alert(grid: DataFrame, span: int, hold: int, step: int) -> DataFrame:
+    """Steps at which there has been no activity for the whole hold."""
+    return sustained(range_rate(grid, span), F.col("rate") == 0, hold, step)
+
+
+def quantile_alert(
+    df: DataFrame, ts: Column, value: Column, bounds: Sequence[float], q: float, limit: float, hold: int, step: int
+) -> DataFrame:
+    """Steps at which the quantile of the step's observations has been above the limit for the whole hold.
+
+    A step without observations has no quantile and ends the condition.
+    """
+    histogram = bucket_counts(df, value, bounds, step_of(ts, step)).withColumnRenamed("_by0", "step")
+    per_step = quantiles(histogram, [q], "step").withColumn("label", F.lit("all"))
+    return sustained(per_step, F.col("quantile") > limit, hold, step)
+
+
+def ratio_alert(
+    df: DataFrame, ts: Column, label: Column, part: Column, whole: Column, limit: float, hold: int, step: int
+) -> DataFrame:
+    """Per label: steps at which the ratio of the summed parts to the summed whole has been above the limit for the hold."""
+    sums = df.groupBy(label.alias("label"), step_of(ts, step).alias("step")).agg(
+        F.sum(part.cast("double")).alias("_part"), F.sum(whole.cast("double")).alias("_whole")
+    )
+    shares = sums.select("label", "step", F.try_divide("_part", "_whole").alias("ratio"))
+    return sustained(shares, F.coalesce(F.col("ratio") > limit, F.lit(False)), hold, step)

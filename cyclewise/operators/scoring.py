@@ -58,6 +58,20 @@ def prediction_records(df: DataFrame, score: Column, confidence: Column, at: Col
     )
 
 
+def audit_records(predictions: DataFrame, at: Column, latency_ms: Column) -> DataFrame:
+    """Log records of predictions, to be written with ``tables.write_audit``."""
+    return predictions.select(
+        at.alias("timestamp"),
+        F.lit("INFO").alias("level"),
+        F.lit("Prediction completed").alias("message"),
+        "engine_id",
+        F.col("remaining_cycles").alias("rul"),
+        F.col("failure_risk").alias("risk"),
+        "risk_level",
+        latency_ms.alias("latency_ms"),
+    )
+
+
 def with_shape_errors(
     df: DataFrame, window: str, score: Column, rows: int = config.WINDOW_SIZE, width: int = len(config.SENSORS)
 ) -> DataFrame:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from cyclewise import config, shared
 from cyclewise.functions import scalars as S
-from cyclewise.operators import evaluate, transform, windows
+from cyclewise.operators import evaluate, scoring, transform, windows
 from cyclewise.plans.q_evaluate import errors
-from cyclewise.plans.q_stream import hundredths
 from cyclewise.plans.registry import query
-from cyclewise.plans.views import READING_SENSORS, TELEMETRY_SENSORS, WIDE_SENSORS, Fleet
+from cyclewise.plans.views import READING_SENSORS, TELEMETRY_SENSORS, WIDE_SENSORS, Fleet, hundredths
 from cyclewise.sources import events as E
 from cyclewise.sources import tables, text
 
@@ -124,21 +123,18 @@ def sink_metadata(v: Fleet) -> DataFrame:
 
 @query(
     "audit_log",
-    """SELECT engine_id, risk_level, failure_risk, risk_level <> 'CRITICAL' AS has_latency FROM graded""",
+    """SELECT engine_id, 'Prediction completed' AS message, remaining_cycles AS rul, failure_risk AS risk, risk_level,
+              risk_level <> 'CRITICAL' AS has_latency FROM graded""",
 )
 def audit_log(v: Fleet) -> DataFrame:
     """One JSON line per prediction; a prediction without a latency has no such field."""
     latency = F.when(F.col("risk_level") != "CRITICAL", F.col("k") / 10)
     path = shared.scratch(v.spark, "audit")
-    lines = v.graded.select("engine_id", "risk_level", "failure_risk", latency.alias("latency_ms"))
-    tables.write_audit(lines, path)
+    tables.write_audit(scoring.audit_records(v.graded, F.col("ts"), latency), path)
+    schema = "engine_id string, message string, rul int, risk double, risk_level string"
     raw = v.spark.read.text(path)
-    return raw.select(
-        F.get_json_object("value", "$.engine_id").alias("engine_id"),
-        F.get_json_object("value", "$.risk_level").alias("risk_level"),
-        F.get_json_object("value", "$.failure_risk").cast("double").alias("failure_risk"),
-        F.col("value").contains("latency_ms").alias("has_latency"),
-    )
+    parsed = raw.select(F.from_json("value", schema).alias("r"), F.col("value").contains("latency_ms").alias("has_latency"))
+    return parsed.select("r.*", "has_latency")
 
 
 def _messages(v: Fleet) -> DataFrame:

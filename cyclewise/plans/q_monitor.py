@@ -190,3 +190,79 @@ def absence_rule(v: Fleet) -> DataFrame:
     """Five-minute steps that follow ten minutes without an event."""
     grid = metrics.counts_on_grid(v.table("events"), F.col("ts"), 300)
     return metrics.absent(grid, 600).select("step")
+
+
+@query(
+    "rate_alert",
+    f"""SELECT label, step, round(rate, 9) AS rate FROM (
+          SELECT label, step, rate, min(CAST(rate > 0.0006 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen
+          FROM (SELECT label, step, sum(n) OVER (PARTITION BY label ORDER BY step RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW)
+                                    / 7200e0 AS rate FROM ({_grid_sql(1800, 'event_type')}))
+          WINDOW w AS (PARTITION BY label ORDER BY step RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
+        WHERE held = 1 AND seen = 3""",
+)
+def rate_alert(v: Fleet) -> DataFrame:
+    """Per event type: a two-hour rate above the limit, held for an hour."""
+    grid = metrics.counts_on_grid(v.table("events"), F.col("ts"), 1800, F.col("event_type"))
+    found = metrics.rate_alert(grid, 7200, 0.0006, 3600, 1800)
+    return found.select("label", "step", F.round("rate", 9).alias("rate"))
+
+
+@query(
+    "silence_alert",
+    f"""SELECT label, step FROM (
+          SELECT label, step, min(CAST(total = 0 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen
+          FROM (SELECT label, step, sum(n) OVER (PARTITION BY label ORDER BY step RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS total
+                FROM ({_grid_sql(300, 'event_type')}))
+          WINDOW w AS (PARTITION BY label ORDER BY step RANGE BETWEEN 600 PRECEDING AND CURRENT ROW))
+        WHERE held = 1 AND seen = 3""",
+)
+def silence_alert(v: Fleet) -> DataFrame:
+    """Per event type: nothing in ten minutes, for ten minutes."""
+    grid = metrics.counts_on_grid(v.table("events"), F.col("ts"), 300, F.col("event_type"))
+    return metrics.silence_alert(grid, 600, 600, 300).select("label", "step")
+
+
+def _step_sql(step: int) -> str:
+    return f"CAST(ceil(epoch_us(ts) / {step}e6) * {step} AS BIGINT)"
+
+
+@query(
+    "quantile_alert",
+    f"""SELECT step, round(quantile, 6) AS quantile FROM (
+          WITH h AS (
+          SELECT step, le, count(*) FILTER (value <= le) AS c
+          FROM (SELECT {_step_sql(7200)} AS step, value FROM events)
+          CROSS JOIN (SELECT CAST(b AS DOUBLE) AS le FROM (VALUES {_BOUNDS}) AS t(b)) GROUP BY step, le),
+        r AS (
+          SELECT *, max(c) OVER (PARTITION BY step) AS total, coalesce(lag(le) OVER (PARTITION BY step ORDER BY le), 0) AS lo,
+                 coalesce(lag(c) OVER (PARTITION BY step ORDER BY le), 0) AS lo_c FROM h),
+        p AS (
+          SELECT step, arg_min(CASE WHEN le = 'inf'::DOUBLE THEN 125 WHEN le = 0 OR c = lo_c THEN le
+                                    ELSE lo + (le - lo) * (0.5e0 * total - lo_c) / (c - lo_c) END, le) AS quantile
+          FROM r WHERE c >= 0.5e0 * total GROUP BY step)
+          SELECT *, min(CAST(quantile > 12 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen FROM p
+          WINDOW w AS (ORDER BY step RANGE BETWEEN 14400 PRECEDING AND CURRENT ROW))
+        WHERE held = 1 AND seen = 3""",
+)
+def quantile_alert(v: Fleet) -> DataFrame:
+    """A two-hour median above the limit, held for four hours."""
+    found = metrics.quantile_alert(v.table("events"), F.col("ts"), F.col("value"), config.RUL_BUCKETS, 0.5, 12.0, 14400, 7200)
+    return found.select("step", F.round("quantile", 6).alias("quantile"))
+
+
+@query(
+    "ratio_alert",
+    f"""SELECT label, step, round(ratio, 6) AS ratio FROM (
+          SELECT *, min(CAST(coalesce(ratio > 0.4, false) AS INTEGER)) OVER w AS held, count(*) OVER w AS seen
+          FROM (SELECT event_type AS label, {_step_sql(21600)} AS step, sum(value) / nullif(sum(k), 0) AS ratio
+                FROM telemetry GROUP BY 1, 2)
+          WINDOW w AS (PARTITION BY label ORDER BY step RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW))
+        WHERE held = 1 AND seen = 3""",
+)
+def ratio_alert(v: Fleet) -> DataFrame:
+    """Per event type: value to k above the limit, held for half a day."""
+    found = metrics.ratio_alert(
+        v.base(), F.col("ts"), F.col("event_type"), F.col("value"), F.col("k"), 0.4, 43200, 21600
+    )
+    return found.select("label", "step", F.round("ratio", 6).alias("ratio"))

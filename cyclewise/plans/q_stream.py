@@ -5,13 +5,13 @@ Each job writes below the shared folder and the query reads the result back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclewise import config, shared
 from cyclewise.operators import fleet, scoring
 from cyclewise.plans.registry import query
-from cyclewise.plans.views import READING_SENSORS, TELEMETRY_SENSORS, Fleet
+from cyclewise.plans.views import HUNDREDTHS, READING_SENSORS, TELEMETRY_SENSORS, Fleet, hundredths
 from cyclewise.sources import events as E
 from cyclewise.streaming import jobs, sinks, state
 
@@ -42,19 +42,13 @@ def late(v: Fleet, events: DataFrame) -> DataFrame:
     return reading_rows(v.late(events))
 
 
-def hundredths(flat: Column) -> Column:
-    return F.array_join(F.transform(flat, lambda x: F.bround(x * 100).cast("long").cast("string")), ",")
-
-
-_TEXT = """array_to_string(list_transform(flatten({0}),
-    lambda x: CAST(CAST(round_even(CAST(x AS FLOAT) * 100e0, 0) AS BIGINT) AS VARCHAR)), ',')"""
 _KEPT = """
   SELECT engine_id, unit, cycle, arrival, event_time_ms, value, k
   FROM (SELECT *, max(cycle) OVER (PARTITION BY unit ORDER BY arrival
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM late_telemetry)
   WHERE seen IS NULL OR cycle > seen"""
 _LATE_VECTORS = f"""
-  SELECT engine_id, cycle, event_time, {_TEXT.format('f')} AS features
+  SELECT engine_id, cycle, event_time, {HUNDREDTHS.format('f')} AS features
   FROM (SELECT engine_id, cycle, event_time_ms AS event_time,
                list([value, k]) OVER (PARTITION BY unit ORDER BY arrival ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS f FROM ({_KEPT}))
   WHERE len(f) = 3"""
@@ -140,7 +134,7 @@ def stream_counters(v: Fleet) -> DataFrame:
 
 
 _LAST_VECTORS = f"""
-  SELECT engine_id, arrival AS cycle, event_time_ms AS event_time, {_TEXT.format('f')} AS features
+  SELECT engine_id, arrival AS cycle, event_time_ms AS event_time, {HUNDREDTHS.format('f')} AS features
   FROM (SELECT *, list([value, k]) OVER (PARTITION BY unit ORDER BY arrival ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS f,
                row_number() OVER (PARTITION BY unit ORDER BY arrival DESC) AS r FROM telemetry)
   WHERE len(f) = 30"""

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclewise.functions import codec
 from cyclewise.functions import scalars as S
 from cyclewise.operators import chunked, evaluate, transform, windows
 from cyclewise.plans.registry import query
-from cyclewise.plans.views import TELEMETRY_SENSORS, Fleet
-
-
-def hundredths(window: Column) -> Column:
-    """A window as text: all readings in order, in hundredths (the readings have two decimals)."""
-    return F.array_join(F.transform(F.flatten(window), lambda x: F.bround(x * 100).cast("long").cast("string")), ",")
-
-
-_HUNDREDTHS = """array_to_string(list_transform(flatten({0}),
-    lambda x: CAST(CAST(round_even(CAST(x AS FLOAT) * 100e0, 0) AS BIGINT) AS VARCHAR)), ',')"""
+from cyclewise.plans.views import HUNDREDTHS, TELEMETRY_SENSORS, Fleet, hundredths
 
 
 @query(
     "sliding_windows",
-    f"""SELECT unit, cycle, label, {_HUNDREDTHS.format('features')} AS features
+    f"""SELECT unit, cycle, label, {HUNDREDTHS.format('features')} AS features
         FROM (SELECT unit, cycle, least(max(cycle) OVER (PARTITION BY unit) - cycle, 125) AS label,
                      list([value, k]) OVER (PARTITION BY unit ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
                        AS features
@@ -33,22 +24,22 @@ _HUNDREDTHS = """array_to_string(list_transform(flatten({0}),
 def sliding_windows(v: Fleet) -> DataFrame:
     labelled = transform.add_rul(v.telemetry, life=v.telemetry_life)
     found = windows.sliding_windows(labelled, TELEMETRY_SENSORS, ordinal="cycle")
-    return found.select("unit", "cycle", "label", hundredths(F.col("features")).alias("features"))
+    return found.select("unit", "cycle", "label", hundredths(F.flatten("features")).alias("features"))
 
 
 @query(
     "last_window",
-    f"""SELECT unit, max(cycle) AS cycle, CAST(0 AS BIGINT) AS label,
-               {_HUNDREDTHS.format("list_concat(list_resize(CAST([] AS DOUBLE[][]), greatest(64 - count(*), 0), [0, 0]), list(CAST([value, k] AS DOUBLE[]) ORDER BY cycle))")}
-                 AS features
-        FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY cycle DESC) AS r FROM telemetry)
-        WHERE r <= 64 GROUP BY unit""",
+    f"""SELECT unit, cycle, CAST(0 AS BIGINT) AS label, {HUNDREDTHS.format('list_concat(zeros, kept)')} AS features
+        FROM (SELECT unit, max(cycle) AS cycle, list(CAST([value, k] AS DOUBLE[]) ORDER BY cycle) AS kept,
+                     list_resize(CAST([] AS DOUBLE[][]), greatest(64 - count(*), 0), [0, 0]) AS zeros
+              FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY cycle DESC) AS r FROM telemetry)
+              WHERE r <= 64 GROUP BY unit)""",
 )
 def last_window(v: Fleet) -> DataFrame:
     """Windows of 64 rows: longer than some engines' history, so the zero padding is used."""
     labelled = transform.add_rul(v.telemetry, life=v.telemetry_life)
     found = windows.last_windows(labelled, TELEMETRY_SENSORS, size=64)
-    return found.select("unit", "cycle", "label", hundredths(F.col("features")).alias("features"))
+    return found.select("unit", "cycle", "label", hundredths(F.flatten("features")).alias("features"))
 
 
 @query(

@@ -108,6 +108,16 @@ raised AS (
 """
 
 
+# The same text in SQL, for a list of lists.
+HUNDREDTHS = """array_to_string(list_transform(flatten({0}),
+    lambda x: CAST(CAST(round_even(CAST(x AS FLOAT) * 100e0, 0) AS BIGINT) AS VARCHAR)), ',')"""
+
+
+def hundredths(flat: Column) -> Column:
+    """A flattened window as text: all readings in order, in hundredths (the readings have two decimals)."""
+    return F.array_join(F.transform(flat, lambda x: F.bround(x * 100).cast("long").cast("string")), ",")
+
+
 class Fleet:
     """Views over one folder of tables; each is a lazy DataFrame."""
 

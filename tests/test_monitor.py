@@ -186,3 +186,29 @@ def test_snapshot_defaults(spark):
     meta = spark.createDataFrame([("a", 5, 77, 40)], "engine_id string, cycle int, event_time_ms long, window_size int")
     got = {tuple(r) for r in fleet.telemetry_snapshot(engines, meta).collect()}
     assert got == {("a", 5, 77, 40), ("b", 0, 0, 30)}
+
+
+def timed(spark, *rows):
+    """(seconds, value, label)"""
+    df = spark.createDataFrame(rows, "s long, v double, l string")
+    return df.select(F.timestamp_seconds("s").alias("ts"), "v", "l")
+
+
+def test_rate_and_silence_alerts(spark):
+    counts = grid(spark, [0, 0, 0, 6, 6, 6, 0])
+    assert [r.step for r in metrics.rate_alert(counts, 60, 0.05, 60, 60).orderBy("step").collect()] == [300, 360]
+    assert [r.step for r in metrics.silence_alert(counts, 60, 120, 60).orderBy("step").collect()] == [180]
+
+
+def test_quantile_alert_ends_at_an_empty_step(spark):
+    high = [(60 * m + s, 9.0, "a") for m in (0, 1, 2, 4, 5) for s in (10, 20)]
+    low = [(60 * 6 + 10, 1.0, "a")]
+    found = metrics.quantile_alert(timed(spark, *high, *low), F.col("ts"), F.col("v"), [5, 10], 0.95, 8, 60, 60)
+    assert [r.step for r in found.orderBy("step").collect()] == [120, 180, 360]
+
+
+def test_ratio_alert_per_label(spark):
+    rows = [(30, 9.0, "a"), (90, 9.0, "a"), (30, 9.0, "b"), (90, 1.0, "b"), (30, 0.0, "c"), (90, 0.0, "c")]
+    df = timed(spark, *rows).withColumn("whole", F.when(F.col("l") == "c", 0.0).otherwise(10.0))
+    found = metrics.ratio_alert(df, F.col("ts"), F.col("l"), F.col("v"), F.col("whole"), 0.8, 60, 60)
+    assert [(r.label, r.step, r.ratio) for r in found.collect()] == [("a", 120, 0.9)]
