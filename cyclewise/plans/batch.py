@@ -1,4 +1,4 @@
-"""The batch pipeline: bronze text, checks, silver rows, gold windows, model, evaluation, gate.
+"""The batch run: bronze text, checks, silver rows, gold windows, model, evaluation, gate.
 
 Stages talk through tables below one work folder; inside a stage everything is one lazy plan.
 """
@@ -21,7 +21,7 @@ class ValidationError(RuntimeError):
 
 
 @dataclass(frozen=True)
-class BatchPipeline:
+class BatchRun:
     spark: SparkSession
     work: str
     sensors: tuple[str, ...] = config.SENSORS
@@ -38,17 +38,23 @@ class BatchPipeline:
     def ingest(self, train: str, test: str, truth: str) -> dict[str, str]:
         return tables.ingest_bronze(self.spark, {"train": train, "test": test, "RUL": truth}, self._path("bronze"))
 
+    def parse(self, bronze: dict[str, str]) -> None:
+        """The text becomes typed columns once; the passes that follow read only the columns they need."""
+        for name in ("train", "test"):
+            tables.write_silver(text.placed_cycles(self._lines(bronze[name])), self._path(f"typed/{name}"))
+
+    def _typed(self, name: str) -> DataFrame:
+        return tables.read_parquet(self.spark, self._path(f"typed/{name}"))
+
     def validate(self, bronze: dict[str, str]) -> DataFrame:
-        """Run every check, write the status, and stop the pipeline when one failed."""
+        """Run every check, write the status, and stop the run when one failed."""
         checks = None
         for name in ("train", "test"):
-            lines = self._lines(bronze[name])
-            placed = text.placed_cycles(lines).select("place", "line_order", "unit", "cycle")
-            order = quality.cycle_order_violations(placed, ["place", "line_order"], F.col("place"))
+            order = quality.cycle_order_violations(self._typed(name), ["place", "line_order"], F.col("place"))
             falling = order.agg(
                 F.lit("cycle_order").alias("check"), F.coalesce(F.sum("violations"), F.lit(0)).alias("violations")
             )
-            found = quality.main_checks(text.tokenize(lines)).unionAll(falling)
+            found = quality.main_checks(text.tokenize(self._lines(bronze[name]))).unionAll(falling)
             found = found.withColumn("check", F.concat(F.lit(f"{name}_"), F.col("check")))
             checks = found if checks is None else checks.unionAll(found)
         checks = checks.unionAll(quality.truth_checks(text.tokenize(self._lines(bronze["RUL"]))))
@@ -60,15 +66,11 @@ class BatchPipeline:
         return checks
 
     def transform(self, bronze: dict[str, str]) -> None:
-        """Silver rows of train and test, and the scaler parameters (fitted on train only).
-
-        The text is parsed once, into typed columns; the passes that follow read only the columns they need.
-        """
-        for name in ("train", "test"):
-            typed = transform.drop_columns(text.cycles(self._lines(bronze[name])))
-            tables.write_silver(typed, self._path(f"typed/{name}"))
-        train = transform.add_rul(tables.read_parquet(self.spark, self._path("typed/train")), self.clip)
-        test = tables.read_parquet(self.spark, self._path("typed/test"))
+        """Silver rows of train and test, and the scaler parameters (fitted on train only)."""
+        train, test = (
+            transform.drop_columns(self._typed(name).drop("place", "line_order")) for name in ("train", "test")
+        )
+        train = transform.add_rul(train, self.clip)
         unit_truth = transform.truth_by_position(test.select("unit"), text.truth(self._lines(bronze["RUL"])))
         bounds = shared.settle(transform.fit_scaler(train, self.sensors), "bounds")
         transform.check_bounds(bounds, self.sensors)
@@ -113,6 +115,7 @@ class BatchPipeline:
 
     def run(self, train: str, test: str, truth: str) -> bool:
         bronze = self.ingest(train, test, truth)
+        self.parse(bronze)
         self.validate(bronze)
         self.transform(bronze)
         self.features()

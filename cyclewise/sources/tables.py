@@ -1,4 +1,4 @@
-"""Parquet, JSON and text tables of the batch pipeline and the online store."""
+"""Parquet, JSON and text tables of the batch run and the online store."""
 
 from __future__ import annotations
 

@@ -31,8 +31,8 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def tokenize(lines: DataFrame) -> DataFrame:
     """Non-blank lines as ``tokens``; any run of blanks separates."""
-    bare = F.trim(F.regexp_replace("value", r"\s+", " "))
-    return lines.withColumn("value", bare).where(F.col("value") != "").withColumn("tokens", F.split("value", " ")).drop("value")
+    bare = lines.withColumn("value", F.btrim("value", F.lit(" \t\r\f\v"))).where(F.col("value") != "")
+    return bare.withColumn("tokens", F.split("value", r"\s+")).drop("value")
 
 
 def token_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cyclewise import config, shared
 from cyclewise.functions import scalars as S
 from cyclewise.operators import models, transform
-from cyclewise.plans.pipeline import BatchPipeline, ValidationError
+from cyclewise.plans.batch import BatchRun, ValidationError
 from cyclewise.sources import events as E
 from cyclewise.sources import tables, text
 
@@ -136,27 +136,27 @@ def cycle_lines(units, start=0):
     return lines
 
 
-def test_pipeline(spark):
+def test_batch_run(spark):
     train = write_lines(spark, cycle_lines(12))
     test, truth = write_lines(spark, cycle_lines(8, start=15)), write_lines(spark, ["15 "] * 8)
-    pipeline = BatchPipeline(spark, shared.scratch(spark, "pipeline"), trees=3)
-    assert pipeline.run(train, test, truth) is True
-    results = spark.read.parquet(f"{pipeline.work}/results")
+    batch = BatchRun(spark, shared.scratch(spark, "run"), trees=3)
+    assert batch.run(train, test, truth) is True
+    results = spark.read.parquet(f"{batch.work}/results")
     assert results.count() == 8 and results.where("true_rul <> 15").count() == 0
-    silver = spark.read.parquet(f"{pipeline.work}/silver/train")
+    silver = spark.read.parquet(f"{batch.work}/silver/train")
     assert silver.columns == ["unit", "cycle", "os1", "os2", *config.SENSORS, "RUL"]
     low, high = silver.agg(F.min("s2"), F.max("s2")).first()
     assert (low, high) == (0.0, 1.0)
-    known = spark.read.json(f"{pipeline.work}/feature_config").first()
+    known = spark.read.json(f"{batch.work}/feature_config").first()
     assert (known.sensors, known.window_size, known.rul_clip) == (list(config.SENSORS), 30, 125)
     assert known.n_sensors == len(known.data_min) == len(known.data_range) == 11
-    gold = spark.read.parquet(f"{pipeline.work}/gold/train")
+    gold = spark.read.parquet(f"{batch.work}/gold/train")
     assert {r.split: r.n for r in gold.groupBy("split").agg(F.count_distinct("unit").alias("n")).collect()} == {"val": 3, "train": 9}
-    assert pipeline.ingest(test, test, test) and spark.read.parquet(f"{pipeline.work}/bronze/train").count() == len(cycle_lines(12))
+    assert batch.ingest(test, test, test) and spark.read.parquet(f"{batch.work}/bronze/train").count() == len(cycle_lines(12))
 
 
 @pytest.mark.parametrize("damage, failed", [("cut", "train_column_count"), ("text", "train_numeric"), ("order", "train_cycle_order"), ("truth", "truth_negative")])
-def test_pipeline_stops_on_bad_input(spark, damage, failed):
+def test_batch_run_stops_on_bad_input(spark, damage, failed):
     lines, truth = cycle_lines(2), ["15"] * 2
     if damage == "cut":
         lines[3] = lines[3].rsplit(None, 1)[0]
@@ -166,8 +166,9 @@ def test_pipeline_stops_on_bad_input(spark, damage, failed):
         lines[3], lines[4] = lines[4], lines[3]
     if damage == "truth":
         truth[1] = "-1"
-    pipeline = BatchPipeline(spark, shared.scratch(spark, "pipeline"))
-    bronze = pipeline.ingest(write_lines(spark, lines), write_lines(spark, cycle_lines(2)), write_lines(spark, truth))
+    batch = BatchRun(spark, shared.scratch(spark, "run"))
+    bronze = batch.ingest(write_lines(spark, lines), write_lines(spark, cycle_lines(2)), write_lines(spark, truth))
+    batch.parse(bronze)
     with pytest.raises(ValidationError, match=failed):
-        pipeline.validate(bronze)
-    assert spark.read.json(f"{pipeline.work}/status").first().status == "failed"
+        batch.validate(bronze)
+    assert spark.read.json(f"{batch.work}/status").first().status == "failed"
