@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cyclewise import config
-from cyclewise.llm import bpe_codec, token_count, url_filter
+from cyclewise.llm import bpe_codec, near_dup, quality, sharding, token_count, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,45 @@ def url_verdicts(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"), index, "page_id")
 
 
+@_query("op7_minhash")
+def near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query("op8_token_count")
 def token_counts(spark, sf_dir):
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+
+
+@_query("op6_sharding")
+def shards_of_equal_bytes(spark, sf_dir):
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op9_topk",
+    """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id != c.vec_id
+    WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+""",
+)
+def nearest(spark, sf_dir):
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query("op10_quality")
+def quality_scores(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    trees = quality.fit_on(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, trees, "doc_id")
+    good = (F.col("score") >= quality.KEEP_FROM).cast("int")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", good.alias("predicted"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Entries a worker's memo may hold before the older half of them goes.
 MEMO_ENTRIES = 1 << 19
 # Rows in one Arrow batch of whole texts.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 class Memo(dict):
@@ -60,3 +60,16 @@ def per_text(docs: DataFrame, make: Callable[[], Callable], schema: str, *keep:
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *out])
 
     return whole_texts(docs, *keep, F.col(text).alias("__text")).mapInArrow(run, full)
+
+
+def filter_texts(docs: DataFrame, make: Callable[[], Callable], text: str = "text") -> DataFrame:
+    """The rows for whose texts the function that ``make()`` builds says True; it gets a list of texts (null: empty)."""
+
+    def run(batches):
+        function = make()
+        for batch in batches:
+            names = batch.schema.names
+            kept = function([t or "" for t in batch.column(names.index(text)).to_pylist()])
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return whole_texts(docs, "*").mapInArrow(run, docs.schema)
