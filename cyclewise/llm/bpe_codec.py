@@ -20,6 +20,7 @@ from functools import cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cyclewise.llm import texts, vocab
@@ -187,8 +188,6 @@ def encode(docs: DataFrame, path: str, *keep: str, text: str = "text") -> DataFr
         machine = encoder(path)
 
         def run(batch):
-            import pyarrow as pa
-
             packed = [machine.packed(t) for t in batch]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
             values = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
@@ -204,8 +203,6 @@ def decode(rows: DataFrame, path: str, *keep: str, ids: str = "ids") -> DataFram
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def run(batches):
-        import pyarrow as pa
-
         machine = Decoder(path)
         for batch in batches:
             lists = batch.column(len(keep))
@@ -215,24 +212,31 @@ def decode(rows: DataFrame, path: str, *keep: str, ids: str = "ids") -> DataFram
     return texts.whole_texts(rows, *keep, ids).mapInArrow(run, ", ".join(x for x in (kept, "text string") if x))
 
 
-def digests(docs: DataFrame, path: str, *keep: str, text: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of every text, without keeping ids or texts."""
+def round_trip(docs: DataFrame, path: str, *keep: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """n_tokens, ids_sha256 (of the ids as four bytes each, lowest first) and decoded_sha256 of every text, and its ids on demand.
+
+    Nulls and repeated rows are treated as in ``encode``.
+    """
 
     def make():
         machine, back = encoder(path), Decoder(path)
 
         def run(batch):
-            out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
             for t in batch:
                 packed = machine.packed(t)
-                out["n_tokens"].append(len(packed) // 4)
+                ids = np.frombuffer(packed, dtype="<u4")
+                out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                 decoded = hashlib.sha256()
-                for part in back.parts(np.frombuffer(packed, dtype="<u4")):
+                for part in back.parts(ids):
                     decoded.update(part.encode())
                 out["decoded_sha256"].append(decoded.hexdigest())
-            return out
+                if with_ids:
+                    out["ids"].append(ids.astype(np.int32))
+            return out if not with_ids else out | {"ids": pa.array(out["ids"], pa.list_(pa.int32()))}
 
         return run
 
-    return texts.per_text(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", *keep, text=text)
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return texts.per_text(docs, make, schema, *keep, text=text)

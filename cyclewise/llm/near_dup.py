@@ -81,7 +81,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: its id, ``n_shingles``, ``set_key`` (128-bit digest of the set) and the signature's chunks."""
+    """Per row: its id, ``text_key``, ``n_shingles``, ``set_key`` (128-bit digest of the set) and the signature's chunks."""
 
     def make():
         shingles = Shingles()
@@ -96,7 +96,8 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         return run
 
     schema = "n_shingles bigint, set_key binary, " + ", ".join(f"{c} bigint" for c in CHUNK_NAMES)
-    return texts.per_text(docs, make, schema, id_column, text=text)
+    rows = docs.select(id_column, F.xxhash64(text).alias("text_key"), F.col(text).alias("__body"))
+    return texts.per_text(rows, make, schema, id_column, "text_key", text="__body")
 
 
 def errors(prefix: str, other: str) -> Column:
@@ -163,7 +164,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text: str, perc
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row: its id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``.
+    """Per row: its id, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` and ``text_key``
+    (64-bit hash of the text).
 
     Documents are linked when 100 * shared shingles >= ``percent`` * all shingles of the two. Words are what white space of
     ASCII separates, with A-Z in lower case; a text of fewer words than a shingle is one shingle, a null or blank text
@@ -208,8 +210,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     reps = shared.settle(reps.select("set_key", "n", F.coalesce("component", "rep").alias("component_id")), "class-components")
     own = F.col(id_column)
-    judged = rows.select(id_column, "n_shingles", "set_key").join(
+    judged = rows.select(id_column, "text_key", "n_shingles", "set_key").join(
         reps.withColumnRenamed("n", "n_shingles"), ["set_key", "n_shingles"], "left"
     )
     component = F.when(own.isNotNull(), F.coalesce("component_id", own))
-    return judged.select(id_column, "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(own == component, F.lit(True))
+    return judged.select(id_column, "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key")
+
+
+def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near-duplicates, and repeated rows (id and text) once."""
+    judged = shared.settle(near_duplicates(docs, id_column, text, percent), "judged")
+    gone = judged.where("NOT kept").select(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    again = judged.where(F.col(id_column).isNotNull()).groupBy(id_column, "text_key").count().where("count > 1")
+    again = shared.settle(again.select(F.col(id_column).alias("__id")).distinct(), "repeated-ids")
+    same = (F.col(id_column) == F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
+    rest = docs.join(F.broadcast(gone) if gone.count() <= PICKED else gone, same, "left_anti")
+    if again.isEmpty():
+        return rest
+    repeated = F.col(id_column) == F.col("__id")
+    return rest.join(again, repeated, "left_anti").union(rest.join(again, repeated, "left_semi").dropDuplicates([id_column, text]))

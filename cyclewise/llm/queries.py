@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclewise import config
-from cyclewise.llm import bpe_codec, near_dup, quality, sharding, token_count, topk, url_filter
+from cyclewise import config, shared
+from cyclewise.llm import bpe_codec, decontaminate, near_dup, quality, secret_scan, sharding, token_count, token_files, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +43,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query("op1_bpe_codec")
 def bpe_round_trip(spark, sf_dir):
-    return bpe_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    return bpe_codec.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
 
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -74,9 +76,83 @@ def url_verdicts(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"), index, "page_id")
 
 
+@_query("op3_token_files")
+def token_files_read_back(spark, sf_dir):
+    path = shared.scratch(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_back(spark, path)
+
+
+_SECRET_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+rules(pos, kind, pattern, part, least) AS (VALUES
+    (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+    (1, 'access', 'AKIA[A-Z0-9]+', 0, 20),
+    (2, 'hex', '[0-9a-f]+', 0, 24),
+    (3, 'github', 'gh[oprsu]_[A-Za-z0-9]+', 0, 40),
+    (4, 'slack', 'xox[abprs]-[A-Za-z0-9-]+', 0, 15),
+    (5, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1),
+    (6, 'jwt', 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', 0, 40)
+), cut AS (
+    SELECT n, pos, kind, least, unnest(generate_series(1, len(found))) AS i, found, parts, gaps
+    FROM (
+        SELECT n, pos, kind, least,
+               CASE pos {found} END AS found,
+               CASE pos {parts} END AS parts,
+               CASE pos {gaps} END AS gaps
+        FROM texts, rules
+    )
+), spans AS (
+    SELECT n, pos, kind,
+           CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS BIGINT) AS start,
+           length(found[i]) AS size
+    FROM cut WHERE length(parts[i]) >= least
+), told AS (
+    SELECT n,
+           count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+           count(*) FILTER (kind = 'hex') AS n_hex,
+           coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, pos) FILTER (pos < 3), '') AS base,
+           string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, pos) AS spans
+    FROM spans GROUP BY n
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (n)
+"""
+
+
+def _secret_sql() -> str:
+    """DuckDB wants each pattern as a constant."""
+    rows = re.findall(r"\((\d), '\w+', '(.*)', (\d), \d+\)", _SECRET_SQL)
+    case = lambda make: " ".join(f"WHEN {n} THEN {make(p, g)}" for n, p, g in rows)
+    return (
+        _SECRET_SQL.replace("{found}", case(lambda p, g: f"regexp_extract_all(text, '{p}', 0)"))
+        .replace("{parts}", case(lambda p, g: f"regexp_extract_all(text, '{p}', {g})"))
+        .replace("{gaps}", case(lambda p, g: f"string_split_regex(text, '{p}')"))
+    )
+
+
+@_query("op4_secret_scan", _secret_sql())
+def secrets(spark, sf_dir):
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in secret_scan.BASE_RULES)))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(number(r.kind) for r in secret_scan.BASE_RULES),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
+@_query("op5_decontamination")
+def leaked_items(spark, sf_dir):
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id")
+
+
 @_query("op7_minhash")
 def near_duplicates(spark, sf_dir):
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @_query("op8_token_count")
@@ -116,3 +192,8 @@ def quality_scores(spark, sf_dir):
     scored = quality.score(docs, trees, "doc_id")
     good = (F.col("score") >= quality.KEEP_FROM).cast("int")
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", good.alias("predicted"))
+
+
+@_query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
