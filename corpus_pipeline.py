@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise import config, shared
-from cyclewise.llm import bpe_codec, decontaminate, near_dup, quality, secret_scan
+from cyclewise.llm import bpe_codec, decontaminate, near_dup, quality, secret_scan, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,10 +32,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in them are replaced by a mark, and ``n_chars`` follows."""
-    found = secret_scan.scan(docs)
-    text = secret_scan.redacted(F.col("text"), F.col("spans"))
-    shown = found.withColumn("text", text)
-    return shown.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    spans = texts.fresh(docs, "spans")
+    found = secret_scan.scan(docs, name=spans)
+    shown = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col(spans)))
+    length = F.when(F.size(spans) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return shown.withColumn("n_chars", length).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Documents that hold a benchmark's test items: BM25 with block-max WAND, then a check of the words' order.
 
-The index is of test items (long ones in parts): for each term its postings with BM25 weights, as shares of the item's own
-score, in blocks with the largest weight of each. Every passage of every document is a query; passages overlap by half, so
-that any part of an item lies whole in one. A passage whose terms' largest weights don't reach the threshold can't
-retrieve anything and is passed over (whole documents at a time, by arrays); on the others block-max WAND finds all items
-above the threshold. These are leaks if the question's and the answer's shingles are found in the passage.
+The index is of test items (long ones in parts): for each term its postings with BM25 weights, as shares of the part's own
+score, in blocks of parts with the largest weight of each term in the block. Every passage of every document is a query;
+passages overlap by half, so that any part of an item lies whole in one.
+
+A block's bound for a passage is the sum of its terms' largest weights there. It is worked out for all passages of a
+document at once, over arrays: common terms count together, as the most that a part of the block has of them. Blocks
+whose bound is below the threshold are skipped; in the others WAND moves through the postings from pivot to pivot. So
+all parts above the threshold are retrieved. They are leaks if the question's and the answer's shingles are in the passage.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ from cyclewise.llm import texts
 
 PART_WORDS = 64
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 OVERLAP = 0.5
 WORDS = 5
-BLOCK = 8
+BLOCK_PARTS = 6
+MOST_BLOCKS = 64
+# Terms in more than this share of all parts count as common.
+COMMON = 0.025
+# Half passages of a text that are looked at together.
+STRETCH = 1 << 10
 # Text of the items that one index may hold; a larger benchmark is taken in several passes over the documents.
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
 _ODD = re.compile(r"[\W_]+")
 
 
@@ -46,11 +54,11 @@ class Part:
 
 
 class Index:
-    """Weights of terms in parts, by term, in blocks of parts."""
+    """Weights of terms in parts, by block of parts and term."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.vocabulary: dict[str, int] = {}
-        self.parts: list[Part] = []
+        parts: list[Part] = []
         for item, text in sorted((i, t or "") for i, t in items if i is not None):
             cut = text.rstrip().rfind("\n")
             words = [t for t in map(term, text.split()) if t]
@@ -60,64 +68,77 @@ class Index:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             pieces = max(1, -(-len(ids) // PART_WORDS))
             bounds = [len(ids) * p // pieces for p in range(pieces + 1)]
-            self.parts += [Part(item, tuple(ids[a:b]), min(max(asked - a, 0), b - a)) for a, b in zip(bounds, bounds[1:]) if b > a]
-        counts = [Counter(p.terms) for p in self.parts]
+            parts += [Part(item, tuple(ids[a:b]), min(max(asked - a, 0), b - a)) for a, b in zip(bounds, bounds[1:]) if b > a]
+        counts = [Counter(p.terms) for p in parts]
         rows = Counter(t for c in counts for t in c)
-        mean = sum(len(p.terms) for p in self.parts) / max(1, len(self.parts))
-        self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for number, (part, count) in enumerate(zip(self.parts, counts)):
+        common = {t for t, n in rows.items() if n > max(2, COMMON * len(parts))}
+        mean = sum(len(p.terms) for p in parts) / max(1, len(parts))
+        weights = []
+        for part, count in zip(parts, counts):
             norm = K1 * (1 - B + B * len(part.terms) / mean)
-            weight = {t: math.log(1 + (len(self.parts) - rows[t] + 0.5) / (rows[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in count.items()}
-            own = sum(weight.values())
-            for t, w in weight.items():
-                self.postings[t].append((number, w / own))
-        self.largest = np.zeros(len(self.vocabulary) + 1, dtype=np.float32)  # the last is for words that no item has
-        self.blocks: dict[int, dict[int, float]] = {}
-        for t, posts in self.postings.items():
-            self.largest[t] = max(w for _, w in posts) * (1 + 1e-6)
-            best: dict[int, float] = {}
-            for number, w in posts:
-                best[number // BLOCK] = max(best.get(number // BLOCK, 0.0), w)
-            self.blocks[t] = best
-
-    def retrieve(self, terms: set[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All (part, score) of at least ``threshold``, by block-max WAND."""
-        least = threshold - 1e-9
-        cursors = [[self.postings[t][0][0], 0, t] for t in sorted(terms) if t in self.postings]
+            own = {t: math.log(1 + (len(parts) - rows[t] + 0.5) / (rows[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in count.items()}
+            total = sum(own.values())
+            weights.append({t: w / total for t, w in own.items()})
+        # Parts with alike sums over common terms share a block, so that the block's sum says much about each of them.
+        sums = [sum(w for t, w in own.items() if t in common) for own in weights]
+        order = sorted(range(len(parts)), key=lambda n: sums[n])
+        blocks = min(MOST_BLOCKS, -(-len(parts) // BLOCK_PARTS))
+        self.parts = [parts[n] for n in order]
+        #: For each block, its postings: term -> [(part, weight)], and the largest weight of each term.
+        self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(blocks)]
+        #: By term and block: the largest weight; none for common terms and (last) words that no item has.
+        self.largest = np.zeros((len(self.vocabulary) + 1, blocks), dtype=np.float32)
+        #: The most that a part of each block has of all common terms.
+        self.commons = np.zeros(blocks, dtype=np.float32)
+        for place, n in enumerate(order):
+            block = place * blocks // len(order)
+            self.commons[block] = max(self.commons[block], sums[n])
+            for t, w in weights[n].items():
+                self.postings[block][t].append((place, w))
+                if t not in common:
+                    self.largest[t, block] = max(self.largest[t, block], w)
+        self.rare = self.largest.any(axis=1) if blocks else np.zeros(len(self.largest), dtype=bool)
+        self.peaks = [{t: max(w for _, w in posts) for t, posts in block.items()} for block in self.postings]
+
+    def bounds(self, ids: np.ndarray) -> np.ndarray:
+        """For each half passage, with the one after it, the bound of every block."""
+        at = np.flatnonzero(self.rare[ids])
+        half = np.zeros((-(-len(ids) // PART_WORDS) + 1, len(self.commons)), dtype=np.float32)
+        if len(at):
+            group = at // PART_WORDS
+            starts = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+            half[group[starts]] = np.add.reduceat(self.largest[ids[at]], starts, axis=0)
+        return half[:-1] + half[1:] + self.commons
+
+    def retrieve(self, terms: set[int], block: int, threshold: float) -> list[tuple[int, float]]:
+        """All (part, score) of a block with at least ``threshold``, by WAND."""
+        least, postings, peaks = threshold - 1e-9, self.postings[block], self.peaks[block]
+        cursors = [[postings[t][0][0], 0, t] for t in sorted(terms & postings.keys())]
         found = []
-        while cursors:
+        while True:
             cursors.sort()
-            bound, pivot = 0.0, None
-            for i, (_, _, t) in enumerate(cursors):
-                bound += float(self.largest[t])
+            bound, pivot = 0.0, -1
+            for i, cursor in enumerate(cursors):
+                bound += peaks[cursor[2]]
                 if bound >= least:
                     pivot = i
                     break
-            if pivot is None:
-                break
+            if pivot < 0:
+                return found
             number = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == number:
-                pivot += 1
-            block = number // BLOCK
-            if sum(self.blocks[t].get(block, 0.0) for _, _, t in cursors[: pivot + 1]) < least:
-                # Nothing in this block, for these terms: on to its end, or to where the next term comes in.
-                target = (block + 1) * BLOCK
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0])
-                self._advance(cursors, pivot + 1, max(target, number + 1))
-            elif cursors[0][0] == number:
-                score = sum(self.postings[t][at][1] for _, at, t in cursors[: pivot + 1])
-                if score >= least:
-                    found.append((number, score))
-                self._advance(cursors, pivot + 1, number + 1)
-            else:
-                self._advance(cursors, pivot, number)
-        return found
-
-    def _advance(self, cursors: list, first: int, target: int) -> None:
-        """Move the first cursors to ``target`` or beyond; drop those that come to their end."""
-        for cursor in cursors[:first]:
-            posts, at = self.postings[cursor[2]], cursor[1]
+            if cursors[0][0] < number:
+                self._advance(cursors, postings, number)
+                continue
+            score = sum(postings[t][at][1] for part, at, t in cursors if part == number)
+            if score >= least:
+                found.append((number, score))
+            self._advance(cursors, postings, number + 1)
+
+    @staticmethod
+    def _advance(cursors: list, postings: dict, target: int) -> None:
+        """Move all cursors before ``target`` to it or beyond; drop those that come to their end."""
+        for cursor in cursors:
+            posts, at = postings[cursor[2]], cursor[1]
             while at < len(posts) and posts[at][0] < target:
                 at += 1
             cursor[:2] = (posts[at][0], at) if at < len(posts) else (-1, at)
@@ -149,21 +170,20 @@ class Searcher:
     def leaks(self, text: str) -> list[tuple[int, float, float, float]]:
         """(item, score, question's share, answer's share) of every item found, once each, at its best passage."""
         ids = np.frombuffer(b"".join(map(self._ids.__getitem__, text.split())), dtype="<u4")
-        if not len(ids):
-            return []
         index, best = self._index, {}
-        half = np.add.reduceat(index.largest[ids], np.arange(0, len(ids), PART_WORDS), dtype=np.float64)
-        bounds = half + np.append(half[1:], 0.0)
-        for i in np.flatnonzero(bounds >= self._threshold - 1e-6).tolist():
-            passage = ids[i * PART_WORDS : (i + 2) * PART_WORDS].tolist()
-            terms = set(passage)
-            if sum(map(index.largest.__getitem__, terms)) < self._threshold - 1e-6:
-                continue
-            for number, score in index.retrieve(terms, self._threshold):
-                part = index.parts[number]
-                asked, told = (_shared(x, passage) for x in (part.terms[: part.question], part.terms[part.question :]))
-                if min(asked, told) >= self._overlap:
-                    best[part.item] = max(best.get(part.item, (0.0, 0.0, 0.0)), (score, asked, told))
+        for first in range(0, len(ids), STRETCH * PART_WORDS):
+            bounds = index.bounds(ids[first : first + (STRETCH + 1) * PART_WORDS])
+            here, terms = -1, set()
+            for i, block in np.argwhere(bounds[:STRETCH] >= self._threshold - 1e-4).tolist():
+                if i != here:
+                    here, start = i, first + i * PART_WORDS
+                    passage = ids[start : start + 2 * PART_WORDS].tolist()
+                    terms = set(passage)
+                for number, score in index.retrieve(terms, block, self._threshold):
+                    part = index.parts[number]
+                    asked, told = (_shared(x, passage) for x in (part.terms[: part.question], part.terms[part.question :]))
+                    if min(asked, told) >= self._overlap:
+                        best[part.item] = max(best.get(part.item, (0.0, 0.0, 0.0)), (score, asked, told))
         return [(item, *found) for item, found in sorted(best.items())]
 
 

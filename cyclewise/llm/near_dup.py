@@ -8,10 +8,12 @@ MinHash), four to a 64-bit chunk. Two sets of similarity s differ in a symbol wi
 chunk is entered once with every single symbol blotted out; two signatures within the distance meet under at least one
 of these keys. The distance is then counted, and candidates are confirmed on the full sets.
 
-*Groups of copies*: documents with equal sets are one class from the start. Inside a key's bucket every class is first
-compared with one other (the smallest it is close to); classes that this has linked need no further comparison. Only pairs
-that meet under a key and lie in different components are listed after that. No pair within the distance is left out:
-it is confirmed, refuted, or its two ends are linked already.
+*Groups of copies*: documents with equal sets are one class from the start. A shingle that no other class meeting anyone
+has can't be shared: with u such shingles among n, two classes share at most min(n - u) shingles, which rules out most pairs
+of a group of edited copies before they are made. Inside a key's bucket every class is then compared with one other
+(that with the smallest share of shingles of its own, as an original has); classes that this has linked need no further
+comparison. Only pairs that meet under a key and lie in different components are listed after that. No pair within the
+distance is left out: it is confirmed, refuted on full sets, or its two ends are linked already.
 """
 
 from __future__ import annotations
@@ -66,6 +68,10 @@ class Shingles:
         return np.unique(mixed(rolled + np.uint64(width)))
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of 64-bit chunks for each set; sets without shingles get zeros."""
     out = np.zeros((len(sets), HASHES), dtype=np.uint64)
@@ -89,8 +95,7 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         def run(batch):
             sets = [shingles.of(t) for t in batch]
             chunks = signatures(sets)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            out = {"n_shingles": [len(s) for s in sets], "set_key": pa.array(keys, pa.binary())}
+            out = {"n_shingles": [len(s) for s in sets], "set_key": pa.array([_digest(s) for s in sets], pa.binary())}
             return out | {name: np.ascontiguousarray(chunks[:, i]) for i, name in enumerate(CHUNK_NAMES)}
 
         return run
@@ -121,46 +126,99 @@ def keys() -> Column:
     )
 
 
-def _sides(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *CHUNK_NAMES))), side)
+        pairs = pairs.join(facts.select(*(F.col(c).alias(side if c == "class" else f"{side}_{c}") for c in facts.columns)), side)
     return pairs
 
 
 def _near(percent: int) -> Column:
-    """Sizes that allow the similarity, and signatures within the distance."""
-    sizes = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return sizes & (errors("a_", "b_") <= ERRORS)
+    """Signatures within the distance, and sizes and shingles of their own that allow the similarity."""
+    most = F.least("a_common", "b_common")
+    return (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)) & (errors("a_", "b_") <= ERRORS)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    spark = pairs.sparkSession
-    wanted = shared.settle(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "__id"), "wanted")
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__body"))
-    picked = rows.join(F.broadcast(wanted) if wanted.count() <= PICKED else wanted, "__id", "left_semi")
+def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``class`` and ``shingles`` of the classes ``wanted`` (class, rep), from the texts of their first documents."""
+    rows = docs.select(F.col(id_column).alias("rep"), F.col(text).alias("__body"))
+    reps = wanted.select("rep").distinct()
+    picked = rows.join(F.broadcast(reps) if wanted.count() <= PICKED else reps, "rep", "left_semi")
 
     def make():
         shingles = Shingles()
-        return lambda batch: {"shingles": pa.array([shingles.of(t).tobytes() for t in batch], pa.binary())}
 
-    sets = shared.settle(texts.per_text(picked, make, "shingles binary", "__id", text="__body"), "sets")
+        def run(batch):
+            sets = [shingles.of(t) for t in batch]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
+            return {"set_key": pa.array([_digest(s) for s in sets], pa.binary()), "shingles": lists}
+
+        return run
+
+    found = texts.per_text(picked, make, "set_key binary, shingles array<bigint>", "rep", text="__body")
+    found = found.withColumn("class", F.xxhash64("set_key")).join(wanted, ["class", "rep"], "left_semi").select("class", "shingles")
+    found = shared.settle(found, "full-sets")
+    if found.groupBy("class").count().where("count > 1").isEmpty():
+        return found
+    return shared.settle(found.dropDuplicates(["class"]), "full-sets")  # rows that repeat both id and text
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
 
     def run(batches):
         for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            near = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(100 * both >= percent * (len(x) + len(y) - both))
-            at = np.flatnonzero(near)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in at], pa.int64()), pa.array([b[i] for i in at], pa.int64())], names=["a", "b"])
+            left, right = ([np.asarray(x.values) for x in batch.column(i)] for i in (2, 3))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+            near = [100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(both, left, right)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("left")), "a")
+    joined = joined.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b")
+    return texts.whole_texts(joined, "a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: str, percent: int) -> DataFrame:
+    """``class`` and ``component`` of every class (class, rep, n and chunks) that is linked with another."""
+    entered = classes.select(F.explode(keys()).alias("key"), "class")
+    common = entered.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    members = shared.settle(entered.join(shared.settle(common.select("key"), "keys"), "key"), "members")
+
+    # How many shingles of each class that meets another are its own.
+    meeting = shared.settle(classes.join(members.select("class").distinct(), "class"), "meeting")
+    sets = full_sets(docs, meeting.select("class", "rep"), id_column, text)
+    shingles = sets.select("class", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    own = shingles.agg(F.count("*").alias("rows"), F.min("class").alias("class")).where("rows = 1").groupBy("class").agg(F.count("*").alias("own"))
+    facts = meeting.drop("rep", "set_key").join(own, "class", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    facts = shared.settle(facts.drop("own").where(100 * F.col("common") >= percent * F.col("n")), "facts")
+    members = members.join(facts.select("class", (1 - F.col("common") / F.col("n")).alias("share")), "class")
+    members = shared.settle(members, "members")
+
+    # Every class with one other of its buckets.
+    best = F.min(F.struct("share", "class")).alias("hub")
+    hubs = members.groupBy("key").agg(best, F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    hubs = shared.settle(hubs.select("key", F.col("hub.class").alias("b"), F.col("hub.share").alias("hub_share")), "hubs")
+    met = members.join(hubs, "key").where("class != b").groupBy(F.col("class").alias("a"), "b").agg(F.min("hub_share").alias("hub_share"))
+    near = _sides(shared.settle(met, "met"), facts).where(_near(percent))
+    first = near.groupBy("a").agg(F.min(F.struct("hub_share", "b")).alias("hub")).select("a", F.col("hub.b").alias("b"))
+    first = shared.settle(first, "first-pairs")
+    links = shared.settle(confirmed(first, sets, percent), "links")
+    found = components.components(links)
 
-    joined = pairs.join(sets.select(F.col("__id").alias("a"), F.col("shingles").alias("left")), "a")
-    joined = joined.join(sets.select(F.col("__id").alias("b"), F.col("shingles").alias("right")), "b")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(texts.BATCH_ROWS))
-    return joined.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint").distinct()
+    # Pairs that meet under a key and aren't in one component yet.
+    placed = members.drop("share").join(found.withColumnRenamed("node", "class"), "class", "left")
+    placed = shared.settle(placed.select("key", "class", F.coalesce("component", "class").alias("component")), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    sides = placed.join(shared.settle(open_keys.select("key"), "open-keys"), "key").join(facts, "class")
+    sides = shared.settle(sides, "open-rows")
+    named = lambda s: sides.select("key", *(F.col(c).alias(s if c == "class" else f"{s}_{c}") for c in sides.columns if c != "key"))
+    apart = (F.col("a") > F.col("b")) & (F.col("a_component") != F.col("b_component"))
+    rest = named("a").join(named("b"), "key").where(apart & _near(percent)).select("a", "b").distinct()
+    refuted = first.union(first.select("b", "a"))
+    rest = shared.settle(rest.join(refuted, ["a", "b"], "left_anti"), "other-pairs")
+    if not rest.isEmpty():
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components.components(confirmed(rest, sets, percent).union(known))
+    return found.withColumnRenamed("node", "class")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -179,40 +237,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     linked = rows.where(F.col(id_column).isNotNull() & (F.col("n_shingles") > 0))
     firsts = [F.first(c).alias(c) for c in CHUNK_NAMES]
     classes = linked.groupBy("set_key", F.col("n_shingles").alias("n")).agg(F.min(id_column).alias("rep"), *firsts)
-    classes = shared.settle(classes, "classes")
-
-    entered = classes.select(F.explode(keys()).alias("key"), "rep")
-    hubs = entered.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    hubs = shared.settle(hubs.drop("last"), "hubs")
-    members = shared.settle(entered.join(hubs, "key"), "members")
-
-    met = shared.settle(members.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "met")
-    first = _sides(met, classes).where(_near(percent)).groupBy("a").agg(F.min("b").alias("b"))
-    first = shared.settle(first, "first-pairs")
-    links = shared.settle(confirmed(first, docs, id_column, text, percent), "links")
-    found = components.components(links)
-
-    # Pairs that meet under a key and aren't in one component yet.
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = shared.settle(placed.select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_keys = shared.settle(open_keys.select("key"), "open-keys")
-    sides = shared.settle(placed.join(open_keys, "key").join(classes.drop("set_key"), "rep"), "open-rows")
-    named = lambda s: sides.select("key", *(F.col(c).alias(s if c == "rep" else f"{s}_{c}") for c in sides.columns if c != "key"))
-    apart = (F.col("a") > F.col("b")) & (F.col("a_component") != F.col("b_component"))
-    rest = named("a").join(named("b"), "key").where(apart & _near(percent)).select("a", "b").distinct()
-    rest = shared.settle(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, id_column, text, percent)
-        links = links.union(more).union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = components.components(links)
-
-    reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = shared.settle(reps.select("set_key", "n", F.coalesce("component", "rep").alias("component_id")), "class-components")
+    classes = shared.settle(classes.withColumn("class", F.xxhash64("set_key")), "classes")
+    found = similar_classes(classes, docs, id_column, text, percent)
+    joined = classes.join(found, "class", "left").select("set_key", "n", "rep", F.coalesce("component", "class").alias("component"))
+    joined = shared.settle(joined, "joined-classes")
+    first = shared.settle(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
+    reps = shared.settle(joined.join(first, "component").select("set_key", F.col("n").alias("n_shingles"), "component_id"), "class-components")
     own = F.col(id_column)
-    judged = rows.select(id_column, "text_key", "n_shingles", "set_key").join(
-        reps.withColumnRenamed("n", "n_shingles"), ["set_key", "n_shingles"], "left"
-    )
+    judged = rows.select(id_column, "text_key", "n_shingles", "set_key").join(reps, ["set_key", "n_shingles"], "left")
     component = F.when(own.isNotNull(), F.coalesce("component_id", own))
     kept = F.coalesce(own == component, F.lit(True))
     return judged.select(id_column, "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key")
@@ -221,12 +253,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one document of each group of near-duplicates, and repeated rows (id and text) once."""
     judged = shared.settle(near_duplicates(docs, id_column, text, percent), "judged")
-    gone = judged.where("NOT kept").select(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same_id, same_text = texts.fresh(docs, "same_id"), texts.fresh(docs, "same_text")
+    gone = judged.where("NOT kept").select(F.col(id_column).alias(same_id), F.col("text_key").alias(same_text)).distinct()
     again = judged.where(F.col(id_column).isNotNull()).groupBy(id_column, "text_key").count().where("count > 1")
-    again = shared.settle(again.select(F.col(id_column).alias("__id")).distinct(), "repeated-ids")
-    same = (F.col(id_column) == F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
+    again = shared.settle(again.select(F.col(id_column).alias(same_id)).distinct(), "repeated-ids")
+    same = (F.col(id_column) == F.col(same_id)) & (F.xxhash64(text) == F.col(same_text))
     rest = docs.join(F.broadcast(gone) if gone.count() <= PICKED else gone, same, "left_anti")
     if again.isEmpty():
         return rest
-    repeated = F.col(id_column) == F.col("__id")
+    repeated = F.col(id_column) == F.col(same_id)
     return rest.join(again, repeated, "left_anti").union(rest.join(again, repeated, "left_semi").dropDuplicates([id_column, text]))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclewise import shared
+from cyclewise.llm import texts
 
 # Candidate keys that may be sent to all executors; more are joined.
 SENT_KEYS = 1 << 20
@@ -179,30 +180,30 @@ def _worth(text: Column, rule: Rule) -> Column:
     return F.lit(True)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: array of (start, end, kind), by start and then in the order of the rules.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "spans") -> DataFrame:
+    """``docs`` with one more column, ``name``: array of (start, end, kind), by start and then in the order of the rules.
 
     Matches are leftmost and non-overlapping for each rule; those that are too short are dropped after matching. A null or
-    empty text has none. Repeated rows stay as they are. Columns called ``spans``, ``__key`` or ``__rules`` are replaced. The work on one
-    text grows with the square of its matches, not of its length.
+    empty text has none. Repeated rows stay as they are, and a column already called ``name`` is replaced; others, whatever they are
+    called, are passed on. The work on one text grows with the square of its matches, not of its length.
     """
     indexed = {i for i, r in enumerate(rules) if trigram_query(r.pattern) != ALWAYS}
     found = candidates(docs, rules, text)
     if found.count() <= SENT_KEYS:
         found = F.broadcast(found)
-    rows = docs.drop("spans", "__rules").withColumn("__key", F.xxhash64(_body(text)))
-    rows = rows.join(found.withColumnRenamed("text_key", "__key"), "__key", "left")
+    key, may = texts.fresh(docs, "key"), texts.fresh(docs, "rules")
+    rows = docs.withColumn(key, F.xxhash64(_body(text))).join(found.select(F.col("text_key").alias(key), F.col("__rules").alias(may)), key, "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
     parts = []
     for i, rule in enumerate(rules):
-        due = F.coalesce(F.col("__rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False)) if i in indexed else _worth(_body(text), rule)
+        due = F.coalesce(F.col(may).bitwiseAND(F.lit(1 << i)) != 0, F.lit(False)) if i in indexed else _worth(_body(text), rule)
         parts.append(F.when(due, _spans(_body(text), rule, i)).otherwise(none))
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     named = F.transform(
         F.array_sort(F.concat(*parts)),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["order"]).alias("kind")),
     )
-    return rows.withColumn("spans", named).drop("__key", "__rules")
+    return rows.withColumn(name, named).select(*(c for c in docs.columns if c != name), name)
 
 
 def written(spans: Column) -> Column:

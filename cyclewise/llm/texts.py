@@ -38,6 +38,14 @@ class Memo(dict):
         return value
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``frame`` is called that."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_texts(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """The named columns of ``docs``, to be sent to workers in small batches."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -1,0 +1,117 @@
+"""Leaked test items: block-max WAND against scores of all parts, and planted passages."""
+
+import random
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cyclewise.llm import decontaminate
+
+NAMES = [f"word{i}" for i in range(60)]
+
+
+def scores(index, terms):
+    """Every part's score, from the postings of all blocks."""
+    out = Counter()
+    for block in index.postings:
+        for t in terms & block.keys():
+            for part, weight in block[t]:
+                out[part] += weight
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 1 << 30), st.sampled_from([0.2, 0.5, 0.6, 0.9]))
+def test_everything_above_the_threshold_is_retrieved(seed, threshold):
+    draw = random.Random(seed)
+    pick = lambda n: " ".join(draw.choice(NAMES[: draw.choice([5, 20, 60])]) for _ in range(n))
+    index = decontaminate.Index([(i, pick(draw.randint(1, 90))) for i in range(40)])
+    terms = {index.vocabulary.get(w, len(index.vocabulary)) for w in pick(40).split()}
+    want = {p: s for p, s in scores(index, terms).items() if s >= threshold}
+    got = {p: s for b in range(len(index.commons)) for p, s in index.retrieve(terms, b, threshold)}
+    assert got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_bounds_hold(seed):
+    draw = random.Random(seed)
+    pick = lambda n: [draw.choice(NAMES) for _ in range(n)]
+    index = decontaminate.Index([(i, " ".join(pick(draw.randint(1, 90)))) for i in range(30)])
+    ids = [index.vocabulary.get(w, len(index.vocabulary)) for w in pick(draw.randint(1, 400))]
+    import numpy as np
+
+    bounds = index.bounds(np.array(ids, dtype=np.uint32))
+    places = {p: b for b, block in enumerate(index.postings) for posts in block.values() for p, _ in posts}
+    for i, row in enumerate(bounds):
+        passage = set(ids[i * decontaminate.PART_WORDS : (i + 2) * decontaminate.PART_WORDS])
+        for part, score in scores(index, passage).items():
+            assert score <= row[places[part]] + 1e-4
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    draw = random.Random(5)
+    text = lambda n: " ".join(draw.choice(NAMES) + draw.choice(["", "x", "y", "z"]) for _ in range(n))
+    rows = [(i, text(40) + "\n" + text(10)) for i in range(20)] + [(20, text(300)), (21, None), (22, " \n"), (None, text(30)), (23, "yes")]
+    return spark.createDataFrame(rows, "item_id bigint, text string")
+
+
+def test_planted(spark, frame, items, edge_pairs):
+    texts = {r.item_id: r.text for r in items.collect() if r.item_id is not None}
+    draw = random.Random(6)
+    filler = lambda n: " ".join(f"f{draw.randint(0, 10**6)}" for _ in range(n))
+    edited = texts[3].split(" ")
+    edited[::17] = ["other"] * len(edited[::17])
+    planted = {
+        100: (f"{filler(1000)} {texts[1]} {filler(77)}", {1}),
+        101: (f"{filler(63)} {texts[2].upper().replace(' ', ',  ')} {filler(5)} {texts[4]}", {2, 4}),  # other case and marks
+        102: (" ".join(edited), {3}),
+        103: (filler(200000) + " " + texts[5], {5}),
+        104: (texts[6].split("\n")[0], set()),  # no answer
+        105: (f"{filler(30)} {texts[20]} {filler(200)}", {20}),
+        106: (" ".join(sorted(texts[7].split())), set()),  # the words, in another order
+        107: (texts[8] + " " + texts[8], {8}),
+        108: ("Yes.", {23}),
+    }
+    docs = frame([*((i, t) for i, (t, _) in planted.items()), *edge_pairs])
+    found = decontaminate.find_leaks(docs, items, "doc_id").collect()
+    want = {(i, item) for i, (_, held) in planted.items() for item in held}
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+    assert all(0.6 <= r.score <= 1.0001 and r.question_overlap >= 0.5 and r.answer_overlap >= 0.5 for r in found)
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*(str(i) for i, (_, h) in planted.items() if not h), *(str(i) for i, _ in edge_pairs)])
+
+
+def test_several_indexes(spark, frame, items):
+    text = items.where("item_id = 9").head().text
+    docs = frame([(1, text)])
+    assert len(decontaminate.indexes(items, most=1000)) > 1
+    leaks = [x for index in decontaminate.indexes(items, most=1000) for x in decontaminate.Searcher(index).leaks(text)]
+    assert [x[0] for x in leaks] == [9]
+    assert decontaminate.find_leaks(docs, items, "doc_id").count() == 1
+
+
+def test_nothing(spark, frame, items):
+    assert decontaminate.find_leaks(frame([]), items, "doc_id").collect() == []
+    assert decontaminate.find_leaks(frame([(1, "word1")]), items.limit(0), "doc_id").collect() == []
+    assert decontaminate.clean(frame([(1, None)]), items.limit(0)).count() == 1
+
+
+def test_whole_table(spark, small):
+    """Every document that holds half of an item's five-word shingles, and no other."""
+    from cyclewise.llm import queries
+
+    split = lambda t: [w for w in map(decontaminate.term, (t or "").split()) if w]
+    grams = lambda ws: set(zip(*(ws[i:] for i in range(5))))
+    tests = {r.item_id: grams(split(r.text)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    want = set()
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        own = grams(split(r.text))
+        want |= {(r.doc_id, i) for i, t in tests.items() if len(t & own) >= 0.5 * len(t)}
+    got = queries.queries()["op5_decontamination"](spark, small).collect()
+    assert want and {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)

@@ -1,0 +1,96 @@
+"""Token files against the tokenizers library, and the index against a dict."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from cyclewise.llm import token_files
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+PIECES = ["a", " ", "\n", "  ", "É", "é", "İ", "Σ", "ς", "J̌", "K", "²", "\u0085", " ", "\x1c", "🙂", "S'", "ll", ".", "<|endoftext|>",
+          "<|ENDOFTEXT|>", "<|startoftext|>", "01", "́", "The", "tion", "中"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return token_files.LibraryEncoder(PATH, entries=50)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=20).map("".join), max_size=8))
+def test_ids_are_the_library_s(library, encoder, batch):
+    want = [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
+    assert [np.frombuffer(p, dtype="<u4").tolist() for p in encoder.packed(batch)] == want
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(-(1 << 63), (1 << 63) - 1), max_size=300))
+def test_perfect_hash(keys):
+    keys = np.array(sorted(keys), dtype=np.int64)
+    numbers = np.arange(len(keys))
+    index = token_files.PerfectHash.load(token_files.PerfectHash.build(keys, numbers, numbers + 1).dump())
+    assert sorted(index.places(keys).tolist()) == numbers.tolist()  # minimal: no gap, no collision
+    first, run = index.find(keys)
+    assert first.tolist() == numbers.tolist() and run.tolist() == (numbers + 1).tolist()
+    others = np.setdiff1d(np.arange(1000, dtype=np.int64), keys)
+    assert (index.find(others)[0] >= 0).sum() <= 1  # 32-bit fingerprints
+
+
+def test_repeated_keys_are_refused():
+    with pytest.raises(ValueError):
+        token_files.PerfectHash.build(np.array([5, 5]), np.array([0, 1]), np.array([1, 1]))
+
+
+def expected(pairs, library):
+    out, start = [], 0
+    for i, t in pairs:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_written_and_read(spark, frame, edge_pairs, library, tmp_path, monkeypatch, small):
+    if small:  # many shards and blocks
+        monkeypatch.setattr(token_files, "SHARD_ROWS", 4)
+        monkeypatch.setattr(token_files, "BLOCK_DOCS", 2)
+        monkeypatch.setattr(token_files, "DIRECTORY_BLOCKS", 3)
+    path = str(tmp_path / "files")
+    token_files.write(frame(edge_pairs), path, PATH, end_id=2)
+    got = [tuple(r) for r in token_files.read_back(spark, path).collect()]
+    # Ties stand in the order of their texts' hashes: compare starts without ids.
+    rank = lambda p: (p[0] is not None, p[0] or 0)
+    want = expected(sorted(edge_pairs, key=rank), library)
+    assert sorted((str(r[0]), r[2], r[3]) for r in got) == sorted((str(r[0]), r[2], r[3]) for r in want)
+    ends = sorted((r[1], r[1] + r[2]) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    assert [r[0] for r in sorted(got, key=lambda r: r[1])] == [p[0] for p in sorted(edge_pairs, key=rank)]
+    keys = spark.createDataFrame([(7,), (7,), (1 << 40,), (-3,), (77,), (None,)], "doc_id bigint")
+    found = sorted((r.doc_id, len(r.ids)) for r in token_files.lookup(keys, path).collect())
+    assert found == sorted((r[0], r[2]) for r in want if r[0] in (7, 1 << 40, -3))
+
+
+def test_no_documents(spark, frame, tmp_path):
+    path = str(tmp_path / "files")
+    token_files.write(frame([]), path, PATH, end_id=2)
+    assert token_files.read_back(spark, path).collect() == []
+    assert token_files.lookup(spark.createDataFrame([(7,)], "doc_id bigint"), path).collect() == []
+
+
+def test_whole_table(spark, small, library):
+    from cyclewise.llm import queries
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    rows = queries.queries()["op3_token_files"](spark, small).collect()
+    assert sorted(map(tuple, rows)) == sorted(expected([tuple(d) for d in docs], library))
