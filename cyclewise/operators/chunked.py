@@ -5,6 +5,8 @@ run on a single task. Here an ordered key is cut into chunks along its order; ea
 (with map-side combine), the summaries, of which there is one row per chunk, are accumulated along the
 key, and the accumulated value is joined back to the rows of the chunk. The result is exact for every
 choice of chunk expression that grows with the order; the choice only decides how even the tasks are.
+
+Rows are counted per key first. Where no key is hot, a plain window does the work: one read and one shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cyclewise import config
+from cyclewise import config, shared
 
 CHUNK = "_chunk"
 SLICES = 1024
@@ -34,21 +36,33 @@ def slice_of(x: Column, cuts: Column, slices: int = SLICES) -> Column:
     )
 
 
-def assign_chunk(df: DataFrame, key: Sequence[str], chunk: Column, hot_rows: int | None = None) -> DataFrame:
-    """Add the chunk number to the rows of keys with more than ``hot_rows`` rows; null for the other keys.
+def key_counts(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``(key..., _n)``, kept in the shared folder: one read of the key columns, with map-side combine."""
+    return shared.settle(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+
+
+def hot_keys(df: DataFrame, key: Sequence[str], hot_rows: int | None = None, counts: DataFrame | None = None) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows (null is a key like others), or None when there are none.
 
-    At most ``total rows / hot_rows`` keys can be hot, so the broadcast list stays small at any size.
+    ``counts`` may be given where they are known; else the rows are counted when this is called.
     """
-    hot_rows = config.HOT_ROWS if hot_rows is None else hot_rows
-    hot = (
-        df.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*[F.col(c).alias(f"_hot_{c}") for c in key], F.lit(True).alias("_hot"))
-    )
-    same_key = [F.col(c) == F.col(f"_hot_{c}") for c in key]
+    counts = key_counts(df, key) if counts is None else counts
+    hot = shared.settle(counts.where(F.col("_n") > (config.HOT_ROWS if hot_rows is None else hot_rows)).select(*key), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def _same(left: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in left]
+
+
+def assign_chunk(df: DataFrame, key: Sequence[str], chunk: Column, hot: DataFrame) -> DataFrame:
+    """Add the chunk number to the rows of the hot keys; null for the other keys.
+
+    The list of hot keys is read from the shared folder, so that its true size decides how it is joined.
+    """
+    marked = hot.select(*[F.col(c).alias(f"_hot_{c}") for c in key], F.lit(True).alias("_hot"))
     return (
-        df.join(F.broadcast(hot), same_key, "left")
+        df.join(marked, _same(key, "_hot_"), "left")
         .withColumn(CHUNK, F.when(F.col("_hot"), chunk))
         .drop("_hot", *[f"_hot_{c}" for c in key])
     )
@@ -62,8 +76,7 @@ def _chunk_summary(rows: DataFrame, key: Sequence[str], summary: Column) -> Data
 def _join_summary(df: DataFrame, summary: DataFrame, key: Sequence[str]) -> DataFrame:
     """Bring ``_before`` to the rows; the shuffle on key and chunk, if any, also serves the window that follows."""
     renamed = summary.select(*[F.col(c).alias(f"_k_{c}") for c in (*key, CHUNK)], "_before")
-    same = [F.col(c) == F.col(f"_k_{c}") for c in (*key, CHUNK)]
-    return df.join(renamed, same, "left").drop(*[f"_k_{c}" for c in (*key, CHUNK)])
+    return df.join(renamed, _same((*key, CHUNK), "_k_"), "left").drop(*[f"_k_{c}" for c in (*key, CHUNK)])
 
 
 def with_ordinal(
@@ -73,9 +86,13 @@ def with_ordinal(
     chunk: Column,
     name: str,
     hot_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... along ``order``."""
-    rows = assign_chunk(df, key, chunk, hot_rows)
+    hot = hot_keys(df, key, hot_rows, counts)
+    if hot is None:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long"))
+    rows = assign_chunk(df, key, chunk, hot)
     earlier = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     counts = _chunk_summary(rows, key, F.count(F.lit(1)))
     offsets = counts.withColumn("_before", F.sum("_part").over(earlier))
@@ -94,7 +111,11 @@ def with_running_max(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Add the largest ``value`` among all strictly earlier rows of the key (null for the first)."""
-    rows = assign_chunk(df, key, chunk, hot_rows)
+    hot = hot_keys(df, key, hot_rows)
+    if hot is None:
+        before = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn(name, F.max(value).over(before))
+    rows = assign_chunk(df, key, chunk, hot)
     earlier = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     peaks = _chunk_summary(rows, key, F.max(value)).withColumn("_before", F.max("_part").over(earlier))
     inside = W.partitionBy(*key, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -112,7 +133,10 @@ def with_previous(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Add ``value`` of the row just before along ``order`` (null for the first row of the key)."""
-    rows = assign_chunk(df, key, chunk, hot_rows)
+    hot = hot_keys(df, key, hot_rows)
+    if hot is None:
+        return df.withColumn(name, F.lag(value).over(W.partitionBy(*key).orderBy(*order)))
+    rows = assign_chunk(df, key, chunk, hot)
     by_chunk = W.partitionBy(*key).orderBy(CHUNK)
     last = _chunk_summary(rows, key, F.max_by(value, F.struct(*order)))
     last = last.withColumn("_before", F.lag("_part").over(by_chunk))
@@ -126,10 +150,11 @@ def with_previous(
 
 
 def with_global_ordinal(df: DataFrame, order: Sequence[Column], bucket: Column, name: str) -> DataFrame:
-    """Number all rows 1, 2, ... along ``order``; ``bucket`` grows with the order and has few values."""
+    """Number all rows 1, 2, ... along ``order``; ``bucket`` grows with the order and has few values, null first."""
     rows = df.withColumn(CHUNK, bucket)
-    earlier = W.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    offsets = _chunk_summary(rows, [], F.count(F.lit(1))).withColumn("_before", F.sum("_part").over(earlier))
+    earlier = W.orderBy(F.asc_nulls_first(CHUNK)).rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_part"))
+    offsets = counts.withColumn("_before", F.sum("_part").over(earlier))
     number = F.coalesce("_before", F.lit(0)) + F.row_number().over(W.partitionBy(CHUNK).orderBy(*order))
     return _join_summary(rows, offsets, []).withColumn(name, number.cast("long")).drop("_before", CHUNK)
 

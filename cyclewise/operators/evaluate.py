@@ -173,8 +173,10 @@ def error_by_bin(errors: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed; empty bins are listed with 0.
 
-    A column with a single value gets bins of total width 1 around it.
+    A column with a single value gets bins of total width 1 around it. Null, NaN and infinite values are left out.
     """
+    x = F.col(column).cast("double")
+    df = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     limits = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
     limits = shared.settle(limits, "limits")
     flat = F.col("lo") == F.col("hi")
@@ -184,7 +186,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
     lo, width = limits.select("lo").scalar(), limits.select("width").scalar()
     slot = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int")
-    counts = df.where(F.col(column).isNotNull()).groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
     spine = limits.select("lo", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return spine.join(counts, F.col("bin") == F.col("_slot"), "left").select(
         "bin",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cyclewise import shared
+from cyclewise.operators import chunked
 
 
 def step_of(ts: Column, step: int) -> Column:
@@ -21,15 +22,20 @@ def step_of(ts: Column, step: int) -> Column:
 
 
 def counts_on_grid(df: DataFrame, ts: Column, step: int, label: Column | None = None) -> DataFrame:
-    """``(label, step, n)`` for every step between the first and the last of the whole input, 0 where empty."""
+    """``(label, step, n)`` for every step between the first and the last of the whole input, 0 where empty.
+
+    Null is a label like others. An event without a time has no step and can't be counted on one.
+    """
     name = F.lit("all") if label is None else label
-    counts = df.groupBy(name.alias("label"), step_of(ts, step).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(ts.isNotNull()).groupBy(name.alias("label"), step_of(ts, step).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     counts = shared.settle(counts, "grid")
     span = counts.agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     labels = counts.select("label").distinct()
     spine = labels.select("label", F.explode(F.sequence(lo, hi, F.lit(step).cast("long"))).alias("step"))
-    return spine.join(counts, ["label", "step"], "left").select("label", "step", F.coalesce("n", F.lit(0)).alias("n"))
+    found = counts.select(F.col("label").alias("_label"), F.col("step").alias("_step"), "n")
+    same = F.col("label").eqNullSafe(F.col("_label")) & (F.col("step") == F.col("_step"))
+    return spine.join(found, same, "left").select("label", "step", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def range_rate(grid: DataFrame, span: int) -> DataFrame:
@@ -47,6 +53,37 @@ def instant_rate(grid: DataFrame) -> DataFrame:
     return total.withColumn("irate", F.try_divide(grown.cast("double"), seconds))
 
 
+def increases(samples: DataFrame, key: Sequence[str], order: Sequence[str], value: str = "value", ts: str = "ts") -> DataFrame:
+    """By how much a cumulative counter has grown since the sample before: ``increase`` and ``since`` (seconds).
+
+    ``key`` is one series, ``order`` the order of its samples. A value below the one before is a reset: the counter has
+    grown by the value itself. The first sample of a series has no increase; samples without a value are left out.
+    """
+    known = samples.where(F.col(value).isNotNull()).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    hour = F.floor(F.col("_at") / 3_600_000_000).cast("long")
+    told = known.withColumn("_both", F.struct(F.col(value).alias("value"), F.col("_at").alias("at")))
+    before = chunked.with_previous(told, key, order, hour, "_both", "_before")
+    grown = F.when(F.col(value) >= F.col("_before.value"), F.col(value) - F.col("_before.value")).otherwise(F.col(value))
+    return before.where(F.col("_before").isNotNull()).select(
+        *samples.columns, grown.alias("increase"), ((F.col("_at") - F.col("_before.at")) / F.lit(1_000_000.0)).alias("since")
+    )
+
+
+def counter_rate(grown: DataFrame, key: Sequence[str], step: int, span: int, ts: str = "ts") -> DataFrame:
+    """Per series and step with samples: increase per second over the ``span`` seconds that end there."""
+    sums = grown.groupBy(*key, step_of(F.col(ts), step).alias("step")).agg(F.sum("increase").alias("_sum"))
+    frame = W.partitionBy(*key).orderBy("step").rangeBetween(-(span - 1), 0)
+    return sums.select(*key, "step", (F.sum("_sum").over(frame) / F.lit(float(span))).alias("rate"))
+
+
+def counter_irate(grown: DataFrame, key: Sequence[str], order: Sequence[str], step: int, ts: str = "ts") -> DataFrame:
+    """Per series and step with samples: rate between the last two samples up to there."""
+    last = F.max_by(F.struct("increase", "since"), F.struct(*order)).alias("_l")
+    return grown.groupBy(*key, step_of(F.col(ts), step).alias("step")).agg(last).select(
+        *key, "step", F.try_divide(F.col("_l.increase").cast("double"), F.col("_l.since")).alias("irate")
+    )
+
+
 def rate_over_all(grid: DataFrame, span: int) -> DataFrame:
     """Sum of the labels' rates at each step; the grid has every label at every step, so nothing is missing."""
     return range_rate(grid, span).groupBy("step").agg(F.sum("rate").alias("rate"))
@@ -56,13 +93,15 @@ def bucket_counts(df: DataFrame, value: Column, bounds: Sequence[float], *by: Co
     """Cumulative histogram ``(by..., le, cum_count)`` over the fixed bounds and +Inf.
 
     Each observation is put into its own bucket and counted once; the running sum over the few buckets follows.
+    Null and NaN aren't observations.
     """
     slot = F.lit(len(bounds))
     for i in reversed(range(len(bounds))):
         slot = F.when(value <= float(bounds[i]), i).otherwise(slot)
     keys = [c.alias(f"_by{i}") for i, c in enumerate(by)]
     names = [f"_by{i}" for i in range(len(by))]
-    counted = df.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    observed = df.where(value.isNotNull() & ~F.isnan(value.cast("double")))
+    counted = observed.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
     filled = counted.groupBy(*names).agg(
         *[F.sum(F.when(F.col("_slot") <= i, F.col("_n")).otherwise(0)).alias(f"_c{i}") for i in range(len(bounds) + 1)]
     )

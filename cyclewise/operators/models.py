@@ -24,7 +24,9 @@ NOT_FEATURES = ("unit", "cycle", "label", "split", "y", "weight", "engine_id")
 def training_rows(features: DataFrame, split: DataFrame, clip: float = config.RUL_CLIP) -> DataFrame:
     """Window features with their unit's split, the scaled target and the sample weight."""
     y = transform.target_scaled(F.col("label"), clip).cast("double")
-    return features.join(shared.settle(split, "split"), "unit").withColumn("y", y).withColumn("weight", transform.sample_weight(F.col("y")))
+    parts = shared.settle(split.withColumnRenamed("unit", "_unit"), "split")
+    rows = features.join(parts, F.col("unit").eqNullSafe(F.col("_unit"))).drop("_unit")
+    return rows.withColumn("y", y).withColumn("weight", transform.sample_weight(F.col("y")))
 
 
 def train(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = config.SPLIT_SEED) -> PipelineModel:

@@ -68,6 +68,7 @@ def audit_records(predictions: DataFrame, at: Column, latency_ms: Column) -> Dat
         F.col("remaining_cycles").alias("rul"),
         F.col("failure_risk").alias("risk"),
         "risk_level",
+        "confidence",
         latency_ms.alias("latency_ms"),
     )
 

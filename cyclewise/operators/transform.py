@@ -48,10 +48,10 @@ def add_rul(
 
 
 def with_life(df: DataFrame, unit: str, cycle: str, life: DataFrame | None = None) -> DataFrame:
-    """Join each unit's life. The lives are computed when this is called, see ``shared.settle``."""
+    """Join each unit's life; rows without a unit count as one unit. The lives are computed when this is called."""
     lives = unit_life(df, unit, cycle) if life is None else life
     lives = shared.settle(lives.select(F.col(unit).alias("_unit"), "life"), "life")
-    return df.join(lives, F.col(unit) == F.col("_unit")).drop("_unit")
+    return df.join(lives, F.col(unit).eqNullSafe(F.col("_unit"))).drop("_unit")
 
 
 def truth_by_position(units: DataFrame, truth: DataFrame) -> DataFrame:
@@ -125,13 +125,14 @@ def check_bounds(bounds: DataFrame, sensors: Sequence[str] = config.SENSORS) ->
 
 
 def scale_per_group(df: DataFrame, group: str, sensors: Sequence[str]) -> DataFrame:
-    """Min-max scale within each operating condition; the bounds are one row per condition."""
+    """Min-max scale within each operating condition (null is one too); the bounds are one row per condition."""
     bounds = df.groupBy(group).agg(
         *[F.min(s).cast("double").alias(f"_lo_{s}") for s in sensors],
         *[F.max(s).cast("double").alias(f"_hi_{s}") for s in sensors],
     )
     scaled = {s: S.min_max(F.col(s).cast("double"), F.col(f"_lo_{s}"), F.col(f"_hi_{s}")) for s in sensors}
-    return df.join(shared.settle(bounds, "bounds"), group).withColumns(scaled).drop(*bounds.columns[1:])
+    bounds = shared.settle(bounds.withColumnRenamed(group, "_group"), "bounds")
+    return df.join(bounds, F.col(group).eqNullSafe(F.col("_group"))).withColumns(scaled).drop(*bounds.columns)
 
 
 def target_scaled(label: Column, clip: float = config.RUL_CLIP) -> Column:
@@ -148,14 +149,14 @@ def group_split(
     share: float = config.VALIDATION_SHARE,
     seed: int = config.SPLIT_SEED,
 ) -> DataFrame:
-    """One row per unit with ``split``: exactly ceil(share * units) units are 'val', the rest 'train'.
+    """One row per unit (null is one too) with ``split``: exactly ceil(share * units) units are 'val', the rest 'train'.
 
     Units are ranked by a seeded hash. The first four hex digits cut the ranking into 65,536 even slices, so
     no task sees more than a sliver of the units.
     """
     units = shared.settle(df.select(unit).distinct(), "units")
     total = units.agg(F.count(F.lit(1)).alias("n")).scalar()
-    keyed = units.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string")).cast("binary")))
+    keyed = units.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(unit).cast("string"), F.lit(""))).cast("binary")))
     bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("long")
     ranked = chunked.with_global_ordinal(keyed, [F.col("_h"), F.col(unit)], bucket, "_rank")
     return ranked.select(

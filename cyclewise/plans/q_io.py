@@ -124,14 +124,17 @@ def sink_metadata(v: Fleet) -> DataFrame:
 @query(
     "audit_log",
     """SELECT engine_id, 'Prediction completed' AS message, remaining_cycles AS rul, failure_risk AS risk, risk_level,
+              round_even(greatest(0e0, least(1e0, 1e0 - k / 1e3)), 3) AS confidence,
               risk_level <> 'CRITICAL' AS has_latency FROM graded""",
 )
 def audit_log(v: Fleet) -> DataFrame:
     """One JSON line per prediction; a prediction without a latency has no such field."""
     latency = F.when(F.col("risk_level") != "CRITICAL", F.col("k") / 10)
     path = shared.scratch(v.spark, "audit")
-    tables.write_audit(scoring.audit_records(v.graded, F.col("ts"), latency), path)
-    schema = "engine_id string, message string, rul int, risk double, risk_level string"
+    # Two sampled scores that lie k / 10,000 above and below the prediction.
+    _, confidence = scoring.confidence_of(F.array(v.score() - F.col("k") / 10_000, v.score() + F.col("k") / 10_000))
+    tables.write_audit(scoring.audit_records(v.graded.withColumn("confidence", confidence), F.col("ts"), latency), path)
+    schema = "engine_id string, message string, rul int, risk double, risk_level string, confidence double"
     raw = v.spark.read.text(path)
     parsed = raw.select(F.from_json("value", schema).alias("r"), F.col("value").contains("latency_ms").alias("has_latency"))
     return parsed.select("r.*", "has_latency")

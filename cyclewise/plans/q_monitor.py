@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclewise import config
-from cyclewise.operators import drift, metrics
+from cyclewise.operators import drift, metrics, transform
 from cyclewise.plans.registry import query
 from cyclewise.plans.views import TELEMETRY_SENSORS, Fleet
 
@@ -266,3 +266,110 @@ def ratio_alert(v: Fleet) -> DataFrame:
         v.base(), F.col("ts"), F.col("event_type"), F.col("value"), F.col("k"), 0.4, 43200, 21600
     )
     return found.select("label", "step", F.round("ratio", 6).alias("ratio"))
+
+
+_STEP_SQL = "CAST(ceil(epoch_us(ts) / 3600e6) * 3600 AS BIGINT)"
+_GROWN_SQL = f"""
+  SELECT event_type, instance, ts, event_id, {_STEP_SQL} AS step,
+         CASE WHEN value >= before THEN value - before ELSE value END AS increase,
+         (epoch_us(ts) - epoch_us(ts_before)) / 1e6 AS since
+  FROM (SELECT *, user_id % 5 AS instance, lag(value) OVER w AS before, lag(ts) OVER w AS ts_before FROM events
+        WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type, user_id % 5 ORDER BY ts, event_id))
+  WHERE before IS NOT NULL"""
+_COUNTER_SQL = f"""
+  SELECT event_type, instance, step,
+         sum(total) OVER (PARTITION BY event_type, instance ORDER BY step RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW) / 7200e0 AS rate
+  FROM (SELECT event_type, instance, step, sum(increase) AS total FROM ({_GROWN_SQL}) GROUP BY ALL)"""
+_SERIES = ["event_type", "instance"]
+
+
+def _grown(v: Fleet) -> DataFrame:
+    """The readings as samples of a counter for each type and instance; every fall is a reset."""
+    samples = v.table("events").select("event_type", (F.col("user_id") % 5).alias("instance"), "ts", "event_id", "value")
+    return metrics.increases(samples, _SERIES, ["ts", "event_id"])
+
+
+@query("counter_rate", f"SELECT event_type, instance, step, round(rate * 7200, 3) AS two_hours FROM ({_COUNTER_SQL})")
+def counter_rate(v: Fleet) -> DataFrame:
+    """Rate over two hours, by the hour; told for the two hours, as the readings have two decimals."""
+    rates = metrics.counter_rate(_grown(v), _SERIES, 3600, 7200)
+    return rates.select(*_SERIES, "step", F.round(F.col("rate") * 7200, 3).alias("two_hours"))
+
+
+@query(
+    "counter_irate",
+    f"""SELECT event_type, instance, step, round(arg_max(increase / since, (ts, event_id)), 6) AS irate
+        FROM ({_GROWN_SQL}) WHERE since > 0 GROUP BY ALL""",
+)
+def counter_irate(v: Fleet) -> DataFrame:
+    """Rate between the last two samples of each hour that are apart in time."""
+    apart = _grown(v).where("since > 0")
+    return metrics.counter_irate(apart, _SERIES, ["ts", "event_id"], 3600).withColumn("irate", F.round("irate", 6))
+
+
+@query("avg_rate_by_label", f"SELECT event_type, step, round(avg(rate * 7200), 6) AS two_hours FROM ({_COUNTER_SQL}) GROUP BY ALL")
+def avg_rate_by_label(v: Fleet) -> DataFrame:
+    """Mean over the instances that have samples."""
+    rates = metrics.counter_rate(_grown(v), _SERIES, 3600, 7200)
+    return rates.groupBy("event_type", "step").agg(F.round(F.avg(F.col("rate") * 7200), 6).alias("two_hours"))
+
+
+_HOLES_SQL = """(
+  SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type, ts,
+         CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS value,
+         CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS unit, event_id AS cycle FROM events)"""
+
+
+def _holes(v: Fleet) -> DataFrame:
+    """Events of which some lack the type, the value or the unit."""
+    value = F.when(F.col("event_id") % 5 != 0, F.when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("value")))
+    return v.table("events").select(
+        F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("event_type"),
+        "ts",
+        value.alias("value"),
+        F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("unit"),
+        F.col("event_id").alias("cycle"),
+    )
+
+
+@query(
+    "nulls_histogram",
+    f"""SELECT event_type, CAST(le AS VARCHAR) AS le, count(*) FILTER (value <= le) AS cum_count
+        FROM (SELECT * FROM {_HOLES_SQL} WHERE value IS NOT NULL AND NOT isnan(value)), (SELECT CAST(b AS DOUBLE) AS le FROM (VALUES {_BOUNDS}) AS t(b))
+        GROUP BY event_type, le""",
+)
+def nulls_histogram(v: Fleet) -> DataFrame:
+    """Null and NaN aren't observed; a null label is one."""
+    found = metrics.bucket_counts(_holes(v), F.col("value"), config.RUL_BUCKETS, F.col("event_type"))
+    le = F.when(F.col("le") == float("inf"), "inf").otherwise(F.col("le").cast("string"))
+    return found.withColumnRenamed("_by0", "event_type").withColumn("le", le)
+
+
+@query(
+    "nulls_grid",
+    f"""SELECT event_type AS label, CAST(count(*) AS BIGINT) AS n FROM {_HOLES_SQL} GROUP BY event_type""",
+)
+def nulls_grid(v: Fleet) -> DataFrame:
+    """All events are found again on the grid, those without a label too."""
+    grid = metrics.counts_on_grid(_holes(v), F.col("ts"), 3600, F.col("event_type"))
+    return grid.groupBy("label").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "nulls_rul",
+    f"""SELECT unit, cycle, least(max(cycle) OVER (PARTITION BY unit) - cycle, 125) AS RUL FROM {_HOLES_SQL}""",
+)
+def nulls_rul(v: Fleet) -> DataFrame:
+    """Rows without a unit are labelled as one unit."""
+    return transform.add_rul(_holes(v).select("unit", "cycle"))
+
+
+@query(
+    "nulls_split",
+    f"""SELECT unit, CASE WHEN row_number() OVER (ORDER BY md5('42:' || coalesce(CAST(unit AS VARCHAR), '')))
+                               <= ceil(0.2e0 * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split
+        FROM (SELECT DISTINCT unit FROM {_HOLES_SQL})""",
+)
+def nulls_split(v: Fleet) -> DataFrame:
+    """The exact share, with a null among the units."""
+    return transform.group_split(_holes(v))

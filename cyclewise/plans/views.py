@@ -7,6 +7,8 @@ supplier  -> positional truth
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,15 +144,26 @@ class Fleet:
             F.get_json_object("props", "$.k").cast("int").alias("k"),
         )
 
+    @cached_property
+    def unit_counts(self) -> DataFrame:
+        """Rows per unit of the telemetry, counted once for the hot keys and the lives."""
+        return chunked.key_counts(self.base(), ["unit"])
+
+    @cached_property
+    def line_counts(self) -> DataFrame:
+        """Rows per unit of the wide table."""
+        return chunked.key_counts(self._line_items(), ["unit"])
+
     @property
     def telemetry(self) -> DataFrame:
         minute = F.floor(F.col("event_time_ms") / 60_000)
-        return chunked.with_ordinal(self.base(), ["unit"], [F.col("ts"), F.col("arrival")], minute, "cycle")
+        order = [F.col("ts"), F.col("arrival")]
+        return chunked.with_ordinal(self.base(), ["unit"], order, minute, "cycle", counts=self.unit_counts)
 
     @property
     def telemetry_life(self) -> DataFrame:
         """Cycles are numbered from 1 without gaps, so a unit's life is its row count."""
-        return self.base().groupBy("unit").agg(F.count(F.lit(1)).alias("life"))
+        return self.unit_counts.select("unit", F.col("_n").alias("life"))
 
     def late(self, events: DataFrame | None = None) -> DataFrame:
         return self.base(events).withColumn("cycle", F.floor("value").cast("long"))
@@ -177,13 +190,13 @@ class Fleet:
         # Within a day the order keys are cut further; both parts grow with the order of the rows.
         part = F.least(F.shiftright("l_orderkey", 28), F.lit(65_535).cast("long"))
         numbered = chunked.with_ordinal(
-            self._line_items(), ["unit"], [F.col(c) for c in order], day * 65_536 + part, "cycle"
+            self._line_items(), ["unit"], [F.col(c) for c in order], day * 65_536 + part, "cycle", counts=self.line_counts
         )
         return numbered.drop(*order)
 
     @property
     def wide_life(self) -> DataFrame:
-        return self._line_items().groupBy("unit").agg(F.count(F.lit(1)).alias("life"))
+        return self.line_counts.select("unit", F.col("_n").alias("life"))
 
     def _line_items(self) -> DataFrame:
         return self.table("lineitem").select(

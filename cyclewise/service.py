@@ -2,7 +2,8 @@
 
 A call that took one request over the network takes a table of requests here. ``score`` is the model: it turns
 a column of flattened windows into normalised scores (``models.external_score`` makes one from any predictor,
-a plain expression will do as well).
+a plain expression will do as well). A model that gives several sampled scores per window is passed as ``samples``
+instead: the answer's score is their mean, and its confidence comes from their spread; without samples it is 1.
 """
 
 from __future__ import annotations
@@ -21,17 +22,18 @@ from cyclewise.sources import tables
 
 @dataclass(frozen=True)
 class FleetService:
-    score: Callable[[Column], Column]
+    score: Callable[[Column], Column] | None
     bounds: Mapping[str, tuple[float, float]]
     sensors: Sequence[str] = config.SENSORS
     size: int = config.WINDOW_SIZE
     version: str = "unknown"
+    samples: Callable[[Column], Column] | None = None
 
     def predict(self, requests: DataFrame) -> DataFrame:
         """``(engine_id, sensor_data array<array<float>>)``: scaled windows. A bad row gets an ``error``."""
         ok = S.has_shape(F.col("sensor_data"), self.size, len(self.sensors))
-        score = self._score_where(ok, F.flatten("sensor_data"))
-        answers = scoring.with_shape_errors(requests, "sensor_data", score, self.size, len(self.sensors))
+        scored = self._scored(requests, self._flat_where(ok, F.flatten("sensor_data")))
+        answers = scoring.with_shape_errors(scored, "sensor_data", F.col("_score"), self.size, len(self.sensors))
         return self._answer(answers)
 
     def predict_raw(self, requests: DataFrame) -> DataFrame:
@@ -39,17 +41,21 @@ class FleetService:
         raw = F.col("sensor_data")
         checked = requests.withColumn("error", scoring.raw_window_problem(raw, self.size, self.sensors))
         scaled = scoring.scale_raw_window(raw, self.bounds, self.sensors)
-        score = self._score_where(F.col("error").isNull(), F.flatten(scaled))
-        graded = scoring.grade(checked, score)
+        scored = self._scored(checked, self._flat_where(F.col("error").isNull(), F.flatten(scaled)))
+        graded = scoring.grade(scored, F.col("_score"))
         blank = {c: F.when(F.col("error").isNull(), F.col(c)) for c in ("remaining_cycles", "failure_risk", "risk_level")}
         return self._answer(graded.withColumns(blank))
 
     def predict_engines(self, store: DataFrame, now_ms: Column) -> DataFrame:
         """Every engine whose online vector is complete and not expired; its readings are scaled already."""
         live = tables.online_features(store, self.size, len(self.sensors), now_ms)
-        graded = scoring.grade(live, self.score(F.col("features")))
+        graded = scoring.grade(self._scored(live, F.col("features")), F.col("_score"))
         return self._answer(graded.withColumn("error", F.lit(None).cast("string")))
 
+    def predict_engine(self, store: DataFrame, now_ms: Column, engine_id: str) -> DataFrame:
+        """One engine's answer; no row when it isn't in the store, is incomplete or has expired."""
+        return self.predict_engines(store.where(F.col("engine_id") == engine_id), now_ms)
+
     def predict_buffered(self, readings: DataFrame) -> DataFrame:
         """``(engine_id, arrival, sensors)``: the last full window of each engine's raw readings."""
         accepted, _ = self.push(readings)
@@ -79,10 +85,17 @@ class FleetService:
     def drift(self, reference: DataFrame, current: DataFrame) -> DataFrame:
         return drift.drift_summary(reference, current, self.sensors)
 
-    def _score_where(self, ok: Column, flat: Column) -> Column:
+    def _flat_where(self, ok: Column, flat: Column) -> Column:
         """A Python model sees every row, so rows that are not to be scored hand it zeros of the right length."""
         zeros = F.array_repeat(F.lit(0.0).cast("float"), self.size * len(self.sensors))
-        return self.score(F.when(ok, flat.cast("array<float>")).otherwise(zeros))
+        return F.when(ok, flat.cast("array<float>")).otherwise(zeros)
+
+    def _scored(self, rows: DataFrame, flat: Column) -> DataFrame:
+        """Add ``_score`` and ``_confidence``."""
+        if self.samples is None:
+            return rows.withColumn("_score", self.score(flat)).withColumn("_confidence", F.lit(1.0))
+        mean, confidence = scoring.confidence_of(F.col("_samples"))
+        return rows.withColumn("_samples", self.samples(flat)).withColumns({"_score": mean, "_confidence": confidence})
 
     def _answer(self, graded: DataFrame) -> DataFrame:
         return graded.select(
@@ -90,6 +103,7 @@ class FleetService:
             "remaining_cycles",
             "failure_risk",
             "risk_level",
+            F.when(F.col("error").isNull(), F.col("_confidence")).alias("confidence"),
             F.current_timestamp().alias("timestamp"),
             F.lit(self.version).alias("model_version"),
             "error",

@@ -69,18 +69,38 @@ def event_from_tokens(
     positions: Sequence[int] = config.SENSOR_POSITIONS,
     width: int = config.RAW_TOKENS,
 ) -> DataFrame:
-    """Raw tokens to an event; lines with fewer than ``width`` tokens are left out."""
+    """Raw tokens to an event; lines that are too short or hold something else than numbers are left out.
+
+    ``rejected_tokens`` has those lines.
+    """
+    kept = lines.where(token_problem(positions, width).isNull())
     readings = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.get("tokens", F.lit(p)).cast("double") for p in positions])
+        F.array(*[F.lit(n) for n in names]), F.array(*[F.get("tokens", F.lit(p)).try_cast("double") for p in positions])
     )
-    return lines.where(F.size("tokens") >= width).select(
+    return kept.select(
         S.engine_id(F.get("tokens", F.lit(0))).alias("engine_id"),
-        F.get("tokens", F.lit(1)).cast("int").alias("cycle"),
+        F.get("tokens", F.lit(1)).try_cast("int").alias("cycle"),
         now_ms.cast("long").alias("event_time_ms"),
         readings.alias("sensors"),
     )
 
 
+def token_problem(positions: Sequence[int] = config.SENSOR_POSITIONS, width: int = config.RAW_TOKENS) -> Column:
+    """Why a line of tokens can't be an event, or null."""
+    whole = F.get("tokens", F.lit(1)).try_cast("int").isNotNull()
+    for p in positions:
+        whole = whole & F.get("tokens", F.lit(p)).try_cast("double").isNotNull()
+    return F.when(F.coalesce(F.size("tokens"), F.lit(0)) < width, "incomplete").when(~whole, "malformed")
+
+
+def rejected_tokens(
+    lines: DataFrame, positions: Sequence[int] = config.SENSOR_POSITIONS, width: int = config.RAW_TOKENS
+) -> DataFrame:
+    """Lines that ``event_from_tokens`` leaves out, for the quarantine: ``raw`` and ``reason``."""
+    found = lines.withColumn("reason", token_problem(positions, width)).where(F.col("reason").isNotNull())
+    return found.select(F.array_join("tokens", " ").alias("raw"), "reason")
+
+
 def subscribe(df: DataFrame, topic: str = "topic") -> DataFrame:
     return df.where(F.col(topic).rlike(config.TOPIC_PATTERN))
 

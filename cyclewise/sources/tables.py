@@ -15,7 +15,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_bronze(spark: SparkSession, sources: dict[str, str], bronze: str) -> dict[str, str]:
-    """Copy raw text inputs into the bronze area; an input that is already there is left alone.
+    """Copy raw text inputs into the bronze area; an input that is already there as a whole is left alone.
+
+    A folder without the mark of a finished write is left over from an aborted one and written anew.
 
     Bronze lines keep their place in the input as columns, because line order carries meaning and the order of
     copied files would not keep it.
@@ -23,10 +25,16 @@ def ingest_bronze(spark: SparkSession, sources: dict[str, str], bronze: str) ->
     targets = {}
     for name, uri in sources.items():
         targets[name] = f"{bronze}/{name}"
-        text.read_lines(spark, uri).write.mode("ignore").parquet(targets[name])
+        if not _is_complete(spark, targets[name]):
+            text.read_lines(spark, uri).write.mode("overwrite").parquet(targets[name])
     return targets
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_silver(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
