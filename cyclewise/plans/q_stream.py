@@ -15,8 +15,8 @@ from cyclewise.plans.views import HUNDREDTHS, READING_SENSORS, TELEMETRY_SENSORS
 from cyclewise.sources import events as E
 from cyclewise.streaming import jobs, sinks, state
 
-# Late telemetry keeps few rows per engine, so its windows are short.
-LATE_SIZE = 3
+# In the stream with late readings, every ninth one comes with a cycle number this far back.
+SET_BACK = 2_000
 BOUNDS = {"s2": (0.0, 100.0), "s3": (10.0, 90.0), "s4": (0.0, 23.0)}
 
 
@@ -39,19 +39,21 @@ def in_order(v: Fleet, events: DataFrame) -> DataFrame:
 
 
 def late(v: Fleet, events: DataFrame) -> DataFrame:
-    return reading_rows(v.late(events))
+    back = F.when(F.col("arrival") % 9 == 0, SET_BACK).otherwise(0)
+    return reading_rows(v.base(events).withColumn("cycle", F.col("arrival") - back))
 
 
-_KEPT = """
+_KEPT = f"""
   SELECT engine_id, unit, cycle, arrival, event_time_ms, value, k
   FROM (SELECT *, max(cycle) OVER (PARTITION BY unit ORDER BY arrival
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM late_telemetry)
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+        FROM (SELECT * REPLACE (arrival - CASE WHEN arrival % 9 = 0 THEN {SET_BACK} ELSE 0 END AS cycle) FROM telemetry))
   WHERE seen IS NULL OR cycle > seen"""
 _LATE_VECTORS = f"""
   SELECT engine_id, cycle, event_time, {HUNDREDTHS.format('f')} AS features
   FROM (SELECT engine_id, cycle, event_time_ms AS event_time,
-               list([value, k]) OVER (PARTITION BY unit ORDER BY arrival ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS f FROM ({_KEPT}))
-  WHERE len(f) = 3"""
+               list([value, k]) OVER (PARTITION BY unit ORDER BY arrival ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS f FROM ({_KEPT}))
+  WHERE len(f) = 30"""
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def _rolling(v: Fleet, size: int, **options) -> jobs.RollingFeatures:
 
 @query("stream_rolling", _LATE_VECTORS)
 def stream_rolling(v: Fleet) -> DataFrame:
-    job = _rolling(v, LATE_SIZE)
+    job = _rolling(v, config.WINDOW_SIZE)
     jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
     return _vectors(job.vectors())
 
@@ -101,7 +103,7 @@ def stream_rolling(v: Fleet) -> DataFrame:
 @query("stream_rolling_state", _LATE_VECTORS)
 def stream_rolling_state(v: Fleet) -> DataFrame:
     """The same job with a keyed state function; small batches, as one engine's share of a batch is one task's."""
-    vectors = state.rolling_vectors(late(v, event_stream(v, per_trigger=16)), len(TELEMETRY_SENSORS), LATE_SIZE)
+    vectors = state.rolling_vectors(late(v, event_stream(v, per_trigger=16)), len(TELEMETRY_SENSORS), config.WINDOW_SIZE)
     out = shared.scratch(v.spark, "rolling-state")
     jobs.run_bounded(vectors.writeStream.format("parquet").option("path", out), shared.scratch(v.spark, "checkpoint"))
     return _vectors(v.spark.read.parquet(out))
@@ -113,7 +115,7 @@ def stream_restart(v: Fleet) -> DataFrame:
     source, checkpoint = shared.scratch(v.spark, "events"), shared.scratch(v.spark, "checkpoint")
     events = v.table("events")
     before = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    job = _rolling(v, LATE_SIZE)
+    job = _rolling(v, config.WINDOW_SIZE)
     for half in (events.where(before), events.where(~before)):
         half.write.mode("append").parquet(source)
         again = jobs.RollingFeatures(v.spark, job.path, job.width, job.size)
@@ -123,12 +125,12 @@ def stream_restart(v: Fleet) -> DataFrame:
 
 @query(
     "stream_counters",
-    f"""SELECT (SELECT count(*) FROM late_telemetry) AS processed, CAST(sum(n) AS BIGINT) AS accepted,
-               CAST(sum(greatest(0, n - 2)) AS BIGINT) AS emitted, count(*) AS engines
+    f"""SELECT (SELECT count(*) FROM telemetry) AS processed, CAST(sum(n) AS BIGINT) AS accepted,
+               CAST(sum(greatest(0, n - 29)) AS BIGINT) AS emitted, count(*) AS engines
         FROM (SELECT unit, count(*) AS n FROM ({_KEPT}) GROUP BY unit)""",
 )
 def stream_counters(v: Fleet) -> DataFrame:
-    job = _rolling(v, LATE_SIZE)
+    job = _rolling(v, config.WINDOW_SIZE)
     jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
     return job.counters()
 
@@ -209,7 +211,7 @@ def _graded_stream(v: Fleet, path: str | None = None) -> DataFrame:
 def stream_alerts(v: Fleet) -> DataFrame:
     """Each batch's risky predictions as one alert snapshot."""
     out = shared.scratch(v.spark, "alerts")
-    job = jobs.each_batch(_graded_stream(v), lambda rows, batch: sinks.write_batch(fleet.alerts(rows), out, batch))
+    job = jobs.each_batch(_graded_stream(v), lambda rows, batch: sinks.write_batch(fleet.at_or_above(rows, "HIGH"), out, batch))
     jobs.run_bounded(job, shared.scratch(v.spark, "checkpoint"))
     return v.spark.read.parquet(f"{out}/batch=*").select("arrival", "engine_id", "risk_level", "failure_risk")
 
@@ -229,3 +231,65 @@ def stream_alert_dedup(v: Fleet) -> DataFrame:
         half.write.mode("append").parquet(source)
         jobs.run_bounded(jobs.each_batch(_graded_stream(v, source), book), checkpoint)
     return book.read()
+
+
+@query(
+    "stream_expiry",
+    """SELECT engine_id, remaining_cycles, risk_level FROM graded, latest_time
+       WHERE unit IN (SELECT unit FROM telemetry GROUP BY unit HAVING count(*) >= 30) AND event_time_ms >= now_ms - 43200000""",
+)
+def stream_expiry(v: Fleet) -> DataFrame:
+    """Predictions of the engines that were heard of in the last twelve hours; here the readings' time is the clock."""
+    store = jobs.OnlineStore(v.spark, shared.scratch(v.spark, "online"), clock=F.col("event_time"), ttl=43_200)
+    path = shared.scratch(v.spark, "fleet")
+    score = lambda x: F.element_at(x, -1).cast("int") % 101 / F.lit(100.0)
+    snapshots = jobs.FleetSnapshots(store, path, score, now_ms=v.now_ms())
+    job = _rolling(v, config.WINDOW_SIZE, on_vectors=snapshots)
+    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    rows = v.spark.read.parquet(f"{path}/predictions")
+    newest = rows.agg(F.max("batch").alias("b")).scalar()
+    return rows.where(F.col("batch") == newest).select("engine_id", "remaining_cycles", "risk_level")
+
+
+@query(
+    "stream_ack",
+    """SELECT engine_id, risk_level, failure_risk, event_time_ms, half = 1 AND unit % 2 = 0 AS acknowledged FROM (
+         SELECT * FROM firsts WHERE half = 1
+         UNION ALL SELECT * FROM firsts f WHERE half = 2
+           AND (unit % 2 = 0 OR NOT EXISTS (SELECT 1 FROM firsts g WHERE g.half = 1 AND g.unit = f.unit)))""".replace(
+        "firsts",
+        """(SELECT *, 1 + CAST(ts >= TIMESTAMP '2024-01-16' AS INTEGER) AS half FROM risky
+            QUALIFY row_number() OVER (PARTITION BY engine_id, ts >= TIMESTAMP '2024-01-16' ORDER BY arrival) = 1)""",
+    ),
+)
+def stream_ack(v: Fleet) -> DataFrame:
+    """Between the two halves of the events, engines with an even number acknowledge: these alert again."""
+    source, checkpoint = shared.scratch(v.spark, "events"), shared.scratch(v.spark, "checkpoint")
+    events = v.table("events")
+    before = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    book = jobs.AlertBook(v.spark, shared.scratch(v.spark, "alert-book"))
+    for half in (before, ~before):
+        events.where(half).write.mode("append").parquet(source)
+        if half is not before:
+            book.acknowledge(book.read().where(F.substring_index("engine_id", "-", -1).cast("int") % 2 == 0))
+        jobs.run_bounded(jobs.each_batch(_graded_stream(v, source), book), checkpoint)
+    return book.read().select("engine_id", "risk_level", "failure_risk", "event_time_ms", "acknowledged")
+
+
+@query(
+    "stream_quarantine",
+    """SELECT CASE WHEN arrival % 100 = 0 THEN 'malformed' WHEN arrival % 100 = 50 THEN 'incomplete' ELSE 'good' END AS kind, arrival
+       FROM telemetry""",
+)
+def stream_quarantine(v: Fleet) -> DataFrame:
+    """Every message of the stream is either handed on or kept with the reason why not."""
+    rows = v.readings(v.base(event_stream(v)).withColumn("cycle", F.col("arrival")))
+    cut = F.concat(F.lit("{bad "), F.col("engine_id"))
+    lacking = F.to_json(F.struct("engine_id", "event_time_ms", "sensors"))
+    slot = F.col("arrival") % 100
+    messages = rows.select("arrival", F.when(slot == 0, cut).when(slot == 50, lacking).otherwise(E.encode(rows)).alias("value"))
+    kept, good = shared.scratch(v.spark, "quarantine"), shared.scratch(v.spark, "good")
+    job = jobs.Quarantine(kept, BOUNDS, lambda df, batch: sinks.write_batch(df, good, batch), READING_SENSORS)
+    jobs.run_bounded(jobs.each_batch(messages, job), shared.scratch(v.spark, "checkpoint"))
+    bad = v.spark.read.parquet(f"{kept}/batch=*").select(F.col("reason").alias("kind"), "arrival")
+    return bad.unionAll(v.spark.read.parquet(f"{good}/batch=*").select(F.lit("good"), "arrival"))

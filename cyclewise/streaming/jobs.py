@@ -35,12 +35,39 @@ def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], mode: st
 def normalized(
     messages: DataFrame, bounds: Mapping[str, tuple[float, float]], names: Sequence[str] = config.SENSORS
 ) -> DataFrame:
-    """Decode JSON messages and scale the readings; bounds are literals, so no Python worker is involved."""
-    good = E.good_events(E.decode(messages))
+    """Decode JSON messages and scale the readings; bounds are literals, so no Python worker is involved.
+
+    Messages that can't be used are left out here; ``Quarantine`` keeps them.
+    """
+    return scaled(E.good_events(E.decode(messages)), bounds, names)
+
+
+def scaled(good: DataFrame, bounds: Mapping[str, tuple[float, float]], names: Sequence[str] = config.SENSORS) -> DataFrame:
     values = S.sensor_array(F.col("sensors"), names)
     return good.withColumn("x", S.normalize_stream(values, bounds, names)).drop("sensors")
 
 
+class Quarantine:
+    """Keeps each batch's unusable messages with the reason, and hands the others, scaled, to the next step."""
+
+    def __init__(
+        self,
+        path: str,
+        bounds: Mapping[str, tuple[float, float]],
+        then: Callable[[DataFrame, int], None],
+        names: Sequence[str] = config.SENSORS,
+    ):
+        self.path, self.bounds, self.then, self.names = path, bounds, then, names
+
+    def __call__(self, messages: DataFrame, batch: int) -> None:
+        decoded = E.decode(messages).persist()
+        try:
+            sinks.write_batch(E.quarantined(decoded), self.path, batch)
+            self.then(scaled(E.good_events(decoded), self.bounds, self.names), batch)
+        finally:
+            decoded.unpersist()
+
+
 class RollingFeatures:
     """Rolling window per engine, one micro-batch at a time, with the batch operators.
 
@@ -49,7 +76,7 @@ class RollingFeatures:
     so an engine that owns a third of the stream is spread over tasks.
     """
 
-    ROWS = "engine_id string, cycle long, event_time_ms long, x array<float>, _batch long"
+    ROWS = "engine_id string, cycle long, event_time_ms long, x array<float>"
     VECTORS = (
         "engine_id string, cycle long, event_time long, features array<float>, window_size int, n_sensors int"
     )
@@ -69,7 +96,7 @@ class RollingFeatures:
 
     def __call__(self, batch_rows: DataFrame, batch: int) -> None:
         batch_rows = batch_rows.persist()
-        before = self.tail.before(batch)
+        before = self.tail.before(batch, self.tail.touched(batch_rows))
         last = before.groupBy("engine_id").agg(F.max("cycle").alias("_last"))
         on_time = windows.drop_late(batch_rows, unit="engine_id")
         accepted = (
@@ -130,21 +157,30 @@ class RollingFeatures:
 
 
 class OnlineStore:
-    """Latest feature vector per engine, with the time it was written for the expiry check."""
+    """Latest feature vector per engine, with the time it was written (``clock``) for the expiry check.
+
+    Vectors that have been there for longer than ``ttl`` seconds are not given out, and leave the table when their
+    bucket is next written.
+    """
 
-    SCHEMA = RollingFeatures.VECTORS + ", updated_at_ms long, _batch long"
+    SCHEMA = RollingFeatures.VECTORS + ", updated_at_ms long"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.rows = sinks.Snapshot(spark, path, self.SCHEMA)
+    def __init__(self, spark: SparkSession, path: str, clock: Column | None = None, ttl: int = config.ONLINE_TTL_SECONDS):
+        self.rows, self.ttl = sinks.Snapshot(spark, path, self.SCHEMA), ttl
+        self.clock = F.unix_millis(F.current_timestamp()) if clock is None else clock
 
     def __call__(self, vectors: DataFrame, batch: int) -> None:
-        new = vectors.withColumn("updated_at_ms", F.col("event_time"))
-        merged = sinks.upsert_latest(self.rows.before(batch).drop("_batch"), new, ["engine_id"], ["cycle"])
-        self.rows.replace(batch, merged)
+        before = self.rows.before(batch, self.rows.touched(vectors))
+        merged = sinks.upsert_latest(before, vectors.withColumn("updated_at_ms", self.clock), ["engine_id"], ["cycle"])
+        newest = merged.agg(F.max("updated_at_ms").alias("t")).scalar()
+        self.rows.replace(batch, merged.where(F.col("updated_at_ms") >= newest - self.ttl * 1000))
 
     def read(self) -> DataFrame:
         return self.rows.latest()
 
+    def live(self, now_ms: Column) -> DataFrame:
+        return self.read().where(F.col("updated_at_ms") >= now_ms - F.lit(self.ttl * 1000))
+
 
 def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """Give one micro-batch to several sinks; it is computed once."""
@@ -161,18 +197,27 @@ def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 
 
 class FleetSnapshots:
-    """After each batch of vectors: telemetry, predictions and alerts of the whole fleet, one folder per batch.
+    """After each batch of vectors: telemetry, predictions and alerts of all engines whose vectors haven't expired, one
+    folder per batch.
 
-    ``score`` turns the feature vector column into a normalised score; how often snapshots are made is the
+    ``now_ms`` is the time that expiry is judged by. ``score`` turns the feature vector column into a normalised score; how often snapshots are made is the
     trigger of the stream.
     """
 
-    def __init__(self, store: OnlineStore, path: str, score: Callable[[Column], Column], min_risk: str = "HIGH"):
+    def __init__(
+        self,
+        store: OnlineStore,
+        path: str,
+        score: Callable[[Column], Column],
+        min_risk: str = "HIGH",
+        now_ms: Column | None = None,
+    ):
         self.store, self.path, self.score, self.min_risk = store, path, score, min_risk
+        self.now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
 
     def __call__(self, vectors: DataFrame, batch: int) -> None:
         self.store(vectors, batch)
-        rows = self.store.read()
+        rows = self.store.live(self.now_ms)
         telemetry = rows.select("engine_id", "cycle", F.col("event_time").alias("event_time_ms"), "window_size")
         sinks.write_batch(telemetry, f"{self.path}/telemetry", batch)
         graded = scoring.grade(rows, self.score(F.col("features")), round_first=True)
@@ -182,27 +227,43 @@ class FleetSnapshots:
         sinks.write_batch(live, f"{self.path}/predictions", batch)
         # The alerts come from the predictions just written: the model runs once per batch.
         written = vectors.sparkSession.read.schema(live.schema).parquet(f"{self.path}/predictions/batch={batch}")
-        sinks.write_batch(fleet.alerts(written, self.min_risk), f"{self.path}/alerts", batch)
+        sinks.write_batch(fleet.at_or_above(written, self.min_risk), f"{self.path}/alerts", batch)
 
 
 class AlertBook:
-    """Open alerts: an engine raises one alert until it is acknowledged; an open alert keeps its first values."""
+    """Open alerts: an engine raises one alert until it is acknowledged; an open alert keeps its first values.
+
+    Acknowledging closes all alerts that the engine has raised so far, so that it can raise the next one.
+    """
 
     SCHEMA = (
         "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, "
-        "acknowledged boolean, _batch long"
+        "acknowledged boolean, raised_in long"
     )
+    CLOSED = "engine_id string, upto long"
 
     def __init__(self, spark: SparkSession, path: str, min_risk: str = "HIGH"):
-        self.rows, self.min_risk = sinks.Snapshot(spark, path, self.SCHEMA), min_risk
+        self.spark, self.path, self.min_risk = spark, path, min_risk
+        self.rows = sinks.Snapshot(spark, f"{path}/alerts", self.SCHEMA)
 
     def __call__(self, predictions: DataFrame, batch: int) -> None:
-        before = self.rows.before(batch).drop("_batch")
         risky = fleet.at_or_above(predictions, self.min_risk).select(
             "engine_id", "risk_level", "failure_risk", "remaining_cycles", "event_time_ms", "arrival"
         )
-        fresh = fleet.new_alerts(risky, before).drop("arrival")
+        before = self._closed(self.rows.before(batch, self.rows.touched(risky)))
+        fresh = fleet.new_alerts(risky, before).drop("arrival").withColumn("raised_in", F.lit(batch).cast("long"))
         self.rows.replace(batch, before.unionByName(fresh))
 
+    def acknowledge(self, engines: DataFrame) -> None:
+        """Close the open alerts of the engines in ``engines`` (engine_id)."""
+        raised = self.rows.latest().groupBy("engine_id").agg(F.max("raised_in").alias("upto"))
+        raised.join(engines.select("engine_id").distinct(), "engine_id").write.mode("append").parquet(f"{self.path}/acknowledged")
+
+    def _closed(self, alerts: DataFrame) -> DataFrame:
+        said = sinks.read_or_empty(self.spark, f"{self.path}/acknowledged", self.CLOSED)
+        upto = said.groupBy("engine_id").agg(F.max("upto").alias("upto"))
+        closed = F.col("acknowledged") | (F.col("raised_in") <= F.coalesce("upto", F.lit(-1)))
+        return alerts.join(upto, "engine_id", "left").withColumn("acknowledged", closed).drop("upto")
+
     def read(self) -> DataFrame:
-        return self.rows.latest()
+        return self._closed(self.rows.latest()).drop("raised_in")

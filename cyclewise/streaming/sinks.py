@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise.functions import scalars as S
@@ -13,31 +13,58 @@ from cyclewise.operators import chunked
 
 
 class Snapshot:
-    """A small-per-key table that each micro-batch replaces as a whole.
+    """A table of a few rows per key, of which a micro-batch rewrites only the buckets its keys fall in.
 
-    Two slots are written in turn. Batch n reads the slot of batch n - 1 and overwrites its own, so a failed or
-    repeated batch finds its input unharmed.
+    A bucket's rows lie in one folder for each batch that wrote it. Batch n reads the newest folder below n and writes its
+    own, so a failed or repeated batch finds its input unharmed; folders that no repeat can need any more are removed.
+    The driver lists folders, of which there are at most a few per bucket; it sees no rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    BUCKETS = 64
 
-    def _slot(self, batch: int) -> str:
-        return f"{self.path}/slot={batch % 2}"
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "engine_id"):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        self._root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def before(self, batch: int) -> DataFrame:
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._slot(batch - 1)).where(F.col("_batch") == batch - 1)
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.BUCKETS)).cast("int")
+
+    def _written(self) -> dict[int, list[int]]:
+        """Batches that wrote each bucket, in order."""
+        found: dict[int, list[int]] = {}
+        if self._files.exists(self._root):
+            for status in self._files.globStatus(self._root.suffix("/_bucket=*/_batch=*")) or []:
+                bucket, batch = (int(part.split("=")[1]) for part in status.getPath().toString().split("/")[-2:])
+                found.setdefault(bucket, []).append(batch)
+        return {bucket: sorted(batches) for bucket, batches in found.items()}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).option("basePath", self.path)
+        return (rows.parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)).drop("_batch", "_bucket")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets that the keys of ``rows`` fall in: at most ``BUCKETS`` numbers."""
+        return sorted(r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect())
+
+    def before(self, batch: int, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The rows as they were before ``batch``, of all buckets or of those given."""
+        newest = {b: [n for n in batches if n < batch] for b, batches in self._written().items() if buckets is None or b in buckets}
+        return self._read([f"{self.path}/_bucket={b}/_batch={batches[-1]}" for b, batches in newest.items() if batches])
 
     def replace(self, batch: int, rows: DataFrame) -> None:
-        rows.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(self._slot(batch))
+        """Write the buckets of ``rows``, which must hold all rows of these buckets."""
+        filed = rows.withColumns({"_bucket": self._bucket(), "_batch": F.lit(batch).cast("long")})
+        # One bucket is one task's work: a few rows for each key of the bucket.
+        dealt = filed.repartition("_bucket")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_batch").parquet(self.path)
+        for bucket, batches in self._written().items():
+            for old in [n for n in batches if n < batch][:-1]:
+                self._files.delete(self._root.suffix(f"/_bucket={bucket}/_batch={old}"), True)
 
     def latest(self) -> DataFrame:
-        """The rows of the newest completed batch."""
-        both = self.spark.read.schema(self.schema).parquet(f"{self.path}/slot=*")
-        newest = both.agg(F.max("_batch").alias("b")).scalar()
-        return both.where(F.col("_batch") == newest).drop("_batch")
+        """The newest rows of every bucket."""
+        return self._read([f"{self.path}/_bucket={b}/_batch={batches[-1]}" for b, batches in self._written().items()])
 
 
 def upsert_latest(before: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -72,8 +99,12 @@ def write_batch(rows: DataFrame, path: str, batch: int) -> None:
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batches written so far; no rows when nothing was written."""
+    return read_or_empty(spark, f"{path}/batch=*", schema)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(f"{path}/batch=*")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -228,3 +228,44 @@ def test_a_batch_without_rows(spark):
         job(part, batch)
     assert result(job.vectors()) == expected(rows)
     assert job.counters().first().processed == 300
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
+    table = sinks.Snapshot(spark, shared.scratch(spark, "snapshot"), "engine_id string, x int")
+    frame = lambda rows: spark.createDataFrame(rows, "engine_id string, x int")
+    first = frame([(f"e{i}", i) for i in range(200)])
+    table.replace(0, first)
+    before = table._written()
+    assert len(before) > 50 and {tuple(b) for b in before.values()} == {(0,)}
+    for batch in (1, 2, 3):
+        one = frame([("e7", 100 * batch)])
+        (bucket,) = table.touched(one)
+        rest = table.before(batch, [bucket]).where("engine_id != 'e7'")
+        table.replace(batch, rest.union(one))
+    after = table._written()
+    assert {b for b in after if after[b] != [0]} == {bucket} and after[bucket] == [2, 3]  # older folders are gone
+    rows = {r.engine_id: r.x for r in table.latest().collect()}
+    assert rows == {f"e{i}": i for i in range(200)} | {"e7": 300}
+    assert {r.x for r in table.before(3, [bucket]).where("engine_id = 'e7'").collect()} == {200}  # a repeat finds its input
+
+
+def test_alerts_again_after_acknowledging(spark):
+    book = jobs.AlertBook(spark, shared.scratch(spark, "book"))
+    schema = "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, arrival long"
+    batch = lambda ms: spark.createDataFrame([("a", "HIGH", 0.7, 30, ms, ms), ("b", "HIGH", 0.7, 30, ms, ms)], schema)
+    book(batch(1), 0)
+    book.acknowledge(spark.createDataFrame([("a",), ("unknown",)], "engine_id string"))
+    book(batch(2), 1)
+    book(batch(3), 2)
+    got = sorted((r.engine_id, r.event_time_ms, r.acknowledged) for r in book.read().collect())
+    assert got == [("a", 1, True), ("a", 2, False), ("b", 1, False)]
+
+
+def test_expired_engines_are_not_scored(spark):
+    store = jobs.OnlineStore(spark, shared.scratch(spark, "online"), clock=F.col("event_time"), ttl=10)
+    path = shared.scratch(spark, "fleet")
+    fleet = jobs.FleetSnapshots(store, path, lambda x: F.lit(0.0), now_ms=F.lit(20_000))
+    rows = [("old", 1, 9_999, [0.0], 1, 1), ("new", 1, 10_000, [0.0], 1, 1)]
+    fleet(spark.createDataFrame(rows, store.SCHEMA.replace(", updated_at_ms long", "")), 0)
+    for kind in ("telemetry", "predictions", "alerts"):
+        assert [r.engine_id for r in spark.read.parquet(f"{path}/{kind}").collect()] == ["new"]
