@@ -10,7 +10,9 @@ the next level), and for each place a 32-bit fingerprint, the document's number
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -26,6 +28,9 @@ from cyclewise.llm import near_dup, texts, vocab
 SHARD_ROWS = 1 << 13
 BLOCK_DOCS = 1 << 12
 BLOCK_BYTES = 8 << 20
+# Words whose ids a worker keeps.
+WORD_ENTRIES = 1 << 20
+JOINED_WORDS = 1000
 MOST_LEVELS = 64
 # Blocks whose key ranges go to all workers at a time; a larger directory takes several passes over the keys.
 DIRECTORY_BLOCKS = 1 << 20
@@ -99,6 +104,10 @@ class PerfectHash:
         return cls(sizes, bits, np.frombuffer(data, dtype="<u4", offset=at + -(-total // 8)).reshape(n, 3))
 
 
+# Letters that no normal form changes.
+_letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
 class LibraryEncoder:
     """Ids of the tokenizers library, as four bytes each. Words between white space are encoded once and looked up after that.
 
@@ -106,7 +115,7 @@ class LibraryEncoder:
     characters about which Python and the library may disagree go to the library whole.
     """
 
-    def __init__(self, path: str, entries: int = texts.MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = WORD_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,6 +123,9 @@ class LibraryEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self.size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self._ends = np.zeros(self.size, dtype=bool)
+        for token, i in self._tokenizer.get_vocab().items():
+            self._ends[i] = token.endswith("</w>")
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._half = max(1, entries // 2)
@@ -121,7 +133,33 @@ class LibraryEncoder:
 
     def _library(self, items: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(items, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """As ``_library``, for words that are one piece each: many to a call, told apart by the ids that end a word."""
+        out = []
+        for start in range(0, len(words), JOINED_WORDS):
+            some = words[start : start + JOINED_WORDS]
+            ids = np.array(self._tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                return self._library(words)
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words not known yet. A mark after letters is a piece of its own."""
+        known = self._known
+        known.update((word, self._old[word]) for word in words & self._old.keys())
+        words = words - known.keys()
+        marked = [w for w in words if w[-1] in ",." and _letters(w[:-1])]
+        words = words.difference(marked).union([w[:-1] for w in marked], [",", "."] if marked else ()) - known.keys()
+        plain = list(filter(_letters, words))
+        odd = list(words.difference(plain))
+        known.update(zip(plain, self._pieces(plain)))
+        known.update(zip(odd, self._library(odd)))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
 
     def packed(self, batch: list[str]) -> list[bytes]:
         whole, split = {}, {}
@@ -132,11 +170,7 @@ class LibraryEncoder:
                 split[i] = (text.lower() if text.isascii() and "<|" not in text else text).split()
         if len(self._known) >= self._half:
             self._old, self._known = self._known, {}
-        new = set().union(*split.values()) - self._known.keys()
-        for word in new & self._old.keys():
-            self._known[word] = self._old[word]
-        fresh = list(new - self._known.keys())
-        self._known.update(zip(fresh, self._library(fresh)))
+        self._learn(set().union(*split.values()) - self._known.keys())
         out = dict(zip(whole, self._library(list(whole.values()))))
         out |= {i: b"".join(map(self._known.__getitem__, words)) for i, words in split.items()}
         return [out[i] for i in range(len(batch))]
