@@ -204,12 +204,13 @@ def sensor_variance(v: Fleet) -> DataFrame:
 
 @query(
     "per_condition_scale",
-    """SELECT unit, cycle, condition, (s2 - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS s2
-       FROM wide JOIN (SELECT condition, min(s2) AS lo, max(s2) AS hi FROM wide GROUP BY condition) USING (condition)""",
+    f"""SELECT unit, cycle, condition, {", ".join(f"({s} - lo_{s}) / CASE WHEN hi_{s} = lo_{s} THEN 1 ELSE hi_{s} - lo_{s} END AS {s}" for s in WIDE_SENSORS)}
+        FROM wide JOIN (SELECT condition, {", ".join(f"min({s}) AS lo_{s}, max({s}) AS hi_{s}" for s in WIDE_SENSORS)}
+                        FROM wide GROUP BY condition) USING (condition)""",
 )
 def per_condition_scale(v: Fleet) -> DataFrame:
-    scaled = transform.scale_per_group(v.wide, "condition", ["s2"])
-    return scaled.select("unit", "cycle", "condition", "s2")
+    scaled = transform.scale_per_group(v.wide, "condition", WIDE_SENSORS)
+    return scaled.select("unit", "cycle", "condition", *WIDE_SENSORS)
 
 
 @query(

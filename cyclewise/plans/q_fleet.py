@@ -99,18 +99,22 @@ def batch_predict_errors(v: Fleet) -> DataFrame:
                             + CAST(CAST((CAST(CAST(s3 AS FLOAT) AS DOUBLE) - 0) / 50 AS FLOAT) AS DOUBLE)
                             + CAST(CAST(CAST(CAST(s4 AS FLOAT) AS DOUBLE) - 7 AS FLOAT) AS DOUBLE)), 3) AS total
              FROM (SELECT r.*, CAST(substr(engine_id, 5) AS BIGINT) AS unit,
-                          row_number() OVER (PARTITION BY engine_id ORDER BY cycle DESC) AS r FROM readings r)
-             WHERE r <= 5 GROUP BY unit)""",
+                          row_number() OVER (PARTITION BY engine_id ORDER BY cycle DESC) AS r
+                   FROM (SELECT * REPLACE (CASE WHEN substr(engine_id, 5)::BIGINT % 3 = 0 THEN s4
+                                           ELSE coalesce(s4, CAST(event_time_ms // 3600000 % 24 AS DOUBLE)) END AS s4) FROM readings) r)
+             WHERE r <= 30 GROUP BY unit HAVING count(*) = 30)""",
 )
 def raw_window_scale(v: Fleet) -> DataFrame:
-    """Raw windows of 5 readings: check the keys, scale without clamping; s4 has no spread (divisor 1)."""
+    """Raw windows of 30 readings: check the keys, scale without clamping; s4 has no spread (divisor 1). Only every third
+    engine has readings that lack s4."""
     bounds = {"s2": (10.0, 100.0), "s3": (0.0, 50.0), "s4": (7.0, 7.0)}
-    rows = v.readings(v.base().withColumn("cycle", F.lit(0)))
-    kept = chunked.last_n_per_key(rows, ["engine_id"], [F.desc("arrival")], 5)
+    lacking = (F.col("unit") % 3 == 0) & (F.col("event_type") == "error")
+    base = v.base().withColumns({"cycle": F.lit(0), "event_type": F.when(lacking, "error").otherwise("other")})
+    kept = chunked.last_n_per_key(v.readings(base), ["engine_id"], [F.desc("arrival")], config.WINDOW_SIZE)
     window = F.transform(F.array_sort(F.collect_list(F.struct("arrival", F.map_entries("sensors").alias("m")))),
                          lambda r: F.map_from_entries(r["m"]))
-    raw = kept.groupBy("engine_id").agg(window.alias("raw"))
-    problem = scoring.raw_window_problem(F.col("raw"), 5, READING_SENSORS)
+    raw = kept.groupBy("engine_id").agg(window.alias("raw")).where(F.size("raw") == config.WINDOW_SIZE)
+    problem = scoring.raw_window_problem(F.col("raw"), config.WINDOW_SIZE, READING_SENSORS)
     scaled = raw.withColumn("problem", problem).withColumn(
         "scaled",
         F.when(F.col("problem").isNull(), scoring.scale_raw_window(F.col("raw"), bounds, READING_SENSORS)),

@@ -63,15 +63,16 @@ def ingest_bronze(v: Fleet) -> DataFrame:
 
 @query(
     "route_files",
-    """SELECT 'main' AS kind, count(*) AS lines, CAST(6 AS INTEGER) AS width FROM wide
-       UNION ALL SELECT 'truth', count(*), CAST(1 AS INTEGER) FROM units_truth""",
+    """SELECT 'main' AS kind, count(*) AS lines, CAST(6 AS INTEGER) AS width, CAST(sum(unit) AS BIGINT) AS first_tokens FROM wide
+       UNION ALL SELECT 'truth', count(*), CAST(1 AS INTEGER), CAST(sum(rul) AS BIGINT) FROM units_truth""",
 )
 def route_files(v: Fleet) -> DataFrame:
     root = shared.scratch(v.spark, "inputs")
     _cycle_text(v, f"{root}/train_lines")
     _truth_text(v, f"{root}/RUL_lines")
     routed = text.route(text.token_lines(v.spark, f"{root}/*"))
-    return routed.groupBy("kind").agg(F.count(F.lit(1)).alias("lines"), F.max(F.size("tokens")).alias("width"))
+    first = F.sum(F.get("tokens", F.lit(0)).cast("bigint")).alias("first_tokens")
+    return routed.groupBy("kind").agg(F.count(F.lit(1)).alias("lines"), F.max(F.size("tokens")).alias("width"), first)
 
 
 @query(
@@ -178,20 +179,24 @@ def quarantine(v: Fleet) -> DataFrame:
     return bad.unionAll(good.select(F.lit(-1).cast("long"), F.lit("good"), "n"))
 
 
+# Which column of the wide table stands in for each sensor of a raw line.
+_STAND_INS = {name: WIDE_SENSORS[i % len(WIDE_SENSORS)] for i, name in enumerate(config.SENSORS)}
+
+
 @query(
     "row_to_event",
-    """SELECT engine_id, CAST(cycle AS INTEGER) AS cycle, s2, s3 AS s3, s7 AS s21
-       FROM (SELECT 'ENG-' || CAST(unit AS VARCHAR) AS engine_id, * FROM wide WHERE condition <> 'R')""",
+    f"""SELECT 'ENG-' || CAST(unit AS VARCHAR) AS engine_id, CAST(cycle AS INTEGER) AS cycle,
+               {", ".join(f"{c} AS {s}" for s, c in _STAND_INS.items())} FROM wide WHERE condition <> 'R'""",
 )
 def row_to_event(v: Fleet) -> DataFrame:
     """Lines of 26 tokens; those of condition R are one token short and are left out."""
-    at = {0: "unit", 1: "cycle", 6: "s2", 7: "s3", 8: "s4", 25: "s7"}
+    at = {0: "unit", 1: "cycle"} | dict(zip(config.SENSOR_POSITIONS, _STAND_INS.values()))
     tokens = [F.col(at[i]).cast("string") if i in at else F.lit("0") for i in range(config.RAW_TOKENS)]
     full = F.array(*tokens)
     cut = F.slice(full, 1, config.RAW_TOKENS - 1)
     lines = v.wide.select(F.when(F.col("condition") == "R", cut).otherwise(full).alias("tokens"))
     found = E.event_from_tokens(lines, F.unix_millis(F.current_timestamp()))
-    return found.select("engine_id", "cycle", *[F.element_at("sensors", s).alias(s) for s in ("s2", "s3", "s21")])
+    return found.select("engine_id", "cycle", *[F.element_at("sensors", s).alias(s) for s in config.SENSORS])
 
 
 @query("retain_last_n", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 5000")

@@ -166,7 +166,8 @@ def offline_sink(v: Fleet) -> DataFrame:
 
 @query(
     "stream_fanout",
-    f"""SELECT engine_id, count(*) AS offline_vectors, max(cycle) AS online_cycle FROM ({_LAST_VECTORS}) GROUP BY engine_id""",
+    f"""SELECT engine_id, count(*) AS offline_vectors, CAST(sum(cycle) AS BIGINT) AS offline_cycles, max(cycle) AS online_cycle,
+               arg_max(features, cycle) AS online_features FROM ({_LAST_VECTORS}) GROUP BY engine_id""",
 )
 def stream_fanout(v: Fleet) -> DataFrame:
     """Each batch of vectors goes to the online and to the offline table."""
@@ -175,8 +176,11 @@ def stream_fanout(v: Fleet) -> DataFrame:
     both = jobs.fan_out(store, lambda rows, batch: sinks.write_batch(rows.drop("features"), out, batch))
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=both)
     jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
-    per_engine = v.spark.read.parquet(f"{out}/batch=*").groupBy("engine_id").agg(F.count(F.lit(1)).alias("offline_vectors"))
-    online = store.read().select("engine_id", F.col("cycle").alias("online_cycle"))
+    per_engine = v.spark.read.parquet(f"{out}/batch=*").groupBy("engine_id").agg(
+        F.count(F.lit(1)).alias("offline_vectors"), F.sum("cycle").alias("offline_cycles")
+    )
+    features = hundredths(F.col("features")).alias("online_features")
+    online = store.read().select("engine_id", F.col("cycle").alias("online_cycle"), features)
     return per_engine.join(online, "engine_id")
 
 

@@ -223,8 +223,9 @@ class Fleet:
 
     @property
     def latest(self) -> DataFrame:
-        """Last telemetry row per engine; its cycle is the engine's row count, so no numbering is needed."""
-        rest = [c for c in self.base().columns if c not in ("engine_id", "unit")]
+        """Last telemetry row per engine, with what the queries on it need; its cycle is the engine's row count, so no
+        numbering is needed."""
+        rest = ["event_time_ms", "ts", "k"]
         return (
             self.base()
             .groupBy("engine_id", "unit")
