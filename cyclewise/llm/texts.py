@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Entries a worker's memo may hold before the older half of them goes.
 MEMO_ENTRIES = 1 << 19
-# Rows in one Arrow batch of whole texts.
+# Rows in one Arrow batch of whole texts. Spark bounds the bytes of a batch as well (64 MB unless the session says otherwise).
 BATCH_ROWS = 256
 
 

@@ -236,8 +236,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: st
 
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in SCHEMA.split(", "))])
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(texts.BATCH_ROWS))
-    dealt.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    texts.whole_texts(dealt, "id", "text").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -266,7 +265,7 @@ class Block:
 
 
 def _opened(rows: DataFrame, columns: list[str], schema: str, visit) -> DataFrame:
-    """``visit(row, block)`` gives tuples for every file row; file rows come a few at a time."""
+    """``visit(row, block)`` gives tuples for every file row; as Arrow batches are bounded in bytes, few come at a time."""
 
     def run(batches):
         names = [c.split(" ")[0] for c in schema.split(", ")]
@@ -275,8 +274,7 @@ def _opened(rows: DataFrame, columns: list[str], schema: str, visit) -> DataFram
                 found = list(visit(row, Block(row)))
                 yield pa.RecordBatch.from_pydict({n: pa.array([f[i] for f in found], pa.int64() if n != "ids" else pa.list_(pa.int64())) for i, n in enumerate(names)})
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return rows.select(*columns).mapInArrow(run, schema)
+    return texts.whole_texts(rows, *columns).mapInArrow(run, schema)
 
 
 def _visit_all(row: dict, block: Block):
