@@ -10,7 +10,8 @@ of these keys. The distance is then counted, and candidates are confirmed on the
 
 *Groups of copies*: documents with equal sets are one class from the start. A shingle that no other class meeting anyone
 has can't be shared: with u such shingles among n, two classes share at most min(n - u) shingles, which rules out most pairs
-of a group of edited copies before they are made. Inside a key's bucket every class is then compared with one other
+of a group of edited copies before they are made. Two classes measured against the same third one share at most the
+lesser of what each shares with it, and the lesser of what each has besides. Inside a key's bucket every class is then compared with one other
 (that with the smallest share of shingles of its own, as an original has); classes that this has linked need no further
 comparison. Only pairs that meet under a key and lie in different components are listed after that. No pair within the
 distance is left out: it is confirmed, refuted on full sets, or its two ends are linked already.
@@ -133,8 +134,15 @@ def _sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _near(percent: int) -> Column:
-    """Signatures within the distance, and sizes and shingles of their own that allow the similarity."""
+    """Signatures within the distance, and sizes and known overlaps that allow the similarity.
+
+    ``hub`` is the class that a class was measured against, ``inside`` the shingles it shares with it, ``common`` all its
+    shingles that others have as well.
+    """
     most = F.least("a_common", "b_common")
+    beside = F.least(F.col("a_common") - F.col("a_inside"), F.col("b_common") - F.col("b_inside"))
+    measured = F.least("a_inside", "b_inside") + F.greatest(beside, F.lit(0))
+    most = F.when(F.col("a_hub") == F.col("b_hub"), F.least(most, measured)).otherwise(most)
     return (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)) & (errors("a_", "b_") <= ERRORS)
 
 
@@ -162,19 +170,25 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str) ->
     return shared.settle(found.dropDuplicates(["class"]), "full-sets")  # rows that repeat both id and text
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``both`` (shared shingles), ``a_size`` and ``b_size`` of the pairs (a, b) of classes, from their full sets."""
 
     def run(batches):
         for batch in batches:
             left, right = ([np.asarray(x.values) for x in batch.column(i)] for i in (2, 3))
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-            near = [100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(both, left, right)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (both, list(map(len, left)), list(map(len, right))))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "both", "a_size", "b_size"])
 
     joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("left")), "a")
     joined = joined.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b")
-    return texts.whole_texts(joined, "a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+    schema = "a bigint, b bigint, both bigint, a_size bigint, b_size bigint"
+    return texts.whole_texts(joined, "a", "b", "left", "right").mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """The measured pairs that are similar enough."""
+    return pairs.where(100 * F.col("both") >= percent * (F.col("a_size") + F.col("b_size") - F.col("both"))).select("a", "b")
 
 
 def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: str, percent: int) -> DataFrame:
@@ -190,6 +204,7 @@ def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: s
     own = shingles.agg(F.count("*").alias("rows"), F.min("class").alias("class")).where("rows = 1").groupBy("class").agg(F.count("*").alias("own"))
     facts = meeting.drop("rep", "set_key").join(own, "class", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
     facts = shared.settle(facts.drop("own").where(100 * F.col("common") >= percent * F.col("n")), "facts")
+    unmeasured = facts.withColumns({"hub": F.col("class"), "inside": F.col("n")})
     members = members.join(facts.select("class", (1 - F.col("common") / F.col("n")).alias("share")), "class")
     members = shared.settle(members, "members")
 
@@ -198,11 +213,15 @@ def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: s
     hubs = members.groupBy("key").agg(best, F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     hubs = shared.settle(hubs.select("key", F.col("hub.class").alias("b"), F.col("hub.share").alias("hub_share")), "hubs")
     met = members.join(hubs, "key").where("class != b").groupBy(F.col("class").alias("a"), "b").agg(F.min("hub_share").alias("hub_share"))
-    near = _sides(shared.settle(met, "met"), facts).where(_near(percent))
+    near = _sides(shared.settle(met, "met"), unmeasured).where(_near(percent))
     first = near.groupBy("a").agg(F.min(F.struct("hub_share", "b")).alias("hub")).select("a", F.col("hub.b").alias("b"))
     first = shared.settle(first, "first-pairs")
-    links = shared.settle(confirmed(first, sets, percent), "links")
+    known = shared.settle(measured(first, sets), "measured")
+    links = shared.settle(similar(known, percent), "links")
     found = components.components(links)
+    against = known.select(F.col("a").alias("class"), F.col("b").alias("_hub"), F.col("both").alias("_inside"))
+    placing = {"hub": F.coalesce("_hub", "class"), "inside": F.coalesce("_inside", "n")}
+    facts = shared.settle(facts.join(against, "class", "left").withColumns(placing).drop("_hub", "_inside"), "facts")
 
     # Pairs that meet under a key and aren't in one component yet.
     placed = members.drop("share").join(found.withColumnRenamed("node", "class"), "class", "left")
@@ -216,8 +235,8 @@ def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: s
     refuted = first.union(first.select("b", "a"))
     rest = shared.settle(rest.join(refuted, ["a", "b"], "left_anti"), "other-pairs")
     if not rest.isEmpty():
-        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = components.components(confirmed(rest, sets, percent).union(known))
+        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components.components(similar(measured(rest, sets), percent).union(joined))
     return found.withColumnRenamed("node", "class")
 
 
