@@ -11,7 +11,8 @@ of these keys. The distance is then counted, and candidates are confirmed on the
 *Groups of copies*: documents with equal sets are one class from the start. A shingle that no other class meeting anyone
 has can't be shared: with u such shingles among n, two classes share at most min(n - u) shingles, which rules out most pairs
 of a group of edited copies before they are made. Two classes measured against the same third one share at most the
-lesser of what each shares with it, and the lesser of what each has besides. Inside a key's bucket every class is then compared with one other
+part of it that neither lacks (a lower bound on what the two lack comes from bit maps of the lacking shingles), and the
+lesser of what each has besides. Inside a key's bucket every class is then compared with one other
 (that with the smallest share of shingles of its own, as an original has); classes that this has linked need no further
 comparison. Only pairs that meet under a key and lie in different components are listed after that. No pair within the
 distance is left out: it is confirmed, refuted on full sets, or its two ends are linked already.
@@ -38,6 +39,8 @@ LANES = 64 // BITS
 CHUNKS = HASHES // LANES
 assert ERRORS // CHUNKS == 1  # what the keys below allow for
 CHUNK_NAMES = tuple(f"c{i}" for i in range(CHUNKS))
+# Bit maps of 256 bits.
+MAP_NAMES = tuple(f"m{i}" for i in range(4))
 # Documents whose ids are sent to all executors to pick out their texts; beyond it the texts are joined.
 PICKED = 1 << 21
 
@@ -115,7 +118,7 @@ def errors(prefix: str, other: str) -> Column:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         return F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(LANES)))))
 
-    return reduce(Column.__add__, map(chunk, CHUNK_NAMES))
+    return _total(map(chunk, CHUNK_NAMES))
 
 
 def keys() -> Column:
@@ -127,6 +130,10 @@ def keys() -> Column:
     )
 
 
+def _total(columns) -> Column:
+    return reduce(Column.__add__, columns)
+
+
 def _sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(*(F.col(c).alias(side if c == "class" else f"{side}_{c}") for c in facts.columns)), side)
@@ -136,13 +143,16 @@ def _sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 def _near(percent: int) -> Column:
     """Signatures within the distance, and sizes and known overlaps that allow the similarity.
 
-    ``hub`` is the class that a class was measured against, ``inside`` the shingles it shares with it, ``common`` all its
-    shingles that others have as well.
+    ``hub`` is the class that a class was measured against, ``inside`` the shingles it shares with it, ``lacks`` how many of the
+    hub's it hasn't, with a bit map of them; ``common`` are all its shingles that others have as well. A bit that only one
+    of two maps has stands for a shingle that only that side lacks.
     """
     most = F.least("a_common", "b_common")
     beside = F.least(F.col("a_common") - F.col("a_inside"), F.col("b_common") - F.col("b_inside"))
-    measured = F.least("a_inside", "b_inside") + F.greatest(beside, F.lit(0))
-    most = F.when(F.col("a_hub") == F.col("b_hub"), F.least(most, measured)).otherwise(most)
+    only = lambda one, other: _total(F.bit_count(F.col(one + m).bitwiseAND(F.bitwise_not(F.col(other + m)))) for m in MAP_NAMES)
+    lacking = F.greatest(F.col("a_lacks") + only("b_", "a_"), F.col("b_lacks") + only("a_", "b_"))
+    inside = F.col("a_inside") + F.col("a_lacks") - lacking
+    most = F.when(F.col("a_hub") == F.col("b_hub"), F.least(most, inside + F.greatest(beside, F.lit(0)))).otherwise(most)
     return (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)) & (errors("a_", "b_") <= ERRORS)
 
 
@@ -170,19 +180,28 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str) ->
     return shared.settle(found.dropDuplicates(["class"]), "full-sets")  # rows that repeat both id and text
 
 
+def bit_map(mine: np.ndarray, other: np.ndarray) -> list[int]:
+    """Which of 256 bits the shingles of ``other`` that ``mine`` lacks fall on."""
+    bits = np.zeros(256, dtype=np.uint8)
+    bits[np.setdiff1d(other, mine, assume_unique=True) & 255] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``both`` (shared shingles), ``a_size`` and ``b_size`` of the pairs (a, b) of classes, from their full sets."""
+    """``both`` (shared shingles), ``a_size`` and ``b_size`` of the pairs (a, b) of classes, from their full sets, and a bit
+    map of the shingles of b that a lacks."""
 
     def run(batches):
         for batch in batches:
             left, right = ([np.asarray(x.values) for x in batch.column(i)] for i in (2, 3))
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-            columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (both, list(map(len, left)), list(map(len, right))))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "both", "a_size", "b_size"])
+            numbers = [both, list(map(len, left)), list(map(len, right)), *zip(*map(bit_map, left, right))]
+            columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "both", "a_size", "b_size", *MAP_NAMES])
 
     joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("left")), "a")
     joined = joined.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b")
-    schema = "a bigint, b bigint, both bigint, a_size bigint, b_size bigint"
+    schema = ", ".join(f"{c} bigint" for c in ("a", "b", "both", "a_size", "b_size", *MAP_NAMES))
     return texts.whole_texts(joined, "a", "b", "left", "right").mapInArrow(run, schema)
 
 
@@ -204,7 +223,8 @@ def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: s
     own = shingles.agg(F.count("*").alias("rows"), F.min("class").alias("class")).where("rows = 1").groupBy("class").agg(F.count("*").alias("own"))
     facts = meeting.drop("rep", "set_key").join(own, "class", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
     facts = shared.settle(facts.drop("own").where(100 * F.col("common") >= percent * F.col("n")), "facts")
-    unmeasured = facts.withColumns({"hub": F.col("class"), "inside": F.col("n")})
+    nothing = {"lacks": F.lit(0).cast("bigint")} | {m: F.lit(0).cast("bigint") for m in MAP_NAMES}
+    unmeasured = facts.withColumns({"hub": F.col("class"), "inside": F.col("n")} | nothing)
     members = members.join(facts.select("class", (1 - F.col("common") / F.col("n")).alias("share")), "class")
     members = shared.settle(members, "members")
 
@@ -219,9 +239,11 @@ def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: s
     known = shared.settle(measured(first, sets), "measured")
     links = shared.settle(similar(known, percent), "links")
     found = components.components(links)
-    against = known.select(F.col("a").alias("class"), F.col("b").alias("_hub"), F.col("both").alias("_inside"))
-    placing = {"hub": F.coalesce("_hub", "class"), "inside": F.coalesce("_inside", "n")}
-    facts = shared.settle(facts.join(against, "class", "left").withColumns(placing).drop("_hub", "_inside"), "facts")
+    lacks = (F.col("b_size") - F.col("both")).alias("lacks")
+    against = known.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.col("both").alias("inside"), lacks, *MAP_NAMES)
+    itself = {"hub": F.coalesce("hub", "class"), "inside": F.coalesce("inside", "n")}
+    itself |= {c: F.coalesce(c, F.lit(0)) for c in ("lacks", *MAP_NAMES)}
+    facts = shared.settle(facts.join(against, "class", "left").withColumns(itself), "facts")
 
     # Pairs that meet under a key and aren't in one component yet.
     placed = members.drop("share").join(found.withColumnRenamed("node", "class"), "class", "left")

@@ -140,7 +140,21 @@ def test_signatures_tell_similarity():
     assert (symbols[0] != symbols[1]).sum() <= 10 and not rows[2].any()
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_bit_maps_never_say_too_much(seed):
+    """Bits that only one map has can't be more than the shingles that only that side lacks."""
+    draw = np.random.default_rng(seed)
+    hub = np.unique(draw.integers(0, 1 << 62, 300))
+    x, y = (np.setdiff1d(hub, draw.choice(hub, draw.integers(0, 250))) for _ in range(2))
+    ones = lambda m: {(i, b) for i, part in enumerate(m) for b in range(64) if part >> b & 1}
+    lacks_x, lacks_y = (ones(near_dup.bit_map(s, hub)) for s in (x, y))
+    both = len(np.intersect1d(x, y))
+    assert both <= len(hub) - (len(hub) - len(x)) - len(lacks_y - lacks_x)
+    assert both <= len(hub) - (len(hub) - len(y)) - len(lacks_x - lacks_y)
+
+
+@settings(max_examples=4, deadline=None)
 @given(links=st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, links):
     parent = list(range(31))
