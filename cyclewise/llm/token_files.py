@@ -152,9 +152,9 @@ class LibraryEncoder:
         """Ids of words not known yet. A mark after letters is a piece of its own."""
         known = self._known
         known.update((word, self._old[word]) for word in words & self._old.keys())
-        words = words - known.keys()
+        words = words.difference(known)
         marked = [w for w in words if w[-1] in ",." and _letters(w[:-1])]
-        words = words.difference(marked).union([w[:-1] for w in marked], [",", "."] if marked else ()) - known.keys()
+        words = words.difference(marked).union([w[:-1] for w in marked], [",", "."] if marked else ()).difference(known)
         plain = list(filter(_letters, words))
         odd = list(words.difference(plain))
         known.update(zip(plain, self._pieces(plain)))
@@ -170,7 +170,7 @@ class LibraryEncoder:
                 split[i] = (text.lower() if text.isascii() and "<|" not in text else text).split()
         if len(self._known) >= self._half:
             self._old, self._known = self._known, {}
-        self._learn(set().union(*split.values()) - self._known.keys())
+        self._learn(set().union(*split.values()).difference(self._known))  # a dict: only the words are gone through
         out = dict(zip(whole, self._library(list(whole.values()))))
         out |= {i: b"".join(map(self._known.__getitem__, words)) for i, words in split.items()}
         return [out[i] for i in range(len(batch))]
