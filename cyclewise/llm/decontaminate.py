@@ -33,6 +33,8 @@ BLOCK_PARTS = 6
 MOST_BLOCKS = 64
 # Terms in more than this share of all parts count as common.
 COMMON = 0.025
+# Words whose terms a worker keeps.
+WORD_ENTRIES = 1 << 18
 # Half passages of a text that are looked at together.
 STRETCH = 1 << 10
 # Text of the items that one index may hold; a larger benchmark is taken in several passes over the documents.
@@ -161,7 +163,7 @@ class Searcher:
     def __init__(self, index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP):
         self._index, self._threshold, self._overlap = index, threshold, overlap
         self._unknown = len(index.vocabulary)
-        self._ids = texts.Memo(self._number)
+        self._ids = texts.Memo(self._number, entries=WORD_ENTRIES)
 
     def _number(self, word: str) -> bytes:
         plain = term(word)

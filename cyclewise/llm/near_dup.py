@@ -41,6 +41,8 @@ assert ERRORS // CHUNKS == 1  # what the keys below allow for
 CHUNK_NAMES = tuple(f"c{i}" for i in range(CHUNKS))
 # Bit maps of 256 bits.
 MAP_NAMES = tuple(f"m{i}" for i in range(4))
+# Words whose digests a worker keeps; a digest is quickly made anew.
+WORD_ENTRIES = 1 << 17
 # Documents whose ids are sent to all executors to pick out their texts; beyond it the texts are joined.
 PICKED = 1 << 21
 
@@ -60,7 +62,7 @@ class Shingles:
     """Texts to sorted distinct 64-bit shingle digests."""
 
     def __init__(self):
-        self._words = texts.Memo(lambda word: xxhash.xxh64_digest(word))
+        self._words = texts.Memo(lambda word: xxhash.xxh64_digest(word), entries=WORD_ENTRIES)
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z only, and the six ASCII white spaces
