@@ -12,6 +12,8 @@ from cyclewise import config, shared
 from cyclewise.llm import bpe_codec, decontaminate, near_dup, quality, secret_scan, texts
 
 TOKENIZER = "byte_bpe_50k.json"
+# Near-duplicates share this percentage of their five-word shingles.
+SIMILAR = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    return near_dup.first_of_each(docs)
+    """One document, that of the smallest id, of each group of documents linked by a similarity of 0.8 or more."""
+    return near_dup.first_of_each(docs, percent=SIMILAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 A document's set is its distinct shingles of ``WORDS`` words. Its signature has ``HASHES`` symbols of ``BITS`` bits (b-bit
 MinHash), four to a 64-bit chunk. Two sets of similarity s differ in a symbol with probability 1 - s; at 0.85 more than
-``ERRORS`` of 32 symbols differ once in 300,000 pairs, so that pairs within that distance are the candidates.
+``ERRORS`` of 32 symbols differ once in 300,000 pairs, so that pairs within that distance are the candidates. At 0.80 that
+would be once in 7,000; for less than 0.85 a signature has 48 symbols, of which more than 23 differ once in 300,000 pairs.
 
-*Pigeonhole*: ``ERRORS`` errors over ``CHUNKS`` chunks leave a chunk with at most ``ERRORS // CHUNKS`` = 1 error. Each
-chunk is entered once with every single symbol blotted out; two signatures within the distance meet under at least one
+*Pigeonhole*: ``ERRORS`` errors over ``CHUNKS`` chunks leave a chunk with at most ``ERRORS // CHUNKS`` = 1 error (in each
+layout, as twice the chunks less one may differ). Each chunk is entered once with every single symbol blotted out; two signatures within the distance meet under at least one
 of these keys. The distance is then counted, and candidates are confirmed on the full sets.
 
 *Groups of copies*: documents with equal sets are one class from the start. A shingle that no other class meeting anyone
@@ -39,6 +40,8 @@ LANES = 64 // BITS
 CHUNKS = HASHES // LANES
 assert ERRORS // CHUNKS == 1  # what the keys below allow for
 CHUNK_NAMES = tuple(f"c{i}" for i in range(CHUNKS))
+# Chunks of a signature, by the least similarity in percent that they are laid out for.
+LAYOUTS = {PERCENT: CHUNKS, 80: 12}
 # Bit maps of 256 bits.
 MAP_NAMES = tuple(f"m{i}" for i in range(4))
 # Words whose digests a worker keeps; a digest is quickly made anew.
@@ -48,7 +51,15 @@ PICKED = 1 << 21
 
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_HASHERS = _random.integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_HASHERS = _random.integers(1 << 62, 1 << 63, LANES * max(LAYOUTS.values()), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def chunk_names(percent: int = PERCENT) -> tuple[str, ...]:
+    """The chunks that a search for this similarity needs."""
+    fitting = [chunks for least, chunks in LAYOUTS.items() if percent >= least]
+    if not fitting:
+        raise ValueError(f"signatures are laid out for a similarity of at least {min(LAYOUTS)} %")
+    return tuple(f"c{i}" for i in range(min(fitting)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,40 +89,41 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], chunks: int = CHUNKS) -> np.ndarray:
     """A row of 64-bit chunks for each set; sets without shingles get zeros."""
-    out = np.zeros((len(sets), HASHES), dtype=np.uint64)
+    out = np.zeros((len(sets), chunks * LANES), dtype=np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
         starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
-        for k, factor in enumerate(_HASHERS):
+        for k, factor in enumerate(_HASHERS[: chunks * LANES]):
             out[full, k] = np.minimum.reduceat(flat * factor, starts)
     symbols = mixed(out) & np.uint64((1 << BITS) - 1)
     shifts = np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)
-    return (symbols.reshape(len(sets), CHUNKS, LANES) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+    return (symbols.reshape(len(sets), chunks, LANES) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: its id, ``text_key``, ``n_shingles``, ``set_key`` (128-bit digest of the set) and the signature's chunks."""
+    names = chunk_names(percent)
 
     def make():
         shingles = Shingles()
 
         def run(batch):
             sets = [shingles.of(t) for t in batch]
-            chunks = signatures(sets)
+            chunks = signatures(sets, len(names))
             out = {"n_shingles": [len(s) for s in sets], "set_key": pa.array([_digest(s) for s in sets], pa.binary())}
-            return out | {name: np.ascontiguousarray(chunks[:, i]) for i, name in enumerate(CHUNK_NAMES)}
+            return out | {name: np.ascontiguousarray(chunks[:, i]) for i, name in enumerate(names)}
 
         return run
 
-    schema = "n_shingles bigint, set_key binary, " + ", ".join(f"{c} bigint" for c in CHUNK_NAMES)
+    schema = "n_shingles bigint, set_key binary, " + ", ".join(f"{c} bigint" for c in names)
     rows = docs.select(id_column, F.xxhash64(text).alias("text_key"), F.col(text).alias("__body"))
     return texts.per_text(rows, make, schema, id_column, "text_key", text="__body")
 
 
-def errors(prefix: str, other: str) -> Column:
+def errors(prefix: str, other: str, names: tuple[str, ...] = CHUNK_NAMES) -> Column:
     """Symbols in which two signatures differ, over columns named with these prefixes."""
 
     def chunk(name):
@@ -120,15 +132,15 @@ def errors(prefix: str, other: str) -> Column:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         return F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(LANES)))))
 
-    return _total(map(chunk, CHUNK_NAMES))
+    return _total(map(chunk, names))
 
 
-def keys() -> Column:
+def keys(names: tuple[str, ...] = CHUNK_NAMES) -> Column:
     """All keys of a signature: every chunk with each of its symbols blotted out in turn."""
     blots = [((1 << 64) - 1) ^ (((1 << BITS) - 1) << BITS * i) for i in range(LANES)]
     signed = [b - (1 << 64) if b >> 63 else b for b in blots]
     return F.array(
-        *(F.xxhash64(F.lit(c * LANES + i), F.col(name).bitwiseAND(F.lit(b))) for c, name in enumerate(CHUNK_NAMES) for i, b in enumerate(signed))
+        *(F.xxhash64(F.lit(c * LANES + i), F.col(name).bitwiseAND(F.lit(b))) for c, name in enumerate(names) for i, b in enumerate(signed))
     )
 
 
@@ -149,13 +161,14 @@ def _near(percent: int) -> Column:
     hub's it hasn't, with a bit map of them; ``common`` are all its shingles that others have as well. A bit that only one
     of two maps has stands for a shingle that only that side lacks.
     """
+    names = chunk_names(percent)
     most = F.least("a_common", "b_common")
     beside = F.least(F.col("a_common") - F.col("a_inside"), F.col("b_common") - F.col("b_inside"))
     only = lambda one, other: _total(F.bit_count(F.col(one + m).bitwiseAND(F.bitwise_not(F.col(other + m)))) for m in MAP_NAMES)
     lacking = F.greatest(F.col("a_lacks") + only("b_", "a_"), F.col("b_lacks") + only("a_", "b_"))
     inside = F.col("a_inside") + F.col("a_lacks") - lacking
     most = F.when(F.col("a_hub") == F.col("b_hub"), F.least(most, inside + F.greatest(beside, F.lit(0)))).otherwise(most)
-    return (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)) & (errors("a_", "b_") <= ERRORS)
+    return (100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)) & (errors("a_", "b_", names) <= 2 * len(names) - 1)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -214,7 +227,7 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
 
 def similar_classes(classes: DataFrame, docs: DataFrame, id_column: str, text: str, percent: int) -> DataFrame:
     """``class`` and ``component`` of every class (class, rep, n and chunks) that is linked with another."""
-    entered = classes.select(F.explode(keys()).alias("key"), "class")
+    entered = classes.select(F.explode(keys(chunk_names(percent))).alias("key"), "class")
     common = entered.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     members = shared.settle(entered.join(shared.settle(common.select("key"), "keys"), "key"), "members")
 
@@ -272,13 +285,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     ASCII separates, with A-Z in lower case; a text of fewer words than a shingle is one shingle, a null or blank text
     has none and is linked with nothing. Rows with a null id are linked with nothing, have a null component and are
     kept. Rows that repeat an id are judged each by its own text. Other columns aren't read. ``percent`` must be at
-    least 85, for which the signatures are laid out. Sets are compared as 64-bit digests of their shingles.
+    least 80, for which the longest signatures are laid out. Sets are compared as 64-bit digests of their shingles.
     """
-    if percent < PERCENT:
-        raise ValueError(f"signatures are laid out for a similarity of at least {PERCENT} %")
-    rows = shared.settle(sketches(docs, id_column, text), "sketches")
+    names = chunk_names(percent)
+    rows = shared.settle(sketches(docs, id_column, text, percent), "sketches")
     linked = rows.where(F.col(id_column).isNotNull() & (F.col("n_shingles") > 0))
-    firsts = [F.first(c).alias(c) for c in CHUNK_NAMES]
+    firsts = [F.first(c).alias(c) for c in names]
     classes = linked.groupBy("set_key", F.col("n_shingles").alias("n")).agg(F.min(id_column).alias("rep"), *firsts)
     classes = shared.settle(classes.withColumn("class", F.xxhash64("set_key")), "classes")
     found = similar_classes(classes, docs, id_column, text, percent)

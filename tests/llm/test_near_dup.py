@@ -75,6 +75,18 @@ def test_documents(spark, frame, edge_pairs):
     assert sorted(map(tuple, got), key=order) == sorted(brute(pairs), key=order)
 
 
+def test_lower_similarity(spark, frame):
+    """The longer signatures, on many pairs about 0.8."""
+    pairs = variants([f"w{i}" for i in range(200)], 80, 5, 3, 0) + variants([f"u{i}" for i in range(60)], 40, 2, 4, 100)
+    want = brute(pairs, 80)
+    assert want != brute(pairs)
+    got = near_dup.near_duplicates(frame(pairs), percent=80).drop("text_key").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert near_dup.near_duplicates(frame(pairs)).count() == len(pairs)
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(frame([]), percent=79)
+
+
 def test_one_of_each(spark, frame, edge_pairs):
     pairs = [*edge_pairs, (7, "another text under the same id")]
     docs = frame(pairs)

@@ -54,6 +54,28 @@ def test_one_of_each_group(stages):
     assert plain(after) == {r for r in rows if r[0] in kept} and len(kept) < len(rows)
 
 
+def test_copies_from_four_fifths_up(spark, small, frame):
+    """Pairs of a similarity of 0.8 and 0.81 are linked, one just below 0.8 isn't."""
+
+    def pair(first, words):
+        base = [f"p{first}w{i}" for i in range(words)]
+        copy = [f"{w}x" if i % 40 == 20 and i < 160 else w for i, w in enumerate(base)]  # four words, five shingles each
+        return [(first, " ".join(base)), (first + 1, " ".join(copy))]
+
+    pairs = [*pair(0, 200), *pair(10, 184), *pair(20, 183)]
+    alike = [len(a & b) / len(a | b) for a, b in zip(*[map(test_near_dup.shingles, (t for _, t in pairs))] * 2)]
+    assert 0.81 < alike[0] < 0.82 and alike[1] == 0.8 and 0.79 < alike[2] < 0.8
+    kept = corpus_pipeline.keep_firsts(spark, frame(pairs), small)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 21]
+
+
+def test_whole_groups_from_four_fifths_up(stages):
+    before, after = stages[1]
+    rows = plain(before)
+    kept = {r[0] for r in test_near_dup.brute([(r[0], r[1]) for r in rows], 80) if r[3]}
+    assert plain(after) == {r for r in rows if r[0] in kept} and len(kept) < len(rows)
+
+
 def test_no_leaks(spark, small, stages):
     before, after = stages[2]
     split = lambda t: [w for w in map(decontaminate.term, (t or "").split()) if w]
