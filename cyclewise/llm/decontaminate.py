@@ -29,6 +29,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.5
 WORDS = 5
+# Questions and answers of fewer words are compared word by word, at the place that is most like them and their neighbours.
+SHORT = 10
 BLOCK_PARTS = 6
 MOST_BLOCKS = 64
 # Terms in more than this share of all parts count as common.
@@ -148,15 +150,52 @@ class Index:
 
 
 def _shared(part: tuple[int, ...], passage: list[int]) -> float:
-    """Share of the part's shingles (of five words, or all of a shorter part) that the passage has."""
+    """Share of the part's shingles (of five words) that the passage has."""
     if not part:
         return 1.0
-    width = min(WORDS, len(part))
-    there = set(zip(*(passage[i:] for i in range(width))))
-    own = list(zip(*(part[i:] for i in range(width))))
+    there = set(zip(*(passage[i:] for i in range(WORDS))))
+    own = list(zip(*(part[i:] for i in range(WORDS))))
     return sum(s in there for s in own) / len(own)
 
 
+def _in_order(own: tuple[int, ...], there: list[int]) -> int:
+    """How many words of ``own`` are in ``there`` in the same order (longest common subsequence)."""
+    row = [0] * (len(own) + 1)
+    for word in there:
+        last, row = row, [0]
+        for n, mine in enumerate(own):
+            row.append(last[n] + 1 if mine == word else max(row[n], last[n + 1]))
+    return row[-1]
+
+
+def _place(own: tuple[int, ...], passage: list[int]) -> list[int]:
+    """The stretch of the passage, hardly longer than ``own``, that has most of its words in order."""
+    width = len(own) + len(own) // 4
+    stretches = (passage[i : i + width] for i in range(max(1, len(passage) - width + 1)))
+    return max(stretches, key=lambda there: _in_order(own, there))
+
+
+def overlaps(part: Part, passage: list[int]) -> tuple[float, float]:
+    """Shares of the question and of the answer that the passage has.
+
+    Of a short side the words count that follow (or precede) those of the other side at their place. A short item must stand
+    together, with at most one word in five missing or changed.
+    """
+    terms, cut = part.terms, part.question
+    if len(terms) < SHORT:
+        same = _in_order(terms, _place(terms, passage))
+        share = same / len(terms) if len(terms) - same <= len(terms) // 5 else 0.0
+        return share, share
+
+    def share(own, stretch, beside):
+        if not own or len(own) >= SHORT:
+            return _shared(own, passage)
+        there = _place(stretch, passage)
+        return max(0, _in_order(stretch, there) - _in_order(beside, there)) / len(own)
+
+    return share(terms[:cut], terms[:SHORT], terms[cut:SHORT]), share(terms[cut:], terms[-SHORT:], terms[-SHORT:cut])
+
+
 class Searcher:
     """Looks for the items of an index in whole texts."""
 
@@ -183,7 +222,7 @@ class Searcher:
                     terms = set(passage)
                 for number, score in index.retrieve(terms, block, self._threshold):
                     part = index.parts[number]
-                    asked, told = (_shared(x, passage) for x in (part.terms[: part.question], part.terms[part.question :]))
+                    asked, told = overlaps(part, passage)
                     if min(asked, told) >= self._overlap:
                         best[part.item] = max(best.get(part.item, (0.0, 0.0, 0.0)), (score, asked, told))
         return [(item, *found) for item, found in sorted(best.items())]

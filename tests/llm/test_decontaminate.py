@@ -87,6 +87,22 @@ def test_planted(spark, frame, items, edge_pairs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*(str(i) for i, (_, h) in planted.items() if not h), *(str(i) for i, _ in edge_pairs)])
 
 
+def test_short_answers_and_items():
+    question = " ".join(f"q{i}" for i in range(40))
+    items = [(1, question + "\nfour words as answer"), (2, "the end"), (3, "seven words make up a short item")]
+    search = decontaminate.Searcher(decontaminate.Index(items)).leaks
+    found = lambda text: [x[0] for x in search(text)]
+    assert found(f"before {question} four words as answer after") == [1]
+    assert found(f"before {question} four changed as answer after") == [1]
+    assert found(f"before {question} four as answer after") == [1]
+    assert found(f"before {question} something else follows answer after") == []  # no answer at its place
+    assert found(question) == []
+    assert found("it is the end of it") == [2]
+    assert found("the other words and then an end") == []
+    assert found("so seven words make up one short item here") == [3]
+    assert found("item short a up make words seven") == []
+
+
 def test_several_indexes(spark, frame, items):
     text = items.where("item_id = 9").head().text
     docs = frame([(1, text)])
