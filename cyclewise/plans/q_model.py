@@ -95,3 +95,18 @@ def batch_score(v: Fleet) -> DataFrame:
     risk = F.abs(F.col("failure_risk") - (1 - F.col("remaining_cycles") / float(config.RUL_CLIP))) <= 0.006
     graded = S.risk_level(F.col("failure_risk")) == F.col("risk_level")
     return scored.select("engine_id", "cycle", "model_version", "confidence", (cycles & risk & graded).alias("consistent"))
+
+
+@query("train_rul_model_rmse")
+def train_rul_model_rmse(v: Fleet) -> DataFrame:
+    """The error of the model that ``train_rul_model`` checks, on each side of the split."""
+    model, rows = _model(v)
+    scored = models.score(model, rows).withColumn("error", F.col("pred_rul") - F.col("label"))
+    return scored.groupBy("split").agg(evaluate.rmse().alias("rmse"))
+
+
+@query("batch_score_records")
+def batch_score_records(v: Fleet) -> DataFrame:
+    """The prediction records, all columns, that ``batch_score`` checks."""
+    model, rows = _model(v)
+    return models.fleet_predictions(model, chunked.latest_per_key(rows, ["unit"], ["cycle"]), VERSION)
