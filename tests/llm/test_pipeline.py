@@ -47,13 +47,6 @@ def test_quality(spark, small, stages):
     assert plain(after) == {r for r in plain(before) if r[0] in good} and 0 < len(good) < before.count()
 
 
-def test_one_of_each_group(stages):
-    before, after = stages[1]
-    rows = plain(before)
-    kept = {r[0] for r in test_near_dup.brute([(r[0], r[1]) for r in rows]) if r[3]}
-    assert plain(after) == {r for r in rows if r[0] in kept} and len(kept) < len(rows)
-
-
 def test_copies_from_four_fifths_up(spark, small, frame):
     """Pairs of a similarity of 0.8 and 0.81 are linked, one just below 0.8 isn't."""
 
