@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise import config, shared
-from cyclewise.llm import bpe_codec, decontaminate, near_dup, quality, secret_scan, sharding, token_count, token_files, topk, url_filter
+from cyclewise.llm import bpe_codec, decontaminate, near_dup, quality, rank_bpe, secret_scan, sharding, token_count, token_files, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -194,6 +194,12 @@ def quality_scores(spark, sf_dir):
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", good.alias("predicted"))
 
 
+@_query("op13_rank_bpe")
+def rank_bpe_round_trip(spark, sf_dir):
+    docs, path = _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return rank_bpe.round_trip(docs, path, public_tokenizers.PATTERN, "doc_id")
+
+
 @_query("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
