@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise import config, shared
-from cyclewise.llm import bpe_codec, decontaminate, near_dup, quality, rank_bpe, secret_scan, sharding, token_count, token_files, topk, url_filter
+from cyclewise.llm import bpe_codec, conversations, decontaminate, merkle, near_dup, quality, rank_bpe, secret_scan, sharding, token_count, token_files, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -194,6 +194,148 @@ def quality_scores(spark, sf_dir):
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", good.alias("predicted"))
 
 
+# CRC-32, bit by bit, of a string of ASCII characters.
+_CRC32 = """
+xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(8 * strlen({0})), lambda i: (ascii({0}[i // 8 + 1]) >> (i % 8)::INTEGER)::BIGINT & 1)),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))
+"""
+_written = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+
+
+@_query(
+    "op11_merkle",
+    f"""
+WITH RECURSIVE digests AS (
+    SELECT doc_id, coalesce('=' || source, '') AS tree,
+           sha256({' || '.join(map(_written, merkle.FIELDS))}) AS leaf,
+           CASE WHEN {_CRC32.format('(doc_id::VARCHAR)')} % 2 = 0
+                THEN sha256({' || '.join(_written(x if x != 'text' else "replace(text, chr(10), '')") for x in merkle.FIELDS)}) END AS cut
+    FROM documents
+), leaves AS (
+    SELECT row_number() OVER () AS n, doc_id, tree, leaf, coalesce(cut, leaf) AS cut,
+           row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size
+    FROM digests
+), nodes AS (
+    SELECT tree, 0 AS level, place, size, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+    FROM nodes WHERE size > 1 GROUP BY tree, level, size, place // 3
+), subroots AS (
+    SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS size
+    FROM nodes WHERE size = 1
+), tops AS (
+    SELECT 0 AS level, place, size, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+    FROM tops WHERE size > 1 GROUP BY level, size, place // 3
+), climbs AS (
+    SELECT l.n, 0 AS part, s.level, s.place, s.digest, l.place // CAST(power(3, s.level) AS BIGINT) AS own
+    FROM leaves l JOIN nodes s ON s.tree = l.tree AND s.size > 1
+         AND s.place // 3 = l.place // CAST(power(3, s.level + 1) AS BIGINT)
+    UNION ALL
+    SELECT l.n, 1, s.level, s.place, s.digest, t.place // CAST(power(3, s.level) AS BIGINT)
+    FROM leaves l JOIN subroots t USING (tree) JOIN tops s ON s.size > 1
+         AND s.place // 3 = t.place // CAST(power(3, s.level + 1) AS BIGINT)
+), steps AS (
+    SELECT n, part, level, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < own), '') AS before,
+           coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > own), '') AS after
+    FROM climbs GROUP BY n, part, level
+), paths AS (
+    SELECT n, string_agg(before || after, '' ORDER BY part, level) AS siblings,
+           list({{'before': before, 'after': after}} ORDER BY part, level) AS path
+    FROM steps GROUP BY n
+), checked AS (
+    SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE size = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+           list_reduce(list_prepend({{'before': cut, 'after': ''}}, coalesce(path, [])),
+                       lambda a, s: {{'before': sha256(s.before || a.before || s.after), 'after': ''}}).before AS folded_root
+    FROM leaves JOIN subroots USING (tree) LEFT JOIN paths USING (n)
+)
+SELECT *, folded_root = root AS verified FROM checked
+""",
+)
+def merkle_proofs(spark, sf_dir):
+    return merkle.verify(_table(spark, sf_dir, "documents"), merkle.without_line_feeds())
+
+
+_STATES = ("start", "system", "user", "assistant")
+
+
+def _repair_sql() -> str:
+    """Row by row, with the cheapest (cost, edits, repaired text) that end in each of four states."""
+    add = lambda state, cost, edit, line: (
+        f"CASE WHEN {state}.c < 1000000000 THEN {{'c': {state}.c + {cost}, 'e': {state}.e || '{edit}', 't': {state}.t || {line}}} END"
+    )
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+    never = "{'c': 1000000000::BIGINT, 'e': '', 't': ''}"
+    kept, cut = "chr(10) || role || ':' || text", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    here = "fault NOT IN ('blank', 'duplicate')"
+
+    def onward(state, sources, name, keeps):
+        ways = [add(state, 2, "D", "''"), never]
+        for s in sources:
+            ways.append(f"CASE WHEN {here} AND initial = '{keeps}' THEN {add(s, cut, 'K', kept)} END")
+            if name:
+                ways.append(f"CASE WHEN {here} THEN {add(s, f'1 + {cut}', 'R', f'chr(10) || {chr(39)}{name}:{chr(39)} || text')} END")
+        return least(*ways) + f" AS {state}"
+
+    def inserted(rows):
+        user = least("user", *[add(s, 5, "I", "chr(10) || 'user:'") for s in ("start", "system", "assistant")])
+        return f"""
+            SELECT key, place, start, system, user, {least("assistant", add("user", 5, "I", "chr(10) || 'assistant:'"))} AS assistant
+            FROM (SELECT * REPLACE ({user} AS user) FROM ({rows}))"""
+
+    first = f"SELECT DISTINCT key, 0::BIGINT AS place, {{'c': 0::BIGINT, 'e': '', 't': ''}} AS start, " + ", ".join(f"{never} AS {s}" for s in _STATES[1:]) + " FROM rows"
+    step = "SELECT r.key, r.place, " + ", ".join([
+        onward("start", (), None, ""),
+        onward("system", ("start",), None, "s"),
+        onward("user", ("start", "system", "assistant"), "user", "u"),
+        onward("assistant", ("user",), "assistant", "a"),
+    ]) + " FROM held h JOIN rows r ON r.key = h.key AND r.place = h.place + 1"
+    return f"""
+WITH RECURSIVE hits AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, '') AS key,
+           {_CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit
+    FROM conversations
+), damaged AS (
+    SELECT key, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+           CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM hits WHERE hit != 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS place, left(role, 1) AS initial FROM damaged
+), rows AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY place) > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+           lag(initial) OVER (PARTITION BY key ORDER BY place) || initial AS pair
+    FROM placed
+), held AS (
+    {inserted(first)}
+    UNION ALL
+    {inserted(step)}
+), ended AS (
+    SELECT h.key, {least("start", "assistant")} AS way
+    FROM held h JOIN (SELECT key, max(place) AS place FROM rows GROUP BY key) USING (key, place)
+), facts AS (
+    SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM rows GROUP BY key
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.c, 0) AS cost, coalesce(way.e, '') AS audit,
+       sha256(coalesce(way.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM hits) LEFT JOIN facts USING (key) LEFT JOIN ended USING (key)
+"""
+
+
+@_query("op12_conversation_repair", _repair_sql())
+def conversation_repair(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.audit(conversations.damaged(turns), turns)
+
+
 @_query("op13_rank_bpe")
 def rank_bpe_round_trip(spark, sf_dir):
     docs, path = _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")

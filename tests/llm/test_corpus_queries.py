@@ -10,7 +10,7 @@ from cyclewise.llm import queries
 def test_one_for_each_operator():
     names = sorted(queries.queries())
     assert [n for n in names if n == "pipeline"] == ["pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == [*range(1, 11), 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert queries.queries().keys() <= entry.queries().keys()
     assert queries.oracle_sql().items() <= entry.oracle_sql().items()
 
