@@ -112,7 +112,7 @@ def metric_counters(v: Fleet) -> DataFrame:
     )
 
 
-def _grid_sql(step: int, label: str = "'all'") -> str:
+def grid_sql(step: int, label: str = "'all'") -> str:
     end = f"CAST(ceil(epoch_us(ts) / {step}e6) * {step} AS BIGINT)"
     return f"""
   SELECT label, step, coalesce(n, 0) AS n
@@ -124,7 +124,7 @@ def _grid_sql(step: int, label: str = "'all'") -> str:
 @query(
     "metric_rate",
     f"""SELECT step, round(sum(n) OVER (ORDER BY step RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) / 3600e0, 9) AS rate
-        FROM ({_grid_sql(300)})""",
+        FROM ({grid_sql(300)})""",
 )
 def metric_rate(v: Fleet) -> DataFrame:
     """Events per second over the last hour, every five minutes."""
@@ -134,8 +134,8 @@ def metric_rate(v: Fleet) -> DataFrame:
 
 @query(
     "metric_irate",
-    f"""SELECT step, round(n / 300e0, 9) AS irate FROM ({_grid_sql(300)})
-        WHERE step > (SELECT min(step) FROM ({_grid_sql(300)}))""",
+    f"""SELECT step, round(n / 300e0, 9) AS irate FROM ({grid_sql(300)})
+        WHERE step > (SELECT min(step) FROM ({grid_sql(300)}))""",
 )
 def metric_irate(v: Fleet) -> DataFrame:
     grid = metrics.counts_on_grid(v.table("events"), F.col("ts"), 300)
@@ -146,7 +146,7 @@ def metric_irate(v: Fleet) -> DataFrame:
 @query(
     "rate_by_label",
     f"""SELECT label, step, round(sum(n) OVER (PARTITION BY label ORDER BY step RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW)
-               / 7200e0, 9) AS rate FROM ({_grid_sql(1800, 'event_type')})""",
+               / 7200e0, 9) AS rate FROM ({grid_sql(1800, 'event_type')})""",
 )
 def rate_by_label(v: Fleet) -> DataFrame:
     grid = metrics.counts_on_grid(v.table("events"), F.col("ts"), 1800, F.col("event_type"))
@@ -156,7 +156,7 @@ def rate_by_label(v: Fleet) -> DataFrame:
 @query(
     "rate_total",
     f"""SELECT step, round(sum(n) OVER (ORDER BY step RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW) / 7200e0, 9) AS rate
-        FROM ({_grid_sql(1800)})""",
+        FROM ({grid_sql(1800)})""",
 )
 def rate_total(v: Fleet) -> DataFrame:
     grid = metrics.counts_on_grid(v.table("events"), F.col("ts"), 1800, F.col("event_type"))
@@ -171,7 +171,7 @@ def ratio_rule(v: Fleet) -> DataFrame:
 @query(
     "sustained_alert",
     f"""SELECT step, n FROM (
-          SELECT step, n, min(CAST(n > 10 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen FROM ({_grid_sql(3600)})
+          SELECT step, n, min(CAST(n > 10 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen FROM ({grid_sql(3600)})
           WINDOW w AS (ORDER BY step RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW))
         WHERE held = 1 AND seen = 3""",
 )
@@ -184,7 +184,7 @@ def sustained_alert(v: Fleet) -> DataFrame:
 @query(
     "absence_rule",
     f"""SELECT step FROM (SELECT step, sum(n) OVER (ORDER BY step RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS n
-                          FROM ({_grid_sql(300)})) WHERE n = 0""",
+                          FROM ({grid_sql(300)})) WHERE n = 0""",
 )
 def absence_rule(v: Fleet) -> DataFrame:
     """Five-minute steps that follow ten minutes without an event."""
@@ -197,7 +197,7 @@ def absence_rule(v: Fleet) -> DataFrame:
     f"""SELECT label, step, round(rate, 9) AS rate FROM (
           SELECT label, step, rate, min(CAST(rate > 0.0006 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen
           FROM (SELECT label, step, sum(n) OVER (PARTITION BY label ORDER BY step RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW)
-                                    / 7200e0 AS rate FROM ({_grid_sql(1800, 'event_type')}))
+                                    / 7200e0 AS rate FROM ({grid_sql(1800, 'event_type')}))
           WINDOW w AS (PARTITION BY label ORDER BY step RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
         WHERE held = 1 AND seen = 3""",
 )
@@ -213,7 +213,7 @@ def rate_alert(v: Fleet) -> DataFrame:
     f"""SELECT label, step FROM (
           SELECT label, step, min(CAST(total = 0 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen
           FROM (SELECT label, step, sum(n) OVER (PARTITION BY label ORDER BY step RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS total
-                FROM ({_grid_sql(300, 'event_type')}))
+                FROM ({grid_sql(300, 'event_type')}))
           WINDOW w AS (PARTITION BY label ORDER BY step RANGE BETWEEN 600 PRECEDING AND CURRENT ROW))
         WHERE held = 1 AND seen = 3""",
 )

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cyclewise import config, shared
 from cyclewise.operators import fleet, scoring
+from cyclewise.plans.q_monitor import grid_sql
 from cyclewise.plans.registry import query
 from cyclewise.plans.views import HUNDREDTHS, READING_SENSORS, TELEMETRY_SENSORS, Fleet, hundredths
 from cyclewise.sources import events as E
+from cyclewise.sources import log
 from cyclewise.streaming import jobs, sinks, state
 
 # In the stream with late readings, every ninth one comes with a cycle number this far back.
@@ -96,13 +99,13 @@ def _rolling(v: Fleet, size: int, **options) -> jobs.RollingFeatures:
 @query("stream_rolling", _LATE_VECTORS)
 def stream_rolling(v: Fleet) -> DataFrame:
     job = _rolling(v, config.WINDOW_SIZE)
-    jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(job.writer(late(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
     return _vectors(job.vectors())
 
 
 @query("stream_rolling_state", _LATE_VECTORS)
 def stream_rolling_state(v: Fleet) -> DataFrame:
-    """The same job with a keyed state function; small batches, as one engine's share of a batch is one task's."""
+    """The same vectors from the stream itself into a table, without a call for each batch; small batches."""
     vectors = state.rolling_vectors(late(v, event_stream(v, per_trigger=16)), len(TELEMETRY_SENSORS), config.WINDOW_SIZE)
     out = shared.scratch(v.spark, "rolling-state")
     jobs.run_bounded(vectors.writeStream.format("parquet").option("path", out), shared.scratch(v.spark, "checkpoint"))
@@ -119,7 +122,7 @@ def stream_restart(v: Fleet) -> DataFrame:
     for half in (events.where(before), events.where(~before)):
         half.write.mode("append").parquet(source)
         again = jobs.RollingFeatures(v.spark, job.path, job.width, job.size)
-        jobs.run_bounded(jobs.each_batch(late(v, event_stream(v, source)), again), checkpoint)
+        jobs.run_bounded(again.writer(late(v, event_stream(v, source))), checkpoint)
     return _vectors(job.vectors())
 
 
@@ -130,9 +133,88 @@ def stream_restart(v: Fleet) -> DataFrame:
         FROM (SELECT unit, count(*) AS n FROM ({_KEPT}) GROUP BY unit)""",
 )
 def stream_counters(v: Fleet) -> DataFrame:
+    """Counted as the rows pass, without jobs of their own."""
     job = _rolling(v, config.WINDOW_SIZE)
-    jobs.run_bounded(jobs.each_batch(late(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
-    return job.counters()
+    with jobs.Counters(v.spark) as counters:
+        jobs.run_bounded(job.writer(late(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
+    return counters.table(*job.COUNTERS)
+
+
+# Messages in a poll of the log that is read to its end, and partitions of the other one.
+POLL = 2_000
+PARTITIONS = 8
+
+
+@query("stream_pull", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_pull(v: Fleet) -> DataFrame:
+    """Poll a log for a bounded number of messages at a time, stop half-way, and go on from the position kept."""
+    path, out, checkpoint = (shared.scratch(v.spark, name) for name in ("log", "pulled", "checkpoint"))
+    events = v.table("events")
+    names = ("event_id", "user_id", "event_type", "value")
+    for half in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        log.append(events.where(half), path, 1, "user_id", ["event_id"])
+        rows = log.polled(v.spark, path, events.select(*names).schema, POLL)
+        jobs.run_until_done(rows.writeStream.format("parquet").option("path", out), checkpoint)
+    return v.spark.read.parquet(out)
+
+
+@query(
+    "stream_log_resume",
+    f"""SELECT engine_id, cycle, event_time, {HUNDREDTHS.format('f')} AS features
+        FROM (SELECT engine_id, arrival AS cycle, event_time_ms AS event_time,
+                     list([value, k]) OVER (PARTITION BY unit ORDER BY arrival ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS f
+              FROM telemetry)
+        WHERE len(f) = 30""",
+)
+def stream_log_resume(v: Fleet) -> DataFrame:
+    """Rolling windows over a log of eight partitions. The order of an engine's messages is that of the offsets in its
+    partition; the run is stopped after the first half and resumed by new objects."""
+    path, out, checkpoint = (shared.scratch(v.spark, name) for name in ("log", "rolling", "checkpoint"))
+    events = v.table("events")
+    schema = T.StructType([*events.schema, T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType())])
+    before = F.col("event_id") < F.lit(events.agg((F.max("event_id") / 2).cast("long")).first()[0])
+    for half in (before, ~before):
+        log.append(events.where(half), path, PARTITIONS, "user_id", ["event_id"])
+        messages = log.polled(v.spark, path, schema, PARTITIONS * POLL)
+        rows = reading_rows(v.base(messages, "offset").withColumns({"cycle": F.col("arrival"), "arrival": F.col("offset")}))
+        job = jobs.RollingFeatures(v.spark, out, len(TELEMETRY_SENSORS))
+        jobs.run_until_done(job.writer(rows), checkpoint)
+    return _vectors(job.vectors())
+
+
+# An engine that sends nothing for so many seconds is silent.
+SILENT = 43_200
+
+
+@query(
+    "stream_absence",
+    f"""SELECT engine_id, event_time_ms AS last_ms, event_time_ms + {SILENT}000 AS silent_ms
+        FROM (SELECT *, lead(event_time_ms) OVER (PARTITION BY engine_id ORDER BY event_time_ms) AS next FROM telemetry), latest_time
+        WHERE coalesce(next, now_ms) > event_time_ms + {SILENT}000""",
+)
+def stream_absence(v: Fleet) -> DataFrame:
+    """Engines told silent by a timer each time that twelve hours of the stream's time pass without an event."""
+    events = v.base(event_stream(v)).select("engine_id", F.timestamp_millis("event_time_ms").alias("event_time"))
+    out = shared.scratch(v.spark, "silences")
+    silent = state.silences(events, SILENT)
+    jobs.run_bounded(silent.writeStream.format("parquet").option("path", out), shared.scratch(v.spark, "checkpoint"))
+    return v.spark.read.parquet(out)
+
+
+@query(
+    "stream_sustained",
+    f"""SELECT step, CAST(n AS BIGINT) AS n FROM (
+          SELECT step, n, min(CAST(n > 10 AS INTEGER)) OVER w AS held, count(*) OVER w AS seen FROM ({grid_sql(3600)})
+          WINDOW w AS (ORDER BY step RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)), latest_time
+        WHERE held = 1 AND seen = 3 AND step * 1000 < now_ms""",
+)
+def stream_sustained(v: Fleet) -> DataFrame:
+    """The rule of ``sustained_alert`` as a live state: hours at which it fires, each as soon as it has passed."""
+    events = v.base(event_stream(v)).select(F.lit("all").alias("label"), F.col("ts").cast("timestamp").alias("event_time"))
+    out = shared.scratch(v.spark, "rule")
+    states = state.rule_states(events, step=3600, span=3600, limit=10, hold=7200)
+    jobs.run_bounded(states.writeStream.format("parquet").option("path", out), shared.scratch(v.spark, "checkpoint"))
+    return v.spark.read.parquet(out).where("state = 'firing'").select("step", "n")
 
 
 _LAST_VECTORS = f"""
@@ -146,7 +228,7 @@ _LAST_VECTORS = f"""
 def online_upsert(v: Fleet) -> DataFrame:
     store = jobs.OnlineStore(v.spark, shared.scratch(v.spark, "online"))
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=store)
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(job.writer(in_order(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
     return _vectors(store.read())
 
 
@@ -158,7 +240,7 @@ def online_upsert(v: Fleet) -> DataFrame:
 def offline_sink(v: Fleet) -> DataFrame:
     out = shared.scratch(v.spark, "offline")
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=lambda rows, batch: sinks.write_offline(rows, out, batch))
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(job.writer(in_order(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
     schema = job.VECTORS + ", date string, hour string, batch long"
     rows = v.spark.read.schema(schema).parquet(out)
     return rows.select("engine_id", "cycle", "date", "hour", hundredths(F.col("features")).alias("features"))
@@ -175,7 +257,7 @@ def stream_fanout(v: Fleet) -> DataFrame:
     store = jobs.OnlineStore(v.spark, shared.scratch(v.spark, "online"))
     both = jobs.fan_out(store, lambda rows, batch: sinks.write_batch(rows.drop("features"), out, batch))
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=both)
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(job.writer(in_order(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
     per_engine = v.spark.read.parquet(f"{out}/batch=*").groupBy("engine_id").agg(
         F.count(F.lit(1)).alias("offline_vectors"), F.sum("cycle").alias("offline_cycles")
     )
@@ -197,7 +279,7 @@ def stream_predictions(v: Fleet) -> DataFrame:
     path = shared.scratch(v.spark, "fleet")
     snapshots = jobs.FleetSnapshots(store, path, lambda x: F.element_at(x, -1).cast("int") % 101 / F.lit(100.0))
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=snapshots)
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(job.writer(in_order(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
     columns = ("engine_id", "remaining_cycles", "failure_risk", "risk_level")
     newest = {}
     for kind in ("prediction", "alert"):
@@ -233,7 +315,7 @@ def stream_alert_dedup(v: Fleet) -> DataFrame:
     book = jobs.AlertBook(v.spark, shared.scratch(v.spark, "alert-book"))
     for half in (events.where(before), events.where(~before)):
         half.write.mode("append").parquet(source)
-        jobs.run_bounded(jobs.each_batch(_graded_stream(v, source), book), checkpoint)
+        jobs.run_bounded(book.writer(_graded_stream(v, source)), checkpoint)
     return book.read()
 
 
@@ -249,7 +331,7 @@ def stream_expiry(v: Fleet) -> DataFrame:
     score = lambda x: F.element_at(x, -1).cast("int") % 101 / F.lit(100.0)
     snapshots = jobs.FleetSnapshots(store, path, score, now_ms=v.now_ms())
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=snapshots)
-    jobs.run_bounded(jobs.each_batch(in_order(v, event_stream(v)), job), shared.scratch(v.spark, "checkpoint"))
+    jobs.run_bounded(job.writer(in_order(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
     rows = v.spark.read.parquet(f"{path}/predictions")
     newest = rows.agg(F.max("batch").alias("b")).scalar()
     return rows.where(F.col("batch") == newest).select("engine_id", "remaining_cycles", "risk_level")
@@ -276,7 +358,7 @@ def stream_ack(v: Fleet) -> DataFrame:
         events.where(half).write.mode("append").parquet(source)
         if half is not before:
             book.acknowledge(book.read().where(F.substring_index("engine_id", "-", -1).cast("int") % 2 == 0))
-        jobs.run_bounded(jobs.each_batch(_graded_stream(v, source), book), checkpoint)
+        jobs.run_bounded(book.writer(_graded_stream(v, source)), checkpoint)
     return book.read().select("engine_id", "risk_level", "failure_risk", "event_time_ms", "acknowledged")
 
 

@@ -130,8 +130,8 @@ class Fleet:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def base(self, events: DataFrame | None = None) -> DataFrame:
-        """Telemetry without cycle numbers; works on a table and on a stream."""
+    def base(self, events: DataFrame | None = None, *more: str) -> DataFrame:
+        """Telemetry without cycle numbers, with the columns ``more`` as they are; works on a table and on a stream."""
         rows = self.table("events") if events is None else events
         return rows.select(
             S.engine_id(F.col("user_id")).alias("engine_id"),
@@ -142,6 +142,7 @@ class Fleet:
             "event_type",
             "value",
             F.get_json_object("props", "$.k").cast("int").alias("k"),
+            *more,
         )
 
     @cached_property

@@ -2,30 +2,93 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
-from cyclewise import config
+from cyclewise import config, shared
 from cyclewise.functions import scalars as S
-from cyclewise.operators import chunked, fleet, scoring, windows
+from cyclewise.operators import fleet, scoring
 from cyclewise.sources import events as E
-from cyclewise.streaming import sinks
+from cyclewise.streaming import sinks, state
 
 TRIGGER = "30 seconds"
 
 
+def _start(writer: DataStreamWriter, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
+    with state.rocksdb(SparkSession.active()):
+        return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def run_bounded(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     """Work through everything that is there and stop; repeated on the same checkpoint it takes only what is new."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = _start(writer, checkpoint, availableNow=True)
     query.awaitTermination()
     return query
 
 
+def run_until_done(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """As ``run_bounded``, poll by poll, for a source that decides itself how much it gives (``sources.log``)."""
+    query = _start(writer, checkpoint, processingTime="0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def run_forever(writer: DataStreamWriter, checkpoint: str, every: str = TRIGGER) -> StreamingQuery:
-    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return _start(writer, checkpoint, processingTime=every)
+
+
+class Counters(StreamingQueryListener):
+    """Sums of what queries observe in their batches (``DataFrame.observe``); the counts come with the batch's own job.
+
+    A batch that runs again replaces its first counts. Use as a context; on leaving it, all queries started
+    inside have reported.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.by_batch, self._open, self._news = spark, {}, set(), threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        with self._news:
+            self._open.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        with self._news:
+            for name, row in progress.observedMetrics.items():
+                self.by_batch[str(progress.id), progress.batchId, name] = row.asDict()
+
+    def onQueryTerminated(self, event) -> None:
+        with self._news:
+            self._open.discard(str(event.runId))
+            self._news.notify_all()
+
+    def __enter__(self) -> Counters:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        with self._news:
+            self._news.wait_for(lambda: not self._open, timeout=60)
+        self.spark.streams.removeListener(self)
+
+    def totals(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for row in self.by_batch.values():
+            for name, n in row.items():
+                out[name] = out.get(name, 0) + (n or 0)
+        return out
+
+    def table(self, *names: str) -> DataFrame:
+        """The totals as one row."""
+        sums = self.totals()
+        return self.spark.createDataFrame([tuple(int(sums.get(n, 0)) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], mode: str = "append") -> DataStreamWriter:
@@ -69,18 +132,16 @@ class Quarantine:
 
 
 class RollingFeatures:
-    """Rolling window per engine, one micro-batch at a time, with the batch operators.
+    """Rolling window per engine: the rows that are accepted, cut into windows, batch by batch to ``on_vectors``.
 
-    Kept between batches: the last ``size - 1`` accepted rows of each engine, in a ``Snapshot``. A batch's rows
-    are checked against them, extended with them and cut into windows by the same chunked operators as in batch,
-    so an engine that owns a third of the stream is spread over tasks.
+    The state is that of ``state.Roller``, in the engine's state store under the query's checkpoint. What a batch counts
+    (``COUNTERS``) is observed as its rows pass; ``Counters`` sums it up.
     """
 
-    ROWS = "engine_id string, cycle long, event_time_ms long, x array<float>"
     VECTORS = (
         "engine_id string, cycle long, event_time long, features array<float>, window_size int, n_sensors int"
     )
-    COUNTERS = "processed long, accepted long, emitted long"
+    COUNTERS = ("processed", "accepted", "emitted", "engines")
 
     def __init__(
         self,
@@ -91,70 +152,24 @@ class RollingFeatures:
         on_vectors: Callable[[DataFrame, int], None] | None = None,
     ):
         self.spark, self.path, self.width, self.size = spark, path, width, size
-        self.tail = sinks.Snapshot(spark, f"{path}/tail", self.ROWS)
         self.on_vectors = on_vectors or (lambda rows, batch: sinks.write_batch(rows, f"{path}/vectors", batch))
 
-    def __call__(self, batch_rows: DataFrame, batch: int) -> None:
-        batch_rows = batch_rows.persist()
-        before = self.tail.before(batch, self.tail.touched(batch_rows))
-        last = before.groupBy("engine_id").agg(F.max("cycle").alias("_last"))
-        on_time = windows.drop_late(batch_rows, unit="engine_id")
-        accepted = (
-            on_time.join(last, "engine_id", "left")
-            .where(F.col("_last").isNull() | (F.col("cycle") > F.col("_last")))
-            .select("engine_id", "cycle", "event_time_ms", "x")
-            .persist()
-        )
-        try:
-            self._emit(before, accepted, batch_rows, batch)
-        finally:
-            accepted.unpersist()
-            batch_rows.unpersist()
-
-    def _emit(self, before: DataFrame, accepted: DataFrame, batch_rows: DataFrame, batch: int) -> None:
-        history = before.select(*accepted.columns, F.lit(False).alias("_new")).unionByName(
-            accepted.withColumn("_new", F.lit(True))
-        )
-        self.on_vectors(self._vectors(history), batch)
-        tail = chunked.last_n_per_key(history.drop("_new"), ["engine_id"], [F.desc("cycle")], max(self.size - 1, 1))
-        self.tail.replace(batch, tail)
-        self._count(before, accepted, batch_rows, batch)
-
-    def _vectors(self, history: DataFrame) -> DataFrame:
-        found = windows.rolling_arrays(history, "x", self.size, unit="engine_id", carry=("event_time_ms", "_new"))
-        return found.where("_new").select(
-            "engine_id",
-            "cycle",
-            F.col("event_time_ms").alias("event_time"),
-            F.flatten("features").alias("features"),
-            F.lit(self.size).alias("window_size"),
-            F.lit(self.width).alias("n_sensors"),
-        )
+    def stream(self, events: DataFrame) -> DataFrame:
+        """The vectors of a stream ``(engine_id, cycle, event_time_ms, arrival, x array<float>)``."""
+        seen = events.observe("input", F.count(F.lit(1)).alias("processed"))
+        pieces = state.accepted_pieces(seen, self.width, self.size)
+        rows = F.size("readings") / self.width
+        ready = F.least(F.col("fresh"), F.greatest(F.lit(0), rows.cast("int") - (self.size - 1)))
+        counts = {"accepted": F.sum("fresh"), "emitted": F.sum(ready), "engines": F.count_if("first")}
+        pieces = pieces.observe("windows", *[F.coalesce(n, F.lit(0)).alias(c) for c, n in counts.items()])
+        return state.windows_of(pieces, self.width, self.size)
 
-    def _count(self, before: DataFrame, accepted: DataFrame, batch_rows: DataFrame, batch: int) -> None:
-        held = before.groupBy("engine_id").agg(F.count(F.lit(1)).alias("held"))
-        new = accepted.groupBy("engine_id").agg(F.count(F.lit(1)).alias("new"))
-        per_engine = new.join(held, "engine_id", "left")
-        ready = F.greatest(F.lit(0), F.col("new") + F.coalesce("held", F.lit(0)) - (self.size - 1))
-        emitted = per_engine.agg(
-            F.coalesce(F.sum("new"), F.lit(0)).alias("accepted"),
-            F.coalesce(F.sum(F.least(F.col("new"), ready)), F.lit(0)).alias("emitted"),
-        )
-        processed = batch_rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-        sinks.write_batch(
-            emitted.select(processed.alias("processed"), "accepted", "emitted"), f"{self.path}/counters", batch
-        )
+    def writer(self, events: DataFrame) -> DataStreamWriter:
+        return each_batch(self.stream(events), fan_out(self.on_vectors))
 
     def vectors(self) -> DataFrame:
         return sinks.read_batches(self.spark, f"{self.path}/vectors", self.VECTORS)
 
-    def counters(self) -> DataFrame:
-        """Totals over all batches, with the number of engines that are held."""
-        engines = self.tail.latest().agg(F.count_distinct("engine_id").alias("n")).scalar()
-        sums = [F.sum(c).alias(c) for c in ("processed", "accepted", "emitted")]
-        rows = sinks.read_batches(self.spark, f"{self.path}/counters", self.COUNTERS).agg(*sums)
-        return rows.withColumn("engines", engines)
-
 
 class OnlineStore:
     """Latest feature vector per engine, with the time it was written (``clock``) for the expiry check.
@@ -233,37 +248,35 @@ class FleetSnapshots:
 class AlertBook:
     """Open alerts: an engine raises one alert until it is acknowledged; an open alert keeps its first values.
 
-    Acknowledging closes all alerts that the engine has raised so far, so that it can raise the next one.
+    ``state.AlertKeeper`` holds the open alerts. Raised and closed alerts are a log, written once each; acknowledgements are
+    a table that the stream reads along with the predictions. An acknowledgement names an alert, so saying it twice
+    changes nothing, also after the engine has raised the next one.
     """
 
-    SCHEMA = (
-        "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, "
-        "acknowledged boolean, raised_in long"
-    )
-    CLOSED = "engine_id string, upto long"
+    ACKS = "engine_id string, acknowledges long"
 
     def __init__(self, spark: SparkSession, path: str, min_risk: str = "HIGH"):
         self.spark, self.path, self.min_risk = spark, path, min_risk
-        self.rows = sinks.Snapshot(spark, f"{path}/alerts", self.SCHEMA)
+        # A stream wants the folder to be there.
+        spark.createDataFrame([], self.ACKS).write.mode("append").parquet(f"{path}/acknowledged")
 
-    def __call__(self, predictions: DataFrame, batch: int) -> None:
-        risky = fleet.at_or_above(predictions, self.min_risk).select(
-            "engine_id", "risk_level", "failure_risk", "remaining_cycles", "event_time_ms", "arrival"
-        )
-        before = self._closed(self.rows.before(batch, self.rows.touched(risky)))
-        fresh = fleet.new_alerts(risky, before).drop("arrival").withColumn("raised_in", F.lit(batch).cast("long"))
-        self.rows.replace(batch, before.unionByName(fresh))
+    def writer(self, predictions: DataFrame) -> DataStreamWriter:
+        risky = fleet.at_or_above(predictions, self.min_risk)
+        acks = self.spark.readStream.schema(self.ACKS).parquet(f"{self.path}/acknowledged")
+        return state.alert_log(risky, acks).writeStream.format("parquet").option("path", f"{self.path}/log")
 
     def acknowledge(self, engines: DataFrame) -> None:
         """Close the open alerts of the engines in ``engines`` (engine_id)."""
-        raised = self.rows.latest().groupBy("engine_id").agg(F.max("raised_in").alias("upto"))
-        raised.join(engines.select("engine_id").distinct(), "engine_id").write.mode("append").parquet(f"{self.path}/acknowledged")
+        told = self._raised().join(engines.select("engine_id").distinct(), "engine_id").where(~F.col("acknowledged"))
+        acks = shared.settle(told.select("engine_id", F.col("arrival").alias("acknowledges")), "acknowledgements")
+        if not acks.isEmpty():
+            acks.write.mode("append").parquet(f"{self.path}/acknowledged")
 
-    def _closed(self, alerts: DataFrame) -> DataFrame:
-        said = sinks.read_or_empty(self.spark, f"{self.path}/acknowledged", self.CLOSED)
-        upto = said.groupBy("engine_id").agg(F.max("upto").alias("upto"))
-        closed = F.col("acknowledged") | (F.col("raised_in") <= F.coalesce("upto", F.lit(-1)))
-        return alerts.join(upto, "engine_id", "left").withColumn("acknowledged", closed).drop("upto")
+    def _raised(self) -> DataFrame:
+        said = sinks.read_or_empty(self.spark, f"{self.path}/acknowledged", self.ACKS).distinct()
+        said = said.select("engine_id", F.col("acknowledges").alias("arrival"), F.lit(True).alias("said"))
+        log = sinks.read_or_empty(self.spark, f"{self.path}/log", state.ALERT_LOG).where("event = 'raised'").drop("event")
+        return log.join(said, ["engine_id", "arrival"], "left").withColumn("acknowledged", F.coalesce("said", F.lit(False))).drop("said")
 
     def read(self) -> DataFrame:
-        return self._closed(self.rows.latest()).drop("raised_in")
+        return self._raised().drop("arrival")

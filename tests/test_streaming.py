@@ -56,18 +56,41 @@ def result(df):
     return sorted((r.engine_id, r.cycle, r.event_time, r.features) for r in df.collect())
 
 
-@pytest.mark.parametrize("pieces, hot_rows", [(1, 10), (3, 10), (3, 10**9)])
-def test_rolling(spark, pieces, hot_rows, monkeypatch):
-    monkeypatch.setattr(config, "HOT_ROWS", hot_rows)
-    monkeypatch.setattr(config, "CHUNK_ROWS", min(hot_rows, 1000))
+def rolled(spark, path, out=None, checkpoint=None, **more):
+    job = jobs.RollingFeatures(spark, out or shared.scratch(spark, "out"), 2, SIZE, **more)
+    jobs.run_bounded(job.writer(stream(spark, path)), checkpoint or shared.scratch(spark, "ckpt"))
+    return job
+
+
+@pytest.mark.parametrize("pieces, piece_rows", [(1, 256), (3, 256), (3, 7), (1, 1)])
+def test_rolling(spark, pieces, piece_rows, monkeypatch):
+    monkeypatch.setattr(state.Roller.__init__, "__defaults__", (None, piece_rows))
     rows, path = make_rows(), shared.scratch(spark, "in")
     write_in_order(spark, rows, pieces, path)
-    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE)
-    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"))
+    with jobs.Counters(spark) as counters:
+        job = rolled(spark, path)
     want = expected(rows)
     assert result(job.vectors()) == want
-    counted = job.counters().first()
-    assert (counted.processed, counted.emitted, counted.engines) == (300, len(want), 6)
+    counted = counters.totals()
+    assert (counted["processed"], counted["emitted"], counted["engines"]) == (300, len(want), 6)
+    assert counted["accepted"] == counters.table(*job.COUNTERS).first().accepted > counted["emitted"]
+
+
+def test_counting_takes_no_jobs(spark):
+    """A batch is one job for its rows and none for its counters."""
+    rows, path = make_rows(), shared.scratch(spark, "in")
+    write_in_order(spark, rows, 3, path)
+
+    def jobs_of(stream_of):
+        query = jobs.run_bounded(stream_of.writeStream.format("noop"), shared.scratch(spark, "ckpt"))
+        assert len(query.recentProgress) >= 3
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId)))
+
+    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE)
+    plain = jobs_of(state.rolling_vectors(stream(spark, path), 2, SIZE))
+    with jobs.Counters(spark) as counters:
+        assert jobs_of(job.stream(stream(spark, path))) == plain
+    assert counters.totals()["processed"] == 300
 
 
 @pytest.mark.parametrize("pieces", [1, 3])
@@ -79,38 +102,163 @@ def test_rolling_state(spark, pieces):
     assert result(spark.read.parquet(out)) == expected(rows)
 
 
-class HeldState:
-    """What a state function sees of its state."""
+def test_a_hot_engine(spark):
+    """One engine owns a third of a batch and comes in many Arrow batches: its accepted rows pass one task as pieces of
+    a bounded size, and its windows are written by several tasks."""
+    rows = [(f"ENG-{0 if i % 3 == 0 else i % 40}", i, i, i, [float(i), 0.0]) for i in range(9000)]
+    path, out = shared.scratch(spark, "in"), shared.scratch(spark, "out")
+    write_in_order(spark, rows, 1, path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        pieces = state.accepted_pieces(stream(spark, path), 2, SIZE)
+        told = state.windows_of(pieces, 2, SIZE).withColumn("task", F.spark_partition_id())
+        jobs.run_bounded(told.writeStream.format("parquet").option("path", out), shared.scratch(spark, "ckpt"))
+        kept = shared.scratch(spark, "pieces")
+        jobs.run_bounded(pieces.writeStream.format("parquet").option("path", kept), shared.scratch(spark, "ckpt"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert result(spark.read.parquet(out)) == expected(rows)
+    assert spark.read.parquet(out).where("engine_id = 'ENG-0'").select("task").distinct().count() > 1
+    sizes = spark.read.parquet(kept).select("fresh", F.size("readings").alias("n")).collect()
+    assert max(r.fresh for r in sizes) <= state.PIECE_ROWS and max(r.n for r in sizes) <= 2 * (state.PIECE_ROWS + SIZE - 1)
+
+
+class Held:
+    """What a processor sees of its state."""
+
+    def __init__(self):
+        self.values, self.timers = {}, set()
+
+    def getValueState(self, name, schema, ttl=None):
+        return self.getListState(name, schema, ttl)
+
+    def getListState(self, name, schema, ttl=None):
+        held = self
+
+        class State:
+            def get(self):
+                return held.values.get(name, [] if name in ("tail", "counts", "runs") else None)
 
-    def __init__(self, value=None, timed_out=False):
-        self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+            def put(self, value):
+                held.values[name] = value
 
-    @property
-    def exists(self):
-        return self.value is not None
+            update = put
 
-    @property
-    def get(self):
-        return self.value
+            def clear(self):
+                held.values.pop(name, None)
 
-    def update(self, value):
-        self.value = value
+        return State()
 
-    def remove(self):
-        self.value = None
+    def registerTimer(self, at):
+        self.timers.add(at)
 
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
+    def deleteTimer(self, at):
+        self.timers.discard(at)
 
 
-def test_state_expires_without_data():
-    roll = state._roller(SIZE, 2, 3_600_000)
-    columns = ["engine_id", "cycle", "event_time_ms", "arrival", "x"]
-    held = HeldState()
-    assert list(roll(("a",), iter([pd.DataFrame([("a", 1, 5, 0, [1.0, 2.0])], columns=columns)]), held)) == []
-    assert held.value == ([1.0, 2.0], 1) and held.timeout == 3_600_000
-    held.hasTimedOut = True
-    assert list(roll(("a",), iter([]), held)) == [] and held.value is None
+def test_state_of_an_engine():
+    """The last rows and the last cycle, and nothing else, whatever the number of rows; a row with no news leaves them alone."""
+    held, roller = Held(), state.Roller(SIZE, 2)
+    roller.init(held)
+    frame = lambda cycles: pd.DataFrame({"engine_id": "a", "cycle": cycles, "event_time_ms": cycles, "arrival": range(len(cycles)), "x": [[float(c), 0.0] for c in cycles]})
+    assert sum(p["fresh"].iloc[0] for p in roller.handleInputRows(("a",), iter([frame([1, 5, 3]), frame([])]), None)) == 2
+    assert held.values["last"] == (5,) and [x[0][0] for x in held.values["tail"]] == [1.0, 5.0]
+    before = dict(held.values)
+    assert list(roller.handleInputRows(("a",), iter([frame([5, 4])]), None)) == [] and held.values == before
+    list(roller.handleInputRows(("a",), iter([frame(list(range(6, 60)))]), None))
+    assert held.values["last"] == (59,) and [x[0][0] for x in held.values["tail"]] == [57.0, 58.0, 59.0]
+
+
+def test_settings_of_the_session_stay(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with state.rocksdb(spark):
+        assert "RocksDB" in spark.conf.get(name)
+    assert spark.conf.get(name) == before
+
+
+def silences_by_hand(rows, span):
+    out, newest = [], max(t for _, t in rows)
+    for engine in {e for e, _ in rows}:
+        times = sorted({t for e, t in rows if e == engine}) + [newest]
+        out += [(engine, a, a + span) for a, b in zip(times, times[1:]) if b - a > span]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pieces", [1, 4, 11])
+def test_silence_is_told_by_the_stream(spark, pieces):
+    rng = random.Random(9)
+    rows = sorted(((f"e{rng.randrange(5)}", rng.randrange(0, 400_000)) for _ in range(60)), key=lambda r: r[1])
+    path, out = shared.scratch(spark, "in"), shared.scratch(spark, "out")
+    step = -(-len(rows) // pieces)
+    for i in range(0, len(rows), step):
+        spark.createDataFrame(rows[i : i + step], "engine_id string, t long").coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema("engine_id string, t long").option("maxFilesPerTrigger", 1).parquet(path)
+    told = state.silences(events.select("engine_id", F.timestamp_millis("t").alias("event_time")), 20)
+    jobs.run_bounded(told.writeStream.format("parquet").option("path", out), shared.scratch(spark, "ckpt"))
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == silences_by_hand(rows, 20_000)
+
+
+def test_silence_with_events_out_of_order():
+    """Runs are joined whatever the order of the batches; only the end of a run waits on a timer."""
+    held, watch = Held(), state.SilenceWatch(50)
+    watch.init(held)
+    for times in ([100], [0, 30], [60, 200], [5]):
+        list(watch.handleInputRows(("a",), iter([pd.DataFrame({"event_time_ms": times})]), None))
+    assert held.values["runs"] == [(0, 100), (200, 200)] and held.timers == {151, 251}
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return 151
+
+    (row,) = watch.handleExpiredTimer(("a",), None, Expired())
+    assert row.iloc[0].to_dict() == {"engine_id": "a", "last_ms": 100, "silent_ms": 150} and held.values["runs"] == [(200, 200)]
+
+
+def rule_by_hand(rows, step, span, limit, hold):
+    """(label, step, n, state) at each closed step."""
+    newest, out = max(t for _, t in rows), []
+    for label in {x for x, _ in rows}:
+        ends = [-(-t // (step * 1000)) * step for x, t in rows if x == label]
+        since = None
+        for at in range(min(ends), newest // 1000 + 1, step):
+            if at * 1000 >= newest:
+                break
+            n = sum(at - span < e <= at for e in ends)
+            if n > limit:
+                started, since = since is None, at if since is None else since
+                if at - since >= hold:
+                    out.append((label, at, n, "firing", since))
+                elif started:
+                    out.append((label, at, n, "pending", since))
+            else:
+                if since is not None and at - step - since >= hold:
+                    out.append((label, at, n, "resolved", since))
+                since = None
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pieces", [1, 5, 17])
+def test_rule_goes_through_its_states(spark, pieces):
+    rng = random.Random(10)
+    rows = sorted((rng.choice("ab"), int(rng.gauss(rng.choice([150_000, 600_000]), 40_000)) % 1_000_000) for _ in range(200))
+    rows = sorted(rows + [("b", 30_000_000)], key=lambda r: r[1])
+    path, out = shared.scratch(spark, "in"), shared.scratch(spark, "out")
+    size = -(-len(rows) // pieces)
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i : i + size], "label string, t long").coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema("label string, t long").option("maxFilesPerTrigger", 1).parquet(path)
+    told = state.rule_states(events.select("label", F.timestamp_millis("t").alias("event_time")), 10, 30, 5, 40)
+    jobs.run_bounded(told.writeStream.format("parquet").option("path", out), shared.scratch(spark, "ckpt"))
+    want = rule_by_hand(rows, 10, 30, 5, 40)
+    assert {r[3] for r in want} == {"pending", "firing", "resolved"}
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want
+
+
+def test_rule_for_labels_never_seen():
+    with pytest.raises(ValueError, match="without events"):
+        state.RuleWatch(10, 30, -1, 40)
 
 
 def test_thirty_events_give_one_vector(spark):
@@ -119,7 +267,7 @@ def test_thirty_events_give_one_vector(spark):
     path = shared.scratch(spark, "in")
     write_in_order(spark, rows, 1, path)
     job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 11)
-    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"))
+    jobs.run_bounded(job.writer(stream(spark, path)), shared.scratch(spark, "ckpt"))
     only = job.vectors().collect()
     assert len(only) == 1 and len(only[0].features) == 330
     assert (only[0].window_size, only[0].n_sensors, only[0].cycle) == (30, 11, 30)
@@ -130,8 +278,7 @@ def test_restart_and_new_files(spark):
     out = shared.scratch(spark, "out")
     for part in (rows[:130], rows[130:]):
         write_in_order(spark, part, 2, path)
-        job = jobs.RollingFeatures(spark, out, 2, SIZE)
-        jobs.run_bounded(jobs.each_batch(stream(spark, path), job), checkpoint)
+        job = rolled(spark, path, out, checkpoint)
     assert result(job.vectors()) == expected(rows)
 
 
@@ -139,7 +286,7 @@ def test_running_on_and_on(spark):
     rows, path, out = make_rows(), shared.scratch(spark, "in"), shared.scratch(spark, "out")
     write_in_order(spark, rows[:150], 1, path)
     job = jobs.RollingFeatures(spark, out, 2, SIZE)
-    query = jobs.run_forever(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"), "0 seconds")
+    query = jobs.run_forever(job.writer(stream(spark, path)), shared.scratch(spark, "ckpt"), "0 seconds")
     try:
         query.processAllAvailable()
         write_in_order(spark, rows[150:], 1, path)
@@ -149,17 +296,6 @@ def test_running_on_and_on(spark):
     assert result(job.vectors()) == expected(rows)
 
 
-def test_a_repeated_batch_changes_nothing(spark):
-    """After a failure a batch is run again; it must find its input and replace its own output."""
-    rows = make_rows()
-    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE)
-    parts = [spark.createDataFrame(rows[i : i + 100], SCHEMA) for i in (0, 100, 200)]
-    for batch, part in enumerate(parts):
-        job(part, batch)
-        job(part, batch)
-    assert result(job.vectors()) == expected(rows)
-
-
 def test_a_failing_sink_leaves_the_batch_to_be_repeated(spark):
     rows, path, checkpoint = make_rows(), shared.scratch(spark, "in"), shared.scratch(spark, "ckpt")
     write_in_order(spark, rows, 3, path)
@@ -172,10 +308,8 @@ def test_a_failing_sink_leaves_the_batch_to_be_repeated(spark):
             raise RuntimeError("lost the sink")
 
     with pytest.raises(Exception, match="lost the sink"):
-        job = jobs.RollingFeatures(spark, out, 2, SIZE, on_vectors=breaks_once)
-        jobs.run_bounded(jobs.each_batch(stream(spark, path), job), checkpoint)
-    job = jobs.RollingFeatures(spark, out, 2, SIZE, on_vectors=breaks_once)
-    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), checkpoint)
+        rolled(spark, path, out, checkpoint, on_vectors=breaks_once)
+    job = rolled(spark, path, out, checkpoint, on_vectors=breaks_once)
     assert calls == [0, 1, 1, 2] and result(job.vectors()) == expected(rows)
 
 
@@ -194,8 +328,7 @@ def test_offline_and_online(spark):
     offline = shared.scratch(spark, "offline")
     store = jobs.OnlineStore(spark, shared.scratch(spark, "online"))
     both = jobs.fan_out(store, lambda vectors, batch: sinks.write_offline(vectors, offline, batch))
-    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE, on_vectors=both)
-    jobs.run_bounded(jobs.each_batch(stream(spark, path), job), shared.scratch(spark, "ckpt"))
+    rolled(spark, path, on_vectors=both)
     want = expected(rows)
     filed = spark.read.parquet(offline)
     assert result(filed) == want
@@ -207,27 +340,30 @@ def test_offline_and_online(spark):
     assert {r.engine_id: (r.cycle, r.event_time, r.features) for r in store.read().collect()} == newest
 
 
-def test_alert_book(spark):
-    book = jobs.AlertBook(spark, shared.scratch(spark, "book"))
-    schema = "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, arrival long"
-    batches = [
-        [("a", "HIGH", 0.7, 30, 1, 1), ("a", "CRITICAL", 0.9, 9, 2, 2), ("b", "LOW", 0.1, 99, 3, 3)],
-        [("a", "CRITICAL", 0.95, 5, 4, 4), ("b", "HIGH", 0.6, 50, 5, 5)],
-    ]
-    for i, rows in enumerate(batches):
-        book(spark.createDataFrame(rows, schema), i)
-    got = sorted((r.engine_id, r.failure_risk, r.event_time_ms, r.acknowledged) for r in book.read().collect())
-    assert got == [("a", 0.7, 1, False), ("b", 0.6, 5, False)]
+ALERTS = "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, arrival long"
 
 
-def test_a_batch_without_rows(spark):
-    job = jobs.RollingFeatures(spark, shared.scratch(spark, "out"), 2, SIZE)
-    rows = make_rows()
-    empty = spark.createDataFrame([], SCHEMA)
-    for batch, part in enumerate([empty, spark.createDataFrame(rows, SCHEMA), empty]):
-        job(part, batch)
-    assert result(job.vectors()) == expected(rows)
-    assert job.counters().first().processed == 300
+class Alerts:
+    """A book and its stream, to which batches of predictions are given one after the other."""
+
+    def __init__(self, spark):
+        self.spark, self.path, self.checkpoint = spark, shared.scratch(spark, "predictions"), shared.scratch(spark, "ckpt")
+        self.book = jobs.AlertBook(spark, shared.scratch(spark, "book"))
+
+    def give(self, *rows):
+        self.spark.createDataFrame(rows, ALERTS).coalesce(1).write.mode("append").parquet(self.path)
+        jobs.run_bounded(self.book.writer(self.spark.readStream.schema(ALERTS).parquet(self.path)), self.checkpoint)
+
+    def told(self):
+        return sorted((r.engine_id, r.event_time_ms, r.acknowledged) for r in self.book.read().collect())
+
+
+def test_alert_book(spark):
+    alerts = Alerts(spark)
+    alerts.give(("a", "CRITICAL", 0.9, 9, 2, 2), ("a", "HIGH", 0.7, 30, 1, 1), ("b", "LOW", 0.1, 99, 3, 3))
+    alerts.give(("a", "CRITICAL", 0.95, 5, 4, 4), ("b", "HIGH", 0.6, 50, 5, 5))
+    got = sorted((r.engine_id, r.failure_risk, r.event_time_ms, r.acknowledged) for r in alerts.book.read().collect())
+    assert got == [("a", 0.7, 1, False), ("b", 0.6, 5, False)]
 
 
 def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
@@ -250,15 +386,30 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
 
 
 def test_alerts_again_after_acknowledging(spark):
-    book = jobs.AlertBook(spark, shared.scratch(spark, "book"))
-    schema = "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, arrival long"
-    batch = lambda ms: spark.createDataFrame([("a", "HIGH", 0.7, 30, ms, ms), ("b", "HIGH", 0.7, 30, ms, ms)], schema)
-    book(batch(1), 0)
-    book.acknowledge(spark.createDataFrame([("a",), ("unknown",)], "engine_id string"))
-    book(batch(2), 1)
-    book(batch(3), 2)
-    got = sorted((r.engine_id, r.event_time_ms, r.acknowledged) for r in book.read().collect())
-    assert got == [("a", 1, True), ("a", 2, False), ("b", 1, False)]
+    alerts = Alerts(spark)
+    batch = lambda n: [("a", "HIGH", 0.7, 30, n, n), ("b", "HIGH", 0.7, 30, n, n)]
+    alerts.give(*batch(1))
+    engines = spark.createDataFrame([("a",), ("unknown",)], "engine_id string")
+    alerts.book.acknowledge(engines)
+    alerts.book.acknowledge(engines)
+    assert alerts.told() == [("a", 1, True), ("b", 1, False)]
+    alerts.give(*batch(2))
+    alerts.give(*batch(3))
+    assert alerts.told() == [("a", 1, True), ("a", 2, False), ("b", 1, False)]
+
+
+def test_an_acknowledgement_said_again_changes_nothing(spark):
+    """One that names an alert closed before doesn't touch the next alert; engines without an open alert hold no state."""
+    held, keeper = Held(), state.AlertKeeper()
+    keeper.init(held)
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["engine_id", *keeper.FIELDS, "acknowledges"])])
+    risky = lambda n: ("a", "HIGH", 0.7, 30, n, n, None)
+    ack = lambda n: ("a", None, None, None, None, None, n)
+    events = lambda rows: [tuple(r) for out in keeper.handleInputRows(("a",), rows, None) for r in out[["event", "arrival"]].values.tolist()]
+    assert events(frame(risky(5), risky(4))) == [("raised", 4)]
+    assert events(frame(ack(4), risky(6), ack(4))) == [("closed", 4), ("raised", 6)]
+    assert events(frame(ack(4), risky(7))) == [] and held.values["open"] == (6,)
+    assert events(frame(ack(6))) == [("closed", 6)] and held.values == {}
 
 
 def test_expired_engines_are_not_scored(spark):
