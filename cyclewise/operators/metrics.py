@@ -141,6 +141,25 @@ def quantiles(histogram: DataFrame, qs: Sequence[float], *by: str) -> DataFrame:
     return hit.groupBy(*keys).agg(F.min_by(value, F.col("le")).alias("quantile"))
 
 
+def bucket_rates(grown: DataFrame, bounds: Sequence[float], step: int, span: int, *by: str, ts: str = "ts") -> DataFrame:
+    """A cumulative histogram ``(by..., step, le, cum_count)`` of rates, for ``quantiles``, from counters of buckets.
+
+    ``grown`` holds the increases of each bucket counter ``(series..., le, increase, ts)`` as ``increases`` finds them, so a
+    counter that was reset is counted on. They are summed over the series and over the ``span`` seconds that end at each
+    step; a bucket without samples in them has grown by nothing. Scrapes of one histogram aren't taken at one instant, so a
+    bucket may seem to have grown by less than one inside it: it is raised to that one's rate. The buckets are ``bounds``
+    and +Inf; one row holds all of a step, so nothing is joined.
+    """
+    edges = [float(b) for b in bounds] + [float("inf")]
+    sums = [F.sum(F.when(F.col("le") == edge, F.col("increase"))).alias(f"_b{i}") for i, edge in enumerate(edges)]
+    steps = grown.where(F.col("le").isin(edges)).groupBy(*by, step_of(F.col(ts), step).alias("step")).agg(*sums)
+    frame = W.partitionBy(*by).orderBy("step").rangeBetween(-(span - 1), 0)
+    rates = F.array(*[F.coalesce(F.sum(f"_b{i}").over(frame), F.lit(0)) / F.lit(float(span)) for i in range(len(edges))])
+    rows = steps.select(*by, "step", rates.alias("rates"))
+    raised = [F.struct(F.lit(edge).alias("le"), F.array_max(F.slice("rates", 1, i + 1)).alias("cum_count")) for i, edge in enumerate(edges)]
+    return rows.select(*by, "step", F.inline(F.array(*raised)))
+
+
 def ratio_rule(df: DataFrame, part: Column, whole: Column, limit: float) -> DataFrame:
     """Rows whose ratio is above the limit; a zero denominator gives no ratio and never fires."""
     return df.withColumn("ratio", F.try_divide(part.cast("double"), whole.cast("double"))).where(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -9,8 +10,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,13 +31,58 @@ def training_rows(features: DataFrame, split: DataFrame, clip: float = config.RU
 
 
 def train(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = config.SPLIT_SEED) -> PipelineModel:
-    """Weighted gradient-boosted regression on the train units; the fit is distributed."""
-    columns = [c for c in rows.columns if c not in NOT_FEATURES]
-    assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    trees_model = GBTRegressor(
-        featuresCol="features", labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed
-    )
-    return Pipeline(stages=[assembler, trees_model]).fit(rows.where(F.col("split") == "train"))
+    """Weighted gradient-boosted regression on the train units; the fit is distributed.
+
+    ``train_with_history`` also looks at the validation units.
+    """
+    return Pipeline(stages=[_assembler(rows), _booster(trees, depth, seed)]).fit(rows.where(F.col("split") == "train"))
+
+
+def _assembler(rows: DataFrame) -> VectorAssembler:
+    return VectorAssembler(inputCols=[c for c in rows.columns if c not in NOT_FEATURES], outputCol="features")
+
+
+def _booster(trees: int, depth: int, seed: int) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed)
+
+
+def train_with_history(
+    rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = config.SPLIT_SEED, stop_early: bool = False
+) -> tuple[PipelineModel, DataFrame]:
+    """The fit of ``train``, cut back to its best round on the validation units, and its history.
+
+    History: ``epoch`` (the number of trees), ``loss`` and ``val_loss`` (mean squared error of the scaled target on either
+    side), ``rmse`` and ``val_rmse``. The model keeps the trees up to the first epoch of the smallest validation loss. All
+    ``trees`` rounds are made and told unless ``stop_early``: then boosting ends at the first round that is worse on the
+    validation units, and the history ends with the best. The rows are read from the shared folder in every round.
+    """
+    assembler = _assembler(rows)
+    told = F.col("split") == "val"
+    held = shared.settle(assembler.transform(rows).select(told.alias("validation"), "y", "weight", "features"), "boosting")
+    sides = [held.where(~F.col("validation")), held.where("validation")]
+    booster = _booster(trees, depth, seed)
+    if stop_early:
+        model = booster.setValidationIndicatorCol("validation").setParams(validationTol=0.0).fit(held)
+    else:
+        model = booster.fit(sides[0])
+    # The weights steer the fit; a loss is a plain mean.
+    losses = list(zip(*[model.evaluateEachIteration(side.withColumn("weight", F.lit(1.0)), "squared") for side in sides]))
+    best = min(range(len(losses)), key=lambda i: (losses[i][1], i)) + 1
+    schema = "epoch int, loss double, val_loss double, rmse double, val_rmse double"
+    history = [(i + 1, a, b, math.sqrt(a), math.sqrt(b)) for i, (a, b) in enumerate(losses)]
+    return PipelineModel([assembler, first_trees(model, best)]), rows.sparkSession.createDataFrame(history, schema)
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model as it was after ``n`` rounds."""
+    own = model._java_obj
+    gateway = SparkSession.active().sparkContext._gateway
+    regression = gateway.jvm.org.apache.spark.ml.regression
+    kept, weights = gateway.new_array(regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    trees = own.trees()
+    for i in range(n):
+        kept[i], weights[i] = trees[i], float(model.treeWeights[i])
+    return GBTRegressionModel(regression.GBTRegressionModel(own.uid(), kept, weights, own.numFeatures()))
 
 
 def score(model: PipelineModel, features: DataFrame, clip: float = config.RUL_CLIP) -> DataFrame:

@@ -37,15 +37,21 @@ def window_features(v: Fleet) -> DataFrame:
 _fitted: dict[tuple[str, str], str] = {}
 
 
-def _model(v: Fleet) -> tuple[PipelineModel, DataFrame]:
-    """Feature rows are written once; the boosting rounds read them from the shared folder."""
+def _training(v: Fleet) -> str:
+    """The folder of the fitted model, its history and its rows, which are written once and read in every boosting round."""
     key = (v.spark.sparkContext.applicationId, v.dir)
     if key not in _fitted:
         path = shared.scratch(v.spark, "training")
         models.training_rows(_features(v), transform.group_split(v.base())).write.parquet(f"{path}/rows")
-        models.train(v.spark.read.parquet(f"{path}/rows")).save(f"{path}/model")
+        model, history = models.train_with_history(v.spark.read.parquet(f"{path}/rows"))
+        model.save(f"{path}/model")
+        history.write.parquet(f"{path}/history")
         _fitted[key] = path
-    path = _fitted[key]
+    return _fitted[key]
+
+
+def _model(v: Fleet) -> tuple[PipelineModel, DataFrame]:
+    path = _training(v)
     return PipelineModel.load(f"{path}/model"), v.spark.read.parquet(f"{path}/rows")
 
 
@@ -61,40 +67,58 @@ halves AS (
 
 @query(
     "train_rul_model",
-    f"""SELECT split, n, units, learned FROM (
-        WITH {_SPLIT.strip()}
-        SELECT split, count(*) AS n, count(DISTINCT unit) AS units, true AS learned
+    f"""SELECT split, n, units, round(baseline, 6) AS baseline, true AS within FROM (
+        WITH {_SPLIT.strip()},
+        mean AS (SELECT avg(label) AS m FROM windowed JOIN halves USING (unit) WHERE split = 'train')
+        SELECT split, count(*) AS n, count(DISTINCT unit) AS units, sqrt(avg((label - (SELECT m FROM mean)) ** 2)) AS baseline
         FROM windowed JOIN halves USING (unit) GROUP BY split)""",
 )
 def train_rul_model(v: Fleet) -> DataFrame:
-    """Windows and units on each side of the split. On the train units the fitted model errs less than their mean does;
-    on the others, whose readings say nothing about their lives in this table, it stays within the label's range."""
+    """Windows and units on each side of the split, and the error of the train units' mean label as a baseline. On the train
+    units the fitted model errs less than that; on the others, whose readings say nothing about their lives in this table,
+    at most a quarter more."""
     model, rows = _model(v)
     mean = rows.where(F.col("split") == "train").agg(F.avg("label").alias("m")).scalar()
     scored = models.score(model, rows).withColumn("error", F.col("pred_rul") - F.col("label"))
+    baseline = F.sqrt(F.avg(F.pow(F.col("label") - mean, 2)))
     return scored.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("unit").alias("units"),
-        F.when(F.col("split") == "train", evaluate.rmse() < F.sqrt(F.avg(F.pow(F.col("label") - mean, 2))))
-        .otherwise(evaluate.rmse() < config.RUL_CLIP)
-        .alias("learned"),
+        F.round(baseline, 6).alias("baseline"),
+        F.when(F.col("split") == "train", evaluate.rmse() < baseline).otherwise(evaluate.rmse() <= 1.25 * baseline).alias("within"),
     )
 
 
 @query(
     "batch_score",
-    """SELECT engine_id, max(cycle) AS cycle, 'v1' AS model_version, 1e0 AS confidence, true AS consistent
+    """SELECT engine_id, max(cycle) AS cycle, 'v1' AS model_version, 1e0 AS confidence, 1e0 AS share_in_range, 1e0 AS share_agreeing
        FROM telemetry GROUP BY engine_id HAVING count(*) >= 30""",
 )
 def batch_score(v: Fleet) -> DataFrame:
-    """One prediction record per engine, from its last full window, and whether its parts agree with each other."""
+    """One prediction record per engine, from its last full window, and over all records the share whose life lies within
+    the labels of the training rows and the share whose risk and level agree with the life."""
     model, rows = _model(v)
     last = chunked.latest_per_key(rows, ["unit"], ["cycle"])
-    scored = models.fleet_predictions(model, last, VERSION)
-    cycles = F.col("remaining_cycles").between(0, config.RUL_CLIP)
-    risk = F.abs(F.col("failure_risk") - (1 - F.col("remaining_cycles") / float(config.RUL_CLIP))) <= 0.006
+    scored = shared.settle(models.fleet_predictions(model, last, VERSION), "predictions")
+    labels = rows.where(F.col("split") == "train").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    in_range = F.col("remaining_cycles").between(labels.select("lo").scalar(), labels.select("hi").scalar())
+    risk = F.abs(F.col("failure_risk") - (1 - F.col("remaining_cycles") / float(config.RUL_CLIP))) <= 0.0041
     graded = S.risk_level(F.col("failure_risk")) == F.col("risk_level")
-    return scored.select("engine_id", "cycle", "model_version", "confidence", (cycles & risk & graded).alias("consistent"))
+    share = lambda held: F.avg(held.cast("int"))
+    shares = scored.agg(share(in_range).alias("in_range"), share(risk & graded).alias("agreeing"))
+    told = {f"share_{c}": shares.select(c).scalar() for c in ("in_range", "agreeing")}
+    return scored.select("engine_id", "cycle", "model_version", "confidence", *[c.alias(n) for n, c in told.items()])
+
+
+@query("training_history")
+def training_history(v: Fleet) -> DataFrame:
+    """Loss of every boosting round on both sides, and the round whose trees the model keeps."""
+    path = _training(v)
+    rounds = v.spark.read.parquet(f"{path}/history")
+    kept = evaluate.best_epoch(rounds.withColumn("run", F.lit(VERSION)), "run", "epoch", "val_loss")
+    return rounds.join(kept.select(F.col("best_epoch").alias("epoch"), F.lit(True).alias("restored")), "epoch", "left").select(
+        *rounds.columns, F.coalesce("restored", F.lit(False)).alias("restored")
+    )
 
 
 @query("train_rul_model_rmse")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cyclewise import config
 from cyclewise.operators import drift, metrics, transform
@@ -30,13 +31,12 @@ _KS_P = f"""
 
 @query("drift_ks", f"SELECT sensor, n_ref, n_cur, round(d, 9) AS d FROM ({_KS})")
 def drift_ks(v: Fleet) -> DataFrame:
-    stats = drift.ks_statistics(v.reference_rows(), v.current_rows(), TELEMETRY_SENSORS)
-    return stats.withColumn("d", F.round("d", 9))
+    return drift.ks_of(v.drift_halves(), TELEMETRY_SENSORS).withColumn("d", F.round("d", 9))
 
 
 @query("drift_pvalue", f"SELECT sensor, round(d, 9) AS d, round(p, 6) AS p_value, p < 0.05 AS drifted FROM ({_KS_P})")
 def drift_pvalue(v: Fleet) -> DataFrame:
-    table = drift.drift_table(v.reference_rows(), v.current_rows(), TELEMETRY_SENSORS)
+    table = drift.judged(drift.ks_of(v.drift_halves(), TELEMETRY_SENSORS))
     return table.select("sensor", F.round("d", 9).alias("d"), F.round("p_value", 6).alias("p_value"), "drifted")
 
 
@@ -50,7 +50,7 @@ def drift_pvalue(v: Fleet) -> DataFrame:
         WHERE (SELECT count(*) FROM telemetry WHERE ts >= TIMESTAMP '2024-01-16') >= 100""",
 )
 def drift_summary(v: Fleet) -> DataFrame:
-    return drift.drift_summary(v.reference_rows(), v.current_rows(), TELEMETRY_SENSORS)
+    return drift.summary_of(v.drift_halves(), TELEMETRY_SENSORS)
 
 
 _BOUNDS = ", ".join(f"('{b}')" for b in (*config.RUL_BUCKETS, "inf"))
@@ -314,6 +314,41 @@ def avg_rate_by_label(v: Fleet) -> DataFrame:
     return rates.groupBy("event_type", "step").agg(F.round(F.avg(F.col("rate") * 7200), 6).alias("two_hours"))
 
 
+_DAY = 86_400
+
+
+@query(
+    "bucket_quantile",
+    f"""SELECT step, q, round(arg_min(CASE WHEN le = 'inf'::DOUBLE THEN 125
+                   ELSE lo + (le - lo) * CASE WHEN c = lo_c THEN 1 ELSE (q * total - lo_c) / (c - lo_c) END END, le), 6) AS quantile
+        FROM (SELECT *, max(c) OVER (PARTITION BY step) AS total,
+                     coalesce(lag(le) OVER by_le, CASE WHEN le > 0 THEN 0 ELSE le END) AS lo, coalesce(lag(c) OVER by_le, 0) AS lo_c
+              FROM (SELECT step, le, max(r) OVER (PARTITION BY step ORDER BY le) AS c
+                    FROM (SELECT step, le, sum(grown) OVER (PARTITION BY le ORDER BY step RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW) / 7200e0 AS r
+                          FROM (SELECT step, le, sum(CASE WHEN v >= before THEN v - before ELSE v END) AS grown
+                                FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, instance, le ORDER BY step) AS before
+                                      FROM (SELECT *, sum(n) OVER (PARTITION BY event_type, instance, le, (step - 1) // {_DAY} ORDER BY step) AS v
+                                            FROM (SELECT event_type, user_id % 5 AS instance, {_STEP_SQL} AS step, le, count(*) FILTER (value <= le) AS n
+                                                  FROM events, (SELECT CAST(b AS DOUBLE) AS le FROM (VALUES {_BOUNDS}) AS t(b)) GROUP BY ALL)))
+                                WHERE before IS NOT NULL GROUP BY step, le)))
+              WINDOW by_le AS (PARTITION BY step ORDER BY le)),
+             (VALUES (0.5e0), (0.95e0)) AS t(q)
+        WHERE c >= q * total AND total > 0 GROUP BY step, q""",
+)
+def bucket_quantile(v: Fleet) -> DataFrame:
+    """Median and 95th percentile of the last two hours, from bucket counters of each type and instance that begin anew every day."""
+    series = [*_SERIES, "le"]
+    rows = v.table("events").withColumn("instance", F.col("user_id") % 5)
+    hours = metrics.bucket_counts(rows, F.col("value"), config.RUL_BUCKETS, F.col("event_type"), F.col("instance"), metrics.step_of(F.col("ts"), 3600))
+    hours = hours.withColumnsRenamed({"_by0": "event_type", "_by1": "instance", "_by2": "step"})
+    day = F.floor((F.col("step") - 1) / _DAY)
+    counter = F.sum("cum_count").over(W.partitionBy(*series, day).orderBy("step"))
+    samples = hours.withColumns({"value": counter, "ts": F.timestamp_seconds("step")})
+    grown = metrics.increases(samples, series, ["ts"])
+    found = metrics.quantiles(metrics.bucket_rates(grown, config.RUL_BUCKETS, 3600, 7200), (0.5, 0.95), "step")
+    return found.withColumn("quantile", F.round("quantile", 6))
+
+
 _HOLES_SQL = """(
   SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type, ts,
          CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS value,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise.functions import scalars as S
-from cyclewise.operators import chunked, scoring
+from cyclewise.operators import chunked, drift, scoring
 
 CUTOFF = "2024-01-16"
 WIDE_SENSORS = ("s2", "s3", "s4", "s7")
@@ -256,6 +256,10 @@ class Fleet:
     def current_rows(self) -> DataFrame:
         return self.base().where(F.col("ts") >= F.lit(CUTOFF).cast("timestamp_ntz"))
 
+    def drift_halves(self) -> DataFrame:
+        """The readings before and after the cutoff, from one read of the events."""
+        return drift.halves(self.base(), F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz"), TELEMETRY_SENSORS)
+
     @property
     def raised(self) -> DataFrame:
         """One alert per engine from the first half; engines with an even number have acknowledged it."""

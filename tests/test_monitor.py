@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,63 @@ def test_ks_extremes_and_nulls(spark):
     assert got == {"s2": 0.0, "s3": 1.0}
 
 
+@pytest.mark.parametrize("kind", ["shifted", "alike", "gap", "ties"])
+def test_ks_counts_exactly_where_it_matters(spark, kind, monkeypatch):
+    """Few parts are counted by value when the samples differ; what the sketches leave open is counted in another read."""
+    rng = random.Random(kind)
+    shift = {"shifted": 2.0, "alike": 0.0, "gap": 9.0, "ties": 0.3}[kind]
+    draw = lambda off: [round(rng.gauss(4 + off, 2), 1 if kind == "ties" else 6) for _ in range(3000)]
+    a, b = draw(0), draw(shift)
+    rounds, seen = [], drift._part_gaps
+    monkeypatch.setattr(drift, "_part_gaps", lambda *args: rounds.append(args[-1]["s2"]) or seen(*args))
+    first, second = frame(spark, s2=a), frame(spark, s2=b)
+    got = drift.ks_statistics(first, second, ["s2"]).first()
+    assert math.isclose(got.d, brute_d(a, b), abs_tol=1e-12) and len(rounds) == 1
+    if kind == "shifted":
+        assert sum(last - start + 1 for start, last in rounds[0]) < 400  # of 1023
+    rounds.clear()
+    monkeypatch.setattr(drift, "_promising", lambda p, cuts, points: np.zeros(len(cuts) + 1, bool))
+    again = drift.ks_statistics(first, second, ["s2"]).first()
+    assert again.d == got.d and (len(rounds) == 2 or kind == "gap")
+
+
+def test_few_ranges():
+    parts = [i % 3 == 0 for i in range(60)]
+    found = drift._ranges(np.array(parts), 4)
+    assert len(found) == 4 and all(any(a <= i <= b for a, b in found) for i in range(60) if parts[i])
+    assert drift._ranges(np.zeros(5, bool)) == []
+
+
+def read_records(spark, job):
+    """Rows that all stages of a job have read from files."""
+    store = lambda: {(s.stageId(), s.attemptId()): s.inputRecords() for s in stages()}
+    jvm = spark.sparkContext._jvm
+    empty = jvm.java.util.ArrayList()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = status.stageList(empty, False, False, none, empty)
+        return [found.apply(i) for i in range(found.length())]
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store()
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for key, n in store().items() if key not in before)
+
+
+def test_drift_reads_twice(spark):
+    """No row of the events is read more than twice; beyond them, what is written of each part of a sensor is."""
+    from cyclewise.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/events.parquet").count()
+    for name in ("drift_ks", "drift_summary", "retain_last_n"):
+        told = read_records(spark, lambda name=name: catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save())
+        assert rows < told <= 2 * rows + 4 * 2 * 1024, (name, told, rows)
+
+
 def test_p_value(spark):
     df = spark.createDataFrame([(0.0, 50, 50), (1.0, 50, 50), (0.2, 100, 100)], "d double, n long, m long")
     p = [r[0] for r in df.select(drift.p_value(F.col("d"), F.col("n"), F.col("m"))).collect()]
@@ -68,6 +126,24 @@ def test_drift_without_columns_is_an_error_record(spark):
     assert (row.alert_level, row.drift_detected, row.total_features) == ("ERROR", False, 0)
 
 
+def test_bucket_rates(spark):
+    """Two series, one of which is reset; a bucket that seems to have grown by less than the one inside it; a step without samples."""
+    inf = float("inf")
+    samples = [
+        ("x", 1.0, 0, 5), ("x", 2.0, 0, 8), ("x", inf, 0, 9), ("x", 1.0, 60, 15), ("x", 2.0, 60, 28), ("x", inf, 60, 29),
+        ("x", 1.0, 120, 4), ("x", 2.0, 120, 3), ("x", inf, 120, 6), ("y", 1.0, 60, 100), ("y", 1.0, 120, 101), ("y", 2.0, 120, 7),
+        ("y", 9.0, 60, 1), ("y", 9.0, 120, 500), ("x", 1.0, 300, 6), ("x", 2.0, 300, 5), ("x", inf, 300, 8),
+    ]
+    rows = spark.createDataFrame([(s, le, t, v) for s, le, t, v in samples], "series string, le double, t long, value long")
+    grown = metrics.increases(rows.withColumn("ts", F.timestamp_seconds("t")), ["series", "le"], ["ts"])
+    got = {(r.step, r.le): round(r.cum_count * 120, 9) for r in metrics.bucket_rates(grown, [1.0, 2.0], 60, 120).collect()}
+    assert got == {
+        (60, 1.0): 10, (60, 2.0): 20, (60, inf): 20, (120, 1.0): 15, (120, 2.0): 23, (120, inf): 26, (300, 1.0): 2, (300, 2.0): 2, (300, inf): 2,
+    }
+    none = metrics.bucket_rates(grown.limit(0), [1.0, 2.0], 60, 120)
+    assert none.count() == 0 and metrics.quantiles(none, (0.5,), "step").count() == 0
+
+
 def grid(spark, counts, step=60):
     rows = [("all", step * (i + 1), n) for i, n in enumerate(counts)]
     return spark.createDataFrame(rows, "label string, step long, n long")

@@ -172,3 +172,24 @@ def test_batch_run_stops_on_bad_input(spark, damage, failed):
     with pytest.raises(ValidationError, match=failed):
         batch.validate(bronze)
     assert spark.read.json(f"{batch.work}/status").first().status == "failed"
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 500, 4000, 9000])
+def test_newest_rows(spark, n):
+    """Offsets with gaps, nulls and repeats; more rows wanted than there are."""
+    offset = F.when(F.col("id") % 400 == 0, None).otherwise(F.col("id") * F.col("id") - F.col("id") % 2 * 3).alias("offset")
+    rows = spark.range(8000).select("id", offset)
+    got = [r.offset for r in E.retain_newest(rows, "offset", n).collect()]
+    want = sorted((r.offset for r in rows.collect()), key=lambda x: (x is not None, x or 0), reverse=True)[:n]
+    assert got == want
+    assert E.retain_newest(rows.limit(0), "offset", n).count() == 0
+
+
+def test_retention_skips_row_groups(spark):
+    """The bound reaches the scan as a plain value, and row groups below it aren't read."""
+    path = shared.scratch(spark, "offsets")
+    spark.range(200_000).coalesce(1).write.option("parquet.block.size", 64 * 1024).parquet(path)
+    kept = E.retain_newest(spark.read.parquet(path), "id", 1000)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id," in plan
+    assert sorted(r.id for r in kept.collect()) == list(range(199_000, 200_000))
