@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cyclewise import config, shared
-from cyclewise.operators import chunked
 
 SERIES_TERMS = 100
+# Parts that the two sides' quantiles cut a sensor's values into.
+SLICES = 512
 
 
 class Profile(NamedTuple):
@@ -39,7 +40,7 @@ def sides(reference: DataFrame, current: DataFrame, sensors: Sequence[str]) -> D
     return halves(reference, F.lit(True), sensors).unionAll(halves(current, F.lit(False), sensors))
 
 
-def profiles(both: DataFrame, sensors: Sequence[str], points: int = chunked.SLICES // 2) -> tuple[int, list[Profile]]:
+def profiles(both: DataFrame, sensors: Sequence[str], points: int = SLICES // 2) -> tuple[int, list[Profile]]:
     """The number of current rows and a profile of each sensor: one read, and two short lists a sensor for the driver."""
     wanted = [i / points for i in range(1, points)]
     found = []
@@ -97,9 +98,8 @@ def _part_gaps(both: DataFrame, told: Sequence[Profile], cuts: dict[str, np.ndar
     values = numbered.select("is_ref", F.inline(F.array(*pairs))).where("ok")
     counts = [F.count_if("is_ref").alias("a"), F.count_if(~F.col("is_ref")).alias("b")]
     merged = values.groupBy("sensor", "part", "exact", "x").agg(*counts)
-    sizes = both.sparkSession.createDataFrame([(p.sensor, float(p.n_ref), float(p.n_cur)) for p in told], "sensor string, n double, m double")
-    # One row for each sensor.
-    merged = merged.join(F.broadcast(sizes), "sensor")
+    sizes = {"n": {p.sensor: float(p.n_ref) for p in told}, "m": {p.sensor: float(p.n_cur) for p in told}}
+    merged = merged.withColumns({c: F.create_map(*[F.lit(x) for pair in by.items() for x in pair])[F.col("sensor")] for c, by in sizes.items()})
     upto = W.partitionBy("sensor", "part").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
     inside = F.sum("a").over(upto) / F.col("n") - F.sum("b").over(upto) / F.col("m")
     parts = merged.withColumn("inside", inside).groupBy("sensor", "part", "exact", "n", "m").agg(
@@ -140,11 +140,12 @@ def _statistics(both: DataFrame, profiled: Sequence[Profile], points: int) -> Da
             for first, last in exact[p.sensor]:
                 marks[first : last + 1] = True
             exact[p.sensor] = _ranges(marks)
-    return spark.createDataFrame([(p.sensor, p.n_ref, p.n_cur, found[p.sensor]) for p in told], schema)
+    rows = [F.struct(F.lit(p.sensor).alias("sensor"), *[F.lit(x).cast("long").alias(c) for c, x in (("n_ref", p.n_ref), ("n_cur", p.n_cur))], F.lit(found[p.sensor]).alias("d")) for p in told]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def ks_statistics(
-    reference: DataFrame, current: DataFrame, sensors: Sequence[str] = config.SENSORS, slices: int = chunked.SLICES
+    reference: DataFrame, current: DataFrame, sensors: Sequence[str] = config.SENSORS, slices: int = SLICES
 ) -> DataFrame:
     """``(sensor, n_ref, n_cur, d)`` for each sensor with values on both sides; any ``slices`` give the exact distance.
 
@@ -158,7 +159,7 @@ def ks_statistics(
     return ks_of(sides(reference, current, sensors), sensors, slices)
 
 
-def ks_of(both: DataFrame, sensors: Sequence[str] = config.SENSORS, slices: int = chunked.SLICES) -> DataFrame:
+def ks_of(both: DataFrame, sensors: Sequence[str] = config.SENSORS, slices: int = SLICES) -> DataFrame:
     """As ``ks_statistics``, for both sides in one table (``halves``, ``sides``)."""
     points = max(2, slices // 2)
     return _statistics(both, profiles(both, sensors, points)[1], points)
@@ -221,7 +222,7 @@ def drift_summary(
 
 def summary_of(both: DataFrame, available: Sequence[str], missing: Sequence[str] = (), min_rows: int = config.DRIFT_MIN_ROWS) -> DataFrame:
     """As ``drift_summary``, for both sides in one table (``halves``, ``sides``)."""
-    points = chunked.SLICES // 2
+    points = SLICES // 2
     rows, told = profiles(both, available, points)
     enough = rows >= min_rows
     # One row per sensor reaches this aggregate.
