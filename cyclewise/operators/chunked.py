@@ -160,7 +160,10 @@ def with_global_ordinal(df: DataFrame, order: Sequence[Column], bucket: Column,
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key along ``order``: a map-side combined aggregate, no window, no sort."""
+    """The last row of each key along ``order``: an aggregate, combined on the map side, so that a hot key shuffles one row a task.
+
+    Spark groups rows for it by sorting each task's share, as what it keeps for a key is a whole row.
+    """
     rest = [c for c in df.columns if c not in key]
     return (
         df.groupBy(*key)

@@ -122,6 +122,29 @@ def fleet_predictions(model: PipelineModel, features: DataFrame, version: str) -
 
 def cluster_conditions(df: DataFrame, settings: Sequence[str], k: int, seed: int = config.SPLIT_SEED) -> DataFrame:
     """Group rows by operating condition with k-means on the setting columns; adds ``condition``."""
+    rows = shared.settle(df.groupBy(*settings).agg(F.count(F.lit(1)).alias("n")), "settings")
+    return fit_conditions(rows, settings, k, seed).transform(df).drop("_settings")
+
+
+def fit_conditions(rows: DataFrame, settings: Sequence[str], k: int, seed: int = config.SPLIT_SEED) -> PipelineModel:
+    """k-means on settled ``rows`` (settings..., n, ...): equal settings are one point that counts ``n`` times, so the rounds of the
+    fit read no more than the different settings."""
+    weighted = rows.withColumn("_weight", F.col("n").cast("double"))
     assembler = VectorAssembler(inputCols=list(settings), outputCol="_settings")
-    clusters = KMeans(featuresCol="_settings", predictionCol="condition", k=k, seed=seed)
-    return Pipeline(stages=[assembler, clusters]).fit(df).transform(df).drop("_settings")
+    clusters = KMeans(featuresCol="_settings", predictionCol="condition", weightCol="_weight", k=k, seed=seed)
+    return Pipeline(stages=[assembler, clusters]).fit(weighted)
+
+
+def scale_by_conditions(
+    df: DataFrame, settings: Sequence[str], sensors: Sequence[str], k: int, per_setting: DataFrame | None = None, seed: int = config.SPLIT_SEED
+) -> DataFrame:
+    """Cluster rows by their settings and scale the sensors within each cluster; adds ``condition``.
+
+    ``per_setting`` (settings..., n, lo_..., hi_...; other keys may split it further) may be given where it is known. It is one
+    read of the rows; clusters and their bounds come from it, so the rows are read once more only, to be scaled.
+    """
+    if per_setting is None:
+        per_setting = transform.fit_scaler_by_unit(df, sensors, *settings)
+    model = fit_conditions(shared.settle(per_setting.groupBy(*settings).agg(F.sum("n").alias("n")), "settings"), settings, k, seed)
+    bounds = transform.bounds_by(model.transform(per_setting), "condition", sensors)
+    return transform.scale_per_group(model.transform(df).drop("_settings"), "condition", sensors, bounds)

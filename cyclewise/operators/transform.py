@@ -54,12 +54,13 @@ def with_life(df: DataFrame, unit: str, cycle: str, life: DataFrame | None = Non
     return df.join(lives, F.col(unit).eqNullSafe(F.col("_unit"))).drop("_unit")
 
 
-def truth_by_position(units: DataFrame, truth: DataFrame) -> DataFrame:
+def truth_by_position(units: DataFrame, truth: DataFrame, distinct: bool = False) -> DataFrame:
     """Pair the i-th unit (sorted) with the i-th truth line; raises when their counts differ.
 
-    ``units`` has one integer column ``unit`` (repeats allowed), ``truth`` has ``pos`` (1, 2, ...) and ``rul``.
+    ``units`` has an integer column ``unit`` (repeats allowed unless ``distinct``: a small table of one row each, as
+    ``chunked.key_counts`` keeps it), ``truth`` has ``pos`` (1, 2, ...) and ``rul``.
     """
-    distinct = shared.settle(units.select("unit").distinct(), "units")
+    distinct = units.select("unit") if distinct else shared.settle(units.select("unit").distinct(), "units")
     cuts = distinct.agg(chunked.cut_points("unit").alias("c")).scalar()
     sliced = distinct.withColumn("_cuts", cuts)
     place = chunked.slice_of(F.col("unit"), F.col("_cuts"))
@@ -82,33 +83,58 @@ def fit_scaler(train: DataFrame, sensors: Sequence[str] = config.SENSORS) -> Dat
         *[F.min(s).cast("double").alias(f"lo_{s}") for s in sensors],
         *[F.max(s).cast("double").alias(f"hi_{s}") for s in sensors],
     )
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(s).alias("sensor"),
-                    F.lit(i).alias("pos"),
-                    F.col(f"lo_{s}").alias("min"),
-                    F.col(f"hi_{s}").alias("max"),
-                    (F.col(f"hi_{s}") - F.col(f"lo_{s}")).alias("range"),
-                )
-                for i, s in enumerate(sensors)
-            ]
+    return _as_rows(bounds, sensors)
+
+
+def fit_scaler_by_unit(rows: DataFrame, sensors: Sequence[str] = config.SENSORS, *keys: str) -> DataFrame:
+    """Bounds of each unit ``(keys..., n, lo_..., hi_...)``, kept in the shared folder: one read, map-side combined.
+
+    The units themselves, their row counts and the bounds of any set of them (``bounds_of_units``, ``bounds_by``) follow without
+    another. ``keys`` are the unit unless said otherwise.
+    """
+    keys = keys or ("unit",)
+    ends = [F.min(s).cast("double").alias(f"lo_{s}") for s in sensors] + [F.max(s).cast("double").alias(f"hi_{s}") for s in sensors]
+    return shared.settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends), "unit-bounds")
+
+
+def bounds_by(per_unit: DataFrame, group: str, sensors: Sequence[str] = config.SENSORS) -> DataFrame:
+    """``(group, lo_..., hi_...)`` from bounds of finer keys."""
+    ends = [F.min(f"lo_{s}").alias(f"lo_{s}") for s in sensors] + [F.max(f"hi_{s}").alias(f"hi_{s}") for s in sensors]
+    return per_unit.groupBy(group).agg(*ends)
+
+
+def bounds_of_units(per_unit: DataFrame, units: DataFrame, sensors: Sequence[str] = config.SENSORS, unit: str = "unit") -> DataFrame:
+    """As ``fit_scaler`` on the rows of the given units (null is one like others)."""
+    wanted = units.select(F.col(unit).alias("_unit"))
+    own = per_unit.join(wanted, F.col(unit).eqNullSafe(F.col("_unit")), "left_semi")
+    ends = [F.min(f"lo_{s}").alias(f"lo_{s}") for s in sensors] + [F.max(f"hi_{s}").alias(f"hi_{s}") for s in sensors]
+    return _as_rows(own.agg(*ends), sensors)
+
+
+def _as_rows(bounds: DataFrame, sensors: Sequence[str]) -> DataFrame:
+    """One row of ``lo_...`` and ``hi_...`` as one row for each sensor."""
+    told = [
+        F.struct(
+            F.lit(s).alias("sensor"),
+            F.lit(i).alias("pos"),
+            F.col(f"lo_{s}").alias("min"),
+            F.col(f"hi_{s}").alias("max"),
+            (F.col(f"hi_{s}") - F.col(f"lo_{s}")).alias("range"),
         )
-    )
-    return bounds.select(rows.alias("r")).select("r.*")
+        for i, s in enumerate(sensors)
+    ]
+    return bounds.select(F.inline(F.array(*told)))
 
 
 def scale(df: DataFrame, bounds: DataFrame, sensors: Sequence[str] = config.SENSORS) -> DataFrame:
     """Min-max scale the sensor columns with fitted bounds, not clamped.
 
-    The bounds enter as scalar subqueries: one value per sensor, nothing to join or shuffle.
+    The bounds are one row for each sensor. They come to the driver and enter as literals, so there is nothing to join or
+    shuffle and one scan in the plan; a sensor without bounds becomes null.
     """
-    bounds = shared.settle(bounds, "bounds")
-    picked = [F.max(F.when(F.col("sensor") == s, F.col(c))).alias(f"{c}_{s}") for s in sensors for c in ("min", "max")]
-    limits = bounds.agg(F.struct(*picked).alias("b")).scalar()
-    scaled = {s: S.min_max(F.col(s).cast("double"), limits[f"min_{s}"], limits[f"max_{s}"]) for s in sensors}
-    return df.withColumns(scaled)
+    known = bounds_to_dict(bounds)
+    ends = {s: [F.lit(x).cast("double") for x in known.get(s, (None, None))] for s in sensors}
+    return df.withColumns({s: S.min_max(F.col(s).cast("double"), *ends[s]) for s in sensors})
 
 
 def bounds_to_dict(bounds: DataFrame) -> dict[str, tuple[float, float]]:
@@ -124,14 +150,16 @@ def check_bounds(bounds: DataFrame, sensors: Sequence[str] = config.SENSORS) ->
     return bounds
 
 
-def scale_per_group(df: DataFrame, group: str, sensors: Sequence[str]) -> DataFrame:
-    """Min-max scale within each operating condition (null is one too); the bounds are one row per condition."""
-    bounds = df.groupBy(group).agg(
-        *[F.min(s).cast("double").alias(f"_lo_{s}") for s in sensors],
-        *[F.max(s).cast("double").alias(f"_hi_{s}") for s in sensors],
-    )
+def scale_per_group(df: DataFrame, group: str, sensors: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
+    """Min-max scale within each operating condition (null is one too); the bounds are one row per condition.
+
+    ``bounds`` (group, lo_..., hi_...) may be given where they are known, as from ``bounds_by``; else they are read from ``df``.
+    """
+    if bounds is None:
+        bounds = bounds_by(fit_scaler_by_unit(df, sensors, group), group, sensors)
+    renamed = {group: "_group", **{f"{end}_{s}": f"_{end}_{s}" for s in sensors for end in ("lo", "hi")}}
+    bounds = shared.settle(bounds.select(*renamed).withColumnsRenamed(renamed), "bounds")
     scaled = {s: S.min_max(F.col(s).cast("double"), F.col(f"_lo_{s}"), F.col(f"_hi_{s}")) for s in sensors}
-    bounds = shared.settle(bounds.withColumnRenamed(group, "_group"), "bounds")
     return df.join(bounds, F.col(group).eqNullSafe(F.col("_group"))).withColumns(scaled).drop(*bounds.columns)
 
 
@@ -148,13 +176,15 @@ def group_split(
     unit: str = "unit",
     share: float = config.VALIDATION_SHARE,
     seed: int = config.SPLIT_SEED,
+    units: DataFrame | None = None,
 ) -> DataFrame:
     """One row per unit (null is one too) with ``split``: exactly ceil(share * units) units are 'val', the rest 'train'.
 
     Units are ranked by a seeded hash. The first four hex digits cut the ranking into 65,536 even slices, so
-    no task sees more than a sliver of the units.
+    no task sees more than a sliver of the units. ``units`` (one row each) may be given where they are known; else they
+    are read from ``df``.
     """
-    units = shared.settle(df.select(unit).distinct(), "units")
+    units = shared.settle(df.select(unit).distinct(), "units") if units is None else units.select(unit)
     total = units.agg(F.count(F.lit(1)).alias("n")).scalar()
     keyed = units.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(unit).cast("string"), F.lit(""))).cast("binary")))
     bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cyclewise import config, shared
 from cyclewise.functions import scalars as S
-from cyclewise.operators import evaluate, quality, transform
+from cyclewise.operators import evaluate, models, quality, transform
 from cyclewise.plans.registry import query
 from cyclewise.plans.views import READING_SENSORS, WIDE_SENSORS, Fleet
 from cyclewise.sources import tables
@@ -144,13 +144,12 @@ def group_split(v: Fleet) -> DataFrame:
                    FROM wide JOIN unit_split USING (unit) WHERE split = 'train')""",
 )
 def scale_batch(v: Fleet) -> DataFrame:
-    """Bounds come from the train units only, so other units may leave [0, 1]."""
-    lines = v.lines
-    train = shared.settle(transform.group_split(lines).where(F.col("split") == "train"), "split")
-    bounds = transform.fit_scaler(lines.join(train, "unit", "left_semi"), WIDE_SENSORS)
-    return transform.scale(v.wide, bounds, WIDE_SENSORS).select(
-        "unit", "cycle", *WIDE_SENSORS
-    )
+    """Bounds come from the train units only, so other units may leave [0, 1]. One read for the bounds and row counts of every
+    unit, one for the rows."""
+    per_unit = transform.fit_scaler_by_unit(v.lines, WIDE_SENSORS)
+    train = transform.group_split(per_unit, units=per_unit).where(F.col("split") == "train")
+    bounds = transform.bounds_of_units(per_unit, train, WIDE_SENSORS)
+    return transform.scale(v.wide_counted(per_unit), bounds, WIDE_SENSORS).select("unit", "cycle", *WIDE_SENSORS)
 
 
 @query("positional_join", "SELECT unit, RUL FROM unit_rul")
@@ -160,9 +159,9 @@ def positional_join(v: Fleet) -> DataFrame:
 
 @query("attach_test_rul", "SELECT unit, cycle, RUL FROM wide LEFT JOIN unit_rul USING (unit)")
 def attach_test_rul(v: Fleet) -> DataFrame:
-    wide = v.wide.select("unit", "cycle")
-    truth = transform.truth_by_position(v.table("lineitem").select(F.col("l_suppkey").alias("unit")), v.units_truth)
-    return transform.attach_truth(wide, truth)
+    """The units are the keys of the counts that the numbering needs anyway."""
+    truth = transform.truth_by_position(v.line_counts, v.units_truth, distinct=True)
+    return transform.attach_truth(v.wide.select("unit", "cycle"), truth)
 
 
 @query(
@@ -202,17 +201,41 @@ def sensor_variance(v: Fleet) -> DataFrame:
     return evaluate.deviations(v.lines, list(WIDE_SENSORS)).withColumn("std", F.round("std", 6))
 
 
-@query(
-    "per_condition_scale",
-    f"""SELECT unit, cycle, condition, {", ".join(f"({s} - lo_{s}) / CASE WHEN hi_{s} = lo_{s} THEN 1 ELSE hi_{s} - lo_{s} END AS {s}" for s in WIDE_SENSORS)}
-        FROM wide JOIN (SELECT condition, {", ".join(f"min({s}) AS lo_{s}, max({s}) AS hi_{s}" for s in WIDE_SENSORS)}
-                        FROM wide GROUP BY condition) USING (condition)""",
-)
+_CONDITION_SQL = f"""
+  SELECT unit, cycle, {{}}{", ".join(f"({s} - lo_{s}) / CASE WHEN hi_{s} = lo_{s} THEN 1 ELSE hi_{s} - lo_{s} END AS {s}" for s in WIDE_SENSORS)}
+  FROM wide JOIN (SELECT condition, {", ".join(f"min({s}) AS lo_{s}, max({s}) AS hi_{s}" for s in WIDE_SENSORS)}
+                  FROM wide GROUP BY condition) USING (condition)"""
+
+
+@query("per_condition_scale", _CONDITION_SQL.format("condition, "))
 def per_condition_scale(v: Fleet) -> DataFrame:
-    scaled = transform.scale_per_group(v.wide, "condition", WIDE_SENSORS)
+    """Scaled within a given condition. One read for row counts and bounds, one for the rows."""
+    per_unit = transform.fit_scaler_by_unit(v.lines, WIDE_SENSORS, "unit", "condition")
+    rows = v.wide_counted(per_unit.groupBy("unit").agg(F.sum("n").alias("n")))
+    scaled = transform.scale_per_group(rows, "condition", WIDE_SENSORS, transform.bounds_by(per_unit, "condition", WIDE_SENSORS))
     return scaled.select("unit", "cycle", "condition", *WIDE_SENSORS)
 
 
+# Settings of the three regimes that the line items are run in, by their flag.
+REGIMES = {"A": (0.0, 0.0), "N": (20.0, 0.7), "R": (42.0, 0.84)}
+
+
+def _with_settings(rows: DataFrame) -> DataFrame:
+    """Two setting columns around their regime's, no two alike by chance alone."""
+    jitter = F.col("s7") / 10
+    middle = [F.create_map(*[F.lit(x) for flag, at in REGIMES.items() for x in (flag, at[i])])[F.col("condition")] for i in (0, 1)]
+    return rows.withColumns({"os1": middle[0] + jitter, "os2": middle[1] - jitter})
+
+
+@query("cluster_scale", _CONDITION_SQL.format(""))
+def cluster_scale(v: Fleet) -> DataFrame:
+    """Scaled within conditions that k-means finds in the settings alone; here the regimes are known, so SQL can tell."""
+    settings = ("os1", "os2")
+    per_unit = transform.fit_scaler_by_unit(_with_settings(v.lines), WIDE_SENSORS, "unit", *settings)
+    rows = _with_settings(v.wide_counted(per_unit.groupBy("unit").agg(F.sum("n").alias("n")))).drop("condition")
+    return models.scale_by_conditions(rows, settings, WIDE_SENSORS, len(REGIMES), per_unit).select("unit", "cycle", *WIDE_SENSORS)
+
+
 @query(
     "time_parts",
     """SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, epoch_us(ts) // 1000 AS event_time_ms,

@@ -177,24 +177,29 @@ def _meta(v: Fleet) -> DataFrame:
     return v.latest.select("engine_id", "cycle", "event_time_ms")
 
 
+# Days for which an engine's row in the stand-in of the online store counts.
+STORE_DAYS = 180
+
+
 def _store(v: Fleet) -> DataFrame:
-    """Engines whose latest reading is at most half a day older than the newest one of the fleet."""
-    rows = _meta(v).withColumn("updated_at_ms", F.col("event_time_ms"))
-    return fleet.active(rows, v.now_ms(), HALF_DAY)
+    """The orders as what a stream has written of each customer's engine; a row expires half a year after the newest of all."""
+    times = S.epoch_millis(F.col("o_orderdate"))
+    orders = v.table("orders").select(S.engine_id(F.col("o_custkey")).alias("engine_id"), times.alias("event_time_ms"))
+    rows = orders.groupBy("engine_id").agg(F.count(F.lit(1)).alias("cycle"), F.max("event_time_ms").alias("event_time_ms"))
+    now = orders.agg(F.max("event_time_ms").alias("now")).scalar()
+    return fleet.active(rows.withColumn("updated_at_ms", F.col("event_time_ms")), now, STORE_DAYS * 86_400)
 
 
 def _buffers(v: Fleet) -> DataFrame:
-    return (
-        v.current_rows()
-        .groupBy("engine_id")
-        .agg(F.least(F.count(F.lit(1)), F.lit(config.WINDOW_SIZE)).cast("int").alias("buffer_size"))
-    )
+    """The events as readings pushed by the engines themselves."""
+    pushed = F.least(F.count(F.lit(1)), F.lit(config.WINDOW_SIZE)).cast("int").alias("buffer_size")
+    return v.base().groupBy("engine_id").agg(pushed)
 
 
 @query(
     "telemetry_snapshot",
     """SELECT b.engine_id, coalesce(s.cycle, 0) AS cycle, coalesce(s.event_time_ms, 0) AS event_time_ms,
-              CAST(30 AS INTEGER) AS window_size FROM second_half b LEFT JOIN store s USING (engine_id)""",
+              CAST(30 AS INTEGER) AS window_size FROM buffers b LEFT JOIN order_store s USING (engine_id)""",
 )
 def telemetry_snapshot(v: Fleet) -> DataFrame:
     meta = _store(v).select("engine_id", "cycle", "event_time_ms", F.lit(config.WINDOW_SIZE).alias("window_size"))
@@ -206,24 +211,24 @@ def telemetry_snapshot(v: Fleet) -> DataFrame:
     """SELECT engine_id, CASE WHEN s.engine_id IS NOT NULL THEN 'redis_stream' ELSE 'push_buffer' END AS source,
               s.engine_id IS NOT NULL OR coalesce(b.buffer_size, 0) >= 30 AS ready,
               g.remaining_cycles AS last_remaining_cycles, g.risk_level AS last_risk_level
-       FROM second_half b FULL JOIN store s USING (engine_id) LEFT JOIN (SELECT * FROM graded WHERE risk_level <> 'LOW') g USING (engine_id)""",
+       FROM buffers b FULL JOIN order_store s USING (engine_id) LEFT JOIN graded g USING (engine_id)""",
 )
 def engine_status(v: Fleet) -> DataFrame:
-    predictions = v.graded.where(F.col("risk_level") != "LOW")
-    return fleet.engine_status(_buffers(v), _store(v), predictions).orderBy("engine_id")
+    """Engines that only the store knows have no prediction, those that never pushed no buffer."""
+    return fleet.engine_status(_buffers(v), _store(v), v.graded).orderBy("engine_id")
 
 
-@query("engine_union", "SELECT engine_id FROM second_half UNION SELECT engine_id FROM store")
+@query("engine_union", "SELECT engine_id FROM buffers UNION SELECT engine_id FROM order_store")
 def engine_union(v: Fleet) -> DataFrame:
     return fleet.engine_union(_buffers(v), _store(v))
 
 
-@query("engines_semi", "SELECT engine_id, buffer_size FROM second_half WHERE engine_id IN (SELECT engine_id FROM store)")
+@query("engines_semi", "SELECT engine_id, buffer_size FROM buffers WHERE engine_id IN (SELECT engine_id FROM order_store)")
 def engines_semi(v: Fleet) -> DataFrame:
     return _buffers(v).join(_store(v), "engine_id", "left_semi")
 
 
-@query("engines_anti", "SELECT engine_id, buffer_size FROM second_half WHERE engine_id NOT IN (SELECT engine_id FROM store)")
+@query("engines_anti", "SELECT engine_id, buffer_size FROM buffers WHERE engine_id NOT IN (SELECT engine_id FROM order_store)")
 def engines_anti(v: Fleet) -> DataFrame:
     return _buffers(v).join(_store(v), "engine_id", "left_anti")
 

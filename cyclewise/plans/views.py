@@ -3,6 +3,7 @@
 events    -> telemetry of one engine per user, two readings (value, k); sensor maps; late arrivals
 lineitem  -> wide cycle table of one engine per supplier, four sensors
 supplier  -> positional truth
+orders    -> what a stream has last written of each engine (one for each customer)
 """
 
 from __future__ import annotations
@@ -99,9 +100,12 @@ engine_meta AS (
   QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cycle DESC) = 1),
 store AS (
   SELECT engine_id, cycle, event_time_ms FROM engine_meta, latest_time WHERE event_time_ms >= now_ms - 43200000),
-second_half AS (
-  SELECT engine_id, CAST(least(30, count(*)) AS INTEGER) AS buffer_size FROM telemetry
-  WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY engine_id),
+buffers AS (
+  SELECT engine_id, CAST(least(30, count(*)) AS INTEGER) AS buffer_size FROM telemetry GROUP BY engine_id),
+order_store AS (
+  SELECT 'ENG-' || CAST(o_custkey AS VARCHAR) AS engine_id, count(*) AS cycle, max(epoch_us(o_orderdate) // 1000) AS event_time_ms
+  FROM orders GROUP BY o_custkey
+  QUALIFY max(epoch_us(o_orderdate) // 1000) >= max(max(epoch_us(o_orderdate) // 1000)) OVER () - 180 * 86400000::BIGINT),
 risky AS (SELECT * FROM graded_rows WHERE risk_level IN ('HIGH', 'CRITICAL')),
 raised AS (
   SELECT engine_id, risk_level, failure_risk, remaining_cycles, event_time_ms, unit % 2 = 0 AS acknowledged
@@ -186,12 +190,17 @@ class Fleet:
 
     @property
     def wide(self) -> DataFrame:
+        return self.wide_counted(self.line_counts)
+
+    def wide_counted(self, per_unit: DataFrame) -> DataFrame:
+        """The wide table; ``per_unit`` (unit, n or _n, ...) says how many rows each unit has."""
+        counts = per_unit.select("unit", F.col("n" if "n" in per_unit.columns else "_n").alias("_n"))
         order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
         day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
         # Within a day the order keys are cut further; both parts grow with the order of the rows.
         part = F.least(F.shiftright("l_orderkey", 28), F.lit(65_535).cast("long"))
         numbered = chunked.with_ordinal(
-            self._line_items(), ["unit"], [F.col(c) for c in order], day * 65_536 + part, "cycle", counts=self.line_counts
+            self._line_items(), ["unit"], [F.col(c) for c in order], day * 65_536 + part, "cycle", counts=counts
         )
         return numbered.drop(*order)
 

@@ -180,8 +180,15 @@ class OnlineStore:
 
     SCHEMA = RollingFeatures.VECTORS + ", updated_at_ms long"
 
-    def __init__(self, spark: SparkSession, path: str, clock: Column | None = None, ttl: int = config.ONLINE_TTL_SECONDS):
-        self.rows, self.ttl = sinks.Snapshot(spark, path, self.SCHEMA), ttl
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        clock: Column | None = None,
+        ttl: int = config.ONLINE_TTL_SECONDS,
+        buckets: int = sinks.Snapshot.BUCKETS,
+    ):
+        self.rows, self.ttl = sinks.Snapshot(spark, path, self.SCHEMA, buckets=buckets), ttl
         self.clock = F.unix_millis(F.current_timestamp()) if clock is None else clock
 
     def __call__(self, vectors: DataFrame, batch: int) -> None:
@@ -213,7 +220,7 @@ def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 
 class FleetSnapshots:
     """After each batch of vectors: telemetry, predictions and alerts of all engines whose vectors haven't expired, one
-    folder per batch.
+    folder per batch, of which the newest ``keep`` stay.
 
     ``now_ms`` is the time that expiry is judged by. ``score`` turns the feature vector column into a normalised score; how often snapshots are made is the
     trigger of the stream.
@@ -226,8 +233,9 @@ class FleetSnapshots:
         score: Callable[[Column], Column],
         min_risk: str = "HIGH",
         now_ms: Column | None = None,
+        keep: int = 16,
     ):
-        self.store, self.path, self.score, self.min_risk = store, path, score, min_risk
+        self.store, self.path, self.score, self.min_risk, self.keep = store, path, score, min_risk, keep
         self.now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
 
     def __call__(self, vectors: DataFrame, batch: int) -> None:
@@ -243,6 +251,8 @@ class FleetSnapshots:
         # The alerts come from the predictions just written: the model runs once per batch.
         written = vectors.sparkSession.read.schema(live.schema).parquet(f"{self.path}/predictions/batch={batch}")
         sinks.write_batch(fleet.at_or_above(written, self.min_risk), f"{self.path}/alerts", batch)
+        for kind in ("telemetry", "predictions", "alerts"):
+            sinks.drop_batches(vectors.sparkSession, f"{self.path}/{kind}", batch - self.keep + 1)
 
 
 class AlertBook:

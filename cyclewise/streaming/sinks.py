@@ -17,18 +17,19 @@ class Snapshot:
 
     A bucket's rows lie in one folder for each batch that wrote it. Batch n reads the newest folder below n and writes its
     own, so a failed or repeated batch finds its input unharmed; folders that no repeat can need any more are removed.
-    The driver lists folders, of which there are at most a few per bucket; it sees no rows.
+    The driver lists folders, of which there are at most a few per bucket; it sees no rows. ``buckets`` bounds the rows of a
+    task that writes, so it grows with the number of keys (some ten thousand a bucket); a table keeps the number it began with.
     """
 
     BUCKETS = 64
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "engine_id"):
-        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "engine_id", buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
         self._root = spark._jvm.org.apache.hadoop.fs.Path(path)
         self._files = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _written(self) -> dict[int, list[int]]:
         """Batches that wrote each bucket, in order."""
@@ -44,7 +45,7 @@ class Snapshot:
         return (rows.parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)).drop("_batch", "_bucket")
 
     def touched(self, rows: DataFrame) -> list[int]:
-        """The buckets that the keys of ``rows`` fall in: at most ``BUCKETS`` numbers."""
+        """The numbers of the buckets that the keys of ``rows`` fall in."""
         return sorted(r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect())
 
     def before(self, batch: int, buckets: Sequence[int] | None = None) -> DataFrame:
@@ -97,6 +98,15 @@ def write_batch(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Remove the folders of batches below ``before``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(root.suffix("/batch=*")) or []:
+        if int(status.getPath().getName().split("=")[1]) < before:
+            files.delete(status.getPath(), True)
+
+
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batches written so far; no rows when nothing was written."""
     return read_or_empty(spark, f"{path}/batch=*", schema)

@@ -63,36 +63,6 @@ def test_few_ranges():
     assert drift._ranges(np.zeros(5, bool)) == []
 
 
-def read_records(spark, job):
-    """Rows that all stages of a job have read from files."""
-    store = lambda: {(s.stageId(), s.attemptId()): s.inputRecords() for s in stages()}
-    jvm = spark.sparkContext._jvm
-    empty = jvm.java.util.ArrayList()
-    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
-    status = spark.sparkContext._jsc.sc().statusStore()
-
-    def stages():
-        found = status.stageList(empty, False, False, none, empty)
-        return [found.apply(i) for i in range(found.length())]
-
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    before = store()
-    job()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    return sum(n for key, n in store().items() if key not in before)
-
-
-def test_drift_reads_twice(spark):
-    """No row of the events is read more than twice; beyond them, what is written of each part of a sensor is."""
-    from cyclewise.plans import catalog
-
-    sf = "/root/testdata/sf0.01"
-    rows = spark.read.parquet(f"{sf}/events.parquet").count()
-    for name in ("drift_ks", "drift_summary", "retain_last_n"):
-        told = read_records(spark, lambda name=name: catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save())
-        assert rows < told <= 2 * rows + 4 * 2 * 1024, (name, told, rows)
-
-
 def test_p_value(spark):
     df = spark.createDataFrame([(0.0, 50, 50), (1.0, 50, 50), (0.2, 100, 100)], "d double, n long, m long")
     p = [r[0] for r in df.select(drift.p_value(F.col("d"), F.col("n"), F.col("m"))).collect()]

@@ -420,3 +420,33 @@ def test_expired_engines_are_not_scored(spark):
     fleet(spark.createDataFrame(rows, store.SCHEMA.replace(", updated_at_ms long", "")), 0)
     for kind in ("telemetry", "predictions", "alerts"):
         assert [r.engine_id for r in spark.read.parquet(f"{path}/{kind}").collect()] == ["new"]
+
+
+def test_old_snapshots_go(spark):
+    store = jobs.OnlineStore(spark, shared.scratch(spark, "online"), clock=F.col("event_time"), ttl=100, buckets=3)
+    path = shared.scratch(spark, "fleet")
+    snapshots = jobs.FleetSnapshots(store, path, lambda x: F.lit(0.0), now_ms=F.lit(0), keep=2)
+    for batch in (0, 1, 2, 2, 3):
+        rows = [(f"e{batch}", 1, 5, [0.0], 1, 1)]
+        snapshots(spark.createDataFrame(rows, store.SCHEMA.replace(", updated_at_ms long", "")), batch)
+    for kind in ("telemetry", "predictions", "alerts"):
+        assert {r.batch for r in spark.read.parquet(f"{path}/{kind}").select("batch").distinct().collect()} == {2, 3}
+    assert {r.engine_id for r in store.read().collect()} == {"e0", "e1", "e2", "e3"} and len(store.rows._written()) <= 3
+
+
+@pytest.mark.parametrize("by", ["event_time", "ingest"])
+def test_offline_folders(spark, by):
+    """Filed under the vector's own hour, or under the hour of writing; a repeated batch replaces its files."""
+    path = shared.scratch(spark, "offline")
+    rows = spark.createDataFrame([("a", 1, 3_600_000 * 24 + 1, [0.0], 1, 1), ("b", 2, 3_600_000 * 30, [0.0], 1, 1)], jobs.RollingFeatures.VECTORS)
+    start = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH")).first()[0]
+    for _ in range(2):
+        sinks.write_offline(rows, path, 7, by=by)
+    end = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH")).first()[0]
+    hour = F.format_string("%s %02d", F.col("date").cast("string"), F.col("hour"))
+    filed = {r.engine_id: r.filed for r in spark.read.parquet(path).select("engine_id", hour.alias("filed")).collect()}
+    assert spark.read.parquet(path).count() == 2
+    if by == "event_time":
+        assert filed == {"a": "1970-01-02 00", "b": "1970-01-02 06"}
+    else:
+        assert set(filed.values()) <= {start, end}
