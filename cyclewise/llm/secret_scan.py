@@ -9,6 +9,7 @@ guarantees no trigram is searched for in all texts.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -21,6 +22,9 @@ from cyclewise.llm import texts
 
 # Candidate keys that may be sent to all executors; more are joined.
 SENT_KEYS = 1 << 20
+# Numbers that a running sum takes at a time, and characters of a piece of text that is redacted.
+BLOCK = 256
+PIECE = 4096
 MOST_STRINGS = 64
 
 
@@ -152,32 +156,63 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") ->
     return shared.settle(masks.select("text_key", fits.cast("bigint").alias("__rules")).where("__rules != 0"), "candidates")
 
 
+def searched(rule: Rule) -> str:
+    """The pattern to look for. Where a match is one run of a class, perhaps behind letters of that class, its least
+    length goes into the pattern: shorter runs are dropped anyway, and hold no longer one."""
+    told = re.fullmatch(r"(\w*)(\[[^\]]+\])\+", rule.pattern)
+    if rule.group or not told or not all(re.fullmatch(told[2], c) for c in told[1]):
+        return rule.pattern
+    return f"{told[1]}{told[2]}{{{max(1, rule.least - len(told[1]))},}}"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once; an expression that a lambda mentions is computed in each of its calls."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array, what the numbers before it join to (0 for the first).
+
+    Appending to an array copies it. So the array is taken in blocks: what comes before a block first, then its own numbers.
+    """
+
+    def one_by_one(numbers: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda state, x: F.struct(join(state["at"], x).alias("at"), F.array_append(state["out"], state["at"]).alias("out"))
+        return F.aggregate(numbers, empty, step, lambda state: state["out"])
+
+    def by_block(numbers: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(numbers) / BLOCK).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(numbers, (i - 1) * BLOCK + 1, BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        before = one_by_one(F.transform(blocks, lambda numbers: F.aggregate(numbers, F.lit(0), join)), F.lit(0))
+        return F.flatten(F.zip_with(blocks, before, one_by_one))
+
+    return _let(values, lambda numbers: _let(by_block(numbers), joined))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end) of the rule's matches; offsets count code points."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(found)), lambda p: F.length(p)).alias("gap"), found.alias("found"))
+    pattern = searched(rule)
+    size = lambda x: F.length(F.regexp_extract(x["found"], rule.pattern, rule.group) if rule.group else x["found"])
+    start = lambda x: x["before"] + x["gap"]
+    span = lambda x: F.struct(start(x).alias("start"), F.lit(order).alias("order"), (start(x) + F.length(x["found"])).alias("end"))
 
-    def step(state, x):
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
+    def placed(x: Column) -> Column:
+        before = _running(F.zip_with(x["gap"], x["found"], lambda g, f: g + F.length(f)), lambda a, b: a + b)
+        matches = F.arrays_zip(before.alias("before"), x["gap"].alias("gap"), x["found"].alias("found"))
+        return F.transform(F.filter(matches, lambda m: size(m) >= rule.least), span)
 
-    empty = "array<struct<start:int,order:int,end:int,found:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out"))
-    spans = F.aggregate(steps, start, step, lambda state: state["out"])
-    size = lambda s: F.length(F.regexp_extract(s["found"], rule.pattern, rule.group) if rule.group else s["found"])
-    kept = F.filter(spans, lambda s: size(s) >= rule.least)
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
+    gaps = lambda found: F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(found, lambda found: _let(F.struct(found.alias("found"), gaps(found).alias("gap")), placed))
 
 
 def _worth(text: Column, rule: Rule) -> Column:
-    """Cheaply: whether a match that is long enough can exist at all. Only for patterns that are one class repeated."""
-    if rule.group == 0 and re.fullmatch(r"\[[^\]]+\]\+", rule.pattern):
-        return F.rlike(text, F.lit(f"{rule.pattern[:-1]}{{{rule.least}}}"))
-    return F.lit(True)
+    """Cheaply: whether a match that is long enough can exist at all. Only for patterns that hold their least length."""
+    pattern = searched(rule)
+    return F.rlike(text, F.lit(pattern)) if pattern != rule.pattern else F.lit(True)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "spans") -> DataFrame:
@@ -185,7 +220,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", n
 
     Matches are leftmost and non-overlapping for each rule; those that are too short are dropped after matching. A null or
     empty text has none. Repeated rows stay as they are, and a column already called ``name`` is replaced; others, whatever they are
-    called, are passed on. The work on one text grows with the square of its matches, not of its length.
+    called, are passed on. The work on one text grows with its length and its matches.
     """
     indexed = {i for i, r in enumerate(rules) if trigram_query(r.pattern) != ALWAYS}
     found = candidates(docs, rules, text)
@@ -213,14 +248,25 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
-    """The text with every stretch covered by spans replaced by ``mark`` (spans that overlap share one)."""
+    """The text with every stretch covered by spans (by start) replaced by ``mark`` (spans that overlap share one).
+
+    A part of a text is found by counting from its beginning; so the text is cut into pieces of one size first, and each
+    stretch between marks is put together from the few pieces it lies in.
+    """
+
+    def part(pieces: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        held = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), start - first * PIECE + 1, end - start)
+
+    ends = F.transform(spans, lambda s: s["end"])
+    starts = F.transform(spans, lambda s: s["start"])
+    reached = _running(ends, lambda a, b: F.greatest(a, b))
+    marked = F.filter(F.arrays_zip(starts.alias("start"), reached.alias("reached")), lambda s: s["start"] >= s["reached"])
 
-    def step(state, s):
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        told = F.array_append(F.array_append(state["out"], gap), F.lit(mark))
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, told).otherwise(state["out"]).alias("out"))
+    def shown(pieces: Column) -> Column:
+        told = F.transform(marked, lambda s: F.concat(part(pieces, s["reached"], s["start"]), F.lit(mark)))
+        return F.concat(F.array_join(told, ""), part(pieces, F.array_max(ends), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(pieces, shown)).otherwise(text)

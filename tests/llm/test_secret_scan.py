@@ -1,10 +1,12 @@
 """Secrets against Python's re, and trigram queries that hold for every match."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cyclewise.llm import secret_scan
 from cyclewise.llm.secret_scan import RULES, Rule
@@ -57,6 +59,63 @@ def test_redacted(spark, frame):
         assert rows[i] == (None if text is None else want)
 
 
+def seconds(spark, text, shown=True):
+    """Of a scan (and the redacting) of one text, the quickest of three."""
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    docs.count()
+    spent = []
+    for _ in range(3):
+        start = time.perf_counter()
+        found = secret_scan.scan(docs, name="found")
+        found.select(F.size("found"), F.length(secret_scan.redacted(found.text, found.found)) if shown else F.lit(0)).collect()
+        spent.append(time.perf_counter() - start)
+    docs.unpersist()
+    return min(spent)
+
+
+def test_one_key_in_a_long_text(spark):
+    """A million characters of prose take at most twice the time with a key in them; the first run warms up."""
+    prose = "and the hand of a bold decade faced each cafe bad deed; " * 18_000
+    assert len(prose) > 1_000_000
+    seconds(spark, prose[:50_000] + HEX)
+    plain, keyed = seconds(spark, prose), seconds(spark, prose[:500_000] + " " + HEX + " " + prose[500_000:])
+    assert keyed <= 2 * plain + 1
+
+
+def test_many_secrets_in_a_text(spark):
+    """Ten times the secrets in a text of one length take no more than a few times as long."""
+    one = "token=abcdef123 and then " + "some words " * 2
+    few, many = one * 20 + "x " * (len(one) * 19_000 // 2), one * 20_000
+    seconds(spark, few)
+    assert seconds(spark, many) <= 6 * seconds(spark, few) + 2
+
+
+@pytest.mark.parametrize("block, piece", [(1, 1), (2, 3), (3, 50)])
+def test_blocks_and_pieces(spark, frame, monkeypatch, block, piece):
+    """The same spans and the same redacted texts however the work on a text is cut."""
+    docs = frame([(i, None if t is None else t * 3) for i, t in enumerate(TEXTS[:-3]) if len(t or "") < 2000])
+    told = lambda: sorted((r.doc_id, r.spans, r.shown or "") for r in secret_scan.scan(docs, name="found").select("doc_id", secret_scan.written(F.col("found")).alias("spans"), secret_scan.redacted(F.col("text"), F.col("found")).alias("shown")).collect())  # noqa: E731, E501
+    want = told()
+    monkeypatch.setattr(secret_scan, "BLOCK", block)
+    monkeypatch.setattr(secret_scan, "PIECE", piece)
+    assert told() == want
+
+
+def test_repeated_ids_and_secrets_in_long_texts(spark, frame):
+    long = ("é🙂 words of prose, " * 5000) + HEX + (" more 🙂 words. " * 3000) + f"token={HEX} " + "w " * 20_000 + KEY
+    pairs = [(1, f"token={HEX}"), (1, f"token={HEX}"), (1, "none"), (None, KEY), (None, None), (2, long)]
+    found = secret_scan.scan(frame(pairs), name="found")
+    got = [(r.doc_id, r.spans) for r in found.select("doc_id", secret_scan.written(found.found).alias("spans")).collect()]
+    assert sorted(got, key=str) == sorted(((i, brute(t)) for i, t in pairs), key=str)
+    shown = found.where("doc_id = 2").select(secret_scan.redacted(found.text, found.found)).first()[0]
+    assert shown == long.replace(f"token={HEX}", secret_scan.MARK).replace(HEX, secret_scan.MARK).replace(KEY, secret_scan.MARK)
+
+
+@pytest.mark.parametrize("rule, told", [(RULES[0], None), (RULES[1], "AKIA[A-Z0-9]{16,}"), (RULES[2], "[0-9a-f]{24,}"), (RULES[3], None), (Rule("a", "ab[a-z]+", 1), "ab[a-z]{1,}")])
+def test_least_length_in_the_pattern(rule, told):
+    assert secret_scan.searched(rule) == (told or rule.pattern)
+
+
 def fulfils(query, text):
     if isinstance(query, str):
         return query in text
