@@ -28,6 +28,8 @@ from cyclewise.llm import texts, vocab
 # Bytes a buffer takes in beyond the lookahead before stable tokens are emitted.
 STEP = 4096
 DECODE_STEP = 4096
+# Characters of a piece, or pieces of a text, that are taken in at a time.
+PART = 1 << 14
 
 
 def lookahead(vocabulary: vocab.Vocabulary) -> int:
@@ -117,38 +119,54 @@ class Transducer:
 
 
 class Encoder:
-    """Whole texts to ids, each as four bytes, the lowest first."""
+    """Whole texts to ids, each as four bytes, the lowest first.
+
+    Every piece goes through the transducer; what it gave for a short one (and for a word, which is a piece or few) is
+    remembered for the next time. A long text is cut into pieces as they are needed.
+    """
 
     def __init__(self, path: str, step: int = STEP):
         self.vocabulary = vocab.vocabulary(path)
         self._ahead, self._step = lookahead(self.vocabulary), step
-        self._pieces = texts.Memo(self._piece)
+        self._pieces = texts.Memo(lambda piece: b"".join(self._stream(piece)))
         self._words = texts.Memo(lambda word: self._plain(" " + word))
 
-    def _piece(self, piece: str) -> bytes:
-        if len(symbols := self.vocabulary.symbols(piece)) <= self._step:
-            return array("I", merged(symbols, self.vocabulary)).tobytes()
-        data = piece.encode("utf-8", "replace")
-        machine, out = Transducer(self.vocabulary, self._step, self._ahead), []
-        stable = (t for part in (machine.feed(data), machine.finish()) for t in part)
-        while block := list(islice(stable, self._step)):
-            out.append(array("I", block).tobytes())
-        return b"".join(out)
+    def _stream(self, piece: str):
+        """The ids of one piece as they become stable."""
+        machine = Transducer(self.vocabulary, self._step, self._ahead)
+        for start in range(0, len(piece), PART):
+            yield array("I", machine.feed(piece[start : start + PART].encode("utf-8", "replace"))).tobytes()
+        yield array("I", machine.finish()).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, vocab.pieces(text)))
 
-    def packed(self, text: str) -> bytes:
-        out = []
+    def _long(self, text: str):
+        """The ids of a text whose pieces aren't all known beforehand, some pieces at a time."""
+        rest = iter(vocab.pieces(text))
+        while some := list(islice(rest, PART)):
+            short: list[bytes] = []
+            for piece in some:
+                if len(piece) <= texts.Memo.LONGEST:
+                    short.append(self._pieces[piece])
+                else:
+                    yield b"".join(short)
+                    short.clear()
+                    yield from self._stream(piece)
+            yield b"".join(short)
+
+    def parts(self, text: str):
+        """The ids of a text, a bounded number at a time."""
         for plain, special in self.vocabulary.segments(text):
             if (cut := vocab.words(plain)) is None:
-                out.append(self._plain(plain))
+                yield from self._long(plain)
             else:
-                out.append(self._plain(cut[0]))
-                out.extend(map(self._words.__getitem__, cut[1]))
+                yield self._plain(cut[0]) + b"".join(map(self._words.__getitem__, cut[1]))
             if special is not None:
-                out.append(special.to_bytes(4, "little"))
-        return b"".join(out)
+                yield special.to_bytes(4, "little")
+
+    def packed(self, text: str) -> bytes:
+        return b"".join(self.parts(text))
 
 
 class Decoder:
@@ -162,14 +180,16 @@ class Decoder:
         return self._state.decode(b"".join(map(self._bytes_of.__getitem__, ids.tolist())))
 
     def finish(self) -> str:
-        return self._state.decode(b"", True)
+        """What is left of the text; the next ids begin a new one."""
+        rest = self._state.decode(b"", True)
+        self._state.reset()
+        return rest
 
     def parts(self, ids: np.ndarray):
         """The text of ``ids``, a bounded part at a time."""
         for start in range(0, len(ids), DECODE_STEP):
             yield self.feed(ids[start : start + DECODE_STEP])
         yield self.finish()
-        self._state.reset()
 
 
 @cache
@@ -224,16 +244,21 @@ def round_trip(docs: DataFrame, path: str, *keep: str, text: str = "text", with_
         def run(batch):
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
             for t in batch:
-                packed = machine.packed(t)
-                ids = np.frombuffer(packed, dtype="<u4")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                decoded = hashlib.sha256()
-                for part in back.parts(ids):
-                    decoded.update(part.encode())
+                encoded, decoded, count, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+                for packed in machine.parts(t):
+                    ids = np.frombuffer(packed, dtype="<u4")
+                    encoded.update(packed)
+                    count += len(ids)
+                    for start in range(0, len(ids), DECODE_STEP):
+                        decoded.update(back.feed(ids[start : start + DECODE_STEP]).encode())
+                    if with_ids:
+                        kept.append(ids.astype(np.int32))
+                decoded.update(back.finish().encode())
+                out["n_tokens"].append(count)
+                out["ids_sha256"].append(encoded.hexdigest())
                 out["decoded_sha256"].append(decoded.hexdigest())
                 if with_ids:
-                    out["ids"].append(ids.astype(np.int32))
+                    out["ids"].append(np.concatenate(kept) if kept else np.zeros(0, np.int32))
             return out if not with_ids else out | {"ids": pa.array(out["ids"], pa.list_(pa.int32()))}
 
         return run

@@ -1,6 +1,7 @@
 """Byte-pair encoding, decoding and counting against the tokenizers library."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -136,3 +137,57 @@ def test_no_documents(spark, frame):
     assert token_count.count_tokens(frame([]), PATH, "doc_id").collect() == []
     nothing = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
     assert bpe_codec.decode(nothing, PATH, "doc_id").collect() == [(1, None)]
+
+
+def test_all_pieces_go_through_the_transducer(spark, monkeypatch):
+    """On a given table: each different piece is fed to a transducer, and the ids are those that it emitted."""
+    fed, emitted = [], {}
+
+    class Watched(bpe_codec.Transducer):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.read, self.told = bytearray(), []
+            fed.append(self)
+
+        def feed(self, data):
+            self.read += data
+            for token in super().feed(data):
+                self.told.append(token)
+                yield token
+
+        def finish(self):
+            for token in super().finish():
+                self.told.append(token)
+                yield token
+
+    monkeypatch.setattr(bpe_codec, "Transducer", Watched)
+    machine = bpe_codec.Encoder(PATH)
+    rows = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ids = [ids_of(t, machine) for t in rows]
+    for watched in fed:
+        emitted[bytes(watched.read)] = watched.told
+    for text, want in zip(rows, ids):
+        again = []
+        for plain, special in machine.vocabulary.segments(text):
+            again += [i for piece in vocab.pieces(plain) for i in emitted[piece.encode()]]
+            again += [] if special is None else [special]
+        assert again == want
+    assert sum(len(w.told) for w in fed) > 10_000
+
+
+@pytest.mark.parametrize("text", ["a word and another " * 2_600_000, "ab" * 5_000_000], ids=["words", "one piece"])
+def test_memory_stays_flat(text):
+    """Beyond a text of many megabytes itself, encoding and decoding it hold a few of its parts at a time."""
+    machine, back = bpe_codec.encoder(PATH), bpe_codec.Decoder(PATH)
+    for packed in machine.parts(text[:100_000]):
+        back.feed(np.frombuffer(packed, dtype="<u4"))
+    back.finish()
+    tracemalloc.start()
+    size, most = 0, 0
+    for packed in machine.parts(text):
+        size += len(back.feed(np.frombuffer(packed, dtype="<u4")))
+        most = max(most, len(packed))
+    size += len(back.finish())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == len(text) and most < 1 << 20 and peak < len(text) + (40 << 20)
