@@ -19,9 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cyclewise import shared
 from cyclewise.llm import texts
 
 PART_WORDS = 64
@@ -57,32 +60,40 @@ class Part:
     question: int
 
 
+def cut(text: str) -> list[tuple[list[str], int]]:
+    """The parts of an item, of about as many terms each: (terms, how many of them belong to the question)."""
+    end = text.rstrip().rfind("\n")
+    words = [t for t in map(term, text.split()) if t]
+    asked = len([t for t in map(term, text[:end].split()) if t]) if end > 0 else 0
+    if not 0 < asked < len(words):
+        asked = (len(words) + 1) // 2
+    pieces = max(1, -(-len(words) // PART_WORDS))
+    bounds = [len(words) * p // pieces for p in range(pieces + 1)]
+    return [(words[a:b], min(max(asked - a, 0), b - a)) for a, b in zip(bounds, bounds[1:]) if b > a]
+
+
 class Index:
-    """Weights of terms in parts, by block of parts and term."""
+    """Weights of terms in parts, by block of parts and term.
+
+    ``rows`` has (item, terms, terms of the question, in how many of all parts each term is) of the parts in this index; ``total``
+    and ``mean`` are the number of all parts and their mean length, so that weights don't depend on which parts share an index.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, list[str], int, list[int]]], total: int, mean: float):
         self.vocabulary: dict[str, int] = {}
-        parts: list[Part] = []
-        for item, text in sorted((i, t or "") for i, t in items if i is not None):
-            cut = text.rstrip().rfind("\n")
-            words = [t for t in map(term, text.split()) if t]
-            asked = len([t for t in map(term, text[:cut].split()) if t]) if cut > 0 else 0
-            if not 0 < asked < len(words):
-                asked = (len(words) + 1) // 2
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            pieces = max(1, -(-len(ids) // PART_WORDS))
-            bounds = [len(ids) * p // pieces for p in range(pieces + 1)]
-            parts += [Part(item, tuple(ids[a:b]), min(max(asked - a, 0), b - a)) for a, b in zip(bounds, bounds[1:]) if b > a]
+        parts, held = [], {}
+        for item, words, asked, found_in in rows:
+            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
+            held.update(zip(ids, found_in))
+            parts.append(Part(item, ids, asked))
         counts = [Counter(p.terms) for p in parts]
-        rows = Counter(t for c in counts for t in c)
-        common = {t for t, n in rows.items() if n > max(2, COMMON * len(parts))}
-        mean = sum(len(p.terms) for p in parts) / max(1, len(parts))
+        common = {t for t, n in held.items() if n > max(2, COMMON * total)}
         weights = []
         for part, count in zip(parts, counts):
             norm = K1 * (1 - B + B * len(part.terms) / mean)
-            own = {t: math.log(1 + (len(parts) - rows[t] + 0.5) / (rows[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in count.items()}
-            total = sum(own.values())
-            weights.append({t: w / total for t, w in own.items()})
+            own = {t: math.log(1 + (total - held[t] + 0.5) / (held[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in count.items()}
+            whole = sum(own.values())
+            weights.append({t: w / whole for t, w in own.items()})
         # Parts with alike sums over common terms share a block, so that the block's sum says much about each of them.
         sums = [sum(w for t, w in own.items() if t in common) for own in weights]
         order = sorted(range(len(parts)), key=lambda n: sums[n])
@@ -228,16 +239,68 @@ class Searcher:
         return [(item, *found) for item, found in sorted(best.items())]
 
 
-def indexes(items: DataFrame, id_column: str = "item_id", text: str = "text", most: int = INDEX_BYTES) -> list[Index]:
-    """One index, or several of at most about ``most`` bytes of text each. Items without an id or a word are left out."""
-    rows = items.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    slices = max(1, -(-size // most))
-    part = F.pmod(F.xxhash64("id"), F.lit(slices))
-    return [Index([(r.id, r.text) for r in rows.where(part == s).distinct().collect()]) for s in range(slices)]
+def weighed(items: DataFrame, slices: int, id_column: str = "item_id", text: str = "text") -> DataFrame:
+    """The parts of all items: ``slice`` (by the item's id), ``item``, ``place``, ``terms``, ``question``, and ``found_in``: in how many of
+    all parts each of the terms is. Items without an id or a word have none."""
+    rows = items.select(F.col(id_column).cast("bigint").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.where("item IS NOT NULL").distinct()
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("terms", pa.list_(pa.string())), ("question", pa.int32())]))
+        for batch in batches:
+            parts = [[{"terms": terms, "question": asked} for terms, asked in cut(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_pylist()), pa.array(parts, kind)], names=["item", "text", "parts"])
 
+    schema = "item bigint, text string, parts array<struct<terms: array<string>, question: int>>"
+    told = texts.whole_texts(rows, "item", "text").mapInArrow(run, schema)
+    told = told.select("item", F.xxhash64("text").alias("version"), F.posexplode("parts").alias("place", "part"))
+    parts = shared.settle(told.select("item", "version", "place", "part.terms", "part.question"), "item-parts")
+    each = parts.select("item", "version", "place", F.posexplode("terms").alias("at", "term"))
+    counts = each.groupBy("term").agg(F.count_distinct("item", "version", "place").alias("n"))
+    same = ["item", "version", "place"]
+    found_in = each.join(shared.settle(counts, "item-terms"), "term").groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("at", "n")))["n"].alias("found_in"))
+    number = F.pmod(F.xxhash64("item"), F.lit(slices)).cast("int")
+    return parts.join(found_in, same).select(number.alias("slice"), *same, "terms", "question", "found_in")
 
-def find_leaks(docs: DataFrame, items: DataFrame, *keep: str, text: str = "text", item_column: str = "item_id") -> DataFrame:
+
+@dataclass(frozen=True)
+class IndexFile:
+    """One slice of the weighed parts, in a file that Spark ships to the workers."""
+
+    name: str
+    slice: int
+    total: int
+    mean: float
+
+    def load(self) -> Index:
+        """In a worker: its index."""
+        columns = ["item", "version", "place", "terms", "question", "found_in"]
+        table = pq.read_table(SparkFiles.get(self.name), columns=columns, filters=[("slice", "=", self.slice)], partitioning=None)
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in columns)))
+        return Index([(item, terms, asked, found_in) for item, _, _, terms, asked, found_in in rows], self.total, self.mean)
+
+
+def publish(items: DataFrame, id_column: str = "item_id", text: str = "text", most: int = INDEX_BYTES) -> list[IndexFile]:
+    """One file, or several of at most about ``most`` bytes of text each, one for each pass over the documents.
+
+    Terms are counted and weighed over all parts of all items before they are dealt to files, so what is found doesn't depend on the
+    number of files. The driver sees names, counts and a mean.
+    """
+    spark = items.sparkSession
+    size = items.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    slices = max(1, -(-size // most))
+    rows = weighed(items, slices, id_column, text)
+    path = shared.scratch(spark, "item-index")
+    rows.repartition(slices, "slice").write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    total, mean = rows.agg(F.count("*"), F.avg(F.size("terms"))).head()
+    files = [(r["slice"], r["file"]) for r in rows.select("slice", F.input_file_name().alias("file")).distinct().collect()]
+    for file in sorted({f for _, f in files}):
+        spark.sparkContext.addFile(file)
+    return [IndexFile(file.rsplit("/", 1)[-1], number, total, mean) for number, file in sorted(files)]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, *keep: str, text: str = "text", item_column: str = "item_id", most: int = INDEX_BYTES) -> DataFrame:
     """One row for each document and test item found in it: the columns in ``keep``, the item's id, ``score`` (share of the
     item's own BM25 score), ``question_overlap`` and ``answer_overlap``.
 
@@ -246,32 +309,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, *keep: str, text: str = "text"
     each; columns not named aren't read.
     """
     kind = pa.list_(pa.struct([("item", pa.int64()), *((n, pa.float64()) for n in ("score", "asked", "told"))]))
+    schema = "found array<struct<item: bigint, score: double, asked: double, told: double>>"
     out = None
-    for index in indexes(items, item_column):
+    for file in publish(items, item_column, most=most):
 
-        def make(index=index):
-            search = Searcher(index).leaks
+        def make(file=file):
+            search = Searcher(file.load()).leaks
             return lambda batch: {"found": pa.array([[dict(zip(("item", "score", "asked", "told"), x)) for x in search(t)] for t in batch], kind)}
 
-        schema = "found array<struct<item: bigint, score: double, asked: double, told: double>>"
-        rows = texts.per_text(docs, make, schema, *keep, text=text).select(*keep, F.explode("found").alias("f"))
-        rows = rows.select(
-            *keep,
-            F.col("f.item").alias(item_column),
-            F.col("f.score").alias("score"),
-            F.col("f.asked").alias("question_overlap"),
-            F.col("f.told").alias("answer_overlap"),
-        )
-        out = rows if out is None else out.union(rows)
-    return out
+        found = texts.per_text(docs, make, schema, *keep, text=text).select(*keep, F.explode("found").alias("f"))
+        out = found if out is None else out.union(found)
+    told = {item_column: "item", "score": "score", "question_overlap": "asked", "answer_overlap": "told"}
+    if out is None:
+        none = docs.limit(0).select(*keep, F.lit(None).cast(schema.removeprefix("found ")).alias("found"))
+        out = none.select(*keep, F.explode("found").alias("f"))
+    return out.select(*keep, *[F.col(f"f.{c}").alias(name) for name, c in told.items()])
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_column: str = "item_id") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_column: str = "item_id", most: int = INDEX_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, in which no test item is found."""
-    for index in indexes(items, item_column):
+    for file in publish(items, item_column, most=most):
 
-        def make(index=index):
-            search = Searcher(index).leaks
+        def make(file=file):
+            search = Searcher(file.load()).leaks
             return lambda batch: [not search(t) for t in batch]
 
         docs = texts.filter_texts(docs, make, text)

@@ -12,6 +12,14 @@ from cyclewise.llm import decontaminate
 NAMES = [f"word{i}" for i in range(60)]
 
 
+def index_of(items):
+    """One index of all items, weighed in plain Python."""
+    cuts = [(i, words, asked) for i, text in sorted(items) for words, asked in decontaminate.cut(text or "")]
+    found_in = Counter(w for _, words, _ in cuts for w in set(words))
+    rows = [(i, words, asked, [found_in[w] for w in words]) for i, words, asked in cuts]
+    return decontaminate.Index(rows, len(cuts), sum(len(words) for _, words, _ in cuts) / max(1, len(cuts)))
+
+
 def scores(index, terms):
     """Every part's score, from the postings of all blocks."""
     out = Counter()
@@ -27,7 +35,7 @@ def scores(index, terms):
 def test_everything_above_the_threshold_is_retrieved(seed, threshold):
     draw = random.Random(seed)
     pick = lambda n: " ".join(draw.choice(NAMES[: draw.choice([5, 20, 60])]) for _ in range(n))
-    index = decontaminate.Index([(i, pick(draw.randint(1, 90))) for i in range(40)])
+    index = index_of([(i, pick(draw.randint(1, 90))) for i in range(40)])
     terms = {index.vocabulary.get(w, len(index.vocabulary)) for w in pick(40).split()}
     want = {p: s for p, s in scores(index, terms).items() if s >= threshold}
     got = {p: s for b in range(len(index.commons)) for p, s in index.retrieve(terms, b, threshold)}
@@ -40,7 +48,7 @@ def test_everything_above_the_threshold_is_retrieved(seed, threshold):
 def test_bounds_hold(seed):
     draw = random.Random(seed)
     pick = lambda n: [draw.choice(NAMES) for _ in range(n)]
-    index = decontaminate.Index([(i, " ".join(pick(draw.randint(1, 90)))) for i in range(30)])
+    index = index_of([(i, " ".join(pick(draw.randint(1, 90)))) for i in range(30)])
     ids = [index.vocabulary.get(w, len(index.vocabulary)) for w in pick(draw.randint(1, 400))]
     import numpy as np
 
@@ -90,7 +98,7 @@ def test_planted(spark, frame, items, edge_pairs):
 def test_short_answers_and_items():
     question = " ".join(f"q{i}" for i in range(40))
     items = [(1, question + "\nfour words as answer"), (2, "the end"), (3, "seven words make up a short item")]
-    search = decontaminate.Searcher(decontaminate.Index(items)).leaks
+    search = decontaminate.Searcher(index_of(items)).leaks
     found = lambda text: [x[0] for x in search(text)]
     assert found(f"before {question} four words as answer after") == [1]
     assert found(f"before {question} four changed as answer after") == [1]
@@ -103,13 +111,42 @@ def test_short_answers_and_items():
     assert found("item short a up make words seven") == []
 
 
-def test_several_indexes(spark, frame, items):
-    text = items.where("item_id = 9").head().text
-    docs = frame([(1, text)])
-    assert len(decontaminate.indexes(items, most=1000)) > 1
-    leaks = [x for index in decontaminate.indexes(items, most=1000) for x in decontaminate.Searcher(index).leaks(text)]
-    assert [x[0] for x in leaks] == [9]
-    assert decontaminate.find_leaks(docs, items, "doc_id").count() == 1
+def test_weights_are_those_of_all_items(spark, items):
+    """However many files the parts are dealt to, they have the weights of one index over all of them."""
+    want = index_of([(r.item_id, r.text) for r in items.collect() if r.item_id is not None])
+
+    def weights(index):
+        names = {t: w for w, t in index.vocabulary.items()}
+        parts = {n: (p.item, tuple(names[t] for t in p.terms), p.question) for n, p in enumerate(index.parts)}
+        return {(parts[n], names[t]): round(w, 12) for block in index.postings for t, posts in block.items() for n, w in posts}
+
+    for most in (10**6, 2000, 300):
+        files = decontaminate.publish(items, most=most)
+        told = {}
+        for file in files:
+            told |= weights(file.load())
+        assert told == weights(want) and (len(files) > 1) == (most < 10**6)
+
+
+@pytest.mark.parametrize("most", [10**6, 1500, 400])
+def test_several_indexes(spark, frame, items, most):
+    """The same leaks, with the same scores, from one, some and many files."""
+    texts = {r.item_id: r.text for r in items.collect() if r.item_id is not None}
+    draw = random.Random(7)
+    docs = []
+    for i in range(60):
+        words = texts[draw.randrange(21)].split(" ")
+        for at in draw.sample(range(len(words)), len(words) * draw.choice([0, 10, 25, 35, 45]) // 100):
+            words[at] = "other"
+        docs.append((i, " ".join(words)))
+    docs = frame(docs)
+    told = lambda most: sorted(tuple(r) for r in decontaminate.find_leaks(docs, items, "doc_id", most=most).collect())
+    want = told(10**9)
+    got = told(most)
+    assert 10 < len(want) and [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(x - y) < 1e-9 for a, b in zip(got, want) for x, y in zip(a[2:], b[2:]))
+    leaky = {r[0] for r in want}
+    assert {r.doc_id for r in decontaminate.clean(docs, items, most=most).collect()} == set(range(60)) - leaky
 
 
 def test_nothing(spark, frame, items):
