@@ -1,7 +1,7 @@
 """A quality classifier: histogram gradient-boosted trees over statistics of a document.
 
 Only the text is looked at. The trees are fitted with numpy on at most about ``TRAIN_ROWS`` labelled rows (a share of all
-labelled rows by the hash of the id); every document is scored on the executors. The fitted trees are flat arrays, and
+labelled rows by the hash of id and text); every document is scored on the executors. The fitted trees are flat arrays, and
 all trees are walked at once for a batch of documents.
 """
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cyclewise import shared
 from cyclewise.llm import texts
 
 TRAIN_ROWS = 20_000
@@ -141,16 +142,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = TRAIN_ROWS) -> Trees:
-    """Fit on the labelled documents that aren't held out; of more than ``most``, on a share of about that many.
+    """Fit on the labelled documents that aren't held out; of more than ``most`` rows, on a share of about that many.
 
-    Rows with a null id, label or both are passed over; a null text counts as empty.
+    The share is taken by the hash of id and text, before documents and labels are joined, and equal rows are one; so the bound
+    holds for rows that repeat an id, too. Rows with a null id, label or both are passed over; a null text counts as empty.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(F.col(id_column)))
-    share = min(1.0, most / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 40)) < int(share * (1 << 40)))
-    chosen = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__body")).join(
-        F.broadcast(picked.select(F.col(id_column).alias("__id"), F.col("quality").cast("double").alias("__label"))), "__id"
-    )
+    known = shared.settle(known.select(F.col(id_column).alias("__id"), F.col("quality").cast("double").alias("__label")).distinct(), "labels")
+    rows = docs.select(F.col(id_column).alias("__id")).join(known, "__id").count()
+    share = min(1.0, most / max(1, rows))
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(id_column).alias("__id"), body.alias("__body"), F.xxhash64(id_column, body).alias("__hash"))
+    picked = own.where(F.pmod("__hash", F.lit(1 << 40)) < int(share * (1 << 40))).join(known, "__id")
+    chosen = picked.groupBy("__id", "__hash", "__label").agg(F.first("__body").alias("__body"))
     found = texts.per_text(chosen, _features, "features array<double>", "__id", "__label", text="__body").toPandas()
     found = found.assign(f=found["features"].map(tuple)).sort_values(["__id", "__label", "f"])
     rows = np.array(found["features"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cyclewise.llm import sharding
 
@@ -81,3 +82,32 @@ def test_whole_table(spark, small):
         bytes_of[r.shard] += r.size
     largest = max(len((t or "").encode()) + 1 for _, t in pairs)
     assert max(bytes_of.values()) - min(bytes_of.values()) < 0.02 * max(bytes_of.values()) + largest // 8
+
+
+def plain_differencing(sizes, shards=8):
+    """item -> shard, with all partial partitions in lists."""
+    pool = {n: [(size, [item])] + [(0, [])] * (shards - 1) for n, (item, size) in enumerate(sorted(sizes.items()))}
+    made = len(pool)
+    while len(pool) > 1:
+        spread = lambda n: (pool[n][-1][0] - pool[n][0][0], n)
+        a = pool.pop(min(pool, key=spread))
+        b = pool.pop(min(pool, key=spread))
+        both = [(x + y, left + right) for (x, left), (y, right) in zip(a, reversed(b))]
+        pool[made] = sorted(both, key=lambda part: -part[0])
+        made += 1
+    return {item: shard for part in pool.values() for shard, (_, items) in enumerate(part) for item in items}
+
+
+def test_query_by_plain_differencing(spark, small):
+    """The query's shards are those of differencing all groups of equal texts in one list."""
+    from cyclewise.llm import queries
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    body = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(body).alias("item"), (F.octet_length(body) + 1).alias("size")).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.item] += r["size"]
+    homes = plain_differencing(sizes)
+    got = {r.doc_id: r.shard for r in queries.queries()["op6_sharding"](spark, small).collect()}
+    assert got == {r.doc_id: homes[r.item] for r in rows} and len(set(homes.values())) == 8
