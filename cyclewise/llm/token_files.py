@@ -34,6 +34,8 @@ JOINED_WORDS = 1000
 MOST_LEVELS = 64
 # Blocks whose key ranges go to all workers at a time; a larger directory takes several passes over the keys.
 DIRECTORY_BLOCKS = 1 << 20
+# Shards that a lookup names to the scan of the files; beyond, all files are joined.
+NAMED_SHARDS = 1 << 10
 SCHEMA = "shard int, block int, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint, width int, keys binary, ends binary, index binary, payload binary"
 STEP = 0x9E3779B97F4A7C15  # 2^64 over the golden ratio
 
@@ -321,7 +323,8 @@ def _routed(wanted: DataFrame, spans: pd.DataFrame) -> DataFrame:
 def lookup(keys: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
     """``ids`` of every document in the files whose key is in ``keys``; unknown and null keys give no row.
 
-    Keys meet the blocks whose range they lie in; inside, the index leads to the document.
+    Keys meet the blocks whose range they lie in; only files with such blocks are opened, and inside, the index leads to
+    the document.
     """
     blocks = keys.sparkSession.read.schema(SCHEMA).parquet(path).where("first_key IS NOT NULL")
     spans = shared.settle(blocks.select("shard", "block", "first_key", "last_key"), "block-spans")
@@ -332,7 +335,11 @@ def lookup(keys: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
         part = spans.where(F.pmod(F.xxhash64("shard", "block"), F.lit(slices)) == s).toPandas()
         found = _routed(wanted, part.sort_values(["shard", "block"]))
         met = found if met is None else met.union(found)
-    asked = met.groupBy("shard", "block").agg(F.collect_list("id").alias("asked"))
+    asked = shared.settle(met.groupBy("shard", "block").agg(F.collect_list("id").alias("asked")), "asked-blocks")
+    # Few shards are named to the scan, which then passes over files and row groups that hold none of them.
+    some = [r["shard"] for r in asked.select("shard").distinct().limit(NAMED_SHARDS + 1).collect()]
+    if len(some) <= NAMED_SHARDS:
+        blocks = blocks.where(F.col("shard").isin(some))
 
     def visit(row, block):
         asked = np.array(row["asked"], dtype=np.int64)

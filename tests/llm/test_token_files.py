@@ -81,6 +81,24 @@ def test_written_and_read(spark, frame, edge_pairs, library, tmp_path, monkeypat
     assert found == sorted((r[0], r[2]) for r in want if r[0] in (7, 1 << 40, -3))
 
 
+@pytest.mark.parametrize("named", [0, 1000])
+def test_few_files_are_opened_for_a_key(spark, frame, library, tmp_path, monkeypatch, named):
+    """One key among many shards: the scan is told its shard and reads that file's blocks; repeated ids lie in several blocks."""
+    monkeypatch.setattr(token_files, "SHARD_ROWS", 50)
+    monkeypatch.setattr(token_files, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(token_files, "NAMED_SHARDS", named)
+    path = str(tmp_path / "files")
+    pairs = [(i, f"text {i}") for i in range(1000)] + [(500, f"again {i}") for i in range(35)]
+    token_files.write(frame(pairs), path, PATH, end_id=2)
+    found = token_files.lookup(spark.createDataFrame([(500,)], "doc_id bigint"), path)
+    want = sorted([*library.encode(t, add_special_tokens=False).ids, 2] for i, t in pairs if i == 500)
+    assert sorted(r.ids for r in found.collect()) == want
+    blocks = spark.read.parquet(path).select("shard").collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len({r.shard for r in blocks}) > 10
+    assert ("In(shard" in plan or "EqualTo(shard" in plan) == (named > 0)
+
+
 def test_no_documents(spark, frame, tmp_path):
     path = str(tmp_path / "files")
     token_files.write(frame([]), path, PATH, end_id=2)
