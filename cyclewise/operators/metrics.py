@@ -21,18 +21,27 @@ def step_of(ts: Column, step: int) -> Column:
     return (F.ceil(F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000.0 * step)) * step).cast("long")
 
 
-def counts_on_grid(df: DataFrame, ts: Column, step: int, label: Column | None = None) -> DataFrame:
+# Steps of a grid: a year of minutes is half a million.
+MOST_STEPS = 5_000_000
+
+
+def counts_on_grid(df: DataFrame, ts: Column, step: int, label: Column | None = None, most: int = MOST_STEPS) -> DataFrame:
     """``(label, step, n)`` for every step between the first and the last of the whole input, 0 where empty.
 
-    Null is a label like others. An event without a time has no step and can't be counted on one.
+    Null is a label like others. An event without a time has no step and can't be counted on one. Times so far apart that
+    there would be more than ``most`` steps are an error that names both ends: a stray time isn't left out, and doesn't
+    fill a table with empty steps.
     """
     name = F.lit("all") if label is None else label
     counts = df.where(ts.isNotNull()).groupBy(name.alias("label"), step_of(ts, step).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     counts = shared.settle(counts, "grid")
     span = counts.agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    labels = counts.select("label").distinct()
-    spine = labels.select("label", F.explode(F.sequence(lo, hi, F.lit(step).cast("long"))).alias("step"))
+    labels = counts.select("label").distinct().withColumns({"lo": lo, "hi": hi})
+    far = F.format_string(f"more than {most} steps of {step} s between %s and %s", *[F.timestamp_seconds(c).cast("string") for c in ("lo", "hi")])
+    steps = F.when(F.col("hi") - F.col("lo") > most * step, F.raise_error(far).cast("array<bigint>"))
+    steps = steps.otherwise(F.sequence(F.col("lo"), F.col("hi"), F.lit(step).cast("long")))
+    spine = labels.select("label", F.explode(steps).alias("step"))
     found = counts.select(F.col("label").alias("_label"), F.col("step").alias("_step"), "n")
     same = F.col("label").eqNullSafe(F.col("_label")) & (F.col("step") == F.col("_step"))
     return spine.join(found, same, "left").select("label", "step", F.coalesce("n", F.lit(0)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -219,13 +220,17 @@ def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 
 
 class FleetSnapshots:
-    """After each batch of vectors: telemetry, predictions and alerts of all engines whose vectors haven't expired, one
-    folder per batch, of which the newest ``keep`` stay.
+    """From batches of vectors: telemetry, predictions and alerts of all engines whose vectors haven't expired, one folder for
+    each batch that writes them, of which the newest ``keep`` stay.
 
-    ``now_ms`` is the time that expiry is judged by. ``score`` turns the feature vector column into a normalised score; how often snapshots are made is the
-    trigger of the stream.
+    ``now_ms`` is the time that expiry is judged by. ``score`` turns the feature vector column into a normalised score.
+    ``every`` says how many seconds lie between two snapshots of a kind at least (``INTERVALS``); without it, each batch makes
+    all three. Alerts come from the newest predictions written, so the model runs for predictions only.
     """
 
+    KINDS = ("telemetry", "predictions", "alerts")
+    INTERVALS = {"telemetry": 2.0, "predictions": 5.0, "alerts": 5.0}
+
     def __init__(
         self,
         store: OnlineStore,
@@ -234,25 +239,41 @@ class FleetSnapshots:
         min_risk: str = "HIGH",
         now_ms: Column | None = None,
         keep: int = 16,
+        every: Mapping[str, float] | None = None,
+        clock: Callable[[], float] = time.monotonic,
     ):
         self.store, self.path, self.score, self.min_risk, self.keep = store, path, score, min_risk, keep
         self.now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
+        self.every, self.clock = dict(every or {}), clock
+        self._last: dict[str, float] = {}
+        self._predicted: int | None = None
 
     def __call__(self, vectors: DataFrame, batch: int) -> None:
         self.store(vectors, batch)
+        now = self.clock()
+        for kind in self.KINDS:
+            if kind not in self._last or now - self._last[kind] >= self.every.get(kind, 0.0):
+                if (rows := getattr(self, f"_{kind}")(batch)) is not None:
+                    sinks.write_batch(rows, f"{self.path}/{kind}", batch)
+                    self._last[kind] = now
+                    sinks.drop_batches(vectors.sparkSession, f"{self.path}/{kind}", batch - self.keep + 1)
+
+    def _telemetry(self, batch: int) -> DataFrame:
         rows = self.store.live(self.now_ms)
-        telemetry = rows.select("engine_id", "cycle", F.col("event_time").alias("event_time_ms"), "window_size")
-        sinks.write_batch(telemetry, f"{self.path}/telemetry", batch)
-        graded = scoring.grade(rows, self.score(F.col("features")), round_first=True)
-        live = graded.select(
+        return rows.select("engine_id", "cycle", F.col("event_time").alias("event_time_ms"), "window_size")
+
+    def _predictions(self, batch: int) -> DataFrame:
+        self._predicted = batch
+        graded = scoring.grade(self.store.live(self.now_ms), self.score(F.col("features")), round_first=True)
+        return graded.select(
             "engine_id", "cycle", "remaining_cycles", "failure_risk", "risk_level", F.lit(1.0).alias("confidence")
         )
-        sinks.write_batch(live, f"{self.path}/predictions", batch)
-        # The alerts come from the predictions just written: the model runs once per batch.
-        written = vectors.sparkSession.read.schema(live.schema).parquet(f"{self.path}/predictions/batch={batch}")
-        sinks.write_batch(fleet.at_or_above(written, self.min_risk), f"{self.path}/alerts", batch)
-        for kind in ("telemetry", "predictions", "alerts"):
-            sinks.drop_batches(vectors.sparkSession, f"{self.path}/{kind}", batch - self.keep + 1)
+
+    def _alerts(self, batch: int) -> DataFrame | None:
+        if self._predicted is None:
+            return None
+        rows = self.store.rows.spark.read.parquet(f"{self.path}/predictions/batch={self._predicted}")
+        return fleet.at_or_above(rows, self.min_risk)
 
 
 class AlertBook:

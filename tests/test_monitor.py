@@ -258,3 +258,13 @@ def test_ratio_alert_per_label(spark):
     df = timed(spark, *rows).withColumn("whole", F.when(F.col("l") == "c", 0.0).otherwise(10.0))
     found = metrics.ratio_alert(df, F.col("ts"), F.col("l"), F.col("v"), F.col("whole"), 0.8, 60, 60)
     assert [(r.label, r.step, r.ratio) for r in found.collect()] == [("a", 120, 0.9)]
+
+
+def test_a_stray_time_is_an_error(spark):
+    """A grid over times that are too far apart names them and isn't built."""
+    rows = spark.createDataFrame([("a", 100), ("b", 200), ("a", 4_000_000_000)], "label string, t long")
+    grid = metrics.counts_on_grid(rows, F.timestamp_seconds("t"), 60, F.col("label"))
+    with pytest.raises(Exception, match="more than 5000000 steps of 60 s between 1970-01-01 00:02:00 and 2096"):
+        grid.count()
+    assert metrics.counts_on_grid(rows.where("t < 1000"), F.timestamp_seconds("t"), 60, F.col("label"), most=3).count() == 6
+    assert metrics.counts_on_grid(rows.limit(0), F.timestamp_seconds("t"), 60).count() == 0

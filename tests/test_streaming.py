@@ -450,3 +450,19 @@ def test_offline_folders(spark, by):
         assert filed == {"a": "1970-01-02 00", "b": "1970-01-02 06"}
     else:
         assert set(filed.values()) <= {start, end}
+
+
+def test_snapshots_at_their_own_intervals(spark):
+    """Telemetry every two seconds, predictions and alerts every five, on batches a second apart."""
+    seconds = iter([0.0, 1.0, 2.0, 3.5, 4.0, 5.0, 11.0])
+    store = jobs.OnlineStore(spark, shared.scratch(spark, "online"), clock=F.col("event_time"), ttl=100, buckets=2)
+    path = shared.scratch(spark, "fleet")
+    snapshots = jobs.FleetSnapshots(
+        store, path, lambda x: F.lit(0.0), now_ms=F.lit(0), every=jobs.FleetSnapshots.INTERVALS, clock=lambda: next(seconds)
+    )
+    for batch in range(7):
+        rows = [(f"e{batch}", 1, 5, [0.0], 1, 1)]
+        snapshots(spark.createDataFrame(rows, store.SCHEMA.replace(", updated_at_ms long", "")), batch)
+    told = {kind: sorted({r.batch for r in spark.read.parquet(f"{path}/{kind}").select("batch").distinct().collect()}) for kind in snapshots.KINDS}
+    assert told == {"telemetry": [0, 2, 4, 6], "predictions": [0, 5, 6], "alerts": [0, 5, 6]}
+    assert spark.read.parquet(f"{path}/alerts/batch=5").count() == 6
