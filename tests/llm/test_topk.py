@@ -78,3 +78,32 @@ def test_nodes_are_skipped():
     tree.rows = type("Seen", (np.ndarray,), {"__getitem__": lambda s, k: opened.append(len(k)) or np.asarray(s)[k]})(rows.shape, buffer=rows)
     tree.search(rows[0], 10, 0, None)
     assert sum(opened) < 4096 / 4
+
+
+def test_queries_go_where_they_can_score(spark):
+    """Balls that can't reach a query's floor aren't asked, and all that can are; a crowded ball's shards are all asked."""
+    draw = np.random.default_rng(2)
+    centres = np.floor(draw.normal(size=(20, 6)) * 1000)
+    rows = np.floor(np.repeat(centres, 50, axis=0) + draw.normal(size=(1000, 6)) * 20)
+    pivots = topk.Pivots(centres)
+    number, distance = pivots.nearest(rows)
+    assert (number == np.repeat(np.arange(20), 50)).all()
+    pivots.radii, pivots.parts[3] = np.array([distance[number == p].max() for p in range(20)]), 3
+    asked, want = [], {}
+    for i in range(0, 1000, 25):
+        scores = rows @ rows[i]
+        scores[i] = -np.inf
+        floor = int(np.sort(scores)[-10])
+        asked.append((i, (rows[i] / 1024).tolist(), floor))
+        want[i] = {int(number[j]) for j in np.flatnonzero(scores >= floor)}
+    frame = spark.createDataFrame(asked, "id bigint, vector array<double>, floor bigint")
+    starts = np.cumsum([0, *pivots.parts])
+    sent = {i: set() for i in want}
+    total = 0
+    for first in (True, False):
+        for r in topk._sent(frame, pivots, 6, first).collect():
+            sent[r.id].add(int(np.searchsorted(starts, r.shard, side="right")) - 1)
+            total += 1
+    assert all(want[i] <= sent[i] for i in want)
+    assert total < 0.4 * len(asked) * starts[-1]
+    assert topk._sent(frame.withColumn("floor", F.lit(None).cast("bigint")), pivots, 6, False).count() >= len(asked) * 19
