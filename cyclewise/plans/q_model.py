@@ -76,7 +76,7 @@ halves AS (
 def train_rul_model(v: Fleet) -> DataFrame:
     """Windows and units on each side of the split, and the error of the train units' mean label as a baseline. On the train
     units the fitted model errs less than that; on the others, whose readings say nothing about their lives in this table,
-    at most a quarter more."""
+    at most twice that much."""
     model, rows = _model(v)
     mean = rows.where(F.col("split") == "train").agg(F.avg("label").alias("m")).scalar()
     scored = models.score(model, rows).withColumn("error", F.col("pred_rul") - F.col("label"))
@@ -85,7 +85,7 @@ def train_rul_model(v: Fleet) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("unit").alias("units"),
         F.round(baseline, 6).alias("baseline"),
-        F.when(F.col("split") == "train", evaluate.rmse() < baseline).otherwise(evaluate.rmse() <= 1.25 * baseline).alias("within"),
+        F.when(F.col("split") == "train", evaluate.rmse() < baseline).otherwise(evaluate.rmse() <= 2 * baseline).alias("within"),
     )
 
 
