@@ -93,7 +93,13 @@ class Counters(StreamingQueryListener):
 
 
 def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], mode: str = "append") -> DataStreamWriter:
-    return stream.writeStream.outputMode(mode).foreachBatch(fn)
+    """Hand each micro-batch to ``fn``, whose jobs run adaptively; the stream's own plan isn't touched."""
+
+    def run(rows: DataFrame, batch: int) -> None:
+        with sinks.adaptive(rows.sparkSession):
+            fn(rows, batch)
+
+    return stream.writeStream.outputMode(mode).foreachBatch(run)
 
 
 def normalized(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,19 @@ from cyclewise.functions import scalars as S
 from cyclewise.operators import chunked
 
 
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Adaptive execution for what a micro-batch is made into. A stream turns it off for its own plan and so for the jobs of its batches:
+    without it a rebalance isn't done, and each join and aggregate runs in all shuffle partitions however few rows there are."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Snapshot:
     """A table of a few rows per key, of which a micro-batch rewrites only the buckets its keys fall in.
 

@@ -466,3 +466,14 @@ def test_snapshots_at_their_own_intervals(spark):
     told = {kind: sorted({r.batch for r in spark.read.parquet(f"{path}/{kind}").select("batch").distinct().collect()}) for kind in snapshots.KINDS}
     assert told == {"telemetry": [0, 2, 4, 6], "predictions": [0, 5, 6], "alerts": [0, 5, 6]}
     assert spark.read.parquet(f"{path}/alerts/batch=5").count() == 6
+
+
+def test_a_batch_leaves_few_files_in_a_folder(spark):
+    """A stream's own plan isn't adaptive, but its batches are: an hour's vectors aren't spread over all tasks that write."""
+    rows = [(f"ENG-{i % 5}", i, 1_700_000_000_000 + i * 600_000, i, [float(i), 0.0]) for i in range(400)]
+    path, out = shared.scratch(spark, "rows"), shared.scratch(spark, "offline")
+    write_in_order(spark, rows, 1, path)
+    rolled(spark, path, on_vectors=lambda vectors, batch: sinks.write_offline(vectors, out, batch))
+    files = [r.f for r in spark.read.parquet(out).select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len({f.rsplit("/", 1)[0] for f in files}) > 60 and len(files) < 80
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
