@@ -140,9 +140,16 @@ def stream_counters(v: Fleet) -> DataFrame:
     return counters.table(*job.COUNTERS)
 
 
-# Messages in a poll of the log that is read to its end, and partitions of the other one.
+# Messages in a poll of the log that is read to its end, for small tables, and partitions of the other one.
 POLL = 2_000
 PARTITIONS = 8
+# What one poll of a large table may hold at most: without state, and with state, where each poll goes through its engines once.
+MOST_PULLED, MOST_ROLLED = 500_000, 5_000_000
+
+
+def poll_rows(messages: int, polls: int, least: int, most: int) -> int:
+    """So many messages in a poll that ``polls`` of them take all, within bounds: a poll costs the same however few it takes."""
+    return max(least, min(most, -(-messages // polls)))
 
 
 @query("stream_pull", "SELECT event_id, user_id, event_type, value FROM events")
@@ -151,9 +158,10 @@ def stream_pull(v: Fleet) -> DataFrame:
     path, out, checkpoint = (shared.scratch(v.spark, name) for name in ("log", "pulled", "checkpoint"))
     events = v.table("events")
     names = ("event_id", "user_id", "event_type", "value")
+    size = poll_rows(events.count(), 16, POLL, MOST_PULLED)
     for half in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
         log.append(events.where(half), path, 1, "user_id", ["event_id"])
-        rows = log.polled(v.spark, path, events.select(*names).schema, POLL)
+        rows = log.polled(v.spark, path, events.select(*names).schema, size)
         jobs.run_until_done(rows.writeStream.format("parquet").option("path", out), checkpoint)
     return v.spark.read.parquet(out)
 
@@ -172,10 +180,12 @@ def stream_log_resume(v: Fleet) -> DataFrame:
     path, out, checkpoint = (shared.scratch(v.spark, name) for name in ("log", "rolling", "checkpoint"))
     events = v.table("events")
     schema = T.StructType([*events.schema, T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType())])
-    before = F.col("event_id") < F.lit(events.agg((F.max("event_id") / 2).cast("long")).first()[0])
+    middle, total = events.agg((F.max("event_id") / 2).cast("long"), F.count(F.lit(1))).first()
+    before = F.col("event_id") < F.lit(middle)
+    size = poll_rows(total, 2, PARTITIONS * POLL, MOST_ROLLED)
     for half in (before, ~before):
         log.append(events.where(half), path, PARTITIONS, "user_id", ["event_id"])
-        messages = log.polled(v.spark, path, schema, PARTITIONS * POLL)
+        messages = log.polled(v.spark, path, schema, size)
         rows = reading_rows(v.base(messages, "offset").withColumns({"cycle": F.col("arrival"), "arrival": F.col("offset")}))
         job = jobs.RollingFeatures(v.spark, out, len(TELEMETRY_SENSORS))
         jobs.run_until_done(job.writer(rows), checkpoint)

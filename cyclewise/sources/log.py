@@ -41,7 +41,8 @@ def open_path(path: str) -> tuple[pafs.FileSystem, str]:
 def append(messages: DataFrame, path: str, partitions: int, key: str, order: Sequence[str]) -> None:
     """Put messages into the log behind those that are there; ``order`` is the order in which they arrived.
 
-    Null is a key like others. Each partition's new messages are one file or more, sorted by offset.
+    Null is a key like others. Each partition's new messages are files of at most ``TASK_ROWS``, sorted by offset, and written by as many
+    tasks; a poll opens those that hold what it takes.
     """
     spark = messages.sparkSession
     dealt = messages.withColumn("partition", F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int"))
@@ -52,17 +53,19 @@ def append(messages: DataFrame, path: str, partitions: int, key: str, order: Seq
         known = spark.createDataFrame([(int(p), n) for p, n in ends.items()], "partition int, end long")
         placed = placed.join(F.broadcast(known), "partition", "left")
         placed = placed.withColumn("offset", F.col("offset") + F.coalesce("end", F.lit(0))).drop("end")
-    rows = placed.repartition("partition").sortWithinPartitions("partition", "offset")
-    rows.write.mode("append").partitionBy("partition").parquet(path)
+    block = F.floor((F.col("offset") - 1) / TASK_ROWS)
+    rows = placed.repartition(F.col("partition"), block).sortWithinPartitions("partition", "offset")
+    rows.write.mode("append").option("maxRecordsPerFile", TASK_ROWS).partitionBy("partition").parquet(path)
 
 
 @dataclass
 class Range(InputPartition):
-    """Offsets ``after`` (exclusive) to ``upto`` of one partition."""
+    """Offsets ``after`` (exclusive) to ``upto`` of one partition, and the files that hold some of them."""
 
     partition: int
     after: int
     upto: int
+    files: tuple[str, ...]
 
     def __post_init__(self):
         super().__init__(self.partition)
@@ -98,16 +101,20 @@ class LogReader(DataSourceStreamReader):
                 found.setdefault(hit[1], []).append(info)
         return found
 
-    def ends(self) -> dict[str, int]:
-        """The last offset of each partition, from the footers of the files that are newer than those seen."""
+    def _spans(self) -> dict[str, tuple[str, int, int]]:
+        """Partition, first and last offset of each file, from the footers of the files that are newer than those seen."""
         files, _ = open_path(self.path)
         known = self.__dict__.setdefault("_seen", {})
         for partition, infos in self._folders().items():
             for info in infos:
                 if info.path not in known:
-                    known[info.path] = (partition, last_offset(files, info.path))
+                    known[info.path] = (partition, *offsets(files, info.path))
+        return known
+
+    def ends(self) -> dict[str, int]:
+        """The last offset of each partition."""
         out: dict[str, int] = {}
-        for partition, end in known.values():
+        for partition, _, end in self._spans().values():
             out[partition] = max(out.get(partition, 0), end)
         return out
 
@@ -125,15 +132,22 @@ class LogReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Range]:
         if self.position is None:
             self.position = dict(end)
+        by_partition: dict[str, list[tuple[int, int, str]]] = {}
+        for path, (partition, low, high) in self._spans().items():
+            by_partition.setdefault(partition, []).append((low, high, path))
         out = []
         for partition, upto in end.items():
-            first = start.get(partition, self.start.get(partition, 0))
-            out += [Range(int(partition), after, min(after + TASK_ROWS, upto)) for after in range(first, upto, TASK_ROWS)]
+            for after in range(start.get(partition, self.start.get(partition, 0)), upto, TASK_ROWS):
+                last = min(after + TASK_ROWS, upto)
+                held = [path for low, high, path in by_partition.get(partition, []) if low <= last and high > after]
+                out.append(Range(int(partition), after, last, tuple(held)))
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        files, root = open_path(self.path)
-        rows = pads.dataset(f"{root}/partition={partition.partition}", filesystem=files, format="parquet")
+        if not partition.files:
+            raise ValueError(f"offsets {partition.after + 1} to {partition.upto} of partition {partition.partition} are not in the log")
+        files, _ = open_path(self.path)
+        rows = pads.dataset(list(partition.files), filesystem=files, format="parquet")
         wanted = (pads.field("offset") > partition.after) & (pads.field("offset") <= partition.upto)
         columns = {c: pads.scalar(partition.partition) if c == "partition" else pads.field(c) for c in self.schema.names}
         told = to_arrow_schema(self.schema)
@@ -145,11 +159,12 @@ class LogReader(DataSourceStreamReader):
         """Nothing to do: the position that counts is the one in the query's checkpoint."""
 
 
-def last_offset(files: pafs.FileSystem, path: str) -> int:
-    """The largest offset in a file, from the statistics in its footer."""
+def offsets(files: pafs.FileSystem, path: str) -> tuple[int, int]:
+    """The smallest and the largest offset in a file, from the statistics in its footer; of an empty one 0 and 0."""
     footer = pq.ParquetFile(path, filesystem=files).metadata
     column = footer.schema.to_arrow_schema().get_field_index("offset")
-    return max((footer.row_group(i).column(column).statistics.max for i in range(footer.num_row_groups)), default=0)
+    told = [footer.row_group(i).column(column).statistics for i in range(footer.num_row_groups)]
+    return min((s.min for s in told), default=0), max((s.max for s in told), default=0)
 
 
 class LogSource(DataSource):

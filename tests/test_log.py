@@ -115,3 +115,23 @@ def test_kafka_options():
 def test_messages_in_log_order(spark):
     rows = spark.createDataFrame([(bytearray(b"ENG-1"), bytearray(b"{}"), 3, 17, "t")], "key binary, value binary, partition int, offset long, topic string")
     assert log.in_log_order(rows).first().asDict() == {"key": "ENG-1", "value": "{}", "partition": 3, "arrival": 17}
+
+
+def test_a_poll_opens_only_the_files_it_takes_from(spark, paths, monkeypatch):
+    """Files are bounded, and a poll's work doesn't grow with the log behind and before it."""
+    monkeypatch.setattr(log, "TASK_ROWS", 100)
+    log.append(messages(spark, 0, 1000), paths[0], 1, "engine", ["n"])
+    reader = log.LogReader(paths[0], 150, None)
+    assert len(reader._spans()) == 10
+    ranges = reader.partitions({"0": 250}, {"0": 400})
+    assert [(r.after, r.upto) for r in ranges] == [(250, 350), (350, 400)]
+    held = [sorted(reader._spans()[f][1:] for f in r.files) for r in ranges]
+    assert held == [[(201, 300), (301, 400)], [(301, 400)]]
+    assert sum(polls(spark, *paths, 150)) == 1000
+    assert sorted(r.n for r in spark.read.parquet(paths[1]).collect()) == list(range(1000))
+
+
+def test_a_poll_grows_with_the_table_within_bounds():
+    from cyclewise.plans.q_stream import poll_rows
+
+    assert [poll_rows(n, 16, 2_000, 500_000) for n in (0, 10_000, 100_000, 6_000_000, 36_000_000)] == [2_000, 2_000, 6_250, 375_000, 500_000]
