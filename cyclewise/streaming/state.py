@@ -28,14 +28,20 @@ STORE = {
 # New rows of one engine that go out as one piece, with the rows before them that their windows need.
 PIECE_ROWS = 256
 
+# State is kept in so many parts for each core, at most as many as the session shuffles into: a part costs a second or so in
+# each batch, for its worker and its store. The checkpoint keeps the number it began with.
+PARTS_A_CORE = 3
+
 PIECES = "engine_id string, first boolean, fresh int, cycles array<long>, times array<long>, readings array<float>"
 
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB; the session's own settings are put back."""
-    before = {name: spark.conf.get(name, None) for name in STORE}
-    for name, value in STORE.items():
+    """Queries started inside keep their state in RocksDB, in a few parts for each core; the session's own settings are put back."""
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, PARTS_A_CORE * spark.sparkContext.defaultParallelism))
+    settings = STORE | {"spark.sql.shuffle.partitions": str(parts)}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         yield

@@ -477,3 +477,15 @@ def test_a_batch_leaves_few_files_in_a_folder(spark):
     files = [r.f for r in spark.read.parquet(out).select(F.input_file_name().alias("f")).distinct().collect()]
     assert len({f.rsplit("/", 1)[0] for f in files}) > 60 and len(files) < 80
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_state_is_kept_in_a_few_parts_for_each_core(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200")
+    try:
+        with state.rocksdb(spark):
+            assert int(spark.conf.get(name)) == state.PARTS_A_CORE * spark.sparkContext.defaultParallelism < 200
+        assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, before)
