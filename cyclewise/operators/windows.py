@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
@@ -79,23 +82,66 @@ def window_features(
 ) -> DataFrame:
     """Last value, mean, deviation and slope of each sensor over each full window.
 
-    Four numbers per sensor and window instead of ``size``; the windows themselves are never written out.
+    Four numbers per sensor and window instead of ``size``; the windows themselves are never written out. Spark deals and sorts the
+    rows; a worker makes the numbers of all windows of a batch at once. A frame of Spark's takes each row ``size`` times, one by one.
     """
-    rows, frame = _in_chunks(df, [*sensors, label], size, unit, cycle, ordinal, chunk_rows)
-    position = F.col(ordinal or "_ordinal").cast("double")
-    spread = F.lit((size * size - 1) / 12.0) if size > 1 else F.lit(1.0)
-    stats = {}
-    for s in sensors:
-        x = F.col(s).cast("double")
-        stats[f"{s}_last"] = x
-        stats[f"{s}_mean"] = F.avg(x).over(frame)
-        stats[f"{s}_std"] = F.stddev_pop(x).over(frame)
-        # The positions in a full window are consecutive, so their variance is known.
-        stats[f"{s}_slope"] = F.covar_pop(x, position).over(frame) / spread
-    counted = rows.withColumns({**stats, "_n": F.count(F.lit(1)).over(frame)})
-    return counted.where(F.col("_own") & (F.col("_n") == size)).select(
-        unit, cycle, *stats, F.col(label).alias("label")
-    )
+    rows, _ = _in_chunks(df, [*sensors, label], size, unit, cycle, ordinal, chunk_rows)
+    place = ordinal or "_ordinal"
+    names = [f"{s}_{stat}" for s in sensors for stat in ("last", "mean", "std", "slope")]
+    kept = rows.select(unit, cycle, F.col(label).alias("label")).schema.fields
+    schema = T.StructType([*kept[:2], *[T.StructField(n, T.DoubleType()) for n in names], kept[2]])
+    readings = [F.col(s).cast("double").alias(f"_x{i}") for i, s in enumerate(sensors)]
+    carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate((unit, cycle, label))]
+    # Sorted in Spark, so that a worker goes through a chunk's rows as they come and holds one batch and a window of them.
+    sorted_rows = rows.repartition(unit, "_task").sortWithinPartitions(unit, "_task", place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            (units, cycles, labels, own, at), found = batch.columns[:5], batch.columns[5:]
+            columns = [np.asarray(at, dtype="i8")]
+            for x in found:
+                columns += [x.to_numpy(zero_copy_only=False).astype("f8"), np.asarray(x.is_valid())]
+            if before is not None:
+                columns = [np.concatenate(pair) for pair in zip(before, columns)]
+            before = [c[max(0, len(c) - size + 1) :] for c in columns]
+            places, n = columns[0], max(0, len(columns[0]) - size + 1)
+            # Within a chunk places follow one another; where they don't, another chunk begins.
+            chunk = np.cumsum(np.diff(places, prepend=places[:1]) != 1)
+            ready = np.zeros(batch.num_rows, dtype=bool)
+            ready[batch.num_rows - n :] = chunk[size - 1 :] == chunk[:n]
+            ready &= np.asarray(own)
+            taken = ready[batch.num_rows - n :]
+            told = pa.array(ready)
+            stats = []
+            for i, x in enumerate(found):
+                values, valid = columns[1 + 2 * i : 3 + 2 * i]
+                stats += [x.filter(told), *_moments(values, valid, places.astype("f8"), size, taken)]
+            yield pa.RecordBatch.from_arrays([units.filter(told), cycles.filter(told), *stats, labels.filter(told)], names=schema.names)
+
+    return sorted_rows.select(*carried, "_own", F.col(place).cast("long").alias("_place"), *readings).mapInArrow(run, schema)
+
+
+def _moments(x: np.ndarray, valid: np.ndarray, places: np.ndarray, size: int, taken: np.ndarray) -> list[pa.Array]:
+    """Mean, deviation and slope of the windows in ``taken``, one for each row from the ``size``-th on. Rows are added one after
+    the other, all windows at once, by the steps of Spark's own ``avg``, ``stddev_pop`` and ``covar_pop``; nulls are passed over."""
+    n = len(x) - size + 1
+    count, spotless = 0.0, bool(valid.all())
+    total = mean = squares = y_mean = products = np.zeros(max(0, n))
+    for j in range(size if n > 0 else 0):
+        value, y, here = x[j : j + n], places[j : j + n], valid[j : j + n]
+        more = count + 1.0
+        delta = value - mean
+        step = delta / more
+        new_y = y_mean + (y - y_mean) / more
+        new = (more, total + value, mean + step, squares + delta * (delta - step), new_y, products + delta * (y - new_y))
+        old = (count, total, mean, squares, y_mean, products)
+        count, total, mean, squares, y_mean, products = new if spotless else (np.where(here, a, b) for a, b in zip(new, old))
+    none = np.broadcast_to(count == 0, total.shape)[taken]
+    some = np.maximum(count, 1.0)
+    spread = (size * size - 1) / 12.0 if size > 1 else 1.0
+    # The positions in a full window are consecutive, so their variance is known.
+    return [pa.array(s[taken], mask=none) for s in (total / some, np.sqrt(squares / some), products / some / spread)]
 
 
 def sliding_windows(
