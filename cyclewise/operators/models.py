@@ -54,11 +54,13 @@ def train_with_history(
     History: ``epoch`` (the number of trees), ``loss`` and ``val_loss`` (mean squared error of the scaled target on either
     side), ``rmse`` and ``val_rmse``. The model keeps the trees up to the first epoch of the smallest validation loss. All
     ``trees`` rounds are made and told unless ``stop_early``: then boosting ends at the first round that is worse on the
-    validation units, and the history ends with the best. The rows are read from the shared folder in every round.
+    validation units, and the history ends with the best. The rows are read from the shared folder, and dealt evenly before: each
+    of the hundred and more passes of a fit takes as long as its largest task, and one task more than there are cores doubles it.
     """
     assembler = _assembler(rows)
     told = F.col("split") == "val"
-    held = shared.settle(assembler.transform(rows).select(told.alias("validation"), "y", "weight", "features"), "boosting")
+    dealt = assembler.transform(rows).repartition(rows.sparkSession.sparkContext.defaultParallelism, told, "unit", "cycle")
+    held = shared.settle(dealt.select(told.alias("validation"), "y", "weight", "features"), "boosting")
     sides = [held.where(~F.col("validation")), held.where("validation")]
     booster = _booster(trees, depth, seed)
     if stop_early:

@@ -1,6 +1,12 @@
 """Steps whose work must not grow faster than their input."""
 
-from cyclewise.operators import windows
+from collections import Counter
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from cyclewise import shared
+from cyclewise.operators import models, windows
 
 
 def plan_of(df):
@@ -26,3 +32,17 @@ def test_window_features_take_a_row_once(spark):
     )
     assert got == sorted(map(repr, want.where("cycle >= 30").collect())) and len(got) == 3 * 271
 
+
+def test_boosting_rows_are_dealt_evenly(spark):
+    """One part for each core, however the rows come: one more would double the time of every pass."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(4000).selectExpr(
+        "id % 40 as unit", "id as cycle", "0L as label", "if(id % 5 = 0, 'val', 'train') as split", "cast(id % 7 as double) as x",
+        "id % 7 * 0.1D as y", "1.0D as weight",
+    )
+    written = lambda: set(Path(shared.scratch(spark, "x")).parent.glob("boosting-*"))
+    before = written()
+    models.train_with_history(rows.coalesce(1), trees=1, depth=1)
+    (folder,) = written() - before
+    sizes = Counter(r.f for r in spark.read.parquet(str(folder)).select(F.input_file_name().alias("f")).collect())
+    assert len(sizes) == cores and max(sizes.values()) < 1.3 * 4000 / cores
