@@ -70,26 +70,39 @@ def event_from_tokens(
 ) -> DataFrame:
     """Raw tokens to an event; lines that are too short or hold something else than numbers are left out.
 
-    ``rejected_tokens`` has those lines.
+    ``rejected_tokens`` has those lines. A line's tokens are made and parsed once: a filter on them would be put before the
+    step that makes them, with a copy of that step for each token it asks for.
     """
-    kept = lines.where(token_problem(positions, width).isNull())
-    readings = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.get("tokens", F.lit(p)).try_cast("double") for p in positions])
-    )
-    return kept.select(
-        S.engine_id(F.get("tokens", F.lit(0))).alias("engine_id"),
-        F.get("tokens", F.lit(1)).try_cast("int").alias("cycle"),
-        now_ms.cast("long").alias("event_time_ms"),
-        readings.alias("sensors"),
-    )
+
+    def event(t: Column) -> Column:
+        whole, readings = _parsed(t, positions)
+        return F.struct(
+            S.engine_id(F.get(t, F.lit(0))).alias("engine_id"),
+            whole.alias("cycle"),
+            F.array(*readings).alias("readings"),
+            _problem(t, positions, width).alias("problem"),
+        )
+
+    parsed = lines.select(now_ms.cast("long").alias("event_time_ms"), F.inline(F.transform(F.array("tokens"), event)))
+    sensors = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("readings"))
+    return parsed.where(F.col("problem").isNull()).select("engine_id", "cycle", "event_time_ms", sensors.alias("sensors"))
+
+
+def _parsed(tokens: Column, positions: Sequence[int]) -> tuple[Column, list[Column]]:
+    return F.get(tokens, F.lit(1)).try_cast("int"), [F.get(tokens, F.lit(p)).try_cast("double") for p in positions]
+
+
+def _problem(tokens: Column, positions: Sequence[int], width: int) -> Column:
+    cycle, readings = _parsed(tokens, positions)
+    whole = cycle.isNotNull()
+    for reading in readings:
+        whole = whole & reading.isNotNull()
+    return F.when(F.coalesce(F.size(tokens), F.lit(0)) < width, "incomplete").when(~whole, "malformed")
 
 
 def token_problem(positions: Sequence[int] = config.SENSOR_POSITIONS, width: int = config.RAW_TOKENS) -> Column:
-    """Why a line of tokens can't be an event, or null."""
-    whole = F.get("tokens", F.lit(1)).try_cast("int").isNotNull()
-    for p in positions:
-        whole = whole & F.get("tokens", F.lit(p)).try_cast("double").isNotNull()
-    return F.when(F.coalesce(F.size("tokens"), F.lit(0)) < width, "incomplete").when(~whole, "malformed")
+    """Why a line of tokens can't be an event, or null. Names the tokens once, however they are made."""
+    return F.element_at(F.transform(F.array("tokens"), lambda t: _problem(t, positions, width)), 1)
 
 
 def rejected_tokens(

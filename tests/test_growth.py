@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cyclewise import shared
 from cyclewise.operators import models, windows
+from cyclewise.sources import events
 
 
 def plan_of(df):
@@ -46,3 +47,17 @@ def test_boosting_rows_are_dealt_evenly(spark):
     (folder,) = written() - before
     sizes = Counter(r.f for r in spark.read.parquet(str(folder)).select(F.input_file_name().alias("f")).collect())
     assert len(sizes) == cores and max(sizes.values()) < 1.3 * 4000 / cores
+
+
+def test_tokens_are_made_once(spark):
+    """Neither the events nor the rejected lines repeat the step that makes the tokens for each token they look at."""
+    text = F.when(F.col("id") % 5 == 0, "1 2 x").when(F.col("id") % 7 == 0, "1 2 3 x").otherwise(F.concat_ws(" ", "id", "id", F.col("id") / 4, "id"))
+    lines = spark.range(70).select(F.split(F.when(F.col("id") != 69, text), " ").alias("tokens"))
+    found = events.event_from_tokens(lines, F.lit(5), ["a", "b"], [2, 3], 4)
+    rejected = events.rejected_tokens(lines, [2, 3], 4)
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized(found).count("split(") == 1 and optimized(rejected).count("split(") <= 3
+    good = [i for i in range(69) if i % 5 and i % 7]
+    assert sorted(map(tuple, found.collect())) == sorted((f"ENG-{i}", i, 5, {"a": i / 4, "b": float(i)}) for i in good)
+    reasons = Counter(r.reason for r in rejected.collect())
+    assert reasons == {"incomplete": 14 + 1, "malformed": 8}
