@@ -13,7 +13,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -178,22 +178,41 @@ class AlertKeeper(StatefulProcessor):
                 row = risky.loc[risky["arrival"].idxmin()]
                 if first is None or row["arrival"] < first["arrival"]:
                     first = row
+        if out := self.events(key[0], first, said):
+            yield pd.DataFrame(out, columns=["engine_id", "event", *self.FIELDS]).astype({"remaining_cycles": "Int32", "event_time_ms": "Int64", "arrival": "Int64"})
+
+    def events(self, engine: str, first, said: set[int]) -> list[tuple]:
+        """What happens to an engine's alert, and the state after it."""
         known = self.open.get()
         out = []
         if known is not None and known[0] in said:
-            out.append([key[0], "closed", None, None, None, None, known[0]])
-            self.open.clear()
+            out.append((engine, "closed", None, None, None, None, known[0]))
+            if first is None:
+                self.open.clear()
             known = None
         if known is None and first is not None:
-            out.append([key[0], "raised", *(first[c] for c in self.FIELDS)])
+            out.append((engine, "raised", *(first[c] for c in self.FIELDS)))
             self.open.update((int(first["arrival"]),))
-        if out:
-            yield pd.DataFrame(out, columns=["engine_id", "event", *self.FIELDS]).astype({"remaining_cycles": "Int32", "event_time_ms": "Int64", "arrival": "Int64"})
+        return out
 
     def close(self) -> None:
         pass
 
 
+class AlertRows(AlertKeeper):
+    """``AlertKeeper`` on plain rows. An engine has few in a batch, for which frames cost far more than the work on them."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, said = None, set()
+        for row in rows:
+            if row["acknowledges"] is not None:
+                said.add(row["acknowledges"])
+            elif first is None or row["arrival"] < first["arrival"]:
+                first = row
+        for event in self.events(key[0], first, said):
+            yield Row(**dict(zip(("engine_id", "event", *self.FIELDS), event)))
+
+
 ALERT_LOG = "engine_id string, event string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, arrival long"
 
 
@@ -202,7 +221,7 @@ def alert_log(predictions: DataFrame, acknowledgements: DataFrame) -> DataFrame:
     ``acknowledges`` is the arrival of the prediction that raised the alert."""
     told = predictions.select("engine_id", *AlertKeeper.FIELDS, F.lit(None).cast("long").alias("acknowledges"))
     both = told.unionByName(acknowledgements.select("engine_id", "acknowledges"), allowMissingColumns=True)
-    return both.groupBy("engine_id").transformWithStateInPandas(AlertKeeper(), ALERT_LOG, "append", "none")
+    return both.groupBy("engine_id").transformWithState(AlertRows(), ALERT_LOG, "append", "none")
 
 
 def merged_runs(runs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:

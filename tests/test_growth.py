@@ -3,11 +3,13 @@
 from collections import Counter
 from pathlib import Path
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cyclewise import shared
 from cyclewise.operators import models, windows
 from cyclewise.sources import events
+from cyclewise.streaming import state
 
 
 def plan_of(df):
@@ -61,3 +63,34 @@ def test_tokens_are_made_once(spark):
     assert sorted(map(tuple, found.collect())) == sorted((f"ENG-{i}", i, 5, {"a": i / 4, "b": float(i)}) for i in good)
     reasons = Counter(r.reason for r in rejected.collect())
     assert reasons == {"incomplete": 14 + 1, "malformed": 8}
+
+
+class Open:
+    """The one value that an alert keeper holds for an engine."""
+
+    value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_alerts_are_kept_on_plain_rows():
+    """No frame is made for an engine; what happens is the same as with frames."""
+    held, keeper = Open(), state.AlertRows()
+    keeper.init(held)
+    names = ("engine_id", *keeper.FIELDS, "acknowledges")
+    risky = lambda n: ("a", "HIGH", 0.7, 30, n, n, None)
+    ack = lambda n: ("a", None, None, None, None, None, n)
+    told = lambda *rows: [(r["event"], r["arrival"]) for r in keeper.handleInputRows(("a",), iter([Row(**dict(zip(names, r))) for r in rows]), None)]
+    assert told(risky(5), risky(4)) == [("raised", 4)] and told(risky(1)) == []
+    assert told(ack(4), risky(6), ack(4)) == [("closed", 4), ("raised", 6)] and held.value == (6,)
+    assert told(ack(4)) == [] and told(ack(6)) == [("closed", 6)] and held.value is None
