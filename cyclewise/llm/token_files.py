@@ -9,8 +9,8 @@ the next level), and for each place a 32-bit fingerprint, the document's number
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from array import array
 from functools import cache
@@ -18,6 +18,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +29,12 @@ from cyclewise.llm import near_dup, texts, vocab
 SHARD_ROWS = 1 << 13
 BLOCK_DOCS = 1 << 12
 BLOCK_BYTES = 8 << 20
-# Words whose ids a worker keeps.
+# Bytes of text that are encoded together, in slices of SLICE_ROWS rows.
+PORTION_BYTES = 2 << 20
+SLICE_ROWS = 16
+# Pieces and words whose ids a worker keeps.
 WORD_ENTRIES = 1 << 20
-JOINED_WORDS = 1000
+JOINED_WORDS = 200
 MOST_LEVELS = 64
 # Blocks whose key ranges go to all workers at a time; a larger directory takes several passes over the keys.
 DIRECTORY_BLOCKS = 1 << 20
@@ -106,24 +110,79 @@ class PerfectHash:
         return cls(sizes, bits, np.frombuffer(data, dtype="<u4", offset=at + -(-total // 8)).reshape(n, 3))
 
 
-# Letters that no normal form changes.
-_letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+# How a vocabulary must lower and split for its texts to be cut here.
+LOWERING = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+AS_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+SPLITTING = {"type": "Sequence", "pretokenizers": [SPLIT, AS_BYTES]}
+# Texts of these characters only, and without the beginning of a special string, are cut into pieces as bytes: no normal form changes
+# their letters, and a second byte of 0x80 to 0x9E belongs to a capital.
+_beyond = "[^\\x00-\\x1b\\x20-\\x7fÀ-ÖØ-öø-ÿ]"
+_low = np.array([b + 0x20 if 0x41 <= b <= 0x5A or 0x80 <= b <= 0x9E else b for b in range(256)], dtype=np.uint8)
+BLANK, LETTER, DIGIT, MARK = range(4)
+_kind = lambda b: LETTER if b >= 0x80 or chr(b).isalpha() else BLANK if b in vocab.SPACE else DIGIT if chr(b).isdigit() else MARK
+_kinds = np.array([_kind(b) for b in range(256)], dtype=np.uint8)
+
+
+def cut(column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces of plain texts, lowered, and the number of the first piece of each text (and the number of all pieces at the end).
+
+    Pieces are runs of letters, single digits and runs of marks; a quote by itself takes the s, t, re, ve, m, ll or d after it.
+    """
+    offsets = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    data = _low[np.concatenate([data, np.full(3, ord(" "), dtype=np.uint8)])]
+    kinds = _kinds[data]
+    begins = kinds == DIGIT
+    begins[1:] |= kinds[1:] != kinds[:-1]
+    begins[offsets] = True
+    heads = np.zeros(len(data), dtype=bool)
+    heads[offsets] = True
+    after = np.flatnonzero((data == ord("'")) & begins) + 1
+    after = after[(kinds[after] == LETTER) & ~heads[after]]
+    first, second = data[after], np.where(begins[after + 1], 0, data[after + 1])
+    one = np.isin(first, list(b"stmd"))
+    two = (np.isin(first, list(b"rv")) & (second == ord("e"))) | ((first == ord("l")) & (second == ord("l")))
+    begins[after[one | two]] = False
+    begins[after[one] + 1] = True
+    begins[after[two] + 2] = True
+    kept = kinds != BLANK
+    begins &= kept
+    firsts = np.searchsorted(np.flatnonzero(begins), offsets)
+    data = data[kept]
+    starts = np.append(np.flatnonzero(begins[kept]), len(data)).astype("<i4")
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)), firsts
 
 
 class LibraryEncoder:
-    """Ids of the tokenizers library, as four bytes each. Words between white space are encoded once and looked up after that.
+    """Ids of the tokenizers library, as four bytes each. Pieces of plain texts and words of others are encoded once and looked up after that.
 
-    The vocabulary drops white space, so that a text's ids are those of its words in order. Texts with white space or control
-    characters about which Python and the library may disagree go to the library whole.
+    The vocabulary drops white space and merges inside pieces only, so that a text's ids are those of its pieces in order. Texts
+    beyond the plain ones are split at white space; those with white space or control characters about which Python and the library
+    may disagree go to the library whole, as do all texts if the vocabulary lowers or splits in another way.
     """
 
     def __init__(self, path: str, entries: int = WORD_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        spec = json.loads(self._tokenizer.to_str())
+        special = all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
+        self._cuts = special and (spec["normalizer"], spec["pre_tokenizer"]) == (LOWERING, SPLITTING)
+        # For pieces, which are lowered and cut already.
+        self._merger = Tokenizer.from_file(path)
+        self._merger.no_truncation()
+        self._merger.no_padding()
+        self._merger.normalizer = normalizers.Sequence([])
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), as_bytes])
         self.size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self._ends = np.zeros(self.size, dtype=bool)
         for token, i in self._tokenizer.get_vocab().items():
@@ -137,52 +196,93 @@ class LibraryEncoder:
         found = self._tokenizer.encode_batch_fast(items, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _pieces(self, words: list[str]) -> list[bytes]:
-        """As ``_library``, for words that are one piece each: many to a call, told apart by the ids that end a word."""
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """As ``_library``, for pieces: many to a call, told apart by the ids that end a piece."""
         out = []
-        for start in range(0, len(words), JOINED_WORDS):
-            some = words[start : start + JOINED_WORDS]
-            ids = np.array(self._tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        for start in range(0, len(pieces), JOINED_WORDS):
+            some = pieces[start : start + JOINED_WORDS]
+            (found,) = self._merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
             if len(ends) != len(some):
-                return self._library(words)
+                return self._library(pieces)
             data = ids.tobytes()
             out += [data[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words not known yet. A mark after letters is a piece of its own."""
-        known = self._known
-        known.update((word, self._old[word]) for word in words & self._old.keys())
-        words = words.difference(known)
-        marked = [w for w in words if w[-1] in ",." and _letters(w[:-1])]
-        words = words.difference(marked).union([w[:-1] for w in marked], [",", "."] if marked else ()).difference(known)
-        plain = list(filter(_letters, words))
-        odd = list(words.difference(plain))
-        known.update(zip(plain, self._pieces(plain)))
-        known.update(zip(odd, self._library(odd)))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
-
-    def packed(self, batch: list[str]) -> list[bytes]:
+    def _remembered(self, words: list[str], encode) -> list[bytes]:
+        """The ids of different words; ``encode`` gets those not known. Very long ones aren't kept."""
+        if len(self._known) >= self._half:
+            self._old, self._known = self._known, {}
+        known, old = self._known, self._old
+        out = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = old.get(words[i])
+        new = [i for i in missing if out[i] is None]
+        for i, ids in zip(new, encode([words[i] for i in new])):
+            out[i] = ids
+        known.update((words[i], out[i]) for i in missing if len(words[i]) <= texts.Memo.LONGEST)
+        return out
+
+    def _plain(self, column: pa.StringArray) -> list[bytes]:
+        """Ids of plain texts: each different piece is looked up once, and its ids are copied to its places."""
+        pieces, firsts = cut(column)
+        coded = pieces.dictionary_encode()
+        at = coded.indices.to_numpy()
+        found = self._remembered(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._merged)
+        data = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.cumsum(sizes)
+        ids = data[np.arange(len(at) and ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
+        bounds = np.append(0, ends)[firsts].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _apart(self, column: pa.StringArray, encode) -> list[bytes]:
+        """Ids of the plain texts by pieces, and of the others by ``encode``."""
+        beyond = pc.or_(pc.match_substring_regex(column, _beyond), pc.match_substring(column, "<|"))
+        plain = iter(self._plain(column.filter(pc.invert(beyond))))
+        others = iter(encode(column.filter(beyond).to_pylist()))
+        return [next(others if b else plain) for b in beyond.to_pylist()]
+
+    def _by_words(self, batch: list[str]) -> list[bytes]:
         whole, split = {}, {}
         for i, text in enumerate(batch):
             if any(c in text for c in (self._odd[:4] if text.isascii() else self._odd)):
                 whole[i] = text
             else:  # capitals of plain text are lowered by the vocabulary anyway, except in special strings
                 split[i] = (text.lower() if text.isascii() and "<|" not in text else text).split()
-        if len(self._known) >= self._half:
-            self._old, self._known = self._known, {}
-        self._learn(set().union(*split.values()).difference(self._known))  # a dict: only the words are gone through
+        words = list(set().union(*split.values()))
+        known = dict(zip(words, self._remembered(words, lambda new: self._apart(pa.array(new, pa.string()), self._library))))
         out = dict(zip(whole, self._library(list(whole.values()))))
-        out |= {i: b"".join(map(self._known.__getitem__, words)) for i, words in split.items()}
+        out |= {i: b"".join(map(known.__getitem__, words)) for i, words in split.items()}
         return [out[i] for i in range(len(batch))]
 
+    def packed(self, batch: list[str] | pa.StringArray) -> list[bytes]:
+        column = pa.array(batch, pa.string()) if isinstance(batch, list) else batch.cast(pa.string())
+        return self._apart(column, self._by_words) if self._cuts else self._library(column.to_pylist())
+
 
 @cache
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def portions(batches):
+    """The rows of the batches, joined or cut to portions of about ``PORTION_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            held.append(batch.slice(start, SLICE_ROWS))
+            size += held[-1].nbytes
+            if size >= PORTION_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def block_row(shard: int, block: int, width: int, keys: list, counts: list[int], payload: list[bytes]) -> dict:
     """One row of the files. Null keys come first and aren't in the index."""
     nulls = sum(k is None for k in keys)
@@ -223,8 +323,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: st
             out = block_row(shard, block, width, keys, counts, payload)
             return pa.RecordBatch.from_pylist([out], schema=arrow)
 
-        for batch in batches:
-            packed = encoder.packed([t or "" for t in batch.column(1).to_pylist()])
+        for batch in portions(batches):
+            packed = encoder.packed(pc.fill_null(batch.column(1), ""))
             for key, ids in zip(batch.column(0).to_pylist(), packed):
                 if len(keys) == BLOCK_DOCS or keys and size + len(ids) > BLOCK_BYTES:
                     yield row()

@@ -4,7 +4,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -33,6 +35,53 @@ def test_ids_are_the_library_s(library, encoder, batch):
     assert [np.frombuffer(p, dtype="<u4").tolist() for p in encoder.packed(batch)] == want
 
 
+PLAIN = ["'", "''", "'s", "'S", "s", "t'", "'re", "'vE", "'m", "'ll", "'d", "r", "'l", "é", "ß", "É", "Þ", "ÿ", "a", "B", "0", "12", " ", "\n", "\t",
+         "\x0b", "\r", ".", "***", "<", "|>", "</w>", "w", "\x00", "\x1b", "\x7f"]
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PLAIN), max_size=20).map("".join), max_size=8), st.booleans())
+def test_plain_texts_are_cut_as_the_library_cuts_them(library, encoder, batch, as_arrow):
+    pieces, firsts = token_files.cut(pa.array(["before", *batch], pa.string()).slice(1))
+    pieces = pieces.to_pylist()
+    assert [pieces[a:b] for a, b in zip(firsts, firsts[1:])] == [SPLIT.findall(t.lower()) for t in batch]
+    want = [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
+    given = pa.array(batch, pa.string()) if as_arrow else batch
+    assert [np.frombuffer(p, dtype="<u4").tolist() for p in encoder.packed(given)] == want
+
+
+def test_forms_of_a_word_are_one_entry(library):
+    """Capitals and marks around a word make no new entry, and very long pieces none at all."""
+    encoder = token_files.LibraryEncoder(PATH)
+    marks = ["", ".", ",", "***", "%%%", "|"]
+    batch = [f"{w}{m} {m}{w}" for w in ("hendé", "Hendé", "HENDÉ") for m in marks] + ["a" * 30000]
+    want = [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
+    assert [np.frombuffer(p, dtype="<u4").tolist() for p in encoder.packed(batch)] == want
+    assert set(encoder._known) == {"hendé", *marks[1:]}
+
+
+def test_other_vocabularies_are_left_to_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    batch = ["Two  words, it's 12", "", "A\nB <|endoftext|>"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(batch, add_special_tokens=False)]
+    assert [np.frombuffer(p, dtype="<u4").tolist() for p in token_files.LibraryEncoder(path).packed(batch)] == want
+    assert token_files.LibraryEncoder(PATH)._cuts
+
+
+def test_portions_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(token_files, "PORTION_BYTES", 300)
+    monkeypatch.setattr(token_files, "SLICE_ROWS", 2)
+    rows = [(i, None if i % 7 == 0 else "x" * (i * i % 90)) for i in range(200)]
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+    make = lambda some: pa.RecordBatch.from_pylist([{"id": i, "text": t} for i, t in some], schema)
+    batches = [make(rows[:1]), make(rows[1:151]), make(rows[151:])]
+    got = list(token_files.portions(iter(batches)))
+    assert [(r["id"], r["text"]) for b in got for r in b.to_pylist()] == rows
+    assert 5 < len(got) < 100 and all(b.nbytes < 700 for b in got)
+    assert list(token_files.portions(iter([]))) == []
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(-(1 << 63), (1 << 63) - 1), max_size=300))
 def test_perfect_hash(keys):
