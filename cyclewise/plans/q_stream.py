@@ -262,13 +262,14 @@ def offline_sink(v: Fleet) -> DataFrame:
                arg_max(features, cycle) AS online_features FROM ({_LAST_VECTORS}) GROUP BY engine_id""",
 )
 def stream_fanout(v: Fleet) -> DataFrame:
-    """Each batch of vectors goes to the online and to the offline table."""
+    """Each batch of vectors goes whole to the online and to the offline table, there under its date and hour."""
     out = shared.scratch(v.spark, "offline")
     store = jobs.OnlineStore(v.spark, shared.scratch(v.spark, "online"))
-    both = jobs.fan_out(store, lambda rows, batch: sinks.write_batch(rows.drop("features"), out, batch))
+    both = jobs.fan_out(store, lambda rows, batch: sinks.write_offline(rows, out, batch))
     job = _rolling(v, config.WINDOW_SIZE, on_vectors=both)
     jobs.run_bounded(job.writer(in_order(v, event_stream(v))), shared.scratch(v.spark, "checkpoint"))
-    per_engine = v.spark.read.parquet(f"{out}/batch=*").groupBy("engine_id").agg(
+    offline = sinks.read_or_empty(v.spark, out, job.VECTORS + ", date string, hour string, batch long")
+    per_engine = offline.groupBy("engine_id").agg(
         F.count(F.lit(1)).alias("offline_vectors"), F.sum("cycle").alias("offline_cycles")
     )
     features = hundredths(F.col("features")).alias("online_features")

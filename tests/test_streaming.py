@@ -1,5 +1,6 @@
 """A stream must give what the batch operators give, however the input is cut into micro-batches."""
 
+import datetime
 import random
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from cyclewise import config, shared
 from cyclewise.operators import windows
+from cyclewise.plans import catalog
 from cyclewise.sources import events as E
 from cyclewise.streaming import jobs, sinks, state
 
@@ -340,6 +342,26 @@ def test_offline_and_online(spark):
     assert {r.engine_id: (r.cycle, r.event_time, r.features) for r in store.read().collect()} == newest
 
 
+def test_the_registered_fan_out_files_whole_vectors(spark, tmp_path, monkeypatch):
+    """Both tables hold the readings of a window, not the offline one its cycle alone; that one is filed by hour."""
+    made, scratch = {}, shared.scratch
+    monkeypatch.setattr(shared, "scratch", lambda session, name: made.setdefault(name, scratch(session, name)))
+    at = datetime.datetime(2024, 1, 1)
+    events = [(i, at + datetime.timedelta(minutes=50 * i), i % 2, "view", i / 4, f'{{"k": {i % 7}}}') for i in range(80)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    told = {r.engine_id: r for r in catalog.queries()["stream_fanout"](spark, str(tmp_path)).collect()}
+    want = []
+    for unit in range(2):
+        rows = [(i, ts, [value, float(i % 7)]) for i, ts, user, _, value, _ in events if user == unit]
+        for n in range(30, len(rows) + 1):
+            i, ts, _ = rows[n - 1]
+            want.append((f"ENG-{unit}", i, ts.strftime("%Y-%m-%d"), f"{ts:%H}", [x for r in rows[n - 30 : n] for x in r[2]]))
+    filed = spark.read.schema(jobs.RollingFeatures.VECTORS + ", date string, hour string").parquet(made["offline"])
+    assert sorted((r.engine_id, r.cycle, r.date, r.hour, r.features) for r in filed.collect()) == sorted(want)
+    assert {e: (r.offline_vectors, r.online_cycle) for e, r in told.items()} == {"ENG-0": (11, 78), "ENG-1": (11, 79)}
+
+
 ALERTS = "engine_id string, risk_level string, failure_risk double, remaining_cycles int, event_time_ms long, arrival long"
 
 
