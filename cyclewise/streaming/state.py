@@ -31,6 +31,8 @@ PIECE_ROWS = 256
 # State is kept in so many parts for each core, at most as many as the session shuffles into: a part costs a second or so in
 # each batch, for its worker and its store. The checkpoint keeps the number it began with.
 PARTS_A_CORE = 3
+# Groups of engines whose silence is watched together.
+SILENCE_GROUPS = 512
 
 PIECES = "engine_id string, first boolean, fresh int, cycles array<long>, times array<long>, readings array<float>"
 
@@ -281,15 +283,96 @@ class SilenceWatch(StatefulProcessor):
         pass
 
 
-def silences(events: DataFrame, span_seconds: int, late_by: str = "0 seconds") -> DataFrame:
+def joined_runs(runs: pd.DataFrame, span: int) -> pd.DataFrame:
+    """``merged_runs`` of many engines at once, on a frame of their runs (``engine_id``, ``first``, ``last``)."""
+    codes, engines = pd.factorize(runs["engine_id"], use_na_sentinel=False)
+    firsts, lasts = runs["first"].to_numpy(), runs["last"].to_numpy()
+    at = np.lexsort((firsts, codes))
+    codes, firsts, lasts = codes[at], firsts[at], lasts[at]
+    reached = pd.Series(lasts).groupby(codes).cummax().to_numpy()
+    begins = np.ones(len(at), dtype=bool)
+    begins[1:] = (codes[1:] != codes[:-1]) | (firsts[1:] > reached[:-1] + span)
+    heads = np.flatnonzero(begins)
+    return pd.DataFrame({"engine_id": engines[codes[heads]], "first": firsts[heads], "last": reached[np.append(heads[1:], len(at)) - 1]})
+
+
+class SilenceGroups(SilenceWatch):
+    """``SilenceWatch`` on groups of engines. An engine has few events in a batch, for which calls on its state and a timer for each
+    of its runs cost far more than the work on them. A batch reads and writes the groups it has events of.
+
+    The runs of a group are one table, kept as an Arrow stream and worked on as arrays. Its one timer is that of the run that ends
+    first; when it expires, all runs whose time has passed are told.
+    """
+
+    RUNS = pa.schema({"engine_id": pa.string(), "first": pa.int64(), "last": pa.int64()})
+    # New events that are joined to the runs at once, at least; more if there are more runs.
+    JOIN_ROWS = 65_536
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getValueState("table", "runs binary")
+
+    def _known(self) -> pd.DataFrame:
+        held = self.runs.get()
+        table = self.RUNS.empty_table() if held is None else pa.ipc.open_stream(held[0]).read_all()
+        return table.to_pandas()
+
+    def _keep(self, runs: pd.DataFrame) -> None:
+        if len(runs):
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, self.RUNS) as stream:
+                    stream.write_table(pa.Table.from_pandas(runs, self.RUNS, preserve_index=False))
+                self.runs.update((out.getvalue().to_pybytes(),))
+        else:
+            self.runs.clear()
+
+    def _due(self, runs: pd.DataFrame) -> int | None:
+        """When the run that ends first is told."""
+        return int(runs["last"].min()) + self.span_ms + 1 if len(runs) else None
+
+    def _with(self, runs: pd.DataFrame, new: list[pd.DataFrame]) -> pd.DataFrame:
+        events = pd.concat(new)
+        alone = pd.DataFrame({"engine_id": events["engine_id"], "first": events["event_time_ms"], "last": events["event_time_ms"]})
+        return joined_runs(pd.concat([runs, alone]) if len(runs) else alone, self.span_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        runs, new = self._known(), []
+        due = self._due(runs)
+        for frame in rows:
+            new.append(frame[["engine_id", "event_time_ms"]])
+            if sum(map(len, new)) >= max(self.JOIN_ROWS, len(runs)):
+                runs, new = self._with(runs, new), []
+        runs = self._with(runs, new) if new else runs
+        if (first := self._due(runs)) != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+        self._keep(runs)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        runs = self._known()
+        passed = runs["last"] + self.span_ms + 1 <= timerValues.getCurrentWatermarkInMs()
+        told, left = runs[passed], runs[~passed]
+        if len(left):
+            self.handle.registerTimer(self._due(left))
+        self._keep(left)
+        if len(told):
+            yield pd.DataFrame({"engine_id": told["engine_id"], "last_ms": told["last"], "silent_ms": told["last"] + self.span_ms})
+
+
+def silences(events: DataFrame, span_seconds: int, late_by: str = "0 seconds", groups: int = SILENCE_GROUPS) -> DataFrame:
     """``engine_id``, ``last_ms`` (of its last event) and ``silent_ms`` for each time that an engine sends nothing for so long.
 
     ``events`` has engine_id and ``event_time`` (a timestamp, which the stream's time follows, ``late_by`` behind). Events that come
-    later than that are left out. Silence is told as the stream's time passes, not when someone asks.
+    later than that, and those without a time, are left out. Silence is told as the stream's time passes, not when someone asks.
+    ``groups`` bounds the engines that pass one call, so it grows with their number (some ten thousand a group); a checkpoint is bound
+    to the number it began with.
     """
-    timed = events.withWatermark("event_time", late_by)
-    keyed = timed.select("engine_id", "event_time", F.unix_millis("event_time").alias("event_time_ms")).groupBy("engine_id")
-    return keyed.transformWithStateInPandas(SilenceWatch(span_seconds * 1000), "engine_id string, last_ms long, silent_ms long", "append", "eventTime")
+    timed = events.withWatermark("event_time", late_by).where("event_time IS NOT NULL")
+    group = F.pmod(F.xxhash64("engine_id"), F.lit(groups)).cast("int").alias("group")
+    keyed = timed.select(group, "engine_id", "event_time", F.unix_millis("event_time").alias("event_time_ms")).groupBy("group")
+    return keyed.transformWithStateInPandas(SilenceGroups(span_seconds * 1000), "engine_id string, last_ms long, silent_ms long", "append", "eventTime")
 
 
 class RuleWatch(StatefulProcessor):

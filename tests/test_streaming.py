@@ -218,6 +218,59 @@ def test_silence_with_events_out_of_order():
     assert row.iloc[0].to_dict() == {"engine_id": "a", "last_ms": 100, "silent_ms": 150} and held.values["runs"] == [(200, 200)]
 
 
+def test_runs_of_many_engines_are_joined_at_once():
+    rng = random.Random(4)
+    runs = [(rng.choice(["a", "b", "c", None]), t, t + rng.choice([0, 0, 40])) for t in (rng.randrange(2_000) for _ in range(150))]
+    got = state.joined_runs(pd.DataFrame(runs, columns=["engine_id", "first", "last"]), 9)
+    found = sorted(zip(got["engine_id"].fillna(""), got["first"].tolist(), got["last"].tolist()))
+    want = [(e or "", *run) for e in ("a", "b", "c", None) for run in state.merged_runs([r[1:] for r in runs if r[0] == e], 9)]
+    assert found == sorted(want) and len(found) < len(runs)
+
+
+@pytest.mark.parametrize("join_rows", [1, 65_536])
+def test_silence_of_a_group_waits_on_one_timer(monkeypatch, join_rows):
+    """Timers are set at most once a batch, however many engines there are and however often they fall silent."""
+    monkeypatch.setattr(state.SilenceGroups, "JOIN_ROWS", join_rows)
+    engines = [f"e{i}" for i in range(300)]
+    held, watch, registered = Held(), state.SilenceGroups(50), []
+    monkeypatch.setattr(held, "registerTimer", lambda at: (registered.append(at), held.timers.add(at)))
+    watch.init(held)
+    for times in ([100], [0, 30], [60, 200], [5]):
+        frames = [pd.DataFrame({"group": 3, "engine_id": some, "event_time_ms": t}) for t in times for some in (engines[:100], engines[100:])]
+        assert list(watch.handleInputRows((3,), iter(frames), None)) == []
+    assert held.timers == {151} and registered == [151, 81, 151]
+
+    class Passed:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    def expired(at):
+        held.timers.clear()
+        return sorted(tuple(r) for told in watch.handleExpiredTimer((3,), Passed(at), None) for r in told.itertuples(index=False))
+
+    assert expired(250) == sorted((e, 100, 150) for e in engines) and held.timers == {251}
+    assert expired(251) == sorted((e, 200, 250) for e in engines) and not held.timers and not held.values
+
+
+@pytest.mark.parametrize("groups", [1, 7, state.SILENCE_GROUPS])
+def test_silence_with_events_that_lack_an_engine_or_a_time(spark, groups):
+    """Events without an engine are those of one engine; those without a time say nothing."""
+    rng = random.Random(3)
+    rows = sorted(((rng.choice(["a", "b", None]), rng.randrange(0, 400_000)) for _ in range(60)), key=lambda r: r[1])
+    path, out = shared.scratch(spark, "in"), shared.scratch(spark, "out")
+    for i in range(0, 60, 20):
+        part = [*rows[i : i + 20], ("a", None), (None, None)]
+        spark.createDataFrame(part, "engine_id string, t long").coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema("engine_id string, t long").option("maxFilesPerTrigger", 1).parquet(path)
+    told = state.silences(events.select("engine_id", F.timestamp_millis("t").alias("event_time")), 20, groups=groups)
+    jobs.run_bounded(told.writeStream.format("parquet").option("path", out), shared.scratch(spark, "ckpt"))
+    found = [(r.engine_id or "", r.last_ms, r.silent_ms) for r in spark.read.parquet(out).collect()]
+    assert sorted(found) == silences_by_hand([(e or "", t) for e, t in rows], 20_000)
+
+
 def rule_by_hand(rows, step, span, limit, hold):
     """(label, step, n, state) at each closed step."""
     newest, out = max(t for _, t in rows), []
